@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing, url_rules
+from . import mixing, quality, url_rules, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc_captures": warc.op2,
         "op5_mix_sources": mixing.op5,
         "op6_url_rules": url_rules.op6,
+        "op8_quality_rules": quality.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_captures": warc.SQL,
         "op5_mix_sources": mixing.SQL,
         "op6_url_rules": url_rules.SQL,
     }
