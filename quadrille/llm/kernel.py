@@ -13,11 +13,11 @@ import pyarrow as pa
 U = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Bytes that end words: white space, and everything but letters, digits and non-ASCII.
+#: Bytes that end words: white space, and everything but ASCII letters, digits and non-ASCII.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+PUNCTUATION[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
