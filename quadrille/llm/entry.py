@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality, url_rules, warc
+from . import license_scan, mixing, ngram_join, quality, url_rules, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_mix_sources": mixing.op5,
         "op6_url_rules": url_rules.op6,
         "op8_quality_rules": quality.op8,
+        "op9_ngram_join": ngram_join.op9,
         "op10_license_scan": license_scan.op10,
     }
 
