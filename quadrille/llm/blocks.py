@@ -48,3 +48,30 @@ def unpack(block: bytes) -> np.ndarray:
     gaps = np.zeros((len(planes), 8), np.uint8)
     gaps[:, :width] = planes
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) + first
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers of any order: an offset, and what is above it in as few whole bytes as the largest needs."""
+    if not len(x):
+        return b""
+    x = x.astype(np.int64)
+    least = int(x.min())
+    above = (x - least).view(np.uint64)
+    width = max(1, (int(above.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.int64(least).tobytes() + np.ascontiguousarray(above.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unsqueeze(block: bytes) -> np.ndarray:
+    if not block:
+        return np.zeros(0, np.int64)
+    width = block[0]
+    least = np.frombuffer(block, np.int64, 1, 1)[0]
+    planes = np.frombuffer(block, np.uint8, offset=9).reshape(-1, width)
+    above = np.zeros((len(planes), 8), np.uint8)
+    above[:, :width] = planes
+    return above.view(np.uint64).ravel().view(np.int64) + least
+
+
+def joined(table, name: str, read) -> np.ndarray:
+    """A binary column's blocks, read and put together."""
+    return np.concatenate([read(x.as_py() or b"") for x in table.column(name)] or [read(b"")])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, ngram_join, quality, url_rules, warc
+from . import license_scan, mixing, ngram_join, quality, suffix_dedup, url_rules, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_captures": warc.op2,
+        "op3_suffix_dedup": suffix_dedup.op3,
         "op5_mix_sources": mixing.op5,
         "op6_url_rules": url_rules.op6,
         "op8_quality_rules": quality.op8,

@@ -118,3 +118,14 @@ def shingle_sets(w: Words, n: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U))
     return out
+
+
+def pieces(batches, column: str = "text", most_bytes: int = 2 << 20):
+    """The batches, cut so that each holds at most so many bytes of text, or one row."""
+    for batch in batches:
+        _, at = utf8(batch.column(column))
+        row = 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + most_bytes, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
