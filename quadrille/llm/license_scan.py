@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .kernel import PUNCTUATION, Words, utf8, words
+from .kernel import PUNCTUATION, Words, pieces, utf8, words
 
 #: The phrases of the contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -63,7 +63,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
 
     def count(batches):
         total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             w = batch_words(batch.column("text"))[2]
             at = np.searchsorted(vocabulary, w.hash)
             at[at == len(vocabulary)] = 0
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, share: float = CONTAINMENT) -> Da
     scanner = Scanner(token_counts(docs, templates), templates, share)
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *scanner.scan(batch.column("text"))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

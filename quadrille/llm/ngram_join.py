@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .blocks import bucket_count, bucket_of, pack, runs, unpack
 from .common import documents, materialised, small_or_shuffled
 from .components import components
-from .kernel import U, mixed, shingle_sets, utf8, words
+from .kernel import U, mixed, pieces, shingle_sets, utf8, words
 
 SHINGLE = 5
 SIMILAR = 75
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, n, set_id) of each row."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = batch_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.binary())], ["doc_id", "row_key", "n", "set_id"])
 
@@ -125,7 +125,7 @@ def packed_beginnings(docs: DataFrame, buckets: int) -> DataFrame:
 
     def rows(batches):
         tokens, owners, seen, held = [], [], set(), 0
-        for batch in batches:
+        for batch in pieces(batches):
             for s in batch_sets(batch.column("text")):
                 if not len(s):
                     continue
@@ -173,7 +173,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("id", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for name, s in zip(batch.column("set_id"), batch_sets(batch.column("text"))):
                 if set_name(s) == name.as_py():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .kernel import SPACE, U, utf8, windows, words
+from .kernel import SPACE, U, pieces, utf8, windows, words
 
 #: Labelled rows that the trees are grown on, at most.
 SAMPLE = 8_000
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | Non
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_quality", F.col("text").cast("binary").alias("text"))
 
     def features(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = measure(batch.column("text"))[1]
             yield pa.RecordBatch.from_arrays([batch.column("_quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
 
@@ -217,7 +217,7 @@ def statistics(docs: DataFrame, trees: Trees | None) -> DataFrame:
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             counts, x = measure(batch.column("text"))
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
             score = trees.score(x) if trees else np.ones(len(x))
