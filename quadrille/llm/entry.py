@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, ngram_join, quality, suffix_dedup, url_rules, warc
+from . import decontaminate, license_scan, mixing, ngram_join, quality, suffix_dedup, url_rules, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_captures": warc.op2,
         "op3_suffix_dedup": suffix_dedup.op3,
+        "op4_decontaminate": decontaminate.op4,
         "op5_mix_sources": mixing.op5,
         "op6_url_rules": url_rules.op6,
         "op8_quality_rules": quality.op8,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_captures": warc.SQL,
+        "op4_decontaminate": decontaminate.SQL,
         "op5_mix_sources": mixing.SQL,
         "op6_url_rules": url_rules.SQL,
     }
