@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 
-def bucket_count(spark: SparkSession) -> int:
+def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets to deal packed keys into: several per shuffle partition, so that partitions even out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

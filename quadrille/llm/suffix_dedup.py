@@ -40,8 +40,8 @@ LENGTH = 50
 GRAM = 20
 #: Anchors, bytes of text, and bytes of segments packed at a time.
 CHUNK_ANCHORS, CHUNK_TEXT, CHUNK_SEGMENTS = 1_000_000, 8 << 20, 8 << 20
-#: Suffixes in the first level.
-BATCH = 1 << 16
+#: Suffixes in the first level, and parts of the index for each shuffle partition.
+BATCH, PARTS = 1 << 16, 32
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -229,7 +229,7 @@ def ranges_of(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return first[lo // wide], lo % wide, hi - lo // wide * wide
 
 
-def segments(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index: int) -> DataFrame:
     """Segments around shared anchors, by anchor. Equal ones of a chunk travel with their smallest doc only."""
 
     def chunk(parts):
@@ -242,11 +242,11 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         later = doc[order] > least
         hd, hs, he = ranges_of(doc[order][later], start[order][later], (start + size)[order][later])
         go = order[~later]
-        home = bucket_of(key[go] << U(16), buckets).astype(np.int64)
-        held_home = doc_bucket(hd, buckets)
+        home = bucket_of(key[go] << U(16), parts_of_index).astype(np.int64)
+        held_home = doc_bucket(hd, parts_of_index)
         ho = np.argsort(held_home, kind="stable")
-        held = dict(_cuts(held_home[ho], buckets))
-        open_ = dict(_cuts(home, buckets))
+        held = dict(_cuts(held_home[ho], parts_of_index))
+        open_ = dict(_cuts(home, parts_of_index))
         for b in sorted(held.keys() | open_.keys()):
             s, h = go[open_.get(b, slice(0, 0))], ho[held.get(b, slice(0, 0))]
             raw = b"".join(whole[at[i] : at[i + 1]].tobytes() for i in s)
@@ -353,10 +353,11 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def dedup(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     """Per document (doc_id, text): the columns of RESULT; ``kept`` is null unless asked for."""
     buckets = bucket_count(docs.sparkSession)
+    parts = bucket_count(docs.sparkSession, PARTS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts = packed_texts(docs, buckets)
     shared = shared_anchors(packed_anchors(docs, buckets), buckets)
-    ranges = materialised(covered(segments(texts, shared, buckets), buckets))
+    ranges = materialised(covered(segments(texts, shared, buckets, parts), buckets))
 
     def rest(key, left: pa.Table, right: pa.Table) -> pa.Table:
         removed = by_doc(joined(right, "docs", unsqueeze), joined(right, "starts", unsqueeze), joined(right, "ends", unsqueeze))
