@@ -51,8 +51,15 @@ def must_share(n):
     return -(-SIMILAR * n // 100)
 
 
+#: Of a set's n shingles, 1 + n // SPARE more are dealt out than a prefix filter needs, so that as many
+#: must be shared: first by different sets, then by sets of different components.
+SPARE, SPARE_BETWEEN = 16, 4
+#: Pairs of ids, or names of wanted sets, that are broadcast at most (24 bytes each); joined by shuffle beyond.
+BROADCAST_PAIRS = 200_000
+
+
 def spare(n):
-    return 1 + n // 16
+    return 1 + n // SPARE
 
 
 def beginning(n):
@@ -168,9 +175,9 @@ def shared_counts(packed: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, minima, tokens) of the wanted sets (row_key, set_id), each once; tokens ascending."""
-    texts = keyed(docs).select("row_key", "text").join(wanted, "row_key").select("set_id", "text")
-    schema = pa.schema([("id", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    """(id, set_id, n, minima, tokens) of the wanted sets (row_key, set_id); tokens ascending. id is a new number."""
+    texts = keyed(docs).select("row_key", "text").join(small_or_shuffled(wanted, BROADCAST_PAIRS), "row_key").select("set_id", "text")
+    schema = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def rows(batches):
         for batch in pieces(batches):
@@ -182,21 +189,24 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return materialised(texts.mapInArrow(rows, "id binary, n long, minima array<long>, tokens array<long>"))
+    # numbers are fixed once they are written
+    return materialised(texts.mapInArrow(rows, "set_id binary, n long, minima array<long>, tokens array<long>").select(F.monotonically_increasing_id().alias("id"), "*"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) whose sets reach the similarity. The two sides meet by pair, so no set is a hot key."""
+    pairs = small_or_shuffled(materialised(pairs.select("a", "b").distinct()), BROADCAST_PAIRS)
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(pairs, "a")
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(pairs, "b")
+    long_enough = (SIMILAR * F.col("na") <= 100 * F.col("nb")) & (SIMILAR * F.col("nb") <= 100 * F.col("na"))
     both = F.size(F.array_intersect("ta", "tb"))
-    joined = small_or_shuffled(pairs.select("a", "b").distinct()).join(left, "a")
-    return joined.join(right, "b").where((SIMILAR * F.col("na") <= 100 * F.col("nb")) & (SIMILAR * F.col("nb") <= 100 * F.col("na"))).withColumn("both", both).where((100 + SIMILAR) * F.col("both") >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
+    return left.join(right, ["a", "b"]).where(long_enough).where((100 + SIMILAR) * both >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp, n, minima, tokens)."""
-    return sets.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    """The sets with comp, the component that the links give."""
+    comps = small_or_shuffled(components(links), BROADCAST_PAIRS)
+    return sets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
 def leader_pairs(sets: DataFrame, seeds: range) -> DataFrame:
@@ -211,11 +221,12 @@ def remaining_pairs(sets: DataFrame) -> DataFrame:
     """All pairs of sets in different components that could link."""
     n = F.col("n")
     must = F.ceil(SIMILAR * n / 100)
-    spared = lambda c: 1 + F.floor(c / 16)
+    spared = lambda c: 1 + F.floor(c / SPARE_BETWEEN)
     begun = sets.select("id", "comp", "n", F.explode(F.slice("tokens", F.lit(1), F.least(n, n - must + spared(n)).cast("int"))).alias("t"))
     mixed_tokens = begun.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
     open_ids = begun.join(mixed_tokens, "t").groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= spared(must)).select("id")
-    left = materialised(sets.join(small_or_shuffled(open_ids), "id").select("id", "comp", "n", "tokens"))
+    open_ids = small_or_shuffled(materialised(open_ids), BROADCAST_PAIRS)
+    left = materialised(sets.join(open_ids, "id").select("id", "comp", "n", "tokens"))
     every = left.select("id", "comp", "n", F.explode("tokens").alias("t"))
     df = every.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # tokens of one component alone come first: they are in the order, but no list is made of them
@@ -238,13 +249,12 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = shared_counts(packed_beginnings(docs, bucket_count(spark)))
     owner = F.conv(F.substring(F.hex("set_id"), 1, 12), 16, 10).cast("long")
     must = F.ceil(SIMILAR * F.col("n") / 100)
-    wanted = distinct.join(shared, owner == F.col("owner")).where(F.col("shared") >= 1 + F.floor(must / 16)).select("row_key", "set_id")
+    wanted = materialised(distinct.join(shared, owner == F.col("owner")).where(F.col("shared") >= 1 + F.floor(must / SPARE)).select("row_key", "set_id"))
     sets = candidate_sets(docs, wanted)
-    alone = sets.withColumn("comp", F.col("id"))
-    links = materialised(verified(leader_pairs(alone, range(1)), sets))
+    links = materialised(verified(leader_pairs(sets.withColumn("comp", F.col("id")), range(1)), sets))
     links = materialised(links.union(verified(leader_pairs(labelled(sets, links), range(1, len(SEEDS))), sets)))
     links = materialised(links.union(verified(remaining_pairs(labelled(sets, links)), sets)))
-    comps = components(links).withColumnRenamed("id", "set_id")
+    comps = labelled(sets, links).select("set_id", "comp").distinct()
     named = distinct.select("set_id", "doc_id").join(comps, "set_id")
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(names, "comp").select("set_id", "component_id")
