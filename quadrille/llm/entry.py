@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, ngram_join, quality, suffix_dedup, url_rules, warc
+from . import decontaminate, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, url_rules, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1,
         "op2_warc_captures": warc.op2,
         "op3_suffix_dedup": suffix_dedup.op3,
         "op4_decontaminate": decontaminate.op4,
