@@ -28,6 +28,8 @@ from .common import documents, materialised, small_or_shuffled
 SHINGLE = 5
 SIMILAR = 0.75
 RADIUS = 24
+#: Shingles of a text that are looked up from one row.
+STEP = 64
 FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
 
 
@@ -76,11 +78,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
         own = items.where(F.col("k") == k).withColumn("item", shingle_list("w", k)).withColumn("item_print", simhash(F.col("item")))
         seeds = own.select("item_id", "item", "item_print", F.size("w").alias("item_words"), F.explode_outer(F.array_distinct("item")).alias("shingle"))
         text = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), word_list(F.col("text")).alias("w")).withColumn("s", shingle_list("w", k)).select("doc_id", "text_hash", "s", F.size("s").alias("n"))
+        # a row of the explosion carries the part of the list that its windows lie in, not the list
+        longest = own.agg(F.max(F.size("item"))).first()[0]
+        step = max(STEP, longest)
+        base = lambda b: b * step
+        first = lambda b: F.greatest(base(b) - longest, F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {step}").cast("int")), lambda b: F.struct(base(b).alias("base"), first(b).alias("first"), F.slice("s", first(b) + 1, F.lit(step + 2 * longest)).alias("s")))
         # outer, as Spark would else test the list's size below, and compute the words for each element there
-        every = text.select("doc_id", "text_hash", "s", "n", F.posexplode_outer("s").alias("at", "shingle"))
+        part_rows = text.select("doc_id", "text_hash", "n", F.explode_outer(F.when(F.col("n") > 0, parts)).alias("x")).select("doc_id", "text_hash", "n", "x.base", "x.first", "x.s")
+        every = part_rows.select("*", F.posexplode_outer(F.slice("s", F.col("base") - F.col("first") + 1, step)).alias("pos", "shingle"))
         hits = every.join(small_or_shuffled(seeds), "shingle")
-        start = F.least(F.col("at"), F.greatest(F.col("n") - F.size("item"), F.lit(0)))
-        windows = hits.select("doc_id", "text_hash", "item_id", "item", "item_print", start.alias("start"), F.slice("s", start + 1, F.size("item")).alias("window"))
+        start = F.least(F.col("base") + F.col("pos"), F.greatest(F.col("n") - F.size("item"), F.lit(0)))
+        windows = hits.select("doc_id", "text_hash", "item_id", "item", "item_print", start.alias("start"), F.slice("s", start - F.col("first") + 1, F.size("item")).alias("window"))
         near = windows.where(let(F.col("window"), lambda w: let(simhash(w).bitwiseXOR(F.col("item_print")), lambda d: (F.bit_count(d) <= radius) & blocks_meet(d, radius))))
         share = let(F.col("window"), lambda w: let(bag_overlap(w, F.col("item")), lambda o: o / (F.size(w) + F.size("item") - o)))
         alike = near.withColumn("similarity", share).where(F.col("similarity") >= similar)
