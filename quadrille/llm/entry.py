@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, url_rules, warc
+from . import decontaminate, html_text, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, url_rules, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.op4,
         "op5_mix_sources": mixing.op5,
         "op6_url_rules": url_rules.op6,
+        "op7_html_text": html_text.op7,
         "op8_quality_rules": quality.op8,
         "op9_ngram_join": ngram_join.op9,
         "op10_license_scan": license_scan.op10,
