@@ -81,19 +81,20 @@ def batch_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, text): row_key finds the row again, also one without a doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") / 2).cast("long")).alias("row_key"), F.col("text").cast("binary").alias("text"))
+    """(doc_id, row_key, text_hash, text): row_key finds the row again, also one without a doc_id."""
+    text_hash = F.xxhash64("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text_hash, 1) * -1).alias("row_key"), text_hash.alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n, set_id) of each row."""
+    """(doc_id, row_key, text_hash, n, set_id) of each row."""
 
     def rows(batches):
         for batch in pieces(batches):
             sets = batch_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.binary())], ["doc_id", "row_key", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_key", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.binary())], ["doc_id", "row_key", "text_hash", "n", "set_id"])
 
-    return keyed(docs).mapInArrow(rows, "doc_id long, row_key long, n long, set_id binary")
+    return keyed(docs).mapInArrow(rows, "doc_id long, row_key long, text_hash long, n long, set_id binary")
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -242,7 +243,7 @@ def remaining_pairs(sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id) for each row of documents."""
+    """(doc_id, row_key, text_hash, n_shingles, component_id) for each row of documents."""
     spark = docs.sparkSession
     sketch = materialised(sketches(docs))
     distinct = sketch.where("n > 0").groupBy("set_id", "n").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
@@ -260,7 +261,24 @@ def groups(docs: DataFrame) -> DataFrame:
     by_set = named.join(names, "comp").select("set_id", "component_id")
     own = distinct.select("set_id", F.col("doc_id").alias("first_id"))
     by_set = own.join(by_set, "set_id", "left").select("set_id", F.coalesce("component_id", "first_id").alias("component_id"))
-    return sketch.join(by_set, "set_id", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return sketch.join(by_set, "set_id", "left").select("doc_id", "row_key", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group, that of the smallest id (of equal ids that of the smallest text hash), and all without words."""
+    found = materialised(groups(docs).where("n_shingles > 0"))
+    first = found.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("_comp")).agg(F.min("text_hash").alias("_first"))
+    judged = found.join(first, F.col("component_id").eqNullSafe(F.col("_comp")), "left")
+    key = [F.col("row_key").alias("_key"), F.col("text_hash").alias("_hash")]
+    losers = materialised(judged.where("not (doc_id <=> component_id) or text_hash > _first").select(*key).distinct())
+    same = lambda d: (F.coalesce(d["doc_id"].cast("long"), F.shiftrightunsigned(F.xxhash64(d["text"]), 1) * -1) == F.col("_key")) & (F.xxhash64(d["text"]) == F.col("_hash"))
+    kept = docs.join(small_or_shuffled(losers, BROADCAST_PAIRS), same(docs), "left_anti")
+    again = materialised(found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_hash"))
+    if not again.limit(1).count():
+        return kept
+    again = small_or_shuffled(again, BROADCAST_PAIRS)
+    once = kept.join(again, same(kept), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(kept), "left_anti").unionByName(once)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
