@@ -41,7 +41,7 @@ GRAM = 20
 #: Anchors, bytes of text, and bytes of segments packed at a time.
 CHUNK_ANCHORS, CHUNK_TEXT, CHUNK_SEGMENTS = 1_000_000, 8 << 20, 8 << 20
 #: Suffixes in the first level, and parts of the index for each shuffle partition.
-BATCH, PARTS = 1 << 16, 32
+BATCH, PARTS = 1 << 16, 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -319,25 +319,28 @@ def covered(parts: DataFrame, buckets: int) -> DataFrame:
 
     def bucket(table: pa.Table) -> pa.Table:
         found = [(joined(table, "held_docs", unsqueeze), joined(table, "held_starts", unsqueeze), joined(table, "held_ends", unsqueeze))]
-        suffix, doc, start = [], [], []
-        starts = iter(table.column("starts"))
-        for raw, at, docs in unpacked(table):
-            begin = unsqueeze(next(starts).as_py())
-            size = np.diff(at)
-            count = size - LENGTH + 1
-            h = grams(raw, LENGTH)
-            offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            suffix.append(h[np.repeat(at[:-1], count) + offset])
-            doc.append(np.repeat(docs, count))
-            start.append(np.repeat(begin, count) + offset)
-        if sum(map(len, suffix)):
-            suffix, doc, start = np.concatenate(suffix), np.concatenate(doc), np.concatenate(start)
+        begins = iter(table.column("starts"))
+        texts = [(raw, at, docs, unsqueeze(next(begins).as_py())) for raw, at, docs in unpacked(table)]
+        if texts:
+            whole = np.concatenate([x[0] for x in texts])
+            size = np.concatenate([np.diff(x[1]) for x in texts])
+            doc, begin = (np.concatenate([x[k] for x in texts]) for k in (2, 3))
+            del texts
+            at = np.concatenate([[0], np.cumsum(size)])
             order = np.argsort(doc, kind="stable")
-            index = Levels()
-            for i in range(0, len(order), BATCH):
-                own = order[i : i + BATCH]
-                hit = own[index.add(suffix[own], doc[own])]
-                found.append((doc[hit], start[hit], start[hit] + LENGTH))
+            far = np.cumsum(size[order] - LENGTH + 1)
+            index, done = Levels(), 0
+            while done < len(order):  # a batch of segments at a time, so that only the levels grow
+                upto = max(done + 1, int(np.searchsorted(far, (far[done - 1] if done else 0) + BATCH, "right")))
+                own = order[done:upto]
+                done = upto
+                raw = np.concatenate([whole[at[i] : at[i + 1]] for i in own])
+                count = size[own] - LENGTH + 1
+                offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own], count) + offset]
+                hit = index.add(h, np.repeat(doc[own], count))
+                start = (np.repeat(begin[own], count) + offset)[hit]
+                found.append(ranges_of(np.repeat(doc[own], count)[hit], start, start + LENGTH))
         docs, lo, hi = ranges_of(*(np.concatenate(x) for x in zip(*found)))
         home = doc_bucket(docs, buckets)
         order = np.argsort(home, kind="stable")
@@ -357,7 +360,9 @@ def dedup(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts = packed_texts(docs, buckets)
     shared = shared_anchors(packed_anchors(docs, buckets), buckets)
-    ranges = materialised(covered(segments(texts, shared, buckets, parts), buckets))
+    # ranges go home to one bucket a partition: parts of the index times buckets bounds their rows
+    homes = bucket_count(docs.sparkSession, 1)
+    ranges = materialised(covered(segments(texts, shared, buckets, parts), homes))
 
     def rest(key, left: pa.Table, right: pa.Table) -> pa.Table:
         removed = by_doc(joined(right, "docs", unsqueeze), joined(right, "starts", unsqueeze), joined(right, "ends", unsqueeze))
@@ -373,7 +378,7 @@ def dedup(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
                 out.append((None if d == NO_ID else int(d), len(own), len(own) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None, lo, hi))
         return pa.Table.from_batches([_batch(out, RESULT)] if out else [], RESULT)
 
-    return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_starts array<long>, span_ends array<long>")
+    return packed_texts(docs, homes).groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_starts array<long>, span_ends array<long>")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
