@@ -2,10 +2,434 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import mercator as M
+from .operators import raster, vector
+from .plans import tileset, views
+from .plans.options import CogOptions, MvtOptions, PyramidOptions
+from .sinks import cog
+from .streaming.tiles import binned
+
+OS = repr(M.ORIGIN_SHIFT_M)
+R = repr(M.EARTH_RADIUS_M)
+MAXLAT = repr(M.MAX_LATITUDE_DEG)
+AREA_ZOOM, SAMPLE_ZOOM = 8, 15
+
+
+def mx(lon: str) -> str:
+    return f"(radians({lon}) * {R})"
+
+
+def my(lat: str) -> str:
+    return f"(ln(tan(pi() / 4 + radians(least(greatest({lat}, -{MAXLAT}), {MAXLAT})) / 2)) * {R})"
+
+
+def lon(m: str) -> str:
+    return f"degrees({m} / {R})"
+
+
+def lat(m: str) -> str:
+    return f"degrees(2 * atan(exp({m} / {R})) - pi() / 2)"
+
+
+def span(z: str) -> str:
+    return f"(2 * {OS} / pow(2.0::double, {z}))"
+
+
+def clamped(v: str, z: str) -> str:
+    return f"least(greatest({v}::bigint, 0), (pow(2, {z}) - 1)::bigint)"
+
+
+def range_sql(z: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    """Columns x_min, x_max, y_min, y_max of a box in metres."""
+    left, top = clamped(f"floor(({x0} + {OS}) / {span(z)})", z), clamped(f"floor(({OS} - {y1}) / {span(z)})", z)
+    right, bottom = clamped(f"floor(({x1} - {span(z)} * 1e-9::double + {OS}) / {span(z)})", z), clamped(f"floor(({OS} - ({y0} + {span(z)} * 1e-9::double)) / {span(z)})", z)
+    return f"{left} x_min, greatest({right}, {left}) x_max, {top} y_min, greatest({bottom}, {top}) y_max"
+
+
+ZOOMS = "(select unnest(generate_series({}, {}))::int z)"
+BOX_M = f"""b as ({views.BOXES}), m as (select k, {mx('lon')} x0, {my('lat')} y0, {mx('(lon + w)')} x1, {my('(lat + w)')} y1 from b)"""
+PT_M = f"p as ({views.PTS}), m as (select k, {mx('lon')} mx, {my('lat')} my from p)"
+GRID_ROWS = f"(select max(r) + 1 from ({views.GRID}))"
+GRID_META = f"g as ({views.GRID}), meta as (select {GRID_ROWS} n)"
+OX, OY, CELL = views.ORIGIN_X, views.ORIGIN_Y, views.CELL
+
+
+def _pts(spark, d):
+    return views.view(spark, d, views.PTS, "customer")
+
+
+def _boxes_m(spark, d) -> DataFrame:
+    b = views.view(spark, d, views.BOXES, "supplier")
+    return b.select("k", M.mercator_x("lon").alias("min_x"), M.mercator_y("lat").alias("min_y"), M.mercator_x(F.col("lon") + F.col("w")).alias("max_x"), M.mercator_y(F.col("lat") + F.col("w")).alias("max_y"))
+
+
+def tile_point_counts(spark: SparkSession, d: str) -> DataFrame:
+    return binned(_pts(spark, d), 0, 6).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+TILE_POINT_COUNTS = f"with {PT_M} select z, {clamped(f'floor((mx + {OS}) / {span('z')})', 'z')} x, {clamped(f'floor(({OS} - my) / {span('z')})', 'z')} y, count(*) n from m, {ZOOMS.format(0, 6)} group by all"
+
+
+def mercator_forward(spark, d):
+    return _pts(spark, d).select("k", F.round(M.mercator_x("lon"), 3).alias("mx"), F.round(M.mercator_y("lat"), 3).alias("my"))
+
+
+def mercator_inverse(spark, d):
+    return _pts(spark, d).select("k", F.round(M.longitude(M.mercator_x("lon")), 8).alias("lon"), F.round(M.latitude(M.mercator_y("lat")), 8).alias("lat"))
+
+
+def _all_tiles(spark, top: int) -> DataFrame:
+    z = spark.range(top + 1).select(F.col("id").cast("int").alias("z"))
+    side = F.sequence(F.lit(0).cast("long"), M.tiles_per_axis("z") - 1)
+    return z.withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
+
+
+def tile_bounds(spark, d):
+    x0, y0, x1, y1 = M.tile_bounds_m("z", "x", "y")
+    return _all_tiles(spark, 4).select("z", "x", "y", *[F.round(v, 3).alias(n) for v, n in ((x0, "min_x"), (y0, "min_y"), (x1, "max_x"), (y1, "max_y"))], F.round(M.longitude(x0), 8).alias("west"), F.round(M.latitude(y0), 8).alias("south"))
+
+
+ALL_TILES = "(select z, unnest(generate_series(0, (pow(2, z) - 1)::bigint)) x from " + ZOOMS + ") t, lateral (select unnest(generate_series(0, (pow(2, z) - 1)::bigint)) y) u"
+TILE_BOUNDS = f"""with t as (select z, x, y, x * {span('z')} - {OS} x0, {OS} - y * {span('z')} y1, {span('z')} s from {ALL_TILES.format(0, 4)})
+select z, x, y, round(x0, 3) min_x, round(y1 - s, 3) min_y, round(x0 + s, 3) max_x, round(y1, 3) max_y, round({lon('x0')}, 8) west, round({lat('(y1 - s)')}, 8) south from t"""
+
+
+def tile_tms_row(spark, d):
+    return _all_tiles(spark, 5).select("z", "x", "y", M.tms_row("z", "y").alias("tms"))
+
+
+def tile_range_cover(spark, d):
+    b = _boxes_m(spark, d).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    x0, x1, y0, y1 = M.tile_range("z", "min_x", "min_y", "max_x", "max_y")
+    r = b.select("k", "z", x0.alias("x_min"), x1.alias("x_max"), y0.alias("y_min"), y1.alias("y_max"))
+    tiles = r.withColumn("x", F.explode(F.sequence("x_min", "x_max"))).withColumn("y", F.explode(F.sequence("y_min", "y_max")))
+    return tiles.groupBy("k", "z", "x_min", "x_max", "y_min", "y_max").agg(F.count(F.lit(1)).alias("tiles"))
+
+
+TILE_RANGE_COVER = f"with {BOX_M}, r as (select k, z, {range_sql('z', 'x0', 'y0', 'x1', 'y1')} from m, {ZOOMS.format(0, 8)}) select *, (x_max - x_min + 1) * (y_max - y_min + 1) tiles from r"
+
+
+def zoom_for_resolution(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", M.zoom_for_resolution("p_retailprice").cast("int").alias("zoom"))
+
+
+ZOOM_FOR_RESOLUTION = f"""select p_partkey, coalesce((select min(z) from {ZOOMS.format(0, 30)} where 2 * {OS} / (256 * pow(2.0::double, z)) <= p_retailprice), 30)::int zoom from part"""
+
+
+def native_zoom_and_bounds(spark, d):
+    meta, _ = views.grid(spark, d)
+    w, s, e, n = raster.bounds_m(meta)
+    row = (raster.native_zoom(meta), round(raster.native_resolution(meta), 6), round(w, 3), round(s, 3), round(e, 3), round(n, 3))
+    return spark.createDataFrame([row], "zoom int, resolution double, min_x double, min_y double, max_x double, max_y double")
+
+
+NATIVE = f"""with {GRID_META}, q as (select n, {CELL}::double * {OS} / 180 res from meta)
+select (select min(z) from {ZOOMS.format(0, 30)} where 2 * {OS} / (256 * pow(2.0::double, z)) <= res)::int zoom, round(res, 6) resolution, round({mx(f'({OX})::double')}, 3) min_x,
+ round({my(f'({OY}::double - n * {CELL}::double)')}, 3) min_y, round({mx(f'({OX}::double + {views.COLS} * {CELL}::double)')}, 3) max_x, round({my(f'({OY})::double')}, 3) max_y from q"""
+
+
+def crs_detect_vector(spark, d):
+    degrees = views.point_features(spark, d)
+    return vector.detect_crs(degrees.withColumn("layer", F.lit("degrees")).unionByName(vector.to_metres(degrees, "4326").withColumn("layer", F.lit("metres"))))
+
+
+CRS_DETECT = f"""with {PT_M}, e as (select 'degrees' layer, max(abs(lon)) ax, max(abs(lat)) ay from p union all select 'metres', max(abs(mx)), max(abs(my)) from m)
+select layer, case when ax <= 180.5 and ay <= 90.5 then '4326' when ax <= {OS} * 1.001 and ay <= {OS} * 1.001 then '3857' end crs from e"""
+
+
+def _sample_points(spark, d, meta) -> DataFrame:
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("k"), (meta.origin_x + ((k * 7919) % 13000) / F.lit(100.0) * meta.px_w).alias("x"), (meta.origin_y - ((k * 104729) % (meta.rows * 101)) / F.lit(100.0) * meta.px_h).alias("y"))
+
+
+SAMPLED = f"""{GRID_META}, s as (select c_custkey k, {OX}::double + ((c_custkey * 7919) % 13000) / 100::double * {CELL}::double x, {OY}::double - ((c_custkey * 104729) % (n * 101)) / 100::double * {CELL}::double y from customer, meta),
+q as (select k, (x - ({OX}::double)) / {CELL}::double u, ({OY}::double - y) / {CELL}::double v from s)"""
+
+
+def sample_nearest(spark, d):
+    meta, cells = views.grid(spark, d)
+    return raster.sample_points(cells, _sample_points(spark, d, meta), meta, "nearest").select("k", F.round("value", 4).alias("value"))
+
+
+SAMPLE_NEAREST = f"with {SAMPLED} select k, round(g.v, 4) as value from q join g on g.c = floor(u)::bigint and g.r = floor(q.v)::bigint where g.v is not null"
+
+
+def sample_bilinear(spark, d):
+    meta, cells = views.grid(spark, d)
+    return raster.sample_points(cells, _sample_points(spark, d, meta), meta).select("k", F.round("value", 5).alias("value"))
+
+
+SAMPLE_BILINEAR = f"""with {SAMPLED}, f as (select k, floor(u - 0.5)::bigint c, floor(v - 0.5)::bigint r, u - 0.5 - floor(u - 0.5) fu, v - 0.5 - floor(v - 0.5) fv from q),
+h as (select k, case when g.r = f.r then 1 - fv else fv end * case when g.c = f.c then 1 - fu else fu end w, g.v from f join g on g.r in (f.r, f.r + 1) and g.c in (f.c, f.c + 1) where g.v is not null)
+select k, round(sum(w * v) / sum(w), 5) as value from h where w > 0 group by k having sum(w) >= 0.5"""
+
+
+def area_average(spark, d):
+    meta, cells = views.grid(spark, d)
+    return raster.area_average(cells, meta, AREA_ZOOM).select("gx", "gy", F.round("value", 6).alias("value"))
+
+
+def _axis(lo: str, hi: str, z: int) -> str:
+    return f"(select unnest(generate_series(({lo}) * 256, (({hi}) + 1) * 256 - 1)) g)"
+
+
+#: Brute force: every pixel of the grid's tiles against every cell, by centres.
+AREA_AVERAGE = f"""with {GRID_META}, mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta),
+t as (select {range_sql(str(AREA_ZOOM), 'x0', 'y0', 'x1', 'y1')} from mb),
+res as (select 2 * {OS} / (256 * pow(2.0::double, {AREA_ZOOM})) res, {span(str(AREA_ZOOM))} sp),
+gx as (select unnest(generate_series(x_min * 256, (x_max + 1) * 256 - 1)) g from t), gy as (select unnest(generate_series(y_min * 256, (y_max + 1) * 256 - 1)) g from t),
+px as (select g, (floor(g / 256.0) * sp - {OS}) + ((g % 256)::double + 0.5) * res c, res from gx, res), py as (select g, ({OS} - floor(g / 256.0) * sp) - ((g % 256)::double + 0.5) * res c, res from gy, res),
+ax as (select g, ({lon('(c - res / 2)')} - ({OX}::double)) / {CELL}::double a, ({lon('(c + res / 2)')} - ({OX}::double)) / {CELL}::double b from px),
+ay as (select g, ({OY}::double - {lat('(c - res / 2)')}) / {CELL}::double a, ({OY}::double - {lat('(c + res / 2)')}) / {CELL}::double b from py)
+select ax.g gx, ay.g gy, round(avg(v), 6) as value from g join ax on g.c + 0.5 between least(ax.a, ax.b) and greatest(ax.a, ax.b) join ay on g.r + 0.5 between least(ay.a, ay.b) and greatest(ay.a, ay.b)
+where v is not null group by all"""
+
+
+def tile_stats(spark, d):
+    meta, cells = views.grid(spark, d)
+    options = PyramidOptions(0, 9)
+    pixels = tileset.pixels(cells, meta, options)
+    tiles = pixels.select("z", F.floor(F.col("gx") / 256).alias("x"), F.floor(F.col("gy") / 256).alias("y")).distinct()
+    return tileset.stats(tiles, meta, options)
+
+
+def overview_half(spark, d):
+    _, cells = views.grid(spark, d)
+    return raster.half(cells).select("row", "col", F.round("value", 6).alias("value"))
+
+
+OVERVIEW_HALF = f"with g as ({views.GRID}) select floor(r / 2)::bigint as row, floor(c / 2)::bigint as col, round(avg(v), 6) as value from g group by all"
+
+
+def overview_chain(spark, d):
+    emb = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "v")).select(F.lit(1).alias("band"), "row", F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("value"))
+    rows = emb.agg(F.max("row")).first()[0] + 1
+    levels = raster.overviews(emb, rows, 64, 64)
+    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 5).alias("total"))
+
+
+def _overview_sql() -> str:
+    """As many halvings as the largest test table needs; levels beyond a single tile of 64 are left out."""
+    ctes = ["l0 as (select vec_id r, (i - 1)::bigint c, embedding[i]::double v from embeddings, generate_series(1, 64) g(i))"]
+    ctes += [f"l{k} as (select floor(r / 2)::bigint r, floor(c / 2)::bigint c, avg(v) v from l{k - 1} group by all)" for k in range(1, 9)]
+    parts = [f"select {k} as level, count(*) cells, round(sum(v), 5) total from l{k} having {k} = 0 or (select max(r) + 1 from l{max(k - 1, 0)}) > 64 or (select max(c) + 1 from l{max(k - 1, 0)}) > 64" for k in range(9)]
+    return "with " + ", ".join(ctes) + " " + " union all ".join(parts)
+
+
+def rgb_stretch(spark, d):
+    _, cells = views.rgb(spark, d)
+    return raster.rgba(cells, ["row", "col"], 4, 10.0, 240.0)
+
+
+def _byte(b: str) -> str:
+    return f"floor(least(greatest(({b}::double - 10) * {1 / 230!r}::double * 255.0::double, 0.0), 255.0))::int"
+
+
+RGB_STRETCH = f"""with q as ({views.RGB}) select r as row, c as col, coalesce({_byte('b1')}, 0) r, case when b2 is null then 0 else {_byte('b2')} end g, {_byte('b3')} b,
+case when b1 is null or b2 is null or b3 is null then 0 else {_byte('b4')} end a from q"""
+
+
+def auto_stretch(spark, d):
+    return raster.auto_stretch(views.grid(spark, d)[1])
+
+
+def feature_tile_join(spark, d):
+    return vector.tiles_of(_boxes_m(spark, d), 0, 6).select("k", "z", "x", "y")
+
+
+FEATURE_TILE_JOIN = f"""with {BOX_M}, ds as (select min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from m), lim as (select z, {range_sql('z', 'x0', 'y0', 'x1', 'y1')} from ds, {ZOOMS.format(0, 6)}),
+t as (select z, x, unnest(generate_series(y_min, y_max)) y from (select *, unnest(generate_series(x_min, x_max)) x from lim)),
+r as (select z, x, y, x * {span('z')} - {OS} tx, {OS} - y * {span('z')} ty, {span('z')} s, {span('z')} * (64 / 4096::double) pad from t)
+select k, z, x, y from m join r on m.x0 <= tx + s + pad and m.x1 >= tx - pad and m.y0 <= ty + pad and m.y1 >= ty - s - pad"""
+
+
+def dataset_bounds(spark, d):
+    f = vector.with_bbox(vector.to_metres(views.box_features(spark, d).unionByName(views.track_features(spark, d)), "4326"))
+    return vector.dataset_bounds(f).select(*[F.round(c, 3).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+DATASET_BOUNDS = f"""with b as ({views.BOXES}), t as ({views.TRACKS}), a as (select lon, lat from b union all select lon + w, lat + w from b union all select lon, lat from t)
+select round(min({mx('lon')}), 3) min_x, round(min({my('lat')}), 3) min_y, round(max({mx('lon')}), 3) max_x, round(max({my('lat')}), 3) max_y from a"""
+
+
+def mvt_quantize_points(spark, d):
+    q = binned(_pts(spark, d), 0, 5).withColumn("q", vector.quantised(F.struct(F.col("mx").alias("x"), F.col("my").alias("y")), F.col("z"), F.col("x"), F.col("y")))
+    return q.select("k", "z", "x", "y", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
+
+
+MVT_QUANTIZE_POINTS = f"""with {PT_M}, t as (select k, mx, my, z, {span('z')} s, {clamped(f'floor((mx + {OS}) / {span('z')})', 'z')} x, {clamped(f'floor(({OS} - my) / {span('z')})', 'z')} y from m, {ZOOMS.format(0, 5)})
+select k, z, x, y, round((mx - (x * s - {OS})) * (4096::double / s))::bigint qx, round(({OS} - y * s - my) * (4096::double / s))::bigint qy from t"""
+
+
+def mvt_quantize_lines(spark, d):
+    """Tracks in the world tile and the two zooms below its corner, without clipping."""
+    f = vector.to_metres(views.track_features(spark, d), "4326").select(F.col("feature_ord").alias("k"), "kind", "parts").withColumn("z", F.explode(F.array(F.lit(0), F.lit(6), F.lit(12))))
+    line = vector.tile_geometry(f.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")}))
+    return line.select("k", "z", F.posexplode(F.get("geom", F.lit(0))).alias("i", "p")).select("k", "z", F.col("i").cast("long").alias("i"), F.col("p.x").alias("qx"), F.col("p.y").alias("qy"))
+
+
+MVT_QUANTIZE_LINES = f"""with t as ({views.TRACKS}), q as (select k, ord, z, round(({mx('lon')} + {OS}) * (4096::double / {span('z')}))::bigint qx, round(({OS} - {my('lat')}) * (4096::double / {span('z')}))::bigint qy from t, (select unnest([0, 6, 12]) z)),
+c as (select *, lag(qx) over w px, lag(qy) over w py from q window w as (partition by k, z order by ord)),
+e as (select k, z, ord, qx, qy, count(*) over (partition by k, z) n from c where px is null or px <> qx or py <> qy)
+select k, z, row_number() over (partition by k, z order by ord) - 1 i, qx, qy from e where n >= 2"""
+
+
+def _box_rings(spark, d):
+    f = vector.to_metres(views.box_features(spark, d), "4326").select(F.col("feature_ord").alias("k"), "parts").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(12))))
+    ring = F.transform(F.get(F.get("parts", F.lit(0)), F.lit(0)), lambda p: vector.quantised(p, F.col("z"), F.lit(0), F.lit(0)))
+    return f.select("k", "z", ring.alias("q")).withColumn("ring", vector.wound_ring(F.col("q"), True))
+
+
+def mvt_ring_winding(spark, d):
+    return _box_rings(spark, d).where("ring is not null").select("k", "z", F.size("ring").cast("long").alias("points"), vector.doubled_area(F.col("ring")).alias("doubled_area"))
+
+
+_QBOX = f"""{BOX_M}, q as (select k, z, round((x0 + {OS}) * s)::bigint a, round(({OS} - y0) * s)::bigint b, round((x1 + {OS}) * s)::bigint c, round(({OS} - y1) * s)::bigint d from m, (select z, 4096::double / {span('z')} s from {ZOOMS.format(0, 12)}))"""
+MVT_RING_WINDING = f"with {_QBOX} select k, z, 4::bigint points, 2 * (c - a) * (b - d) doubled_area from q where (c - a) * (b - d) <> 0"
+
+
+def degenerate_by_zoom(spark, d):
+    return _box_rings(spark, d).groupBy("z").agg(F.count(F.when(F.col("ring").isNull(), 1)).alias("dropped"))
+
+
+DEGENERATE = f"with {_QBOX} select z, count(*) filter (where (c - a) * (b - d) = 0) dropped from q group by z"
+
+
+def layer_fields(spark, d):
+    return vector.layer_fields(views.view(spark, d, views.PROPS, "events"))
+
+
+LAYER_FIELDS = f"with p as ({views.PROPS}) select layer, k as key, arg_min(t, ord) as type from p where t is not null group by all"
+
+
+def feature_ids(spark, d):
+    e = F.col("event_id")
+    text = F.when(e % 5 == 0, F.concat(F.lit("+"), e.cast("string"))).when(e % 5 == 1, F.concat(F.lit("-"), e.cast("string"))).when(e % 5 == 2, F.concat(e.cast("string"), F.lit(".0"))).when(e % 5 == 3, F.lit("18446744073709551616")).otherwise(e.cast("string"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", vector.feature_id(text).cast("long").alias("id"))
+
+
+FEATURE_IDS = r"""with t as (select event_id, case event_id % 5 when 0 then '+' || event_id when 1 then '-' || event_id when 2 then event_id || '.0' when 3 then '18446744073709551616' else event_id::varchar end s from events)
+select event_id, case when regexp_matches(s, '^\+?[0-9]+$') and try_cast(ltrim(s, '+') as ubigint) is not null then try_cast(ltrim(s, '+') as bigint) end id from t"""
+
+
+def cog_layout(spark, d):
+    meta, _ = views.grid(spark, d)
+    rows = [(k, r, c, -(-r // 16) * -(-c // 16)) for k, (r, c) in enumerate(cog.levels_of(meta, 16))]
+    return spark.createDataFrame(rows, "level int, rows long, cols long, blocks long")
+
+
+COG_LAYOUT = f"""with recursive {GRID_META}, l(level, rows, cols) as (select 0, n, {views.COLS}::bigint from meta union all select level + 1, (rows + 1) // 2, (cols + 1) // 2 from l where greatest(rows, cols) > 16)
+select level, rows, cols, ((rows + 15) // 16) * ((cols + 15) // 16) blocks from l"""
+
+
+def mbtiles_metadata(spark, d):
+    return spark.createDataFrame(tileset.metadata_rows("demo", "png", (-72.0, -34.0, -70.0, -32.5), 2, 9), "name string, value string")
+
+
+MBTILES_METADATA = """select * from (values ('name', 'demo'), ('format', 'png'), ('bounds', '-72,-34,-70,-32.5'), ('center', '-71,-33.25,2'), ('minzoom', '2'), ('maxzoom', '9'),
+('type', 'overlay'), ('version', '1'), ('description', 'demo')) t(name, value)"""
+
+
+def tile_lookup(spark, d):
+    from .sources.readers import lookup
+
+    return lookup(tile_point_counts(spark, d), 2, 1, 1).select("z", "x", "y", "n")
+
+
+def tile_windows(spark, d):
+    """Points of events per hour and tile, as the streaming form computes them."""
+    from .streaming.tiles import windowed_counts
+
+    e = F.col("event_id")
+    points = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (((e * 7919) % 20000) / F.lit(10000.0) - 72).alias("lon"), (((e * 104729) % 20000) / F.lit(10000.0) - 34).alias("lat"))
+    return windowed_counts(points, 8, 8, "1 hour", "2 hours").groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("hours"), F.sum("n").alias("n"))
+
+
+TILE_WINDOWS = f"""with t as (select ts, event_id, ((event_id*7919)%20000)/10000::double-72 lon, ((event_id*104729)%20000)/10000::double-34 lat from events),
+q as (select date_trunc('hour', ts) h, 8 z, floor(({mx('lon')} + {OS}) / {span('8')})::bigint x, floor(({OS} - {my('lat')}) / {span('8')})::bigint y from t)
+select z, x, y, count(distinct h) hours, count(*)::bigint n from q group by all"""
+
+
+def _features(spark, d) -> DataFrame:
+    return vector.to_metres(views.point_features(spark, d).unionByName(views.box_features(spark, d)).unionByName(views.track_features(spark, d)), "4326")
+
+
+def png_tiles(spark, d):
+    meta, cells = views.grid(spark, d)
+    return tileset.raster_tileset(cells, meta, PyramidOptions(0, 10)).select("z", "x", "y", F.octet_length("data").alias("bytes"))
+
+
+def webp_tiles(spark, d):
+    meta, cells = views.rgb(spark, d)
+    return tileset.raster_tileset(cells, meta, PyramidOptions(8, 9, format="webp")).select("z", "x", "y", F.octet_length("data").alias("bytes"))
+
+
+def mvt_tiles(spark, d):
+    return tileset.vector_tileset(_features(spark, d), MvtOptions(0, 6)).select("z", "x", "y", F.octet_length("data").alias("bytes"))
+
+
+def _clipped(spark, d, kind: str, options: MvtOptions):
+    rows = tileset.feature_tiles(_features(spark, d).where(F.col("kind") == kind), options)
+    return rows.select("layer", "feature_ord", "z", "x", "y", F.size("geom").alias("parts"), F.size(F.flatten("geom")).alias("points"))
+
+
+def mvt_clipped_lines(spark, d):
+    return _clipped(spark, d, "LineString", MvtOptions(6, 8))
+
+
+def mvt_clipped_polygons(spark, d):
+    return _clipped(spark, d, "Polygon", MvtOptions(0, 5))
+
+
+def cog_blocks(spark, d):
+    meta, cells = views.grid(spark, d)
+    return cog.blocks(cells, meta, CogOptions(64)).select("level", "block_row", "block_col", F.octet_length("data").alias("bytes"))
+
+
+def vector_catalogue(spark, d):
+    text = tileset.vector_layers_json(_features(spark, d), MvtOptions())
+    return spark.createDataFrame([(text,)], "json string")
+
 
 def queries() -> dict:
-    return {}
+    names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
+             sample_nearest, sample_bilinear, area_average, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
+             mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
+             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue)
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "tile_point_counts": TILE_POINT_COUNTS,
+        "mercator_forward": f"with {PT_M} select k, round(mx, 3) mx, round(my, 3) my from m",
+        "mercator_inverse": f"with {PT_M} select k, round({lon('mx')}, 8) lon, round({lat('my')}, 8) lat from m",
+        "tile_bounds": TILE_BOUNDS,
+        "tile_tms_row": f"select z, x, y, (pow(2, z) - 1)::bigint - y tms from {ALL_TILES.format(0, 5)}",
+        "tile_range_cover": TILE_RANGE_COVER,
+        "zoom_for_resolution": ZOOM_FOR_RESOLUTION,
+        "native_zoom_and_bounds": NATIVE,
+        "crs_detect_vector": CRS_DETECT,
+        "sample_nearest": SAMPLE_NEAREST,
+        "sample_bilinear": SAMPLE_BILINEAR,
+        "area_average": AREA_AVERAGE,
+        "overview_half": OVERVIEW_HALF,
+        "overview_chain": _overview_sql(),
+        "rgb_stretch": RGB_STRETCH,
+        "auto_stretch": f"with g as ({views.GRID}) select min(v) lo, max(v) hi from g",
+        "feature_tile_join": FEATURE_TILE_JOIN,
+        "dataset_bounds": DATASET_BOUNDS,
+        "mvt_quantize_points": MVT_QUANTIZE_POINTS,
+        "mvt_quantize_lines": MVT_QUANTIZE_LINES,
+        "mvt_ring_winding": MVT_RING_WINDING,
+        "degenerate_by_zoom": DEGENERATE,
+        "layer_fields": LAYER_FIELDS,
+        "feature_ids": FEATURE_IDS,
+        "cog_layout": COG_LAYOUT,
+        "mbtiles_metadata": MBTILES_METADATA,
+        "tile_lookup": f"select * from ({TILE_POINT_COUNTS}) where z = 2 and x = 1 and y = 1",
+        "tile_windows": TILE_WINDOWS,
+    }
