@@ -94,7 +94,7 @@ def tile_bounds(spark, d):
 
 ALL_TILES = "(select z, unnest(generate_series(0, (pow(2, z) - 1)::bigint)) x from " + ZOOMS + ") t, lateral (select unnest(generate_series(0, (pow(2, z) - 1)::bigint)) y) u"
 TILE_BOUNDS = f"""with t as (select z, x, y, x * {span('z')} - {OS} x0, {OS} - y * {span('z')} y1, {span('z')} s from {ALL_TILES.format(0, 4)})
-select z, x, y, round(x0, 3) min_x, round(y1 - s, 3) min_y, round(x0 + s, 3) max_x, round(y1, 3) max_y, round({lon('x0')}, 8) west, round({lat('(y1 - s)')}, 8) south from t"""
+select z, x, y, round(x0, 3) + 0.0 min_x, round(y1 - s, 3) + 0.0 min_y, round(x0 + s, 3) + 0.0 max_x, round(y1, 3) + 0.0 max_y, round({lon('x0')}, 8) + 0.0 west, round({lat('(y1 - s)')}, 8) + 0.0 south from t"""
 
 
 def tile_tms_row(spark, d):
@@ -137,7 +137,7 @@ def crs_detect_vector(spark, d):
 
 
 CRS_DETECT = f"""with {PT_M}, e as (select 'degrees' layer, max(abs(lon)) ax, max(abs(lat)) ay from p union all select 'metres', max(abs(mx)), max(abs(my)) from m)
-select layer, case when ax <= 180.5 and ay <= 90.5 then '4326' when ax <= {OS} * 1.001 and ay <= {OS} * 1.001 then '3857' end crs from e"""
+select layer, case when ax <= 180.5 and ay <= 90.5 then '4326' when ax <= {OS}::double * 1.001::double and ay <= {OS}::double * 1.001::double then '3857' end crs from e"""
 
 
 def _sample_points(spark, d, meta) -> DataFrame:
@@ -350,7 +350,7 @@ def tile_windows(spark, d):
 
 TILE_WINDOWS = f"""with t as (select ts, event_id, ((event_id*7919)%20000)/10000::double-72 lon, ((event_id*104729)%20000)/10000::double-34 lat from events),
 q as (select date_trunc('hour', ts) h, 8 z, floor(({mx('lon')} + {OS}) / {span('8')})::bigint x, floor(({OS} - {my('lat')}) / {span('8')})::bigint y from t)
-select z, x, y, count(distinct h) hours, count(*)::bigint n from q group by all"""
+select z, x, y, count(distinct h) as hours, count(*)::bigint n from q group by all"""
 
 
 def _features(spark, d) -> DataFrame:

@@ -110,6 +110,18 @@ def covered_cells(axis: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return inside.select("g", F.explode(F.sequence("lo", "hi")).alias("cell")), ranged.where("first > last").select("g")
 
 
+def thin_pixels(meta: RasterMeta, z: int, tile_size: int = M.TILE_SIZE) -> bool:
+    """Whether a pixel near the grid may be narrower than a cell: told from the widths at the grid's edges,
+    as pixels shrink with latitude alone. Wider ones always hold a centre."""
+    res = 2 * M.ORIGIN_SHIFT_M / (tile_size * 2.0**z)
+    if meta.crs == "3857":
+        return res < meta.px_w or res < meta.px_h
+    _, s, _, n = bounds_m(meta)
+    lat = lambda m: math.degrees(2 * math.atan(math.exp(m / M.EARTH_RADIUS_M)) - math.pi / 2)
+    high = min(lat(m + res) - lat(m) for m in (s - 2 * res, n + res))
+    return math.degrees(res / M.EARTH_RADIUS_M) < meta.px_w * (1 + 1e-9) or high < meta.px_h * (1 + 1e-9)
+
+
 def area_average(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.TILE_SIZE) -> DataFrame:
     """(band, gx, gy, value): the mean of the valid cells whose centres a pixel holds; bilinear at the
     centre for pixels that hold no centre on one of the axes. Pixels without a value are left out."""
@@ -125,6 +137,8 @@ def area_average(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.
         .join(_small(rows.select(F.col("g").alias("gy"), F.col("cell").alias("row")), n_y), "row")
         .groupBy("band", "gx", "gy").agg(F.avg("value").alias("value"))
     )
+    if not thin_pixels(meta, z, tile_size):
+        return mean
     # pixels thin on x with any row, and pixels thin on y with columns that are not: each once
     near = lambda axis, size: axis.where((F.col("mid") > -1) & (F.col("mid") < size + 1))
     near_x, near_y = near(xs, meta.cols), near(ys, meta.rows)

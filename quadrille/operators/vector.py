@@ -21,6 +21,11 @@ PROP = "array<struct<k:string,t:string,b:boolean,i:bigint,d:double,s:string>>"
 FEATURE = f"layer string, layer_ord int, feature_ord long, kind string, parts {PARTS}, id decimal(20,0), props {PROP}"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def each_point(parts: Column, use) -> Column:
     return F.transform(parts, lambda poly: F.transform(poly, lambda ring: F.transform(ring, use)))
 
@@ -133,12 +138,11 @@ def doubled_area(ring: Column) -> Column:
 
 def wound_ring(ring: Column, exterior: bool) -> Column:
     """An open ring without repeats, exteriors with positive area and holes with negative; null if it has collapsed."""
-    clean = without_repeats(ring)
-    first_is_last = F.get(clean, F.lit(0)) == F.get(clean, F.size(clean) - 1)
-    open_ = F.when((F.size(clean) > 1) & first_is_last, F.slice(clean, F.lit(1), F.size(clean) - 1)).otherwise(clean)
-    area = F.when(F.size(open_) >= 3, doubled_area(open_)).otherwise(F.lit(0).cast("long"))
-    turned = F.when(area > 0 if exterior else area < 0, open_).otherwise(F.reverse(open_))
-    return F.when(area != 0, turned)
+    first_is_last = lambda c: F.get(c, F.lit(0)) == F.get(c, F.size(c) - 1)
+    opened = lambda c: F.when((F.size(c) > 1) & first_is_last(c), F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    area = lambda o: F.when(F.size(o) >= 3, doubled_area(o)).otherwise(F.lit(0).cast("long"))
+    turned = lambda o, a: F.when(a != 0, F.when(a > 0 if exterior else a < 0, o).otherwise(F.reverse(o)))
+    return let(ring, lambda r: let(without_repeats(r), lambda c: let(opened(c), lambda o: let(area(o), lambda a: turned(o, a)))))
 
 
 def layer_fields(props: DataFrame) -> DataFrame:
@@ -312,8 +316,8 @@ def tile_geometry(rows: DataFrame, extent: int = 4096) -> DataFrame:
     q = lambda ring: F.transform(ring, lambda p: quantised(p, z, x, y, extent))
     rings = F.flatten(F.col("parts"))
     points = F.filter(F.transform(rings, q), lambda r: F.size(r) > 0)
-    lines = F.filter(F.transform(rings, lambda r: F.get(F.transform(F.array(q(r)), without_repeats), F.lit(0))), lambda r: F.size(r) >= 2)
-    wound = lambda ring, outer: F.get(F.transform(F.array(q(ring)), lambda r: wound_ring(r, outer)), F.lit(0))
+    lines = F.filter(F.transform(rings, lambda r: let(q(r), without_repeats)), lambda r: F.size(r) >= 2)
+    wound = lambda ring, outer: wound_ring(q(ring), outer)
     polygon = lambda poly: F.transform(poly, lambda ring, i: F.when(i == 0, wound(ring, True)).otherwise(wound(ring, False)))
     polygons = F.flatten(F.transform(F.filter(F.transform("parts", polygon), lambda p: F.get(p, F.lit(0)).isNotNull()), lambda p: F.filter(p, lambda r: r.isNotNull())))
     geom = F.when(F.col("kind").contains("Point"), points).when(F.col("kind").contains("Line"), lines).otherwise(polygons)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,22 +86,20 @@ def vector_tileset(features: DataFrame, options: MvtOptions = MvtOptions()) -> D
     rows = feature_tiles(features, options)
     tiles = rows.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer_ord", "feature_ord", "layer", "kind", "id", "geom", "props"))).alias("features"))
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for features_ in batch:
+            for features_ in batch.column("features"):
                 layers: dict[tuple, list] = {}
-                for f in features_:
-                    f = dict(f)
+                for f in features_.as_py():
                     f["geom"] = [[(p["x"], p["y"]) for p in part] for part in f["geom"]]
                     layers.setdefault((f["layer_ord"], f["layer"]), []).append(f)
                 data = mvt.tile([(name, fs) for (_, name), fs in layers.items()], extent)
                 out.append(gzip.compress(data, mtime=0) if compress else data)
-            yield pd.Series(out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("z", "x", "y")), pa.array(out, pa.binary())], ["z", "x", "y", "data"])
 
     as_text = F.transform("features", lambda f: F.struct(f.layer_ord.alias("layer_ord"), f.layer.alias("layer"), f.kind.alias("kind"), f.id.cast("string").alias("id"), f.geom.alias("geom"), f.props.alias("props")))
-    return tiles.select("z", "x", "y", encode(as_text).alias("data"))
+    return tiles.select("z", "x", "y", as_text.alias("features")).mapInArrow(encode, TILE)
 
 
 def vector_layers_json(features: DataFrame, options: MvtOptions) -> str:
