@@ -42,6 +42,8 @@ GRAM = 20
 CHUNK_ANCHORS, CHUNK_TEXT, CHUNK_SEGMENTS = 1_000_000, 8 << 20, 8 << 20
 #: Suffixes in the first level, and parts of the index for each shuffle partition.
 BATCH, PARTS = 1 << 16, 4
+#: Families of levels of each part, by anchor; one is in memory at a time.
+FAMILIES = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -103,7 +105,7 @@ BINARY = pa.binary()
 ANCHORS = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY), ("held_keys", BINARY), ("held_docs", BINARY)])
 SHARED = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY)])
 TEXTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY)])
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY), ("starts", BINARY), ("held_docs", BINARY), ("held_starts", BINARY), ("held_ends", BINARY)])
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY), ("starts", BINARY), ("families", BINARY), ("held_docs", BINARY), ("held_starts", BINARY), ("held_ends", BINARY)])
 RANGES = pa.schema([("bucket", pa.int32()), ("docs", BINARY), ("starts", BINARY), ("ends", BINARY)])
 
 
@@ -249,8 +251,10 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index:
         open_ = dict(_cuts(home, parts_of_index))
         for b in sorted(held.keys() | open_.keys()):
             s, h = go[open_.get(b, slice(0, 0))], ho[held.get(b, slice(0, 0))]
+            family = (key[s] % U(FAMILIES)).astype(np.int64)
+            s = s[np.argsort(family, kind="stable")]
             raw = b"".join(whole[at[i] : at[i + 1]].tobytes() for i in s)
-            yield b, zstandard.compress(raw, 3), squeeze(size[s]), squeeze(doc[s]), squeeze(start[s]), squeeze(hd[h]), squeeze(hs[h]), squeeze(he[h])
+            yield b, zstandard.compress(raw, 3), squeeze(size[s]), squeeze(doc[s]), squeeze(start[s]), squeeze(np.bincount(family, minlength=FAMILIES)), squeeze(hd[h]), squeeze(hs[h]), squeeze(he[h])
 
     def runs_of_two(a, b):
         return np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]])
@@ -314,33 +318,41 @@ class Levels:
         return found
 
 
+def scanned(whole: np.ndarray, size: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """(docs, starts, ends) of the matches with smaller docs among segments, a batch of them at a time, so that only the levels grow."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(doc, kind="stable")
+    far = np.cumsum(size[order] - LENGTH + 1)
+    index, done, found = Levels(), 0, []
+    while done < len(order):
+        upto = max(done + 1, int(np.searchsorted(far, (far[done - 1] if done else 0) + BATCH, "right")))
+        own = order[done:upto]
+        done = upto
+        raw = np.concatenate([whole[at[i] : at[i + 1]] for i in own])
+        count = size[own] - LENGTH + 1
+        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own], count) + offset]
+        hit = index.add(h, np.repeat(doc[own], count))
+        start = (np.repeat(begin[own], count) + offset)[hit]
+        found.append(ranges_of(np.repeat(doc[own], count)[hit], start, start + LENGTH))
+    return found
+
+
 def covered(parts: DataFrame, buckets: int) -> DataFrame:
     """(bucket of doc, docs, starts, ends): the ranges that earlier documents hold."""
 
     def bucket(table: pa.Table) -> pa.Table:
         found = [(joined(table, "held_docs", unsqueeze), joined(table, "held_starts", unsqueeze), joined(table, "held_ends", unsqueeze))]
-        begins = iter(table.column("starts"))
-        texts = [(raw, at, docs, unsqueeze(next(begins).as_py())) for raw, at, docs in unpacked(table)]
-        if texts:
-            whole = np.concatenate([x[0] for x in texts])
-            size = np.concatenate([np.diff(x[1]) for x in texts])
-            doc, begin = (np.concatenate([x[k] for x in texts]) for k in (2, 3))
-            del texts
-            at = np.concatenate([[0], np.cumsum(size)])
-            order = np.argsort(doc, kind="stable")
-            far = np.cumsum(size[order] - LENGTH + 1)
-            index, done = Levels(), 0
-            while done < len(order):  # a batch of segments at a time, so that only the levels grow
-                upto = max(done + 1, int(np.searchsorted(far, (far[done - 1] if done else 0) + BATCH, "right")))
-                own = order[done:upto]
-                done = upto
-                raw = np.concatenate([whole[at[i] : at[i + 1]] for i in own])
-                count = size[own] - LENGTH + 1
-                offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own], count) + offset]
-                hit = index.add(h, np.repeat(doc[own], count))
-                start = (np.repeat(begin[own], count) + offset)[hit]
-                found.append(ranges_of(np.repeat(doc[own], count)[hit], start, start + LENGTH))
+        for family in range(FAMILIES):
+            own = []
+            begins, families = iter(table.column("starts")), iter(table.column("families"))
+            for raw, at, docs in unpacked(table):
+                begin, cut = unsqueeze(next(begins).as_py()), np.concatenate([[0], np.cumsum(unsqueeze(next(families).as_py()))])
+                if len(docs) and cut[family + 1] > cut[family]:
+                    x, y = cut[family], cut[family + 1]
+                    own.append((raw[at[x] : at[y]], np.diff(at[x : y + 1]), docs[x:y], begin[x:y]))
+            if own:
+                found += scanned(*(np.concatenate(x) for x in zip(*own)))
         docs, lo, hi = ranges_of(*(np.concatenate(x) for x in zip(*found)))
         home = doc_bucket(docs, buckets)
         order = np.argsort(home, kind="stable")
