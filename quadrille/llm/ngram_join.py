@@ -9,8 +9,8 @@ least SIMILAR per cent. The join skips work through relations between sets:
    beginnings are dealt out; a set whose beginning holds too few shared shingles has no link. Most
    sets end here.
 3. Answers are derived from a highly similar set's: sets with a common minimum hash are compared
-   with one of them (the leader) only, and what links to it forms a component. Further minima only
-   compare across components.
+   with one of them (the leader) only, and what links to it forms a component. Further minima and
+   further leaders, in ROUNDS rounds, only compare across components.
 4. What is left is exact: a link between two components lies on shingles that both hold. Sets with
    too few of those in their beginnings are done; for the rest, prefix lists (rarest shingle first)
    with length and positional filters give all pairs between different components.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, bucket_of, pack, runs, unpack
+from .blocks import bucket_count, bucket_of, joined, pack, runs, squeeze, unpack, unsqueeze
 from .common import documents, materialised, small_or_shuffled
 from .components import components
 from .kernel import U, mixed, pieces, shingle_sets, utf8, words
@@ -56,6 +56,10 @@ def must_share(n):
 SPARE, SPARE_BETWEEN = 16, 4
 #: Pairs of ids, or names of wanted sets, that are broadcast at most (24 bytes each); joined by shuffle beyond.
 BROADCAST_PAIRS = 200_000
+#: Pairs with one set that are compared in one place, on average at most.
+TOGETHER = 32
+#: Rounds of comparisons with leaders.
+ROUNDS = 5
 
 
 def spare(n):
@@ -154,8 +158,12 @@ def packed_beginnings(docs: DataFrame, buckets: int) -> DataFrame:
     return keyed(docs).select("text").mapInArrow(rows, "bucket int, tokens binary, owners binary, held binary, held_n binary")
 
 
-def shared_counts(packed: DataFrame) -> DataFrame:
-    """(owner, shared): at least as many shared shingles as the set's beginning holds."""
+def shared_counts(packed: DataFrame, homes: int) -> DataFrame:
+    """(owner, shared): at least as many shared shingles as the set's beginning holds.
+
+    A bucket of shingles sends one packed row of counts to each of ``homes`` buckets of owners.
+    """
+    schema = pa.schema([("home", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary())])
 
     def bucket(table: pa.Table) -> pa.Table:
         col = lambda name: [x.as_py() for x in table.column(name)]
@@ -170,9 +178,18 @@ def shared_counts(packed: DataFrame) -> DataFrame:
             more = o[np.repeat(several, np.diff(at)) & (o != LOW)]
             held, held_n = np.concatenate([held, more]), np.concatenate([held_n, np.ones(len(more), np.int64)])
         owner, place = np.unique(held, return_inverse=True)
-        return pa.table({"owner": owner.astype(np.int64), "shared": np.bincount(place, held_n, len(owner)).astype(np.int64)})
+        shared = np.bincount(place, held_n, len(owner)).astype(np.int64)
+        cut = np.searchsorted(bucket_of(owner << U(16), homes), np.arange(homes + 1))
+        out = [(b, _six(owner[x]), squeeze(shared[x])) for b in range(homes) if (x := slice(cut[b], cut[b + 1])).stop > x.start]
+        return pa.Table.from_pydict(dict(zip(schema.names, zip(*out))), schema) if out else schema.empty_table()
+
+    def home(table: pa.Table) -> pa.Table:
+        owner, place = np.unique(joined(table, "owners", _unsix), return_inverse=True)
+        shared = np.bincount(place, joined(table, "counts", unsqueeze), len(owner))
+        return pa.table({"owner": owner.astype(np.int64), "shared": shared.astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInArrow(bucket, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+    dealt = packed.groupBy("bucket").applyInArrow(bucket, "home int, owners binary, counts binary")
+    return dealt.groupBy("home").applyInArrow(home, "owner long, shared long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,13 +212,19 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. The two sides meet by pair, so no set is a hot key."""
-    pairs = small_or_shuffled(materialised(pairs.select("a", "b").distinct()), BROADCAST_PAIRS)
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(pairs, "a")
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(pairs, "b")
+    """The pairs (a, b) whose sets reach the similarity.
+
+    The pairs of each b are dealt into parts of about TOGETHER, and b's shingles travel once a part.
+    """
+    pairs = materialised(pairs.select("a", "b").distinct())
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    pairs = pairs.join(small_or_shuffled(parts, BROADCAST_PAIRS), "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+    few = lambda df: small_or_shuffled(df, BROADCAST_PAIRS)
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(few(pairs), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(few(pairs.select("b", "part").distinct()), "b")
     long_enough = (SIMILAR * F.col("na") <= 100 * F.col("nb")) & (SIMILAR * F.col("nb") <= 100 * F.col("na"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return left.join(right, ["a", "b"]).where(long_enough).where((100 + SIMILAR) * both >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
+    return left.join(right, ["b", "part"]).where(long_enough).where((100 + SIMILAR) * both >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -210,11 +233,14 @@ def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def leader_pairs(sets: DataFrame, seeds: range) -> DataFrame:
-    """One pair with the leader of each component that shares a minimum hash with other components."""
+def leader_pairs(sets: DataFrame, seeds: range, turn: int) -> DataFrame:
+    """One pair with the leader of each component that shares a minimum hash with other components.
+
+    The leader is of the component with the most sets there. Sets are drawn anew each turn.
+    """
     keys = sets.select("id", "comp", F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col("minima")[i].alias("key")) for i in seeds])).alias("k")).select("id", "comp", "k.seed", "k.key")
-    one = keys.groupBy("seed", "key", "comp").agg(F.min("id").alias("id"))
-    leader = one.groupBy("seed", "key").agg(F.min_by(F.col("id"), F.col("comp")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    one = keys.groupBy("seed", "key", "comp").agg(F.min_by("id", F.struct(F.xxhash64("id", "seed", F.lit(turn)), "id")).alias("id"), F.count(F.lit(1)).alias("held"))
+    leader = one.groupBy("seed", "key").agg(F.max_by(F.col("id"), F.struct("held", "comp")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     return one.join(leader, ["seed", "key"]).where("id <> b").select(F.col("id").alias("a"), "b")
 
 
@@ -247,13 +273,14 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sketch = materialised(sketches(docs))
     distinct = sketch.where("n > 0").groupBy("set_id", "n").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
-    shared = shared_counts(packed_beginnings(docs, bucket_count(spark)))
+    shared = shared_counts(packed_beginnings(docs, bucket_count(spark)), bucket_count(spark, 1))
     owner = F.conv(F.substring(F.hex("set_id"), 1, 12), 16, 10).cast("long")
     must = F.ceil(SIMILAR * F.col("n") / 100)
     wanted = materialised(distinct.join(shared, owner == F.col("owner")).where(F.col("shared") >= 1 + F.floor(must / SPARE)).select("row_key", "set_id"))
     sets = candidate_sets(docs, wanted)
-    links = materialised(verified(leader_pairs(sets.withColumn("comp", F.col("id")), range(1)), sets))
-    links = materialised(links.union(verified(leader_pairs(labelled(sets, links), range(1, len(SEEDS))), sets)))
+    links = materialised(verified(leader_pairs(sets.withColumn("comp", F.col("id")), range(1), 0), sets))
+    for turn in range(1, ROUNDS):
+        links = materialised(links.union(verified(leader_pairs(labelled(sets, links), range(len(SEEDS)), turn), sets)))
     links = materialised(links.union(verified(remaining_pairs(labelled(sets, links)), sets)))
     comps = labelled(sets, links).select("set_id", "comp").distinct()
     named = distinct.select("set_id", "doc_id").join(comps, "set_id")
