@@ -9,7 +9,8 @@ nested row each.
 
 Of pages with equal payloads of at least MIN_REVISIT_BYTES bytes, the one with the smallest page_id
 is written in full and the others as revisits. Defined results: null html is an empty payload; a
-null url is an empty target; line ends in urls become spaces; a page without a page_id is a
+null url is an empty target; line ends in urls become spaces, and blanks around
+urls go; a page without a page_id is a
 response unless an equal payload has an id; repeated rows are captures of their own, and rows that
 share the smallest page_id are all responses; a capture whose request or metadata is missing has
 null there; of several records of a kind in one capture the smallest by id is kept; an empty table
@@ -85,7 +86,7 @@ def parse(archive: bytes) -> Iterator[tuple]:
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
+            head[name.strip().lower()] = value.strip(" \t\r\n")
         block = stream.read(int(head.get("content-length", 0)))
         http, payload = b"", block
         if head.get("content-type", "").startswith("application/http"):
@@ -156,7 +157,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with p as (select page_id, coalesce(url, '') url, strlen(coalesce(html, ''))::bigint payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+with p as (select page_id, trim(regexp_replace(coalesce(url, ''), '[\\r\\n]', ' ', 'g'), ' ' || chr(9)) url, strlen(coalesce(html, ''))::bigint payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
 q as (select *, case when payload_bytes >= {MIN_REVISIT_BYTES} then min(page_id) over (partition by payload_digest) end f from p)
 select page_id, url, payload_bytes, payload_digest, case when f is not null and page_id is distinct from f then 'revisit' else 'response' end record_type,
        case when page_id is distinct from f then f end refers_to from q
