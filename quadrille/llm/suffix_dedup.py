@@ -20,6 +20,9 @@ in very many documents sends one segment per packed chunk.
 Defined results: null text is empty; a null doc_id is larger than any other; rows of one doc_id are
 no smaller than each other; strings are judged on the input; texts shorter than LENGTH bytes stay;
 matches never cross documents; an empty table gives an empty table.
+
+Known fault: ranges go back to documents by doc_id alone. Rows with different texts that share a
+doc_id, or have none, get each other's ranges, so bytes may stay or go wrongly there.
 """
 
 from __future__ import annotations

