@@ -12,8 +12,9 @@ least SIMILAR per cent. The join skips work through relations between sets:
    with one of them (the leader) only, and what links to it forms a component. Further minima and
    further leaders, in ROUNDS rounds, only compare across components.
 4. What is left is exact: a link between two components lies on shingles that both hold. Sets with
-   too few of those in their beginnings are done; for the rest, prefix lists (rarest shingle first)
-   with length and positional filters give all pairs between different components.
+   too few of those in their beginnings, or in all for a partner of any size, are done; for the
+   rest, prefix lists (rarest shingle first) with length and positional filters give all pairs
+   between different components.
 
 All links between different sets are thus found or lie within a component already; none is dropped
 and no list is capped. Text is read in Arrow batches inside tasks; sets live in Spark tables.
@@ -58,8 +59,10 @@ SPARE, SPARE_BETWEEN = 16, 4
 BROADCAST_PAIRS = 200_000
 #: Pairs with one set that are compared in one place, on average at most.
 TOGETHER = 32
-#: Rounds of comparisons with leaders.
-ROUNDS = 5
+#: Rounds of comparisons with leaders of minima, and of index lists; after each of the latter, sets that can't link are left out.
+ROUNDS, LIST_ROUNDS = 2, 2
+#: So many shingles before an entry go with it, to leave out pairs that an earlier list gives.
+BEFORE = 64
 
 
 def spare(n):
@@ -244,8 +247,23 @@ def leader_pairs(sets: DataFrame, seeds: range, turn: int) -> DataFrame:
     return one.join(leader, ["seed", "key"]).where("id <> b").select(F.col("id").alias("a"), "b")
 
 
-def remaining_pairs(sets: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that could link."""
+def narrowed(sets: DataFrame) -> DataFrame:
+    """Those of the sets that hold enough shingles of other components for a link with any of them.
+
+    A partner of n2 shingles has only shingles whose smallest set is of at most n2, and shares enough of
+    them. So with these sizes in order, v1 <= v2 <= ..., a link needs a j with j shingles being enough
+    for a partner of v_j.
+    """
+    every = sets.select("id", "comp", "n", F.explode("tokens").alias("t"))
+    mixed_tokens = every.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("t", "least")
+    sizes = every.select("id", "n", "t").join(mixed_tokens, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list("least")).alias("v"))
+    enough = F.transform("v", lambda v, i: (100 + SIMILAR) * (i + 1) >= SIMILAR * (F.col("n") + F.greatest(v, F.ceil(SIMILAR * F.col("n") / 100))))
+    ids = materialised(sizes.where(F.exists(enough, lambda x: x)).select("id"))
+    return sets.join(small_or_shuffled(ids, BROADCAST_PAIRS), "id")
+
+
+def remaining_sets(sets: DataFrame) -> DataFrame:
+    """(id, comp, n, tokens) of the sets that could link with one of another component."""
     n = F.col("n")
     must = F.ceil(SIMILAR * n / 100)
     spared = lambda c: 1 + F.floor(c / SPARE_BETWEEN)
@@ -253,19 +271,46 @@ def remaining_pairs(sets: DataFrame) -> DataFrame:
     mixed_tokens = begun.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
     open_ids = begun.join(mixed_tokens, "t").groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= spared(must)).select("id")
     open_ids = small_or_shuffled(materialised(open_ids), BROADCAST_PAIRS)
-    left = materialised(sets.join(open_ids, "id").select("id", "comp", "n", "tokens"))
-    every = left.select("id", "comp", "n", F.explode("tokens").alias("t"))
+    return narrowed(sets.join(open_ids, "id").select("id", "comp", "n", "tokens"))
+
+
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """(id, comp, n, held, at, t, before): a set's shingles that a link with another component needs one of.
+
+    held: how many of its shingles other components hold too; at: how many of those come before t;
+    before: the first BEFORE of those.
+    """
+    n = F.col("n")
+    must = F.ceil(SIMILAR * n / 100)
+    every = sets.select("id", "comp", "n", F.explode("tokens").alias("t"))
     df = every.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # tokens of one component alone come first: they are in the order, but no list is made of them
-    ordered = every.join(df, "t").withColumn("df", F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.col("df"))).groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    lists = ordered.select("id", "comp", "n", F.posexplode(F.slice("o", F.lit(1), (n - must + 1).cast("int"))).alias("at", "x")).where("x.df > 0").select("id", "comp", "n", "at", F.col("x.t").alias("t"))
-    other = lists.withColumnsRenamed({c: f"{c}2" for c in ("id", "comp", "n", "at")})
-    joined = lists.join(other, "t").where("id < id2 and comp <> comp2")
+    # shingles of one component alone come first: they are in the order, but no list is made of them
+    ordered = every.join(df, "t").withColumn("df", F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.col("df"))).groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o")).withColumn("held", F.size(F.filter("o", lambda x: x.df > 0)))
+    begun = F.transform(F.slice("o", (n - F.col("held") + 1).cast("int"), F.lit(BEFORE)), lambda x: x.t)
+    lists = ordered.select("id", "comp", "n", "held", begun.alias("begun"), F.posexplode(F.slice("o", F.lit(1), (n - must + 1).cast("int"))).alias("at", "x")).where("x.df > 0")
+    at = F.col("at") - n + F.col("held")
+    return lists.select("id", "comp", "n", "held", at.alias("at"), F.col("x.t").alias("t"), F.slice("begun", F.lit(1), at.cast("int")).alias("before"))
+
+
+def could_link():
+    """Whether two entries of one list may be of sets that link."""
     long_enough = (SIMILAR * F.col("n") <= 100 * F.col("n2")) & (SIMILAR * F.col("n2") <= 100 * F.col("n"))
-    could_share = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    shared_before = F.least("at", "at2")
-    positional = (100 + SIMILAR) * (could_share + shared_before) >= SIMILAR * (F.col("n") + F.col("n2"))
-    return joined.where(long_enough & positional).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    could_share = F.least(F.col("held") - F.col("at"), F.col("held2") - F.col("at2")) + F.least("at", "at2")
+    return (F.col("comp") != F.col("comp2")) & long_enough & ((100 + SIMILAR) * could_share >= SIMILAR * (F.col("n") + F.col("n2")))
+
+
+def list_leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Each entry of a list with one leader, drawn anew each turn from the component with the most entries."""
+    entry = F.struct("id", "comp", "n", "held", "at")
+    one = lists.groupBy("t", "comp").agg(F.min_by(entry, F.struct(F.xxhash64("id", "t", F.lit(turn)), "id")).alias("x"), F.count(F.lit(1)).alias("many"))
+    leader = one.groupBy("t").agg(F.max_by("x", F.struct("many", "comp")).alias("x")).select("t", *(F.col(f"x.{c}").alias(f"{c}2") for c in ("id", "comp", "n", "held", "at")))
+    return lists.join(leader, "t").where(could_link()).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of sets in different components that could link, mostly once: a pair comes from the first list that holds both."""
+    other = lists.withColumnsRenamed({c: f"{c}2" for c in ("id", "comp", "n", "held", "at", "before")})
+    return lists.join(other, "t").where((F.col("id") < F.col("id2")) & could_link() & ~F.arrays_overlap("before", "before2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -281,7 +326,11 @@ def groups(docs: DataFrame) -> DataFrame:
     links = materialised(verified(leader_pairs(sets.withColumn("comp", F.col("id")), range(1), 0), sets))
     for turn in range(1, ROUNDS):
         links = materialised(links.union(verified(leader_pairs(labelled(sets, links), range(len(SEEDS)), turn), sets)))
-    links = materialised(links.union(verified(remaining_pairs(labelled(sets, links)), sets)))
+    left = materialised(remaining_sets(labelled(sets, links)))
+    for turn in range(LIST_ROUNDS):
+        links = materialised(links.union(verified(list_leader_pairs(materialised(prefix_lists(left)), turn), left)))
+        left = materialised(narrowed(labelled(left.drop("comp"), links)))
+    links = materialised(links.union(verified(list_pairs(materialised(prefix_lists(left))), left)))
     comps = labelled(sets, links).select("set_id", "comp").distinct()
     named = distinct.select("set_id", "doc_id").join(comps, "set_id")
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
