@@ -51,13 +51,15 @@ def unpack(block: bytes) -> np.ndarray:
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers of any order: an offset, and what is above it in as few whole bytes as the largest needs."""
+    """Whole numbers of any order: an offset, and what is above it in as few whole bytes as the largest needs; equal ones as one and their count."""
     if not len(x):
         return b""
     x = x.astype(np.int64)
     least = int(x.min())
     above = (x - least).view(np.uint64)
-    width = max(1, (int(above.max()).bit_length() + 7) // 8)
+    width = (int(above.max()).bit_length() + 7) // 8
+    if not width:
+        return bytes([0]) + np.array([least, len(x)], np.int64).tobytes()
     return bytes([width]) + np.int64(least).tobytes() + np.ascontiguousarray(above.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
@@ -66,6 +68,8 @@ def unsqueeze(block: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     width = block[0]
     least = np.frombuffer(block, np.int64, 1, 1)[0]
+    if not width:
+        return np.full(int(np.frombuffer(block, np.int64, 1, 9)[0]), least)
     planes = np.frombuffer(block, np.uint8, offset=9).reshape(-1, width)
     above = np.zeros((len(planes), 8), np.uint8)
     above[:, :width] = planes

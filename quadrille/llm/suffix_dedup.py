@@ -21,8 +21,8 @@ Defined results: null text is empty; a null doc_id is larger than any other; row
 no smaller than each other; strings are judged on the input; texts shorter than LENGTH bytes stay;
 matches never cross documents; an empty table gives an empty table.
 
-Known fault: ranges go back to documents by doc_id alone. Rows with different texts that share a
-doc_id, or have none, get each other's ranges, so bytes may stay or go wrongly there.
+Ranges go back to documents by doc_id and, where several rows have one doc_id or none, by a salt
+made of the text (0 for all others).
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ BINARY = pa.binary()
 ANCHORS = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY), ("held_keys", BINARY), ("held_docs", BINARY)])
 SHARED = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY)])
 TEXTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY)])
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY), ("starts", BINARY), ("families", BINARY), ("held_docs", BINARY), ("held_starts", BINARY), ("held_ends", BINARY)])
-RANGES = pa.schema([("bucket", pa.int32()), ("docs", BINARY), ("starts", BINARY), ("ends", BINARY)])
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY), ("starts", BINARY), ("families", BINARY), ("held_docs", BINARY), ("held_starts", BINARY), ("held_ends", BINARY), ("salts", BINARY), ("held_salts", BINARY)])
+RANGES = pa.schema([("bucket", pa.int32()), ("docs", BINARY), ("starts", BINARY), ("ends", BINARY), ("salts", BINARY)])
 
 
 def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -221,31 +221,42 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], far[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(far) - 1]])]
 
 
-def ranges_of(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ranges_of(docs: np.ndarray, salts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same, for the ranges of many documents at once."""
     if not len(docs):
-        return docs, starts, ends
-    order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order], ends[order]
-    number = np.cumsum(np.concatenate([[0], docs[1:] != docs[:-1]]))
+        return docs, salts, starts, ends
+    order = np.lexsort((starts, salts, docs))
+    docs, salts, starts, ends = docs[order], salts[order], starts[order], ends[order]
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (salts[1:] != salts[:-1])])
+    number = np.cumsum(new) - 1
     wide = int(ends.max()) + 2
     lo, hi = union(starts + number * wide, ends + number * wide)
-    first = docs[np.concatenate([[0], np.flatnonzero(docs[1:] != docs[:-1]) + 1])]
-    return first[lo // wide], lo % wide, hi - lo // wide * wide
+    at = lo // wide
+    return docs[new][at], salts[new][at], lo % wide, hi - at * wide
+
+
+def repeated(table: pa.Table) -> set[int]:
+    """The docs that several rows of a bucket of texts have; all rows of a doc are in one bucket."""
+    docs, n = np.unique(joined(table, "docs", unsqueeze), return_counts=True)
+    return set(docs[n > 1].tolist())
+
+
+def salt_of(text: np.ndarray) -> int:
+    return int.from_bytes(hashlib.sha256(text.tobytes()).digest()[:7], "big") + 1
 
 
 def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index: int) -> DataFrame:
     """Segments around shared anchors, by anchor. Equal ones of a chunk travel with their smallest doc only."""
 
     def chunk(parts):
-        key, doc, start, content, size = (np.concatenate(x) for x in list(zip(*parts))[:5])
-        whole = np.concatenate([p[5] for p in parts])
+        key, doc, start, content, size, salt = (np.concatenate(x) for x in list(zip(*parts))[:6])
+        whole = np.concatenate([p[6] for p in parts])
         at = np.concatenate([[0], np.cumsum(size)])
         order = np.lexsort((doc, content, key))
         same = runs_of_two(key[order], content[order])
         least = np.repeat(doc[order][same[:-1]], np.diff(same))
         later = doc[order] > least
-        hd, hs, he = ranges_of(doc[order][later], start[order][later], (start + size)[order][later])
+        hd, hsalt, hs, he = ranges_of(doc[order][later], salt[order][later], start[order][later], (start + size)[order][later])
         go = order[~later]
         home = bucket_of(key[go] << U(16), parts_of_index).astype(np.int64)
         held_home = doc_bucket(hd, parts_of_index)
@@ -257,14 +268,14 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index:
             family = (key[s] % U(FAMILIES)).astype(np.int64)
             s = s[np.argsort(family, kind="stable")]
             raw = b"".join(whole[at[i] : at[i + 1]].tobytes() for i in s)
-            yield b, zstandard.compress(raw, 3), squeeze(size[s]), squeeze(doc[s]), squeeze(start[s]), squeeze(np.bincount(family, minlength=FAMILIES)), squeeze(hd[h]), squeeze(hs[h]), squeeze(he[h])
+            yield b, zstandard.compress(raw, 3), squeeze(size[s]), squeeze(doc[s]), squeeze(start[s]), squeeze(np.bincount(family, minlength=FAMILIES)), squeeze(hd[h]), squeeze(hs[h]), squeeze(he[h]), squeeze(salt[s]), squeeze(hsalt[h])
 
     def runs_of_two(a, b):
         return np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]])
 
     def cut(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         held = by_doc(joined(right, "docs", unsqueeze), joined(right, "keys", unsqueeze).view(U))
-        out, parts, n = [], [], 0
+        out, parts, n, several = [], [], 0, repeated(left)
         for raw, at, docs in unpacked(left):
             which = [i for i, d in enumerate(docs) if int(d) in held]
             for i in which:
@@ -278,7 +289,7 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index:
                 sums = prefix_sums(own)
                 content = mixed((sums[last + LENGTH] - sums[first]) * powers(len(own) + 1)[1][first] + size.astype(U))
                 put = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-                parts.append((key, np.full(len(key), docs[i]), first, content, size, own[put]))
+                parts.append((key, np.full(len(key), docs[i]), first, content, size, np.full(len(key), salt_of(own) if int(docs[i]) in several else 0), own[put]))
                 n += int(size.sum())
             if n >= CHUNK_SEGMENTS:
                 out.append(_batch(list(chunk(parts)), SEGMENTS))
@@ -321,8 +332,8 @@ class Levels:
         return found
 
 
-def scanned(whole: np.ndarray, size: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> list[tuple]:
-    """(docs, starts, ends) of the matches with smaller docs among segments, a batch of them at a time, so that only the levels grow."""
+def scanned(whole: np.ndarray, size: np.ndarray, doc: np.ndarray, begin: np.ndarray, salt: np.ndarray) -> list[tuple]:
+    """(docs, salts, starts, ends) of the matches with smaller docs among segments, a batch of them at a time, so that only the levels grow."""
     at = np.concatenate([[0], np.cumsum(size)])
     order = np.argsort(doc, kind="stable")
     far = np.cumsum(size[order] - LENGTH + 1)
@@ -337,7 +348,7 @@ def scanned(whole: np.ndarray, size: np.ndarray, doc: np.ndarray, begin: np.ndar
         h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own], count) + offset]
         hit = index.add(h, np.repeat(doc[own], count))
         start = (np.repeat(begin[own], count) + offset)[hit]
-        found.append(ranges_of(np.repeat(doc[own], count)[hit], start, start + LENGTH))
+        found.append(ranges_of(np.repeat(doc[own], count)[hit], np.repeat(salt[own], count)[hit], start, start + LENGTH))
     return found
 
 
@@ -345,21 +356,21 @@ def covered(parts: DataFrame, buckets: int) -> DataFrame:
     """(bucket of doc, docs, starts, ends): the ranges that earlier documents hold."""
 
     def bucket(table: pa.Table) -> pa.Table:
-        found = [(joined(table, "held_docs", unsqueeze), joined(table, "held_starts", unsqueeze), joined(table, "held_ends", unsqueeze))]
+        found = [(joined(table, "held_docs", unsqueeze), joined(table, "held_salts", unsqueeze), joined(table, "held_starts", unsqueeze), joined(table, "held_ends", unsqueeze))]
         for family in range(FAMILIES):
             own = []
-            begins, families = iter(table.column("starts")), iter(table.column("families"))
+            begins, families, salts = iter(table.column("starts")), iter(table.column("families")), iter(table.column("salts"))
             for raw, at, docs in unpacked(table):
-                begin, cut = unsqueeze(next(begins).as_py()), np.concatenate([[0], np.cumsum(unsqueeze(next(families).as_py()))])
+                begin, salt, cut = unsqueeze(next(begins).as_py()), unsqueeze(next(salts).as_py()), np.concatenate([[0], np.cumsum(unsqueeze(next(families).as_py()))])
                 if len(docs) and cut[family + 1] > cut[family]:
                     x, y = cut[family], cut[family + 1]
-                    own.append((raw[at[x] : at[y]], np.diff(at[x : y + 1]), docs[x:y], begin[x:y]))
+                    own.append((raw[at[x] : at[y]], np.diff(at[x : y + 1]), docs[x:y], begin[x:y], salt[x:y]))
             if own:
                 found += scanned(*(np.concatenate(x) for x in zip(*own)))
-        docs, lo, hi = ranges_of(*(np.concatenate(x) for x in zip(*found)))
+        docs, salts, lo, hi = ranges_of(*(np.concatenate(x) for x in zip(*found)))
         home = doc_bucket(docs, buckets)
         order = np.argsort(home, kind="stable")
-        out = [(b, squeeze(docs[order[s]]), squeeze(lo[order[s]]), squeeze(hi[order[s]])) for b, s in _cuts(home[order], buckets)]
+        out = [(b, squeeze(docs[order[s]]), squeeze(lo[order[s]]), squeeze(hi[order[s]]), squeeze(salts[order[s]])) for b, s in _cuts(home[order], buckets)]
         return pa.Table.from_batches([_batch(out, RANGES)] if out else [], RANGES)
 
     return parts.groupBy("bucket").applyInArrow(bucket, _rows(RANGES))
@@ -380,15 +391,15 @@ def dedup(docs: DataFrame, kept_bytes: bool = True) -> DataFrame:
     ranges = materialised(covered(segments(texts, shared, buckets, parts), homes))
 
     def rest(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        removed = by_doc(joined(right, "docs", unsqueeze), joined(right, "starts", unsqueeze), joined(right, "ends", unsqueeze))
-        none = (np.zeros(0, np.int64),) * 2
+        removed = by_doc(joined(right, "docs", unsqueeze), joined(right, "salts", unsqueeze), joined(right, "starts", unsqueeze), joined(right, "ends", unsqueeze))
+        none, several = (np.zeros(0, np.int64),) * 3, repeated(left)
         out = []
         for raw, at, ids in unpacked(left):
             for i, d in enumerate(ids):
                 own = raw[at[i] : at[i + 1]]
-                lo, hi = union(*removed.get(int(d), none))
-                ok = hi <= len(own)  # rows of one doc_id may differ in length
-                lo, hi = lo[ok], hi[ok]
+                salt, lo, hi = removed.get(int(d), none)
+                mine = salt == (salt_of(own) if int(d) in several else 0)
+                lo, hi = union(lo[mine], hi[mine])
                 kept = b"".join(own[a:b].tobytes() for a, b in zip(np.concatenate([[0], hi]), np.concatenate([lo, [len(own)]])))
                 out.append((None if d == NO_ID else int(d), len(own), len(own) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None, lo, hi))
         return pa.Table.from_batches([_batch(out, RESULT)] if out else [], RESULT)
