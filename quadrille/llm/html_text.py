@@ -1,8 +1,8 @@
 """HTML extraction: a page's article, with repeated runs of its host left out where markup can't tell.
 
 Markup decides first. Inside the article (or else the main element) everything is text but what
-stands in an element of BOILERPLATE, of a boilerplate role, or with a boilerplate word in its class
-or id. What lies outside it is left out.
+stands in an element of BOILERPLATE, of a boilerplate role, hidden, or with a boilerplate word in its
+class or id, unless that element holds the article. What lies outside it is left out.
 
 Pages without article or main are ambiguous: all blocks of their body that are not boilerplate by
 markup are candidates. Their tokens are put together by host, as a suffix array over the host's
@@ -53,34 +53,84 @@ ENDED_BY = {
     "head": {"body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: An attribute list without any of these needs no parsing.
+TELLING = re.compile("class|id|role", re.I)
+#: Parts of a name after these say what an element holds or lacks, not what it is: has-sidebar.
+HOLDING = {"has", "with", "no", "without", "show", "hide", "hides", "shows"}
+#: Never judged by class or id.
+WHOLE = {"html", "body", "main", "article"}
 SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    if not attributes:
-        return False
-    for m in NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+def _attributes(text: str) -> dict[str, str]:
+    """By name, lower-cased; of equal names the first counts."""
+    out: dict[str, str] = {}
+    if TELLING.search(text):
+        for m in ATTRIBUTE.finditer(text):
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _named(value: str) -> bool:
+    """Whether a class or id has a boilerplate word."""
+    for name in value.split():
+        for part in re.split(r"[^a-z]+", name):
+            if part in HOLDING:
+                break
+            if part in WORDS:
+                return True
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[bool, str]]:
-    """(in an article or main element, text) of each block that markup leaves."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+def _judged(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(is boilerplate, is boilerplate unless it holds the article, is an article or main element)."""
+    named = _attributes(attributes) if attributes else {}
+    roles = named.get("role", "").split()
+    hard = tag in BOILERPLATE and tag != "form" or "hidden" in named or named.get("aria-hidden") == "true" or not ROLES.isdisjoint(roles)
+    article = tag in ("article", "main") or "main" in roles
+    soft = tag == "form" or tag not in WHOLE and not article and (_named(named.get("class", "")) or _named(named.get("id", "")))
+    return hard, soft, article
+
+
+def blocks(page: str) -> list[tuple[bool, str]]:
+    """(in an article or main element, text) of each block that markup leaves.
+
+    A class, an id or a form silences an element, but not the one that holds the page's article:
+    the articles within the fewest such elements are the page's, and what holds them speaks. If
+    there is no article and nothing else has text, the outermost such elements speak.
+    """
+    found = list(_open_blocks(page))
+    articles = [over for _, over, _ in found if over is not None]
+    if articles:
+        least = min(map(len, articles))
+        speaking = {e for over in articles if len(over) == least for e in over}
+        return [(over is not None, text) for soft, over, text in found if speaking.issuperset(soft)]
+    least = min((len(soft) for soft, _, _ in found), default=0)
+    speaking = {e for soft, _, _ in found if len(soft) == least for e in soft}
+    return [(False, text) for soft, _, text in found if speaking.issuperset(soft)]
+
+
+def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] | None, str]]:
+    """(elements around it that class, id or form would silence, those around its outermost article or None, text)."""
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, boilerplate unless it holds the article, article
     parts: list[str] = []
-    quiet, inside, silent = 0, 0, ""
+    soft: list[int] = []
+    over: list[tuple[int, ...]] = []
+    quiet, opened, silent = 0, 0, ""
 
     def flush():
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip(" ")
         parts.clear()
-        return [(inside > 0, text)] if text else []
+        return [(tuple(soft), over[0] if over else None, text)] if text else []
+
+    def ended(element):
+        nonlocal quiet
+        quiet -= element[1]
+        if element[2]:
+            soft.pop()
+        if element[3]:
+            over.pop()
 
     at = 0
     while at < len(page):
@@ -98,33 +148,36 @@ def blocks(page: str) -> Iterator[tuple[bool, str]]:
             continue
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if tag not in INLINE:
+            # an inline element may be judged by its attributes too, and its text is then a block of its own
+            if tag not in INLINE or depth >= 0 and any(e[2] or e[3] for e in stack[depth:]):
                 yield from flush()
             if depth >= 0:
-                for _, q, a in stack[depth:]:
-                    quiet -= q
-                    inside -= a
-                del stack[depth:]
+                while len(stack) > depth:
+                    ended(stack.pop())
             continue
         if tag not in INLINE:
             yield from flush()
-            while stack and tag in ENDED_BY.get(next((t for t, _, _ in reversed(stack) if t not in INLINE), ""), ()):
+            while stack and tag in ENDED_BY.get(next((e[0] for e in reversed(stack) if e[0] not in INLINE), ""), ()):
                 while True:
-                    t, q, a = stack.pop()
-                    quiet -= q
-                    inside -= a
-                    if t not in INLINE:
+                    element = stack.pop()
+                    ended(element)
+                    if element[0] not in INLINE:
                         break
         if tag in ("script", "style", "textarea", "noscript", "template", "iframe") and not m[3].rstrip().endswith("/"):
             silent = tag
             continue
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        q, a = _boilerplate(tag, m[3]), tag in ("article", "main") or 'role="main"' in m[3]
-        # a marked article within boilerplate, such as a teaser in a sidebar, stays boilerplate
-        stack.append((tag, q, a))
-        quiet += q
-        inside += a
+        hard, gentle, article = _judged(tag, m[3])
+        if tag in INLINE and (gentle or article):
+            yield from flush()
+        stack.append((tag, hard, gentle, article))
+        quiet += hard
+        if article:
+            over.append(tuple(soft))
+        if gentle:
+            soft.append(opened)
+            opened += 1
     yield from flush()
 
 
@@ -136,7 +189,7 @@ def parsed(pages_: DataFrame) -> DataFrame:
         for batch in pieces(batches, "html"):
             out = []
             for page in batch.column("html"):
-                found = list(blocks(page.as_py() or ""))
+                found = blocks(page.as_py() or "")
                 marked = any(a for a, _ in found)
                 out.append((marked, [t for a, t in found if a or not marked]))
             marked, texts = zip(*out)

@@ -61,6 +61,16 @@ def test_markup(page, text):
     assert " ".join(t for a, t in found if a or not marked) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div style="overflow:hidden"><article><p>text <img alt="hidden valley"> here</p></article></div>', "text here"), ('<p title="a hidden id=ad place">kept</p><p hidden>gone</p><p data-role="banner">too</p>', "kept too"),
+    ('<body class="has-sidebar"><p>one</p><div class="sidebar">s</div></body>', "one"), ('<main class="with-comments"><p>one</p></main>', "one"), ('<article class="post social" id="header"><p>one</p><div class="social">s</div></article>', "one"),
+    ('<div class="widget"><article><p>one</p></article><div class="sidebar"><article>teaser</article></div></div>', "one"), ('<article>one</article><div class="sidebar"><article>teaser</article></div>', "one"), ('<form id="f"><p>one</p></form>', "one"),
+    ('<article>one <span class="share">s</span> two</article>', "one two"),
+])
+def test_attributes_do_not_silence_the_article(page, text):
+    assert " ".join(t for _, t in html_text.blocks(page)) == text
+
+
 def test_trees_learn_and_keep_their_constraints():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
