@@ -1,18 +1,25 @@
-"""HTML extraction: a page's article, with repeated runs of its host left out where markup can't tell.
+"""HTML extraction: the text of a page that markup leaves, without the runs that its host repeats.
 
-Markup decides first. Inside the article (or else the main element) everything is text but what
-stands in an element of BOILERPLATE, of a boilerplate role, hidden, or with a boilerplate word in its
-class or id, unless that element holds the article. What lies outside it is left out.
+Markup first: everything in the body is a candidate but what stands in an element of BOILERPLATE, of
+a boilerplate role, hidden, or with a boilerplate word in its class or id, unless that element holds
+the article.
 
-Pages without article or main are ambiguous: all blocks of their body that are not boilerplate by
-markup are candidates. Their tokens are put together by host, as a suffix array over the host's
-token stream would be: every run of RUN tokens within a block is a suffix's beginning, and runs
-that stand on at least PAGES distinct pages of the host are repeated. Longer repeated strings are
-chains of these. Blocks that repeated runs cover for the most part are boilerplate and go; the
-others stay whole. Runs are grouped by (host, hash), so a hot host is spread over all partitions,
-and grouping is pre-aggregated.
+Then the candidates of all pages are searched for strings that their host repeats. Runs of RUN
+tokens within a block (all tokens of a shorter block) are looked up by (host, hash), every place of
+every page; longer repeated strings are chains of these. This finds the repeated strings of RUN
+tokens and more that a suffix array over the host's token stream would, without the order of
+suffixes, so that a host need not fit in a task. A run is
 
-Articles marked as such are not judged by repetition, since copies of an article are still its text.
+1. repeated, if it stands on at least PAGES distinct pages of the host;
+2. of a template, if PAGES of these have text of their own: repeated runs leave a share OWN of their
+   places. Copies of an article, near ones too, leave nothing else, so they don't tell of a template
+   and keep their text; a template's words are cut from them too, as other pages tell of it.
+
+The words that a template's runs cover are cut, others of the block stay. Of what is left, an article
+or main element is the text, unless more prose (blocks of RUN words) is left outside: then all is.
+
+Runs travel as packed keys and places. A chunk of pages sends a key that it shows to be repeated by
+itself only once, so a hot host or template fills no task.
 
 Defined results: null or empty html has empty text; a null url is a host of its own; character
 references are decoded once; white space within a block becomes one space; repeated rows give equal
@@ -22,19 +29,26 @@ gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import bucket_count, bucket_of, pack, runs, squeeze, unpack, unsqueeze
 from .common import materialised, pages, small_or_shuffled
-from .kernel import pieces, utf8, windows, words
+from .kernel import U, Words, mixed, pieces, utf8, windows, words
 
-RUN, PAGES, COVERED = 8, 3, 0.5
+RUN, PAGES, OWN = 8, 3, 0.25
+#: Bits of a key. Runs that share one by chance would have to meet on PAGES pages.
+KEY = 48
+CHUNK_RUNS = 2_000_000
 #: Elements that are never text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "canvas", "audio", "video"}
 BOILERPLATE = SILENT | {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "input", "label", "fieldset"}
@@ -182,61 +196,225 @@ def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] |
 
 
 def parsed(pages_: DataFrame) -> DataFrame:
-    """(page_id, url, host, marked, blocks): marked if the blocks are those of an article or main element."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("marked", pa.bool_()), ("blocks", pa.list_(pa.string()))])
+    """(row, page_id, url, host, page, blocks, inside): page is a hash of page_id; inside tells the blocks of an article or main element."""
+    schema = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))])
 
     def rows(batches):
         for batch in pieces(batches, "html"):
-            out = []
-            for page in batch.column("html"):
-                found = blocks(page.as_py() or "")
-                marked = any(a for a, _ in found)
-                out.append((marked, [t for a, t in found if a or not marked]))
-            marked, texts = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(marked), pa.array(texts, pa.list_(pa.string()))], schema=schema)
+            found = [blocks(page.as_py() or "") for page in batch.column("html")]
+            texts, inside = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())), pa.array([[a for a, _ in f] for f in found], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url", "host", "page")), texts, inside], schema=schema)
 
     host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
-    return pages_.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html").mapInArrow(rows, "page_id long, url string, host string, marked boolean, blocks array<string>")
+    page_id = F.col("page_id").cast("long")
+    numbered = pages_.select(F.monotonically_increasing_id().alias("row"), page_id.alias("page_id"), "url", host.alias("host"), F.xxhash64(page_id).alias("page"), "html")
+    return numbered.mapInArrow(rows, "row long, page_id long, url string, host string, page long, blocks array<string>, inside array<boolean>")
+
+
+def block_words(texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray]:
+    """(bytes, words, place of each block's first word, and the end). A block takes RUN places at least, so that no run of RUN places meets two."""
+    raw, at = utf8(pa.array(texts, pa.string()))
+    w = words(raw, at, fold=True)
+    return raw, w, np.concatenate([[0], np.cumsum(np.maximum(np.diff(w.first), RUN))])
+
+
+def runs_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its first word) of every run of RUN words within a block; all words of a shorter block."""
+    n = np.diff(w.first)
+    block = w.row()
+    start = np.flatnonzero(np.arange(len(w.hash)) + RUN <= w.first[1:][block])
+    every = windows(w.hash, RUN)[start]
+    short = np.flatnonzero((n > 0) & (n < RUN))
+    few = np.array([windows(w.hash[w.first[i] : w.first[i + 1]], int(n[i]))[0] for i in short], U)
+    return np.concatenate([every, few]), np.concatenate([start, w.first[short]]).astype(np.int64)
+
+
+#: Runs of a chunk of pages: key, number of the page in the chunk, place in the page, who votes (0: none; empty: each row).
+#: ``sure`` has keys that the chunk alone shows to be repeated; held rows are known to be repeated, and go by the bucket.
+PACK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("held", pa.bool_()), *((c, pa.binary()) for c in ("keys", "pages", "places", "votes", "sure", "rows", "ids", "sizes"))])
+PACK_ROWS = "bucket long, chunk long, held boolean, keys binary, pages binary, places binary, votes binary, sure binary, rows binary, ids binary, sizes binary"
+
+
+def _small(x: np.ndarray) -> bytes:
+    return zstandard.compress(squeeze(x), 1)
+
+
+def _wide(block: bytes) -> np.ndarray:
+    return unsqueeze(zstandard.decompress(block)) if block else np.zeros(0, np.int64)
+
+
+def _voters(keys: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, where each key begins and the end, how many distinct voters it has)."""
+    order = np.lexsort((votes, keys))
+    k, v = keys[order], votes[order]
+    at = runs(k)
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+    return order, at, np.add.reduceat(new & (v != 0), at[:-1]) if len(k) else np.zeros(0, np.int64)
+
+
+def _dealt(chunk: int, keys, pages_, places, votes, head: list[bytes], buckets: int) -> list[tuple]:
+    """Rows of PACK. A key that a chunk alone shows to be repeated goes to its bucket once, however many pages of the chunk have it."""
+    order, at, n = _voters(keys, pages_ + 1 if votes is None else votes)
+    sure = n >= PAGES
+    settled = np.repeat(sure, np.diff(at))
+    held, go = order[settled], order[~settled]
+    known = keys[order[at[:-1]]][sure]
+    out = [(int(bucket_of(mixed(np.array([chunk + 1], U)), buckets)[0]), chunk, True, _small(keys[held].view(np.int64)), _small(pages_[held]), _small(places[held]), b"", b"", *head)]
+    edges = (np.arange(buckets + 1, dtype=np.uint64) * U(1 << KEY) + U(buckets - 1)) // U(buckets)
+    cut, known_cut = np.searchsorted(keys[go], edges), np.searchsorted(known, edges)
+    for b in range(buckets):
+        s, t = go[cut[b] : cut[b + 1]], known[known_cut[b] : known_cut[b + 1]]
+        if len(s) or len(t):
+            out.append((b, chunk, False, zstandard.compress(pack(keys[s]), 1), _small(pages_[s]), _small(places[s]), b"" if votes is None else _small(votes[s]), pack(t), b"", b"", b""))
+    return out
+
 
+def _packed(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), PACK)], schema=PACK)
 
-def block_runs(blocks_: DataFrame) -> DataFrame:
-    """(host, page_id, row, at, n_words, runs) of the blocks: hashes of their runs of RUN tokens; all tokens of a shorter block."""
+
+def packed_runs(found: DataFrame, buckets: int) -> DataFrame:
+    """The runs of all pages, dealt by host and hash."""
 
     def rows(batches):
-        for batch in pieces(batches):
-            raw, at = utf8(batch.column("text"))
-            w = words(raw, at, fold=True)
-            every = windows(w.hash, RUN)
-            runs = []
-            for a, b in zip(w.first[:-1], w.first[1:]):
-                runs.append((every[a : b - RUN + 1] if b - a >= RUN else windows(w.hash[a:b], max(1, b - a))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "page_id", "row", "at")), pa.array(np.diff(w.first)), pa.array(runs, pa.list_(pa.int64()))], ["host", "page_id", "row", "at", "n_words", "runs"])
-
-    return blocks_.mapInArrow(rows, "host string, page_id long, row long, at int, n_words long, runs array<long>")
-
-
-def repeated_blocks(ambiguous: DataFrame) -> DataFrame:
-    """(row, at) of blocks that runs repeated within their host cover for more than COVERED of their tokens."""
-    listed = ambiguous.select("host", "page_id", "row", F.posexplode("blocks").alias("at", "text")).select("host", "page_id", "row", "at", F.col("text"))
-    runs = block_runs(listed).select("host", "page_id", "row", "at", "n_words", F.posexplode("runs").alias("start", "run"))
-    # distinct pages without a set of them: a run's pages are pre-aggregated pairs
-    common = runs.select("host", "run", "page_id").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES).withColumnsRenamed({"host": "h", "run": "r"}).drop("n")
-    hits = runs.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("run") == F.col("r")))
-    lengths = hits.groupBy("row", "at", "n_words").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    step = F.aggregate("starts", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda a, s: F.struct((s + RUN).alias("end"), (a.sum + RUN - F.greatest(F.lit(0), a.end - s)).alias("sum")), lambda a: a.sum)
-    return lengths.where(F.least(step, F.col("n_words")) > COVERED * F.col("n_words")).select("row", "at")
+        parts, n = [], 0
+
+        def chunk():
+            row, page, size, keys, places = zip(*parts)
+            number = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            head = [_small(np.array(row)), _small(np.array(page)), _small(np.array(size))]
+            return _packed(_dealt(row[0], np.concatenate(keys), number, np.concatenate(places), None, head, buckets))
+
+        for batch in batches:
+            for row, host, page, texts in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "page", "blocks"))):
+                if not texts:
+                    continue
+                _, w, place = block_words(texts)
+                key, first = runs_of(w)
+                block = w.row()[first]
+                seed = U(0 if host is None else int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "big") | 1)
+                parts.append((row, page, int(place[-1]), mixed(key ^ seed) >> U(64 - KEY), place[block] + first - w.first[block]))
+                n += len(key)
+                if n >= CHUNK_RUNS:
+                    yield chunk()
+                    parts, n = [], 0
+        if parts:
+            yield chunk()
+
+    return found.select("row", "host", "page", "blocks").mapInArrow(rows, PACK_ROWS)
+
+
+def repeated_runs(packed: DataFrame) -> DataFrame:
+    """The runs that have PAGES voters, as held rows."""
+
+    def bucket(table: pa.Table) -> pa.Table:
+        out = [tuple(r.values()) for r in table.filter(table.column("held")).to_pylist()]
+        chunks, keys, pages_, places, votes, sure = [], [], [], [], [], []
+        for r in table.filter(pa.compute.invert(table.column("held"))).to_pylist():
+            chunks.append(r["chunk"])
+            keys.append(unpack(zstandard.decompress(r["keys"])))
+            pages_.append(_wide(r["pages"]))
+            places.append(_wide(r["places"]))
+            votes.append(_wide(r["votes"]) if r["votes"] else mixed(pages_[-1].astype(U) + mixed(np.array([r["chunk"] + 1], U))).view(np.int64))
+            sure.append(unpack(r["sure"]))
+        if chunks:
+            k = np.concatenate(keys)
+            order, at, n = _voters(k, np.concatenate(votes))
+            distinct = k[order[at[:-1]]]
+            common = np.union1d(distinct[n >= PAGES], np.concatenate(sure))
+            for c, k, p, x in zip(chunks, keys, pages_, places):
+                go = np.isin(k, common)
+                if go.any():
+                    out.append((0, c, True, _small(k[go].view(np.int64)), _small(p[go]), _small(x[go]), b"", b"", b"", b"", b""))
+        return pa.Table.from_batches([_packed(out)] if out else [], PACK)
+
+    return packed.groupBy("bucket").applyInArrow(bucket, PACK_ROWS)
+
+
+def _chunk(table: pa.Table):
+    """(head, rows, ids, sizes, keys, pages, places, first place of each page in the chunk, covered places) of a chunk's repeated runs."""
+    held = table.to_pylist()
+    head = next([r["rows"], r["ids"], r["sizes"]] for r in held if r["rows"])
+    rows, ids, sizes = map(_wide, head)
+    keys, pages_, places = (np.concatenate([_wide(r[c]) for r in held]) for c in ("keys", "pages", "places"))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    change = np.bincount(first[pages_] + places, minlength=first[-1] + RUN + 1) - np.bincount(first[pages_] + places + RUN, minlength=first[-1] + RUN + 1)
+    return head, rows, ids, sizes, keys.view(U), pages_, places, first, np.cumsum(change)[: first[-1]] > 0
+
+
+def votes_of(repeated: DataFrame, buckets: int, own: bool) -> DataFrame:
+    """The repeated runs, dealt again with their pages' ids as voters; if ``own``, only of pages that repeated runs leave text of their own."""
+
+    def chunk(table: pa.Table) -> pa.Table:
+        head, rows, ids, sizes, keys, pages_, places, first, covered = _chunk(table)
+        left = sizes - np.diff(np.concatenate([[0], np.cumsum(covered)])[first])
+        voter = np.where((left >= np.maximum(RUN, OWN * sizes)) | (not own), np.where(ids == 0, 1, ids), 0)
+        return pa.Table.from_batches([_packed(_dealt(table.column("chunk")[0].as_py(), keys, pages_, places, voter[pages_], head, buckets))], PACK)
+
+    return repeated.groupBy("chunk").applyInArrow(chunk, PACK_ROWS)
+
+
+def cuts(repeated: DataFrame) -> DataFrame:
+    """(cut_row, cut): the covered places of each row that has any, as ascending starts and ends by turns."""
+    schema = pa.schema([("cut_row", pa.int64()), ("cut", pa.list_(pa.int32()))])
+
+    def chunk(table: pa.Table) -> pa.Table:
+        _, rows, _, _, _, pages_, _, first, covered = _chunk(table)
+        out = []
+        for p in np.unique(pages_):
+            own = np.concatenate([[False], covered[first[p] : first[p + 1]], [False]])
+            out.append((int(rows[p]), np.flatnonzero(own[1:] != own[:-1]).astype(np.int32)))
+        return pa.table([pa.array([r for r, _ in out], pa.int64()), pa.array([c for _, c in out], pa.list_(pa.int32()))], schema=schema)
+
+    return repeated.groupBy("chunk").applyInArrow(chunk, "cut_row long, cut array<int>")
+
+
+def left_of(texts: list[str], cut: list[int] | None) -> tuple[list[str], np.ndarray]:
+    """(the blocks without the words at the cut places, how many words each has left)."""
+    raw, w, place = block_words(texts)
+    n = np.diff(w.first)
+    if not cut:
+        return texts, n
+    gone = np.zeros(int(place[-1]) + 1, np.int64)
+    gone[cut[::2]] += 1
+    gone[cut[1::2]] -= 1
+    block = w.row()
+    stays = np.cumsum(gone)[place[block] + np.arange(len(block)) - w.first[block]] == 0
+    out = []
+    for i, text in enumerate(texts):
+        a, b = w.first[i], w.first[i + 1]
+        if not stays[a:b].all():
+            text = " ".join(raw[w.start[j] : w.end[j]].tobytes().decode() for j in range(a, b) if stays[j])
+        out.append(text)
+    return out, np.bincount(block[stays], minlength=len(texts))
+
+
+def text_of(texts: list[str], inside: list[bool], cut: list[int] | None) -> str:
+    """What is left of an article or main element, unless the prose left outside outweighs it: then the mark was of a teaser, and all counts."""
+    if cut or any(inside) and not all(inside):
+        texts, n = left_of(texts, cut)
+        inner = np.array(inside, bool)
+        if inner.any() and n[inner].sum() >= n[~inner & (n >= RUN)].sum() and n[inner].any():
+            texts = [t for t, i in zip(texts, inside) if i]
+    return " ".join(t for t in texts if t)
 
 
 def extract(pages_: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    found = materialised(parsed(pages_).withColumn("row", F.monotonically_increasing_id()))
-    unsure = ~F.col("marked") & (F.size("blocks") > 0)
-    gone = materialised(repeated_blocks(found.where(unsure)).groupBy("row").agg(F.collect_set("at").alias("gone")))
-    # pages that markup has settled are not shuffled
-    joined = found.where(unsure).join(small_or_shuffled(gone), "row", "left").unionByName(found.where(~unsure).withColumn("gone", F.lit(None).cast("array<int>")))
-    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.array_contains("gone", i)))
-    text = F.array_join(left, " ")
-    return joined.select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))
+    found = parsed(pages_)
+    buckets = bucket_count(found.sparkSession)
+    by_row = materialised(repeated_runs(packed_runs(found, buckets)))
+    by_page = materialised(repeated_runs(votes_of(by_row, buckets, False)))
+    gone = materialised(cuts(repeated_runs(votes_of(by_page, buckets, True))))
+    joined = found.join(small_or_shuffled(gone), F.col("row") == F.col("cut_row"), "left").select("page_id", "url", "blocks", "inside", "cut")
+
+    def rows(batches):
+        for batch in batches:
+            texts = [text_of(t, i, c) for t, i, c in zip(*(batch.column(c).to_pylist() for c in ("blocks", "inside", "cut")))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return joined.mapInArrow(rows, "page_id long, url string, text string").select("*", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

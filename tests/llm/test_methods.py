@@ -71,6 +71,20 @@ def test_attributes_do_not_silence_the_article(page, text):
     assert " ".join(t for _, t in html_text.blocks(page)) == text
 
 
+def page_texts(spark, pages):
+    return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_articles_are_evidence_within_the_host_stage(spark):
+    notice = "sign up today for our weekly letter and never miss a story"
+    own = lambda i, n=30: " ".join(f"own{i}word{k}" for k in range(n))
+    pages = [(i, f"http://h.org/{i}", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(4)]
+    pages += [(10, "http://h.org/t", f"<div>{own(10)}</div><article>a teaser</article>"), (11, "http://h.org/u", f"<div>short note outside</div><article>{own(11)}</article>")]
+    got = page_texts(spark, pages + pages[:1] * 3)
+    assert all(got[i] == own(i) for i in range(4))
+    assert got[10] == f"{own(10)} a teaser" and got[11] == own(11)
+
+
 def test_trees_learn_and_keep_their_constraints():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
