@@ -85,6 +85,17 @@ def test_articles_are_evidence_within_the_host_stage(spark):
     assert got[10] == f"{own(10)} a teaser" and got[11] == own(11)
 
 
+def test_only_repeated_words_go_and_copies_stay(spark):
+    notice = "sign up today for our weekly letter and never miss a story"
+    pages = [(i, f"http://h.org/{i}", f"<p>{' '.join(f'own{i}word{k}' for k in range(30))}</p><p>{notice} start{i} middle{i} end{i}</p>") for i in range(4)]
+    story = [f"story{k}" for k in range(60)]
+    near = [" ".join([*story[:25], f"edit{i}", *story[25:]]) for i in range(5)]
+    copies = [(20 + i, f"http://h.org/c{i}", f"<p>{t}</p><div>{notice}</div>") for i, t in enumerate([*near, *[" ".join(story)] * 5])]
+    got = page_texts(spark, pages + copies)
+    assert all(got[i].endswith(f"own{i}word29 start{i} middle{i} end{i}") and notice not in got[i] for i in range(4))
+    assert all(got[20 + i] == near[i] for i in range(5)) and all(got[25 + i] == " ".join(story) for i in range(5))
+
+
 def test_trees_learn_and_keep_their_constraints():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
