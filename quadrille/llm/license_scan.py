@@ -1,10 +1,13 @@
-"""License scans: an exact containment join of text blocks against license templates.
+"""License scans: an exact containment join of token windows against license templates.
 
-Template tokens are put in one global order, rarest in the corpus first (ties by token). A block
-(a line) that holds a share ``CONTAINMENT`` of a template's distinct tokens must hold one of the
-template's first ``n - ceil(share * n) + 1`` tokens (prefix filter), must have enough words (length
-filter), and, from the first shared prefix token on, must have enough template tokens left
-(positional filter); what remains is counted exactly. Every block of every text is looked at.
+Template tokens are put in one global order, rarest in the corpus first (ties by token). A template
+is found where a window of a text, SPAN times as long as the template, holds a share ``CONTAINMENT``
+of its distinct tokens, and all of these that are in NAMES. Windows run across line ends, as licenses
+are wrapped, and are bounded, so scattered words don't count. Such a window must hold one of the
+template's first ``n - ceil(share * n) + 1`` tokens (prefix filter); around each of these in the text,
+enough template tokens must stand (length filter), and enough of those that do not come before it in
+the order (positional filter: a window whose rarest token is another is looked at from there). What
+remains is counted exactly. Every place of every text is looked at.
 
 Words are compared by 64-bit hashes of their folded bytes. Templates are a bounded parameter; the
 corpus is read twice, once for token counts and once for the scan, and nothing is shuffled but one
@@ -42,9 +45,15 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("rights-reserved", "All rights reserved"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file via any medium is strictly prohibited"),
 )
 CONTAINMENT = 0.8
+#: Words that tell a license from others of the same wording.
+NAMES = "mit apache gnu mozilla creative commons nc sharealike"
+#: Words of a window by words of its template.
+SPAN = 1.25
 
 
 def hashed(text: str) -> np.ndarray:
@@ -52,9 +61,9 @@ def hashed(text: str) -> np.ndarray:
     return words(raw, at, PUNCTUATION, fold=True).hash
 
 
-def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+def batch_words(column: pa.Array) -> Words:
     raw, at = utf8(column)
-    return raw, at, words(raw, at, PUNCTUATION, fold=True)
+    return words(raw, at, PUNCTUATION, fold=True)
 
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
@@ -64,7 +73,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     def count(batches):
         total = np.zeros(len(vocabulary), np.int64)
         for batch in pieces(batches):
-            w = batch_words(batch.column("text"))[2]
+            w = batch_words(batch.column("text"))
             at = np.searchsorted(vocabulary, w.hash)
             at[at == len(vocabulary)] = 0
             total += np.bincount(at[vocabulary[at] == w.hash], minlength=len(vocabulary))
@@ -86,48 +95,52 @@ class Scanner:
         self.ranks = np.array([self.rank[int(k)] for k in self.keys], np.int64)
         self.templates, self.postings = [], {}
         for label, text in templates:
-            ordered = sorted({self.rank[int(h)] for h in hashed(text)})
+            own = hashed(text)
+            ordered = sorted({self.rank[int(h)] for h in own})
             need = math.ceil(share * len(ordered) - 1e-9)
-            for place, r in enumerate(ordered[: len(ordered) - need + 1]):
-                self.postings.setdefault(r, []).append((len(self.templates), place))
-            self.templates.append((label, frozenset(ordered), need))
+            for r in ordered[: len(ordered) - need + 1]:
+                self.postings.setdefault(r, []).append(len(self.templates))
+            must = frozenset(self.rank[int(h)] for h in np.intersect1d(own, hashed(NAMES)))
+            self.templates.append((label, frozenset(ordered), need, math.ceil(SPAN * len(own)), must))
         self.prefix = np.zeros(max(len(tokens), 1), bool)
         self.prefix[list(self.postings)] = True
 
-    def blocks(self, raw: np.ndarray, w: Words) -> dict[int, list[tuple[str, float]]]:
-        """By row: (label, containment) of the blocks that meet the threshold. A block is a row's line."""
+    def blocks(self, w: Words) -> dict[int, list[tuple[str, float]]]:
+        """By row: (label, containment) of the templates that a window holds."""
         if not len(w.hash) or not len(self.keys):
             return {}
         at = np.searchsorted(self.keys, w.hash)
         at[at == len(self.keys)] = 0
         known = self.keys[at] == w.hash
         rank = np.where(known, self.ranks[at], -1)
-        line = np.concatenate([[0], np.cumsum(raw == 10)])[w.start] + w.row()  # grows by line and by row
-        hit = np.flatnonzero(known & self.prefix[rank])
+        before = np.concatenate([[0], np.cumsum(known)])
+        row = w.row()
+        hits = np.flatnonzero(known & self.prefix[rank])
         out: dict[int, list[tuple[str, float]]] = {}
-        rows = w.row()[hit]
-        last = -1
-        for i, row in zip(hit, rows):
-            if line[i] == last:
-                continue
-            last = line[i]
-            a, b = np.searchsorted(line, last), np.searchsorted(line, last, "right")
-            held = sorted({int(r) for r in rank[a:b] if r >= 0})
-            tried = set()
-            for r in held:
-                for k, place in self.postings.get(r, ()):
-                    label, tokens, need = self.templates[k]
-                    # held by length, and by what can follow the first shared token in either order
-                    if k in tried or len(held) < need or len(tokens) - place < need:
+        for r in np.unique(rank[hits]):
+            places = hits[rank[hits] == r]
+            for k in self.postings[int(r)]:
+                label, tokens, need, span, must = self.templates[k]
+                a, b = np.maximum(w.first[row[places]], places - span + 1), np.minimum(w.first[row[places] + 1], places + span)
+                enough = before[b] - before[a] >= need
+                for i, lo, hi in zip(places[enough], a[enough], b[enough]):
+                    near = [(j, x) for j, x in enumerate(rank[lo:hi].tolist(), lo) if x >= r and x in tokens]
+                    if len({x for _, x in near}) < need:
                         continue
-                    tried.add(k)
-                    both = len(tokens.intersection(held))
-                    if both >= need:
-                        out.setdefault(int(row), []).append((label, both / len(tokens)))
+                    # the windows around the place, each from one of its tokens on
+                    best = 0
+                    for first, _ in near:
+                        if first > i:
+                            break
+                        held = {x for j, x in near if first <= j < first + span}
+                        if held >= must:
+                            best = max(best, len(held))
+                    if best >= need:
+                        out.setdefault(int(row[i]), []).append((label, best / len(tokens)))
         return out
 
     def scan(self, column: pa.Array) -> list[pa.Array]:
-        raw, at, w = batch_words(column)
+        w = batch_words(column)
         n = len(column)
         n_base, first, last = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
         labels: list[set[str]] = [set() for _ in range(n)]
@@ -146,7 +159,7 @@ class Scanner:
                 last[i] = max(last[i], p)
         score = np.array([float(bool(x)) for x in labels])
         base = [",".join(sorted(x)) for x in labels]
-        for i, found in self.blocks(raw, w).items():
+        for i, found in self.blocks(w).items():
             labels[i] |= {label for label, _ in found}
             score[i] = max(score[i], *(s for _, s in found))
         none = first < 0

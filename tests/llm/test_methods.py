@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontaminate, html_text, mixing, pii, quality, warc
+from quadrille.llm import decontaminate, html_text, license_scan, mixing, pii, quality, warc
 from quadrille.llm.components import components
 
 from .conftest import BASE, ITEM
@@ -96,6 +96,19 @@ def test_only_repeated_words_go_and_copies_stay(spark):
     assert all(got[20 + i] == near[i] for i in range(5)) and all(got[25 + i] == " ".join(story) for i in range(5))
 
 
+MIT = license_scan.TEMPLATES[0][1].split()
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("code\n# " + "\n# ".join(" ".join(MIT[i : i + 7]) for i in range(0, len(MIT), 7)) + "\ncode", "mit"), (" ".join(MIT[1:-2]), "mit"), ("it was released " + "and so on " * 9 + "under the roof of MIT with a license", ""),
+    ("Released under\nthe MIT License", "mit"), ("Released under the BSD License", ""), ("x\nLicensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY 4.0", ""), ("All rights reserved.", "rights-reserved"), ("all " + "their " * 30 + "rights reserved", ""),
+])
+def test_license_windows(spark, text, labels):
+    other = "The license of all the software is reserved. " * 3
+    docs = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()} == {1: labels, 2: ""}
+
+
 def test_trees_learn_and_keep_their_constraints():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
