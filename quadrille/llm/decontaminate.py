@@ -7,6 +7,7 @@ ends the text, so these are the windows that are looked at, in every document:
 
 1. the 64-bit SimHash of the window's shingles is compared with the item's: in ``radius + 1`` blocks
    of bits, of which one must be equal (so nothing within the radius is lost), and then as a whole;
+   windows beyond the radius go on too if they hold enough of the item's shingles for the similarity;
 2. the similarity of the two bags of shingles (weighted by how often they stand there) is exact.
 
 The radius is wide, as windows just over the threshold differ in 11 of 64 bits on average, with a
@@ -90,7 +91,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
         hits = every.join(small_or_shuffled(seeds), "shingle")
         start = F.least(F.col("base") + F.col("pos"), F.greatest(F.col("n") - F.size("item"), F.lit(0)))
         windows = hits.select("doc_id", "text_hash", "item_id", "item", "item_print", start.alias("start"), F.slice("s", start - F.col("first") + 1, F.size("item")).alias("window"))
-        near = windows.where(let(F.col("window"), lambda w: let(simhash(w).bitwiseXOR(F.col("item_print")), lambda d: (F.bit_count(d) <= radius) & blocks_meet(d, radius))))
+        # farther windows are tested too, unless the similarity is out of reach even if all that they share with the item counts
+        reach = lambda w: let(F.size(F.filter(w, lambda x: F.array_contains("item", x))), lambda o: o >= similar * (F.size(w) + F.size("item") - o))
+        near = windows.where(let(F.col("window"), lambda w: let(simhash(w).bitwiseXOR(F.col("item_print")), lambda d: (F.bit_count(d) <= radius) & blocks_meet(d, radius)) | reach(w)))
         share = let(F.col("window"), lambda w: let(bag_overlap(w, F.col("item")), lambda o: o / (F.size(w) + F.size("item") - o)))
         alike = near.withColumn("similarity", share).where(F.col("similarity") >= similar)
         part = alike.select("doc_id", "text_hash", "item_id", "start", "similarity")

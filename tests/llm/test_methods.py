@@ -35,6 +35,13 @@ def test_leaks_are_removed_and_clean_documents_stay(spark):
     assert {r["doc_id"] for r in decontaminate.remove(docs, items).collect()} == {2, 3, 4, 5} - (set(exact) - {1})
 
 
+def test_windows_with_far_prints_are_compared(spark):
+    docs = spark.createDataFrame([(1, "y x y x y x y x y x y"), (2, "x y x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x y x y x y x y x y x")], "item_id long, text string")
+    assert [(r["doc_id"], r["similarity"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 0.75)]
+    assert [(r["doc_id"], r["similarity"]) for r in decontaminate.contaminated(docs, items, radius=0).collect()] == [(1, 0.75)]
+
+
 def test_mixing_hits_the_weights(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
     n = {r["source"]: r["n"] for r in mixing.mix(docs, {"a": 3.0, "b": 1.0}, size=8000).groupBy("source").agg(F.count("*").alias("n")).collect()}
