@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,13 +228,13 @@ def statistics(docs: DataFrame, trees: Trees | None) -> DataFrame:
 def keep(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """The documents that pass, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def passes(text: pd.Series) -> pd.Series:
-        counts, x = measure(pa.array(text, pa.binary()))
-        failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
-        return pd.Series(~failed & ((trees.score(x) if trees else np.ones(len(x))) >= KEEP_AT))
+    def rows(batches):
+        for batch in pieces(batches):
+            counts, x = measure(batch.column("text"))
+            failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
+            yield batch.filter(pa.array(~failed & ((trees.score(x) if trees else np.ones(len(x))) >= KEEP_AT)))
 
-    return docs.where(passes(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
