@@ -9,7 +9,7 @@ sorted by it, which is a global shuffle.
 Defined results: a null source is a source of its own; a source without a weight has weight 0; a
 document with a null id draws by the id ``null``; repeated rows draw alike; null or empty text does
 not matter; an empty table gives an empty table. Input columns called ``mix_copy`` or ``mix_order``
-are replaced.
+are replaced; columns of any other name are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled
+from .common import free_name, small_or_shuffled
 
 SEED = 17
 #: Without given weights they are proportional to the number of documents to this power.
@@ -48,7 +48,7 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
     terms = rates.where("rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int"))))
     chance = terms.withColumn("lf", F.sum(F.ln(F.greatest(k, F.lit(1.0)))).over(by_source)).withColumn("p", F.exp(k * F.ln("rate") - F.col("rate") - F.col("lf")))
     steps = chance.withColumn("c", F.sum("p").over(by_source)).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x.c).alias("steps"))
-    return steps.withColumnsRenamed({"source": "_mix_source", "steps": "_mix_steps"})
+    return steps
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: int | None = None, seed: int = SEED) -> DataFrame:
@@ -58,18 +58,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: i
     Spark joins by shuffle, where adaptive execution splits a hot source.
     """
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
-    steps = small_or_shuffled(poisson_steps(source_rates(docs, weights, size)))
+    own = {c: free_name(docs, c) for c in ("rate_source", "steps", "draw", "repeats", "spread")}
+    steps = small_or_shuffled(poisson_steps(source_rates(docs, weights, size)).withColumnsRenamed({"source": own["rate_source"], "steps": own["steps"]}))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     uniform = hash48(F.lit(str(seed)), doc) / F.lit(float(2**48))
     drawn = (
-        docs.select(*names).withColumn("_mix_u", uniform)
-        .join(steps, F.col("source").eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_n", F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u"))))
-        .where("_mix_n > 0")
-        .select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n").cast("long"))).alias("mix_copy"))
+        docs.select(*names).withColumn(own["draw"], uniform)
+        .join(steps, F.col("source").eqNullSafe(F.col(own["rate_source"])))
+        .withColumn(own["repeats"], F.size(F.filter(own["steps"], lambda c: c <= F.col(own["draw"]))))
+        .where(F.col(own["repeats"]) > 0)
+        .select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["repeats"]).cast("long"))).alias("mix_copy"))
     )
     dealt = drawn.withColumn("mix_order", hash48(F.lit(str(seed)), doc, F.col("mix_copy").cast("string")))
-    return dealt.repartition("mix_order").sortWithinPartitions("mix_order", "mix_copy")
+    # rows without an id, or with the same one, have one order value; their texts spread them
+    dealt = dealt.withColumn(own["spread"], F.xxhash64(*[c for c in ("mix_order", "text") if c in dealt.columns], F.spark_partition_id()))
+    return dealt.repartition(own["spread"]).sortWithinPartitions("mix_order", "mix_copy").drop(own["spread"])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
