@@ -193,17 +193,19 @@ def grow(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...] = tuple(FEATURES.v
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trees for the label ``quality`` from the ``sample`` labelled documents of smallest hash."""
-    chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where("_quality is not null and _id is not null")
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(sample)
-    # sample bounds the rows, so that they may be broadcast and their features collected
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_quality", F.col("text").cast("binary").alias("text"))
+    chosen = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label_quality")).where("label_quality is not null and label_id is not null")
+    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "label_quality").limit(sample)
+    # sample bounds the labels, so that they may be broadcast
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", F.col("label_quality").cast("int").alias("label_quality"), "text")
 
     def features(batches):
         for batch in pieces(batches):
             x = measure(batch.column("text"))[1]
-            yield pa.RecordBatch.from_arrays([batch.column("_quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_id").cast(pa.int64()), batch.column("label_quality"), pa.array(list(x), pa.list_(pa.float64()))], ["label_id", "quality", "x"])
 
-    got = rows.mapInArrow(features, "quality int, x array<double>").toPandas()
+    # ids that many rows have bring more rows than there are labels: of these, sample too
+    measured = rows.mapInArrow(features, "label_id long, quality int, x array<double>")
+    got = measured.orderBy(F.xxhash64("label_id"), "label_id", "quality", "x").limit(sample).select("quality", "x").toPandas()
     if not len(got):
         return None
     x, y = np.stack(got["x"]), got["quality"].to_numpy(float)
