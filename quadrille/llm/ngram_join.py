@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket_count, bucket_of, joined, pack, runs, squeeze, unpack, unsqueeze
-from .common import documents, materialised, small_or_shuffled
+from .common import documents, free_name, materialised, small_or_shuffled
 from .components import components
 from .kernel import U, mixed, pieces, shingle_sets, utf8, words
 
@@ -331,15 +331,19 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest id (of equal ids that of the smallest text hash), and all without words."""
+    """One document of each group, that of the smallest id (of equal ids that of the smallest text hash), and all without words.
+
+    Rows of one id and text are one document; columns of any name are kept.
+    """
     found = materialised(groups(docs).where("n_shingles > 0"))
-    first = found.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("_comp")).agg(F.min("text_hash").alias("_first"))
-    judged = found.join(first, F.col("component_id").eqNullSafe(F.col("_comp")), "left")
-    key = [F.col("row_key").alias("_key"), F.col("text_hash").alias("_hash")]
-    losers = materialised(judged.where("not (doc_id <=> component_id) or text_hash > _first").select(*key).distinct())
-    same = lambda d: (F.coalesce(d["doc_id"].cast("long"), F.shiftrightunsigned(F.xxhash64(d["text"]), 1) * -1) == F.col("_key")) & (F.xxhash64(d["text"]) == F.col("_hash"))
+    first = found.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("comp")).agg(F.min("text_hash").alias("first_hash"))
+    judged = found.join(first, F.col("component_id").eqNullSafe(F.col("comp")), "left")
+    own = [free_name(docs, c) for c in ("row_key", "row_hash", "held")]
+    key = [F.col("row_key").alias(own[0]), F.col("text_hash").alias(own[1])]
+    losers = materialised(judged.where("not (doc_id <=> component_id) or text_hash > first_hash").select(*key).distinct())
+    same = lambda d: (F.coalesce(d["doc_id"].cast("long"), F.shiftrightunsigned(F.xxhash64(d["text"]), 1) * -1) == F.col(own[0])) & (F.xxhash64(d["text"]) == F.col(own[1]))
     kept = docs.join(small_or_shuffled(losers, BROADCAST_PAIRS), same(docs), "left_anti")
-    again = materialised(found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_hash"))
+    again = materialised(found.groupBy(*key).agg(F.count(F.lit(1)).alias(own[2])).where(F.col(own[2]) > 1).select(*own[:2]))
     if not again.limit(1).count():
         return kept
     again = small_or_shuffled(again, BROADCAST_PAIRS)
