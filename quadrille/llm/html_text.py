@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,11 @@ ENDED_BY = {
     "p": {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "address", "fieldset"},
     "head": {"body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A tag whose quotes are closed; anything else, a tag with a broken attribute ends at the next angle bracket. Neither looks back.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>?|[^<]++|<", re.S)
+#: So many broken tags of a page are read to the page's end for their quotes; later ones, and all after them, end at the next bracket.
+BROKEN = 64
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: An attribute list without any of these needs no parsing.
 TELLING = re.compile("class|id|role", re.I)
@@ -74,7 +78,8 @@ TELLING = re.compile("class|id|role", re.I)
 HOLDING = {"has", "with", "no", "without", "show", "hide", "hides", "shows"}
 #: Never judged by class or id.
 WHOLE = {"html", "body", "main", "article"}
-SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
+#: White space of any kind, Unicode's too.
+SPACES = re.compile(r"\s+")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -114,37 +119,56 @@ def blocks(page: str) -> list[tuple[bool, str]]:
     the articles within the fewest such elements are the page's, and what holds them speaks. If
     there is no article and nothing else has text, the outermost such elements speak.
     """
-    found = list(_open_blocks(page))
-    articles = [over for _, over, _ in found if over is not None]
-    if articles:
-        least = min(map(len, articles))
-        speaking = {e for over in articles if len(over) == least for e in over}
-        return [(over is not None, text) for soft, over, text in found if speaking.issuperset(soft)]
-    least = min((len(soft) for soft, _, _ in found), default=0)
-    speaking = {e for soft, _, _ in found if len(soft) == least for e in soft}
-    return [(False, text) for soft, _, text in found if speaking.issuperset(soft)]
-
-
-def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] | None, str]]:
-    """(elements around it that class, id or form would silence, those around its outermost article or None, text)."""
+    found, parent = _open_blocks(page)
+    depth, named = [0], [True]  # of each element that class, id or form would silence, from place 1 on
+    for up in parent[1:]:
+        depth.append(depth[up] + 1)
+        named.append(False)
+    marks = {over for _, over, _ in found if over is not None} or {soft for soft, _, _ in found}
+    least = min((depth[e] for e in marks), default=0)
+    for e in marks:
+        if depth[e] == least:
+            while not named[e]:
+                named[e], e = True, parent[e]
+    speaks = [True]
+    for e in range(1, len(parent)):
+        speaks.append(named[e] and speaks[parent[e]])
+    return [(over is not None, text) for soft, over, text in found if speaks[soft]]
+
+
+def _open_blocks(page: str) -> tuple[list[tuple[int, int | None, str]], list[int]]:
+    """([(element around it that class, id or form would silence, that around its outermost article or None, text)], parents).
+
+    Such elements are numbered from 1 and name the one around them; 0 is none. Every step consumes what
+    it reads, so a page takes time in proportion to its length.
+    """
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, boilerplate unless it holds the article, article
+    opened: Counter[str] = Counter()
+    block_at: list[int] = []  # places in the stack of elements that are not inline
     parts: list[str] = []
-    soft: list[int] = []
-    over: list[tuple[int, ...]] = []
-    quiet, opened, silent = 0, 0, ""
+    soft, parent = [0], [0]
+    over: list[int] = []
+    quiet, silent, broken = 0, "", 0
+    found: list[tuple[int, int | None, str]] = []
 
     def flush():
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip(" ")
         parts.clear()
-        return [(tuple(soft), over[0] if over else None, text)] if text else []
+        if text:
+            found.append((soft[-1], over[0] if over else None, text))
 
-    def ended(element):
+    def pop() -> str:
         nonlocal quiet
+        element = stack.pop()
+        opened[element[0]] -= 1
+        if block_at and block_at[-1] == len(stack):
+            block_at.pop()
         quiet -= element[1]
         if element[2]:
             soft.pop()
         if element[3]:
             over.pop()
+        return element[0]
 
     at = 0
     while at < len(page):
@@ -152,7 +176,10 @@ def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] |
             end = re.compile(rf"</{silent}\s*>", re.I).search(page, at)
             at, silent = (end.end() if end else len(page)), ""
             continue
-        m = TOKEN.match(page, at)
+        m = TAG.match(page, at) if page[at] == "<" and broken < BROKEN else None
+        if not m:
+            m = PART.match(page, at)
+            broken += bool(m[2])
         at = m.end()
         tag = m[2] and m[2].lower()
         if not tag:
@@ -161,22 +188,22 @@ def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] |
                     parts.append(m[0])
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            depth = len(stack)
+            if opened[tag]:
+                depth -= 1
+                while stack[depth][0] != tag:
+                    depth -= 1
             # an inline element may be judged by its attributes too, and its text is then a block of its own
-            if tag not in INLINE or depth >= 0 and any(e[2] or e[3] for e in stack[depth:]):
-                yield from flush()
-            if depth >= 0:
-                while len(stack) > depth:
-                    ended(stack.pop())
+            if tag not in INLINE or any(e[2] or e[3] for e in stack[depth:]):
+                flush()
+            while len(stack) > depth:
+                pop()
             continue
         if tag not in INLINE:
-            yield from flush()
-            while stack and tag in ENDED_BY.get(next((e[0] for e in reversed(stack) if e[0] not in INLINE), ""), ()):
-                while True:
-                    element = stack.pop()
-                    ended(element)
-                    if element[0] not in INLINE:
-                        break
+            flush()
+            while block_at and tag in ENDED_BY.get(stack[block_at[-1]][0], ()):
+                while pop() in INLINE:
+                    pass
         if tag in ("script", "style", "textarea", "noscript", "template", "iframe") and not m[3].rstrip().endswith("/"):
             silent = tag
             continue
@@ -184,15 +211,19 @@ def _open_blocks(page: str) -> Iterator[tuple[tuple[int, ...], tuple[int, ...] |
             continue
         hard, gentle, article = _judged(tag, m[3])
         if tag in INLINE and (gentle or article):
-            yield from flush()
+            flush()
+        if tag not in INLINE:
+            block_at.append(len(stack))
         stack.append((tag, hard, gentle, article))
+        opened[tag] += 1
         quiet += hard
         if article:
-            over.append(tuple(soft))
+            over.append(soft[-1])
         if gentle:
-            soft.append(opened)
-            opened += 1
-    yield from flush()
+            parent.append(soft[-1])
+            soft.append(len(parent) - 1)
+    flush()
+    return found, parent
 
 
 def parsed(pages_: DataFrame) -> DataFrame:
