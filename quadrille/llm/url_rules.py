@@ -13,6 +13,7 @@ judged once per distinct (host, path), so hot hosts and repeated urls do not gat
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,10 +33,14 @@ class Rule:
 
 
 def host_rule(verdict: str, name: str) -> Rule:
-    """``host/path``: fits the host, its subdomains, and paths that start with the path. Rank: length."""
+    """``host/path``: fits the host, its subdomains, and paths that start with the path. Rank: length.
+
+    Tokens of the path count as far as the rule ends them.
+    """
     host, _, path = name.partition("/")
-    quoted = "".join("\\" + c if c in ".-+*?()[]{}^$|\\/" else c for c in host)
-    return Rule(name, rf"^(?:[^/]*\.)?{quoted}/{path}", tuple(t for t in host.split(".") if t), verdict, 1000 + len(name), True)
+    whole = re.split("[^a-z0-9]+", f"{host}/{path}".lower())
+    quoted, begun = ("".join("\\" + c if c in ".-+*?()[]{}^$|\\/" else c for c in part) for part in (host, path))
+    return Rule(name, rf"^(?:[^/]*\.)?{quoted}/{begun}", tuple(t for t in whole[:-1] if t), verdict, 1000 + len(name), True)
 
 
 #: The rules of the contract.
@@ -67,11 +72,13 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + OWN_RULES) ->
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     split_up = urls.withColumn("_host", host).withColumn("_path", path).select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"))
     distinct = split_up.select("host", "path").distinct()
-    tokens = distinct.select("host", "path", F.explode(F.array_distinct(F.split(F.lower(F.col("host")), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
-    wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    # rules without a token are filed under "", which every url then looks up
+    own = F.array_remove(F.array_distinct(F.split(lower_ascii(F.concat("host", "path")), "[^a-z0-9]+")), "")
+    tokens = distinct.select("host", "path", F.explode(own if all(r.tokens for r in rules) else F.concat(own, F.array(F.lit("")))).alias("token"))
+    wanted = spark.createDataFrame([(t,) for t in sorted({t.lower() for r in rules for t in r.tokens})], "token string")
     # the number of rows is that of the rules' tokens, whatever the input
     df = {r["token"]: r["n"] for r in tokens.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    filed = [(min(r.tokens, key=lambda t: (df.get(t, 0), t)), r.name, r.pattern, r.verdict, r.rank, r.base) for r in rules]
+    filed = [(min((t.lower() for t in r.tokens), key=lambda t: (df.get(t, 0), t), default=""), r.name, r.pattern, r.verdict, r.rank, r.base) for r in rules]
     index = small_or_shuffled(spark.createDataFrame(filed, "token string, name string, pattern string, verdict string, rank int, base boolean"))
     hits = tokens.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct("name", "verdict", "base"), F.struct(-F.col("rank"), F.col("name"))).alias("best"))
