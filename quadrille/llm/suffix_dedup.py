@@ -105,7 +105,7 @@ def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 BINARY = pa.binary()
-ANCHORS = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY), ("held_keys", BINARY), ("held_docs", BINARY)])
+ANCHORS = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY), ("many", BINARY), ("held_keys", BINARY), ("held_docs", BINARY)])
 SHARED = pa.schema([("bucket", pa.int32()), ("keys", BINARY), ("docs", BINARY)])
 TEXTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY)])
 SEGMENTS = pa.schema([("bucket", pa.int32()), ("texts", BINARY), ("sizes", BINARY), ("docs", BINARY), ("starts", BINARY), ("families", BINARY), ("held_docs", BINARY), ("held_starts", BINARY), ("held_ends", BINARY), ("salts", BINARY), ("held_salts", BINARY)])
@@ -113,7 +113,7 @@ RANGES = pa.schema([("bucket", pa.int32()), ("docs", BINARY), ("starts", BINARY)
 
 
 def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by key. Those of several documents of a chunk are held, and travel once as doc -1."""
+    """Anchors by key. Those of several documents of a chunk are held, and travel once among many."""
 
     def chunk(keys, ids):
         k, d = np.concatenate(keys), np.concatenate(ids)
@@ -125,12 +125,13 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         several = np.diff(at) > 1
         inside = np.repeat(several, np.diff(at))
         hk, hd = k[inside], d[inside]
-        k, d = k[at[:-1]], np.where(several, -1, d[at[:-1]])
+        many, k, d = k[at[:-1]][several], k[at[:-1]][~several], d[at[:-1]][~several]
         held = dict(_cuts(bucket_of(hk << U(16), buckets), buckets))
-        for b, s in _cuts(bucket_of(k << U(16), buckets), buckets):
-            h = held.get(b, slice(0, 0))
-            # docs are numbered from 1 in the block, so that -1 does not widen it
-            yield b, pack(k[s]), squeeze(d[s]), pack(hk[h]), squeeze(hd[h])
+        more = dict(_cuts(bucket_of(many << U(16), buckets), buckets))
+        alone = dict(_cuts(bucket_of(k << U(16), buckets), buckets))
+        for b in sorted(alone.keys() | more.keys()):
+            s, m, h = (x.get(b, slice(0, 0)) for x in (alone, more, held))
+            yield b, pack(k[s]), squeeze(d[s]), pack(many[m]), pack(hk[h]), squeeze(hd[h])
 
     def rows(batches):
         keys, ids, n = [], [], 0
@@ -155,11 +156,14 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
     def bucket(table: pa.Table) -> pa.Table:
         k, d = joined(table, "keys", unpack), joined(table, "docs", unsqueeze)
         hk, hd = joined(table, "held_keys", unpack), joined(table, "held_docs", unsqueeze)
+        many = joined(table, "many", unpack)
+        single = np.repeat([True, False], [len(k), len(many)])
+        k, d = np.concatenate([k, many]), np.concatenate([d, np.zeros(len(many), np.int64)])
         order = np.argsort(k, kind="stable")
-        k, d = k[order], d[order]
+        k, d, single = k[order], d[order], single[order]
         at = runs(k)
-        several = np.minimum.reduceat(d, at[:-1]) != np.maximum.reduceat(d, at[:-1])
-        go = np.repeat(several, np.diff(at)) & (d >= 0)
+        several = (np.minimum.reduceat(d, at[:-1]) != np.maximum.reduceat(d, at[:-1])) | ~np.logical_and.reduceat(single, at[:-1])
+        go = np.repeat(several, np.diff(at)) & single
         k, d = np.concatenate([hk, k[go]]), np.concatenate([hd, d[go]])
         home = doc_bucket(d, buckets)
         order = np.lexsort((k, d, home))
