@@ -12,7 +12,7 @@ is written in full and the others as revisits. Defined results: null html is an
 null url is an empty target; line ends in urls become spaces, and blanks around
 urls go; a page without a page_id is a
 response unless an equal payload has an id; repeated rows are captures of their own, and rows that
-share the smallest page_id are all responses; a capture whose request or metadata is missing has
+share the smallest page_id are all responses (revisits then name the page, not one of its records); a capture whose request or metadata is missing has
 null there; of several records of a kind in one capture the smallest by id is kept; an empty table
 gives no archive rows.
 """
@@ -37,9 +37,10 @@ RECORD = "warc_type string, record_id string, concurrent_to string, target_uri s
 
 
 def first_holders(captures: DataFrame) -> DataFrame:
-    """(digest, first_page): payloads that several pages hold, with the smallest of their ids."""
-    held = captures.where(F.col("_bytes") >= MIN_REVISIT_BYTES).groupBy("_digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
-    return held.where("n > 1 and first_page is not null").select(F.col("_digest").alias("digest"), "first_page")
+    """(digest, first_page, alone): payloads that several pages hold, with the smallest of their ids, and whether one row has it."""
+    ids = captures.where(F.col("_bytes") >= MIN_REVISIT_BYTES).groupBy("_digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    held = ids.groupBy(F.col("_digest").alias("digest")).agg(F.min("page_id").alias("first_page"), F.min_by("n", "page_id").alias("first_n"), F.sum("n").alias("n"))
+    return held.where("n > 1 and first_page is not null").select("digest", "first_page", (F.col("first_n") == 1).alias("alone"))
 
 
 def _record(kind: str, headers: list, block) -> F.Column:
@@ -55,8 +56,11 @@ def write_captures(pages_: DataFrame, path: str) -> None:
     page = page.withColumns({"_bytes": F.octet_length("html").cast("long"), "_digest": F.sha2("html", 256)})
     held = small_or_shuffled(first_holders(page))
     revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    id_ = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
-    page = page.join(held, (F.col("_digest") == F.col("digest")) & (F.col("_bytes") >= MIN_REVISIT_BYTES), "left").withColumn("id", id_)
+    number = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    page = page.withColumn("number", F.monotonically_increasing_id()).join(held, (F.col("_digest") == F.col("digest")) & (F.col("_bytes") >= MIN_REVISIT_BYTES), "left")
+    # a response that revisits refer to has the id that they name
+    named_so = F.col("alone") & F.col("page_id").eqNullSafe(F.col("first_page"))
+    page = page.withColumn("id", F.when(named_so, F.concat(number, F.lit(">"))).otherwise(F.concat(number, F.lit(":"), F.col("number").cast("string"), F.lit(">"))))
     named = lambda kind: F.concat(F.lit(f"<urn:{kind}:"), F.substring_index("id", "<urn:", -1))
     uri = ("WARC-Target-URI", F.col("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest")))
