@@ -10,7 +10,7 @@ TYPES = {
     "labels": pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]),
 }
 #: Columns with names that the operators use themselves.
-CLASHING = ("host", "kept", "score", "spans", "w", "n", "id", "row", "token", "steps", "verdict", "similarity", "mix_copy")
+CLASHING = ("host", "kept", "score", "spans", "w", "n", "id", "row", "token", "steps", "verdict", "similarity", "mix_copy", "_id", "_spans", "_hash", "_key", "_bad_id", "_mix_source", "comp", "row_key", "held", "bad_id", "draw", "repeats", "hash")
 
 BASE = "the quick brown fox jumps over the lazy dog while seven green birds sing about old rivers and new roads under a pale morning sky again"
 ITEM = "what is the capital city of the small northern country that lies between two long rivers and a cold grey sea"
