@@ -33,6 +33,7 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,9 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return hard, soft, article
 
 
+_judged_before = lru_cache(1 << 14)(_judged)
+
+
 def blocks(page: str) -> list[tuple[bool, str]]:
     """(in an article or main element, text) of each block that markup leaves.
 
@@ -152,8 +156,13 @@ def _open_blocks(page: str) -> tuple[list[tuple[int, int | None, str]], list[int
     found: list[tuple[int, int | None, str]] = []
 
     def flush():
-        text = SPACES.sub(" ", entities.unescape("".join(parts))).strip(" ")
+        if not parts:
+            return
+        text = "".join(parts)
         parts.clear()
+        if text.isspace():
+            return
+        text = SPACES.sub(" ", entities.unescape(text)).strip(" ")
         if text:
             found.append((soft[-1], over[0] if over else None, text))
 
@@ -209,7 +218,7 @@ def _open_blocks(page: str) -> tuple[list[tuple[int, int | None, str]], list[int
             continue
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        hard, gentle, article = _judged(tag, m[3])
+        hard, gentle, article = (_judged_before if len(m[3]) < 200 else _judged)(tag, m[3])
         if tag in INLINE and (gentle or article):
             flush()
         if tag not in INLINE:
