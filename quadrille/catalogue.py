@@ -384,6 +384,15 @@ def mvt_clipped_polygons(spark, d):
     return _clipped(spark, d, "Polygon", MvtOptions(0, 5))
 
 
+#: A box meets a tile in a rectangle, so a ring of four points is left unless a side rounds to nothing.
+_QUANTISED = ("round((greatest(m.x0, tx - pad) - tx) * (4096 / s))", "round((least(m.x1, tx + s + pad) - tx) * (4096 / s))", "round((ty - least(m.y1, ty + pad)) * (4096 / s))", "round((ty - greatest(m.y0, ty - s - pad)) * (4096 / s))")
+MVT_CLIPPED_POLYGONS = f"""with {BOX_M}, ds as (select min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from m), lim as (select z, {range_sql('z', 'x0', 'y0', 'x1', 'y1')} from ds, {ZOOMS.format(0, 5)}),
+t as (select z, x, unnest(generate_series(y_min, y_max)) y from (select *, unnest(generate_series(x_min, x_max)) x from lim)),
+r as (select z, x, y, x * {span('z')} - {OS} tx, {OS} - y * {span('z')} ty, {span('z')} s, {span('z')} * (64 / 4096::double) pad from t),
+q as (select k, z, x, y, {', '.join(f'{v} q{i}' for i, v in enumerate(_QUANTISED))} from m join r on m.x0 < tx + s + pad and m.x1 > tx - pad and m.y0 < ty + pad and m.y1 > ty - s - pad)
+select 'boxes' layer, k feature_ord, z, x, y, 1::int parts, 4::int points from q where q0 < q1 and q2 < q3"""
+
+
 def cog_blocks(spark, d):
     meta, cells = views.grid(spark, d)
     return cog.blocks(cells, meta, CogOptions(64)).select("level", "block_row", "block_col", F.octet_length("data").alias("bytes"))
@@ -425,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "mvt_quantize_points": MVT_QUANTIZE_POINTS,
         "mvt_quantize_lines": MVT_QUANTIZE_LINES,
         "mvt_ring_winding": MVT_RING_WINDING,
+        "mvt_clipped_polygons": MVT_CLIPPED_POLYGONS,
         "degenerate_by_zoom": DEGENERATE,
         "layer_fields": LAYER_FIELDS,
         "feature_ids": FEATURE_IDS,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def to_metres(features: DataFrame, crs: str | None = None) -> DataFrame:
     unknown = [r["layer"] for r in found.where("crs is null").limit(10).collect()]
     if unknown:
         raise TileError(f"the CRS of these layers can't be told from their extent: {unknown}")
-    joined = kept.join(F.broadcast(found.withColumnRenamed("layer", "_layer")), F.col("layer").eqNullSafe(F.col("_layer")), "left")
+    few = found.limit(20_001).count() <= 20_000
+    named = found.withColumnRenamed("layer", "_layer")
+    joined = kept.join(F.broadcast(named) if few else named, F.col("layer").eqNullSafe(F.col("_layer")), "left")
     return joined.withColumn("parts", F.when(F.col("crs") == "3857", F.col("parts")).otherwise(projected)).drop("crs", "_layer")
 
 
@@ -155,24 +158,29 @@ def layer_fields(props: DataFrame) -> DataFrame:
 
 def clip_line(p: np.ndarray, rect: tuple[float, float, float, float]) -> list[np.ndarray]:
     """The pieces of a line within a closed rectangle, in order: each segment's share, put together where they touch."""
-    x0, y0, x1, y1 = rect
-    pieces: list[list] = []
-    for a, b in zip(p[:-1], p[1:]):
-        t0, t1, d = 0.0, 1.0, b - a
-        for num, den in ((x0 - a[0], d[0]), (a[0] - x1, -d[0]), (y0 - a[1], d[1]), (a[1] - y1, -d[1])):
-            if den > 0:
-                t0 = max(t0, num / den)
-            elif den < 0:
-                t1 = min(t1, num / den)
-            elif num > 0:
-                t1 = -1.0
-        if t0 < t1:
-            start, end = a + d * t0 if t0 else a, a + d * t1 if t1 < 1 else b
-            if pieces and t0 == 0 and np.array_equal(pieces[-1][-1], start):
-                pieces[-1].append(end)
-            else:
-                pieces.append([start, end])
-    return [np.array(x) for x in pieces]
+    a, d = p[:-1], np.diff(p, axis=0)
+    t0, t1 = np.zeros(len(a)), np.ones(len(a))
+    for k in (0, 1):
+        moves = d[:, k] != 0
+        step = np.where(moves, d[:, k], 1.0)
+        low, high = (rect[k] - a[:, k]) / step, (rect[k + 2] - a[:, k]) / step
+        t0 = np.where(moves, np.maximum(t0, np.minimum(low, high)), t0)
+        t1 = np.where(moves, np.minimum(t1, np.maximum(low, high)), np.where((a[:, k] < rect[k]) | (a[:, k] > rect[k + 2]), -1.0, t1))
+    kept = np.flatnonzero(t0 < t1)
+    if not len(kept):
+        return []
+    # a segment goes on with the piece before it if the one before reaches their common point
+    goes_on = (np.diff(kept) == 1) & (t0[kept[1:]] == 0) & (t1[kept[:-1]] == 1)
+    out = []
+    for run in np.split(kept, np.flatnonzero(~goes_on) + 1):
+        i, j = run[0], run[-1]
+        piece = p[i : j + 2].copy()
+        if t0[i]:
+            piece[0] = a[i] + d[i] * t0[i]
+        if t1[j] < 1:
+            piece[-1] = a[j] + d[j] * t1[j]
+        out.append(piece)
+    return out
 
 
 def clip_half(rings: list[np.ndarray], axis: int, at: float, keep_above: bool) -> list[np.ndarray]:
@@ -275,35 +283,136 @@ def simplify(p: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
     return p[keep] if keep.sum() >= least else p
 
 
-def clipped(rows: DataFrame, options: MvtOptions) -> DataFrame:
-    """Rows of features and tiles with ``parts`` clipped to the buffered tile and simplified; empty ones go."""
-    schema = rows.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, keep = [], []
-            for kind, parts, z, x, y in zip(*(batch.column(c).to_pylist() for c in ("kind", "parts", "z", "x", "y"))):
-                span = 2 * M.ORIGIN_SHIFT_M / 2.0**z
-                pad = span * options.buffer / options.extent
-                rect = (x * span - M.ORIGIN_SHIFT_M - pad, M.ORIGIN_SHIFT_M - (y + 1) * span - pad, (x + 1) * span - M.ORIGIN_SHIFT_M + pad, M.ORIGIN_SHIFT_M - y * span + pad)
-                tol = span / options.extent * options.simplify
-                polys = [[np.array([(p["x"], p["y"]) for p in ring]) for ring in poly if ring] for poly in parts]
-                if "Point" in kind:
-                    got = [[np.array([p for p in ring if rect[0] <= p[0] <= rect[2] and rect[1] <= p[1] <= rect[3]]).reshape(-1, 2) for ring in poly] for poly in polys]
-                elif "Line" in kind:
-                    got = [[simplify(piece, tol)] for poly in polys for ring in poly for piece in clip_line(ring, rect)]
-                else:
-                    got = [[simplify(r, tol, 4) for r in poly] for poly in clip_polygons(polys, rect)]
-                got = [[r for r in poly if len(r)] for poly in got]
-                got = [poly for poly in got if poly]
-                keep.append(bool(got))
-                if got:
-                    out.append([[[{"x": float(a), "y": float(b)} for a, b in ring] for ring in poly] for poly in got])
-            left = batch.filter(pa.array(keep, pa.bool_()))
-            at = left.schema.get_field_index("parts")
-            yield left.set_column(at, left.schema.field(at), pa.array(out, left.schema.field(at).type))
-
-    return rows.mapInArrow(cut, schema)
+#: Zooms that one pass descends, after a first one to zoom 2: a row makes 4 + 16 + 64 rows at most.
+STEP = 3
+
+
+def clip(kind: str, polys: list[list[np.ndarray]], rect: tuple[float, float, float, float]) -> list[list[np.ndarray]]:
+    """The share of a geometry within a rectangle; empty if there is none."""
+    if "Polygon" in kind:
+        return clip_polygons(polys, rect)
+    if "Line" in kind:
+        return [[piece] for poly in polys for ring in poly if len(ring) > 1 for piece in clip_line(ring, rect)]
+    inside = [[r[((r >= rect[:2]) & (r <= rect[2:])).all(1)] for r in poly] for poly in polys]
+    return [poly for poly in ([r for r in poly if len(r)] for poly in inside) if poly]
+
+
+def simplified(kind: str, polys: list[list[np.ndarray]], tolerance: float) -> list[list[np.ndarray]]:
+    if "Point" in kind:
+        return polys
+    return [[simplify(r, tolerance, 4 if "Polygon" in kind else 2) for r in poly] for poly in polys]
+
+
+def geometries(parts: pa.ListArray) -> list[list[list[np.ndarray]]]:
+    """Polygons of rings of each row, as views on one array of points."""
+    polys, rings = parts.values, parts.values.values
+    points = rings.values
+    xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+    at, poly_at, ring_at = (a.offsets.to_numpy() for a in (parts, polys, rings))
+    ring = lambda r: xy[ring_at[r] : ring_at[r + 1]]
+    return [[[ring(r) for r in range(poly_at[k], poly_at[k + 1]) if ring_at[r] < ring_at[r + 1]] for k in range(at[i], at[i + 1])] for i in range(len(parts))]
+
+
+def parts_of(rows: list[list[list[np.ndarray]]]) -> pa.ListArray:
+    """The opposite of ``geometries``."""
+    polys = [poly for row in rows for poly in row]
+    rings = [r for poly in polys for r in poly]
+    xy = np.concatenate(rings) if rings else np.empty((0, 2))
+    out = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    for level in (rings, polys, rows):
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in level])]).astype(np.int32)), out)
+    return out
+
+
+def buffered_rect(z: int, x: int, y: int, share: float) -> tuple[float, float, float, float]:
+    span = 2 * M.ORIGIN_SHIFT_M / 2.0**z
+    pad = span * share
+    return x * span - M.ORIGIN_SHIFT_M - pad, M.ORIGIN_SHIFT_M - (y + 1) * span - pad, (x + 1) * span - M.ORIGIN_SHIFT_M + pad, M.ORIGIN_SHIFT_M - y * span + pad
+
+
+def descend(kind: str, polys: list[list[np.ndarray]], z: int, x: int, y: int, last: int, share: float) -> Iterator[tuple[int, int, int, list]]:
+    """(z, x, y, share of the geometry) of a tile's descendants down to zoom ``last``, each cut from its parent's share."""
+    if z == last or not polys:
+        return
+    low = np.min([r.min(0) for poly in polys for r in poly], axis=0)
+    high = np.max([r.max(0) for poly in polys for r in poly], axis=0)
+    for k in range(4):
+        child = z + 1, 2 * x + (k & 1), 2 * y + (k >> 1)
+        rect = buffered_rect(*child, share)
+        if low[0] > rect[2] or high[0] < rect[0] or low[1] > rect[3] or high[1] < rect[1]:
+            continue
+        within = low[0] >= rect[0] and high[0] <= rect[2] and low[1] >= rect[1] and high[1] <= rect[3]
+        own = polys if within else clip(kind, polys, rect)
+        if own:
+            yield *child, own
+            yield from descend(kind, own, *child, last, share)
+
+
+def clipped_tiles(features: DataFrame, options: MvtOptions) -> DataFrame:
+    """Features with each tile (z, x, y) that they show in, ``parts`` clipped to the buffered tile and simplified.
+
+    Geometry goes down zoom by zoom and a tile is cut from its parent's share, whose buffer is twice
+    as wide, so a large geometry is read whole once, not once per tile. A pass descends ``STEP``
+    zooms; between passes the shares are dealt out anew by tile, so one feature over many tiles is
+    work for many tasks. Tiles are those of the dataset's unbuffered bounds.
+    """
+    boxes = with_bbox(features)
+    b = dataset_bounds(boxes).first()
+    # the open flag marks shares that the next pass cuts further
+    rows = boxes.select(*features.columns, F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("open"))
+    if b is None or b["min_x"] is None:
+        return rows.where("false").drop("open")
+    spark, share = features.sparkSession, options.buffer / options.extent
+    ranges = M.tile_range(F.col("z"), *(F.lit(b[c]) for c in ("min_x", "min_y", "max_x", "max_y")))
+    limits = {r[0]: tuple(r[1:]) for r in spark.range(options.max_zoom + 1).select(F.col("id").cast("int").alias("z")).select("z", *ranges).collect()}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    names, tasks = rows.columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def one_pass(first: bool, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                open_ = batch.column("open")
+                done = batch.filter(pa.compute.invert(open_))
+                if len(done):
+                    yield done
+                todo = batch.filter(open_)
+                made: list[tuple] = []
+                held = 0
+
+                def packed() -> pa.RecordBatch:
+                    source, z, x, y, polys, further = zip(*made)
+                    new = {"z": pa.array(z, pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "parts": parts_of(list(polys)), "open": pa.array(further)}
+                    taken = todo.select([c for c in names if c not in new]).take(pa.array(source))
+                    columns = [new[c] if c in new else taken.column(c) for c in names]
+                    if first:
+                        return pa.RecordBatch.from_arrays(columns, names)
+                    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, batch.schema)], schema=batch.schema)
+
+                for i, (kind, polys, *tile) in enumerate(zip(todo.column("kind").to_pylist(), geometries(todo.column("parts")), *(todo.column(c).to_pylist() for c in ("z", "x", "y")))):
+                    own = clip(kind, polys, buffered_rect(*tile, share)) if first else polys
+                    for z, x, y, got in [(*tile, own)] * first + list(descend(kind, own, *tile, last, share)):
+                        x0, x1, y0, y1 = limits[z]
+                        if got and z >= options.min_zoom and x0 <= x <= x1 and y0 <= y <= y1:
+                            made.append((i, z, x, y, simplified(kind, got, 2 * M.ORIGIN_SHIFT_M / 2.0**z / options.extent * options.simplify), False))
+                        if got and z == last < options.max_zoom:
+                            made.append((i, z, x, y, got, True))
+                        held += sum(len(r) for poly in got for r in poly) + 20
+                    if held > 200_000:
+                        if made:
+                            yield packed()
+                        made, held = [], 0
+                if made:
+                    yield packed()
+
+        return run
+
+    last, first = min(2, options.max_zoom), True
+    while True:
+        rows = rows.mapInArrow(one_pass(first, last), schema)
+        if last == options.max_zoom:
+            return rows.drop("open")
+        rows = rows.repartition(tasks, "z", "x", "y", "feature_ord", "layer_ord")
+        last, first = min(last + STEP, options.max_zoom), False
 
 
 def tile_geometry(rows: DataFrame, extent: int = 4096) -> DataFrame:

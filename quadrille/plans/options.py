@@ -73,8 +73,8 @@ class MvtOptions:
 
     def __post_init__(self):
         check_zooms(self.min_zoom, self.max_zoom)
-        if self.extent <= 0:
-            raise TileError("extent must be above 0")
+        if self.extent <= 0 or self.buffer < 0:
+            raise TileError("extent must be above 0, and the buffer not below")
 
 
 @dataclass(frozen=True)

@@ -72,10 +72,9 @@ def raster_tileset(cells: DataFrame, meta: RasterMeta, options: PyramidOptions =
 
 
 def feature_tiles(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
-    """Features in metres with each tile they show in: ``geom`` in tile coordinates. No shuffle."""
-    met = vector.tiles_of(vector.with_bbox(features), options.min_zoom, options.max_zoom, options.buffer, options.extent)
-    kept = met.select("layer", "layer_ord", "feature_ord", "kind", "id", "props", "parts", "z", "x", "y")
-    return vector.tile_geometry(vector.clipped(kept, options), options.extent).drop("parts")
+    """Features in metres with each tile they show in: ``geom`` in tile coordinates."""
+    cut = vector.clipped_tiles(features.select("layer", "layer_ord", "feature_ord", "kind", "id", "props", "parts"), options)
+    return vector.tile_geometry(cut, options.extent).drop("parts")
 
 
 def vector_tileset(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
