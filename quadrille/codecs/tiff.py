@@ -45,23 +45,81 @@ def epsg(tags: dict[int, tuple]) -> int | None:
     return next((found[k] for k in (3072, 2048) if found.get(k, 0) > 0), None)
 
 
+def lzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, most significant bit first, widened one code early."""
+    clear, end = 256, 257  # fixed values
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, table, width, held, bits, last = [], list(single), 9, 0, 0, None
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == clear:
+            table, width, last = list(single), 9, None
+            continue
+        if code == end:
+            break
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + entry[:1])
+            if width < 12 and len(table) == (1 << width) - 1:
+                width += 1
+        out.append(entry)
+        last = entry
+    return b"".join(out)
+
+
+def packbits(data: bytes) -> bytes:
+    """Runs: n below 128 is followed by n + 1 bytes as they are, n above 128 by one byte that stands 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 1 + (n > 128)
+    return bytes(out)
+
+
+#: Compression codes.
+DECODERS = {1: bytes, 5: lzw, 8: zlib.decompress, 32773: packbits, 32946: zlib.decompress}
+
+
+def unpredicted(raw: bytes, kind: np.dtype, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """A block's samples: as they are (1), as differences along a row (2), or as differences of the bytes of floats, most significant first (3)."""
+    rows, cols, samples = shape
+    n = rows * cols * samples
+    if predictor == 3:
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize).reshape(rows, -1, samples).cumsum(1, dtype=np.uint8)
+        values = planes.reshape(rows, kind.itemsize, cols * samples).transpose(0, 2, 1)
+        return np.ascontiguousarray(values).view(kind.newbyteorder(">")).reshape(shape)
+    block = np.frombuffer(raw, kind, n).reshape(shape)
+    return block.cumsum(1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
 def blocks(data: bytes):
-    """(first row, first col, (h, w, samples) float64 array) of each strip or tile: plain or deflate, chunky."""
+    """(first row, first col, first band from 0, (h, w, samples) float64 array) of each strip or tile; with separate planes a block holds one band."""
     order, tags = first_directory(data)
     one = lambda t, d: tags.get(t, (d,))[0]
-    w, h, samples, coding = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, 1)
-    if coding not in (1, 8, 32946) or one(PLANAR, 1) != 1 and samples > 1 or one(PREDICTOR, 1) != 1:
-        raise ValueError("only plain or deflated chunky TIFF without predictor is read")
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}[one(SAMPLE_FORMAT, 1)] + str(one(BITS, 8) // 8)).newbyteorder(order)
+    w, h, samples, coding, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    form, bits = one(SAMPLE_FORMAT, 1), one(BITS, 8)
+    if coding not in DECODERS or predictor not in (1, 2, 3) or form not in (1, 2, 3) or bits not in (8, 16, 32, 64) or predictor == 2 and form == 3 or predictor == 3 and form != 3:
+        raise ValueError(f"TIFF of compression {coding}, predictor {predictor}, sample format {form} and {bits} bits is not read")
+    kind = np.dtype({1: "u", 2: "i", 3: "f"}[form] + str(bits // 8)).newbyteorder(order)
     tiled = TILE_OFFSETS in tags
     bw, bh = (one(TILE_W, w), one(TILE_H, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
-    across = -(-w // bw)
+    across, down = -(-w // bw), -(-h // bh)
+    held = 1 if one(PLANAR, 1) == 2 else samples
     for k, (at, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS])):
-        raw = data[at : at + n] if coding == 1 else zlib.decompress(data[at : at + n])
-        r, c = k // across * bh, k % across * bw
+        plane, place = divmod(k, across * down)
+        r, c = place // across * bh, place % across * bw
         rows = bh if tiled else min(bh, h - r)
-        block = np.frombuffer(raw, kind, rows * bw * samples).reshape(rows, bw, samples)
-        yield r, c, block[: h - r, : w - c].astype(float)
+        block = unpredicted(DECODERS[coding](data[at : at + n]), kind, (rows, bw, held), predictor)
+        yield r, c, plane, block[: h - r, : w - c].astype(float)
 
 
 def geo_keys(code: int) -> list[int]:
@@ -70,14 +128,14 @@ def geo_keys(code: int) -> list[int]:
 
 
 def cog(levels: list[dict], meta, samples: int, float32: bool, tile_size: int, deflate: bool, nodata: str | None) -> bytes:
-    """levels: {rows, cols, blocks in row-major order}, full size first. All directories, then data, smallest level first."""
+    """What comes before the data. levels: {rows, cols, sizes of blocks in row-major order}, full size first; their data follows, smallest level first."""
     directories = []
     for k, level in enumerate(levels):
-        n = len(level["blocks"])
+        n = len(level["sizes"])
         entries = {
             WIDTH: (LONG, [level["cols"]]), HEIGHT: (LONG, [level["rows"]]), BITS: (SHORT, [32 if float32 else 8] * samples), COMPRESSION: (SHORT, [8 if deflate else 1]),
             PHOTOMETRIC: (SHORT, [2 if samples > 1 else 1]), SAMPLES: (SHORT, [samples]), TILE_W: (SHORT, [tile_size]), TILE_H: (SHORT, [tile_size]),
-            TILE_OFFSETS: (LONG, [0] * n), TILE_COUNTS: (LONG, [len(b) for b in level["blocks"]]), SAMPLE_FORMAT: (SHORT, [3 if float32 else 1] * samples),
+            TILE_OFFSETS: (LONG, [0] * n), TILE_COUNTS: (LONG, list(level["sizes"])), SAMPLE_FORMAT: (SHORT, [3 if float32 else 1] * samples),
         }
         if k:
             entries[SUBFILE] = (LONG, [1])
@@ -101,9 +159,9 @@ def cog(levels: list[dict], meta, samples: int, float32: bool, tile_size: int, d
     at = starts[-1]
     for k in reversed(range(len(levels))):
         offsets = []
-        for b in levels[k]["blocks"]:
+        for n in levels[k]["sizes"]:
             offsets.append(at)
-            at += len(b)
+            at += n
         directories[k][TILE_OFFSETS] = (LONG, offsets)
     if at >= 1 << 32:
         raise ValueError("a classic TIFF holds 4 GiB at most")
@@ -121,4 +179,4 @@ def cog(levels: list[dict], meta, samples: int, float32: bool, tile_size: int, d
                 out += struct.pack("<I", far + len(more))
                 more += data + b"\0" * (len(data) % 2)
         out += struct.pack("<I", starts[k + 1] if k + 1 < len(levels) else 0) + more
-    return bytes(out) + b"".join(b for level in reversed(levels) for b in level["blocks"])
+    return bytes(out)

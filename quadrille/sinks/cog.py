@@ -1,12 +1,14 @@
 """Cloud Optimized GeoTIFF: levels and blocks are made by Spark; the driver lays out the file, whose
-offsets are global and whose size the format limits to 4 GiB."""
+offsets are global, from the blocks' sizes and streams the blocks into it."""
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,20 @@ def blocks(cells: DataFrame, meta: RasterMeta, options: CogOptions = CogOptions(
 
 def write_cog(cells: DataFrame, meta: RasterMeta, path: str, options: CogOptions = CogOptions(), nodata: float | None = None) -> dict:
     """Writes the file; returns its levels, tiles and bytes."""
-    made = blocks(cells, meta, options, nodata).orderBy("level", "block_row", "block_col").collect()  # a file of 4 GiB at most
-    levels = [{"rows": r, "cols": c, "blocks": [bytes(b["data"]) for b in made if b["level"] == k]} for k, (r, c) in enumerate(levels_of(meta, options.tile_size))]
-    text = None if meta.bands > 1 else "nan" if nodata is None else repr(float(nodata)).removesuffix(".0")
-    data = tiff.cog(levels, meta, meta.bands, meta.bands == 1, options.tile_size, options.deflate, text)
-    with open(path, "wb") as f:
-        f.write(data)
-    return {"levels": len(levels), "tiles": len(made), "bytes": len(data)}
+    made = blocks(cells, meta, options, nodata).persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes: dict[int, list[int]] = {}
+        for b in made.select("level", F.octet_length("data").alias("n"), "block_row", "block_col").orderBy("level", "block_row", "block_col").toLocalIterator():
+            sizes.setdefault(b["level"], []).append(b["n"])
+        levels = [{"rows": r, "cols": c, "sizes": sizes[k]} for k, (r, c) in enumerate(levels_of(meta, options.tile_size))]
+        text = None if meta.bands > 1 else "nan" if nodata is None else repr(float(nodata)).removesuffix(".0")
+        head = tiff.cog(levels, meta, meta.bands, meta.bands == 1, options.tile_size, options.deflate, text)
+        # written beside the target first: a failed job leaves no half file under its name
+        with open(f"{path}.part", "wb") as f:
+            f.write(head)
+            for b in made.orderBy(F.desc("level"), "block_row", "block_col").toLocalIterator():
+                f.write(b["data"])
+    finally:
+        made.unpersist()
+    os.replace(f"{path}.part", path)
+    return {"levels": len(levels), "tiles": sum(map(len, sizes.values())), "bytes": len(head) + sum(map(sum, sizes.values()))}

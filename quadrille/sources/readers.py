@@ -52,10 +52,11 @@ def read_geotiff(spark: SparkSession, path: str, bands: list[int] | None = None,
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                for r, c, block in tiff.blocks(content.as_py()):
+                for r, c, first, block in tiff.blocks(content.as_py()):
                     i, j = np.indices(block.shape[:2])
                     for k, b in enumerate(wanted, 1):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(i.size, k, np.int32)), pa.array((i + r).ravel()), pa.array((j + c).ravel()), pa.array(block[..., b - 1].ravel())], ["band", "row", "col", "value"])
+                        if first < b <= first + block.shape[2]:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(i.size, k, np.int32)), pa.array((i + r).ravel()), pa.array((j + c).ravel()), pa.array(block[..., b - 1 - first].ravel())], ["band", "row", "col", "value"])
 
     return meta, raster.normalised(file.mapInArrow(cells, "band int, row long, col long, value double"), None if nodata is None or nodata != nodata else nodata)
 

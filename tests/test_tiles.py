@@ -191,6 +191,108 @@ def test_cog_round_trip(spark, tmp_path):
     assert tiff.epsg(tiff.first_directory((tmp_path / "c.tif").read_bytes())[1]) == 4326
 
 
+def lzw_packed(data):
+    """The opposite of tiff.lzw, as a plain bit string."""
+    out, table, width = [], {bytes([i]): i for i in range(256)}, 9
+    emit = lambda code: out.append(format(code, f"0{width}b"))
+    emit(256)
+    n, held = 258, b""
+    for k in range(len(data)):
+        longer = held + data[k : k + 1]
+        if longer in table:
+            held = longer
+            continue
+        emit(table[held])
+        table[longer], n, held = n, n + 1, data[k : k + 1]
+        if n == 4095:
+            emit(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        elif n in (512, 1024, 2048):
+            width += 1
+    if held:
+        emit(table[held])
+        if n + 1 in (512, 1024, 2048):
+            width += 1
+    emit(257)
+    text = "".join(out)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def small_tiff(values, coding, predictor, planar):
+    """A striped little-endian TIFF of two rows a strip over (rows, cols, bands)."""
+    rows, cols, bands = values.shape
+    encode = {1: bytes, 5: lzw_packed, 8: zlib.compress, 32773: lambda d: b"".join(bytes([0, x]) for x in d) + bytes([128])}[coding]
+    planes = [values[..., b : b + 1] for b in range(bands)] if planar == 2 else [values]
+    strips = []
+    for p in planes:
+        for r in range(0, rows, 2):
+            part = p[r : r + 2]
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+            raw = part.tobytes()
+            if predictor == 3:
+                size, one_row = part.dtype.itemsize, []
+                for row in part:
+                    b = np.frombuffer(row.astype(part.dtype.newbyteorder(">")).tobytes(), np.uint8).reshape(-1, size).T.reshape(-1, row.shape[1])
+                    one_row.append(np.diff(b, axis=0, prepend=np.zeros_like(b[:1])).tobytes())
+                raw = b"".join(one_row)
+            strips.append(encode(raw))
+    kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
+    tags = {256: [cols], 257: [rows], 258: [values.dtype.itemsize * 8] * bands, 259: [coding], 273: [0] * len(strips), 277: [bands], 278: [2], 279: [len(s) for s in strips], 284: [planar], 317: [predictor], 339: [kind] * bands}
+    far = 10 + 12 * len(tags) + 4
+    at = far + sum(4 * len(v) for v in tags.values() if len(v) > 1)
+    for s in strips:
+        tags[273][sum(x > 0 for x in tags[273])] = at
+        at += len(s)
+    head, more = struct.pack("<2sHIH", b"II", 42, 8, len(tags)), b""
+    for tag, v in sorted(tags.items()):
+        data = struct.pack(f"<{len(v)}I", *v)
+        head += struct.pack("<HHI", tag, 4, len(v)) + (data if len(v) == 1 else struct.pack("<I", far + len(more)))
+        more += data if len(v) > 1 else b""
+    return head + bytes(4) + more + b"".join(strips)
+
+
+@pytest.mark.parametrize("coding", [1, 5, 8, 32773])
+@pytest.mark.parametrize("planar", [1, 2])
+def test_tiff_codings(coding, planar):
+    rng = np.random.default_rng(7)
+    whole = rng.integers(0, 60000, (5, 400, 3)).astype(np.uint16)
+    real = rng.normal(0, 50, (5, 40, 3)).astype(np.float32)
+    for values, predictor in ((whole, 1), (whole, 2), (whole.astype(np.int32) - 30000, 2), (whole.astype(np.uint8), 2), (real, 1), (real, 3), (real.astype(float), 3)):
+        got = np.full(values.shape, np.nan)
+        for r, c, band, block in tiff.blocks(small_tiff(values, coding, predictor, planar)):
+            got[r : r + block.shape[0], c : c + block.shape[1], band : band + block.shape[2]] = block
+        assert (got == values).all()
+    with pytest.raises(ValueError):
+        next(tiff.blocks(small_tiff(real, 1, 2, 1)))
+
+
+def test_lzw_known_codes():
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    text = "".join(format(c, "09b") for c in codes)
+    assert tiff.lzw(int(text.ljust(88, "0"), 2).to_bytes(11, "big")) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    long = bytes(np.random.default_rng(3).integers(0, 9, 60000, dtype=np.uint8))
+    assert tiff.lzw(lzw_packed(long)) == long and tiff.packbits(bytes([254, 170, 2, 128, 0, 42, 128, 253, 170])) == bytes([170] * 3 + [128, 0, 42] + [170] * 4)
+
+
+def test_geotiff_bands_and_rgb_cog(spark, tmp_path):
+    path = tmp_path / "b.tif"
+    values = np.arange(4 * 5 * 3, dtype=np.uint16).reshape(4, 5, 3)
+    path.write_bytes(small_tiff(values, 5, 2, 2))
+    meta, cells = readers.read_geotiff(spark, str(path), [3, 2, 1], "4326")
+    got = {(r["band"], r["row"], r["col"]): r["value"] for r in cells.collect()}
+    assert meta.bands == 3 and all(got[k + 1, i, j] == values[i, j, b - 1] for k, b in enumerate((3, 2, 1)) for i in range(4) for j in range(5))
+    meta, cells = grid(spark, 40, 30, lambda b, i, j: 60 * b + i, RasterMeta(40, 30, 12.0, 48.0, 0.01, 0.01, bands=3), bands=3)
+    info = cog.write_cog(cells, meta, f"{tmp_path}/rgb.tif", CogOptions(16))
+    data = (tmp_path / "rgb.tif").read_bytes()
+    _, tags = tiff.first_directory(data)
+    assert info["bytes"] == len(data) and tags[tiff.SAMPLES] == (3,) and tags[tiff.PHOTOMETRIC] == (2,)
+    _, back = readers.read_geotiff(spark, f"{tmp_path}/rgb.tif")
+    # the linear stretch is cut, not rounded, so 24 of the 256 byte values come out one lower
+    expected = F.floor((60 * F.col("band") + F.col("row")) * F.lit(1 / 255) * 255)
+    assert back.where(F.col("value") != expected).count() == 0 and back.count() == 3 * 40 * 30
+
+
 def test_features_are_encoded_in_order():
     data = mvt.tile([("a", [{"id": 7, "kind": "Point", "geom": [[(1, 2)]], "props": [{"k": "x", "t": "Null", "b": None, "i": None, "d": None, "s": None}]}]), ("empty", [])], 4096)
     assert data[0] == 0x1A and b"empty" not in data and mvt.commands("Point", [[(1, 2)]]) == bytes([9, 2, 4])
