@@ -178,7 +178,8 @@ def accepted(docs: DataFrame, found: DataFrame) -> DataFrame:
     used = materialised(supported.where((F.col("seeds") >= SUPPORT) & (F.col("others") > 0)))
     words = docs.select(F.explode(F.split(white(F.regexp_replace(F.lower("text"), "[0-9]", "9")), " ")).alias("word"))
     words = words.select(F.when(F.length("word") <= LONG_WORD, F.col("word")).otherwise(F.concat(F.lit("#"), F.xxhash64("word").cast("string"))).alias("word"))
-    totals = words.join(small_or_shuffled(used.select("word").distinct()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    # counted in each task before they meet the patterns, so a common word is a row a task there
+    totals = words.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(small_or_shuffled(used.select("word").distinct()), "word")
     patterns = materialised(used.join(totals, "word", "left").select(*key, F.greatest("seen", F.coalesce("total", F.lit(0))).cast("double").alias("total")))
     graph = materialised(edges.join(patterns, key))
     scores = materialised(graph.where("not seed").select("kind", "name").distinct().withColumn("score", F.lit(0.0)))
