@@ -1,4 +1,4 @@
-"""PNG and lossless WebP of RGBA pixels."""
+"""PNG of RGBA pixels, and colour ramps."""
 
 from __future__ import annotations
 
@@ -20,50 +20,6 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def webp(rgba: np.ndarray) -> bytes:
-    """The same as lossless WebP: literals only, every channel with a flat 8-bit code (codes are sent from the lowest bit)."""
-    h, w, _ = rgba.shape
-    head: list[int] = []
-
-    def put(value: int, n: int):
-        head.extend((value >> i) & 1 for i in range(n))
-
-    put(0x2F, 8)
-    put(w - 1, 14)
-    put(h - 1, 14)
-    put(1, 1)  # alpha is used
-    put(0, 3)  # version
-    put(0, 1)  # no transform
-    put(0, 1)  # no colour cache
-    put(0, 1)  # one set of codes
-    # fixed value: the format's order of code length codes; only length 8 (and 0 for green's rest) are used
-    order = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8)
-    for size in (280, 256, 256, 256):
-        put(0, 1)  # not a simple code
-        put(len(order) - 4, 4)
-        used = {0, 8} if size > 256 else {8}
-        for symbol in order:
-            put(1 if symbol in used else 0, 3)
-        if size > 256:
-            put(0, 1)  # all lengths follow: 256 of 8, 24 of 0; codes 0 -> length 0, 1 -> length 8
-            for _ in range(256):
-                put(1, 1)
-            for _ in range(size - 256):
-                put(0, 1)
-        else:
-            put(0, 1)  # a single length has a code of no bits
-    put(1, 1)  # distances: a simple code of one symbol, 0
-    put(0, 1)
-    put(0, 1)
-    put(0, 1)
-    pixels = rgba.reshape(-1, 4)[:, [1, 0, 2, 3]]  # green, red, blue, alpha
-    bits = np.unpackbits(pixels.reshape(-1, 1), axis=1)  # canonical codes go from the highest bit
-    data = np.packbits(np.concatenate([np.array(head, np.uint8), bits.ravel()]), bitorder="little").tobytes()
-    data += b"\0" * (len(data) % 2)
-    size = len(data)
-    return b"RIFF" + struct.pack("<I", 12 + size) + b"WEBPVP8L" + struct.pack("<I", size) + data
-
-
 #: Own colour ramps, from low to high; drawn out linearly between the stops.
 RAMPS = {
     "grayscale": ["#000000", "#ffffff"],

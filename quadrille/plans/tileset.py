@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..codecs import image, mvt
+from ..codecs.webp import webp
 from ..functions import mercator as M
 from ..operators import raster, vector
 from .options import MvtOptions, PyramidOptions, RasterMeta
@@ -43,7 +44,7 @@ def pixels(cells: DataFrame, meta: RasterMeta, options: PyramidOptions) -> DataF
 
 def raster_tileset(cells: DataFrame, meta: RasterMeta, options: PyramidOptions = PyramidOptions()) -> DataFrame:
     """PNG or WebP tiles. A tile without any pixel is never made; a transparent one with pixels is."""
-    n, encode = options.tile_size, image.png if options.format == "png" else image.webp
+    n, encode = options.tile_size, image.png if options.format == "png" else webp
     where = ["z", "gx", "gy"]
     sampled = pixels(cells, meta, options)
     if meta.bands == 1:

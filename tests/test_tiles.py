@@ -83,7 +83,7 @@ def test_pyramid(spark):
     assert {r["z"] for r in rows} == {4, 5, 6}
     assert all(decoded_png(bytes(r["data"]))[..., 3].any() for r in rows)
     pixels = np.arange(64, dtype=np.uint8).reshape(4, 4, 4)
-    assert (decoded_png(image.png(pixels)) == pixels).all() and image.webp(pixels)[:4] == b"RIFF"
+    assert (decoded_png(image.png(pixels)) == pixels).all()
 
 
 def test_lines_and_rings(spark):
