@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, url_rules, warc
+from . import decontaminate, filter_audit, html_text, license_scan, mixing, ngram_join, packing, pii, quality, suffix_dedup, url_rules, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8,
         "op9_ngram_join": ngram_join.op9,
         "op10_license_scan": license_scan.op10,
+        "op11_filter_audit": filter_audit.op11,
+        "op12_whitening": whitening.op12,
+        "op13_packing": packing.op13,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.SQL,
         "op5_mix_sources": mixing.SQL,
         "op6_url_rules": url_rules.SQL,
+        "op11_filter_audit": filter_audit.SQL,
     }

@@ -8,6 +8,7 @@ TYPES = {
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
     "labels": pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]),
+    "embeddings": pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())]),
 }
 #: Columns with names that the operators use themselves.
 CLASHING = ("host", "kept", "score", "spans", "w", "n", "id", "row", "token", "steps", "verdict", "similarity", "mix_copy", "_id", "_spans", "_hash", "_key", "_bad_id", "_mix_source", "comp", "row_key", "held", "bad_id", "draw", "repeats", "hash")
@@ -26,6 +27,10 @@ TABLES = {
     "documents": [(i, t, a, s, None if t is None else len(t)) for i, t, a, s in DOCS],
     "benchmark": [(1, ITEM), (2, None), (3, ""), (4, "two"), (None, ITEM + " too"), (1, ITEM)],
     "labels": [(1, 1, 0), (1, 0, 0), (2, 1, None), (5, 0, 0), (None, 1, 0), (8, None, 0), (99, 1, 1)],
+    "embeddings": [
+        *((i, [((i * 7919) % 101) / 50 - 1, ((i * 104729) % 97) / 40 - 1, (i % 7) / 3, ((i * i) % 31) / 10], 0) for i in range(40)), (3, [0.5, -0.25, 1.0, 2.0], 1), (None, [0.5, -0.25, 1.0, 2.0], None),
+        (50, None, 0), (51, [], 0), (52, [1.0, None, 0.0, 0.0], 0), (53, [1.0, float("nan"), 0.0, 0.0], 0), (54, [1.0, float("inf"), 0.0, 0.0], 0), (55, [1.0, 2.0], 0), (56, [1.0, 2.0, 3.0, 4.0, 5.0], 0),
+    ],
     "pages": [
         (1, "http://A.Example.com/en/x?q", "<html><body><nav>menu</nav><article><h1>T &amp; t</h1><p>Text   one.</p></article></body></html>" + " " * 40), (2, "http://example.com/en/", "<html><body><nav>menu</nav><article><h1>T &amp; t</h1><p>Text   one.</p></article></body></html>" + " " * 40),
         (2, "https://x.net/fr/a", "<p>hi</p>"), (3, None, None), (4, "no scheme", ""), (None, "http://ads.spam.org/p#f", "<p>hi</p>"), (5, "http://WWW.example.com/en/\n", "<div>" + "deep <b>" * 800), (6, "http://net/es/", "<p>hi</p>"),
