@@ -9,7 +9,9 @@ from .functions import mercator as M
 from .operators import raster, vector
 from .plans import tileset, views
 from .plans.options import CogOptions, MvtOptions, PyramidOptions
+from .plans.shared import shared_path
 from .sinks import cog
+from .sources import geotiff
 from .streaming.tiles import binned
 
 OS = repr(M.ORIGIN_SHIFT_M)
@@ -391,6 +393,7 @@ t as (select z, x, unnest(generate_series(y_min, y_max)) y from (select *, unnes
 r as (select z, x, y, x * {span('z')} - {OS} tx, {OS} - y * {span('z')} ty, {span('z')} s, {span('z')} * (64 / 4096::double) pad from t),
 q as (select k, z, x, y, {', '.join(f'{v} q{i}' for i, v in enumerate(_QUANTISED))} from m join r on m.x0 < tx + s + pad and m.x1 > tx - pad and m.y0 < ty + pad and m.y1 > ty - s - pad)
 select 'boxes' layer, k feature_ord, z, x, y, 1::int parts, 4::int points from q where q0 < q1 and q2 < q3"""
+MVT_DECODED_BOXES = MVT_CLIPPED_POLYGONS.replace("select 'boxes' layer, k feature_ord, z, x, y, 1::int parts, 4::int points", "select z, x, y, k, 1::int rings, q0::bigint q0, q1::bigint q1, q2::bigint q2, q3::bigint q3")
 
 
 def cog_blocks(spark, d):
@@ -398,6 +401,49 @@ def cog_blocks(spark, d):
     return cog.blocks(cells, meta, CogOptions(64)).select("level", "block_row", "block_col", F.octet_length("data").alias("bytes"))
 
 
+def mvt_decoded_points(spark, d):
+    """Points from finished tiles: cut, encoded in part, merged, gzipped and decoded again."""
+    tiles = tileset.vector_tileset(vector.to_metres(views.point_features(spark, d), "4326"), MvtOptions(0, 5))
+    return tileset.decoded(tiles).select("z", "x", "y", "layer", F.col("id").cast("long").alias("k"), F.explode(F.flatten("geom")).alias("p"), F.element_at("props", "k").cast("long").alias("prop")).select("z", "x", "y", "layer", "k", "prop", F.col("p.x").alias("qx"), F.col("p.y").alias("qy"))
+
+
+MVT_DECODED_POINTS = f"""with {PT_M}, ds as (select min(mx) x0, min(my) y0, max(mx) x1, max(my) y1 from m), lim as (select z, {range_sql('z', 'x0', 'y0', 'x1', 'y1')} from ds, {ZOOMS.format(0, 5)}),
+t as (select z, x, unnest(generate_series(y_min, y_max)) y from (select *, unnest(generate_series(x_min, x_max)) x from lim)),
+r as (select z, x, y, x * {span('z')} - {OS} tx, {OS} - y * {span('z')} ty, {span('z')} s, {span('z')} * (64 / 4096::double) pad from t)
+select z, x, y, 'pts' layer, k, k prop, round((mx - tx) * (4096::double / s))::bigint qx, round((ty - my) * (4096::double / s))::bigint qy
+from m join r on mx between tx - pad and tx + s + pad and my between ty - s - pad and ty + pad"""
+
+
+def mvt_decoded_boxes(spark, d):
+    """The rectangles that finished tiles show of boxes."""
+    tiles = tileset.vector_tileset(vector.to_metres(views.box_features(spark, d), "4326"), MvtOptions(0, 5))
+    xs, ys = F.transform(F.flatten("geom"), lambda p: p.x), F.transform(F.flatten("geom"), lambda p: p.y)
+    return tileset.decoded(tiles).select("z", "x", "y", F.col("id").cast("long").alias("k"), F.size("geom").alias("rings"), F.array_min(xs).alias("q0"), F.array_max(xs).alias("q1"), F.array_min(ys).alias("q2"), F.array_max(ys).alias("q3"))
+
+
+def _written_grid(spark, d) -> str:
+    """The grid view as a tiled GeoTIFF in the shared folder."""
+    meta, cells = views.grid(spark, d)
+    path = f"{shared_path(spark)}/grid.tif"
+    cog.write_cog(cells, meta, path, CogOptions(64))
+    return path
+
+
+def geotiff_scan(spark, d):
+    """The grid, written as a tiled GeoTIFF and read back by block: every cell of the file."""
+    return geotiff.scan(spark, _written_grid(spark, d))[1].select("row", "col", "value")
+
+
+#: A band of a GeoTIFF holds 32-bit floats; cells that no order has are missing.
+GEOTIFF_SCAN = f"""with {GRID_META}, every as (select r as row, c as col from meta, generate_series(0, n - 1) a(r), generate_series(0, {views.COLS - 1}) b(c))
+select e.row, e.col, g.v::float::double as value from every e left join g on g.r = e.row and g.c = e.col"""
+
+
+def geotiff_window(spark, d):
+    """A window of it, of which only its own blocks are read."""
+    return geotiff.scan(spark, _written_grid(spark, d))[1].where("row between 10 and 90 and col >= 70").select("row", "col", "value")
+
+
 def vector_catalogue(spark, d):
     text = tileset.vector_layers_json(_features(spark, d), MvtOptions())
     return spark.createDataFrame([(text,)], "json string")
@@ -407,7 +453,7 @@ def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
              sample_nearest, sample_bilinear, area_average, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
-             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue)
+             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
 
 
@@ -442,4 +488,8 @@ def oracle_sql() -> dict[str, str]:
         "mbtiles_metadata": MBTILES_METADATA,
         "tile_lookup": f"select * from ({TILE_POINT_COUNTS}) where z = 2 and x = 1 and y = 1",
         "tile_windows": TILE_WINDOWS,
+        "mvt_decoded_points": MVT_DECODED_POINTS,
+        "mvt_decoded_boxes": MVT_DECODED_BOXES,
+        "geotiff_scan": GEOTIFF_SCAN,
+        "geotiff_window": f"select * from ({GEOTIFF_SCAN}) where row between 10 and 90 and col >= 70",
     }

@@ -1,8 +1,20 @@
-"""Mapbox Vector Tiles: a protobuf writer of the few fields that tiles need."""
+"""Mapbox Vector Tiles: a protobuf writer of the few fields that tiles need, and a reader of them.
+
+A layer is made of partial layers that can be merged: features with their tags as numbers into
+dictionaries of keys and values of their own. At the end the features are put in order and the
+dictionaries numbered anew by first use, so the bytes do not depend on how features were dealt out.
+"""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from dataclasses import dataclass, field as own
+
+import numpy as np
+
+#: A part of so many points is encoded by numpy.
+MANY_POINTS = 24
 
 
 def varint(n: int) -> bytes:
@@ -21,28 +33,38 @@ def field(number: int, value) -> bytes:
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def commands(kind: str, parts: list[list[tuple[int, int]]]) -> bytes:
-    """Geometry commands: moves, lines and closed rings, in zigzag differences."""
-    out, at = bytearray(), (0, 0)
+def varints(values: np.ndarray) -> bytes:
+    """Whole numbers one after another."""
+    values = values.astype(np.uint64)
+    groups = values[:, None] >> np.arange(0, 70, 7, dtype=np.uint64).clip(max=63) & np.uint64(127)
+    groups[:, 9] = values >> np.uint64(63)
+    more = np.cumsum(groups[:, ::-1] != 0, 1)[:, ::-1] > 0  # something stands at or above this group
+    more[:, 0] = True
+    last = more & ~np.append(more[:, 1:], np.zeros((len(values), 1), bool), 1)
+    return (groups + np.where(last, np.uint64(0), np.uint64(128))).astype(np.uint8)[more].tobytes()
 
-    def step(p):
-        nonlocal at
-        for d in (p[0] - at[0], p[1] - at[1]):
-            out.extend(varint(d << 1 ^ d >> 63))
-        at = p
 
+def commands(kind: str, parts: list[np.ndarray]) -> bytes:
+    """Geometry commands: moves, lines and closed rings, in zigzag differences. A part: points as rows of x and y."""
     if "Point" in kind:
-        points = [p for part in parts for p in part]
-        out += varint(len(points) << 3 | 1)
-        for p in points:
-            step(p)
-        return bytes(out)
+        parts = [np.concatenate(parts)] if len(parts) > 1 else parts
+    out, at = bytearray(), (0, 0)
     for part in parts:
-        out += varint(1 << 3 | 1)
-        step(part[0])
-        out += varint(len(part) - 1 << 3 | 2)
-        for p in part[1:]:
-            step(p)
+        n = len(part)
+        head = (varint(n << 3 | 1), b"") if "Point" in kind else (varint(1 << 3 | 1), varint(n - 1 << 3 | 2))
+        if n >= MANY_POINTS:
+            steps = np.diff(np.asarray(part, np.int64), axis=0, prepend=[at]).ravel()
+            steps = (steps << 1) ^ (steps >> 63)
+            moved = [varints(steps[:2]), varints(steps[2:])]
+            at = tuple(map(int, part[-1]))
+        else:
+            moved, (px, py) = [bytearray(), bytearray()], at
+            for k, (x, y) in enumerate(np.asarray(part).tolist()):
+                for d in (x - px, y - py):
+                    moved[k > 0] += varint(d << 1 ^ d >> 63)
+                px, py = x, y
+            at = px, py
+        out += head[0] + moved[0] + head[1] + moved[1]
         if "Polygon" in kind:
             out += varint(1 << 3 | 7)
     return bytes(out)
@@ -60,22 +82,134 @@ def value(prop: dict) -> bytes | None:
     return field(1, prop["s"].encode()) if kind == "String" else None
 
 
+@dataclass
+class Partial:
+    """Some features of a layer: (order, message before the tags, tags, message after them)."""
+
+    keys: dict[str, int] = own(default_factory=dict)
+    values: dict[bytes, int] = own(default_factory=dict)
+    features: list[tuple[int, bytes, list[int], bytes]] = own(default_factory=list)
+
+    def add(self, order: int, ident: int | None, kind: str, parts: list[np.ndarray], props: list[dict] | None) -> None:
+        tags = []
+        for p in props or ():
+            if (v := value(p)) is not None:
+                tags += [self.keys.setdefault(p["k"], len(self.keys)), self.values.setdefault(v, len(self.values))]
+        number = 1 if "Point" in kind else 2 if "Line" in kind else 3
+        self.features.append((order, b"" if ident is None else field(1, ident), tags, field(3, number) + field(4, commands(kind, parts))))
+
+    def merge(self, keys: list[str], values: list[bytes], features: Iterator[tuple[int, bytes, list[int], bytes]]) -> None:
+        """Takes in another's features, whose tags are numbers into its keys and values."""
+        of = [self.keys.setdefault(k, len(self.keys)) for k in keys], [self.values.setdefault(v, len(self.values)) for v in values]
+        self.features += [(order, head, [of[i & 1][t] for i, t in enumerate(tags)], rest) for order, head, tags, rest in features]
+
+    def message(self, name: str, extent: int) -> bytes:
+        names, spelled = list(self.keys), list(self.values)
+        keys: dict[int, int] = {}
+        values: dict[int, int] = {}
+        body = bytearray()
+        for _, head, tags, rest in sorted(self.features, key=lambda f: f[0]):
+            numbered = b"".join(varint(seen.setdefault(t, len(seen))) for t, seen in zip(tags, (keys, values) * (len(tags) // 2)))
+            body += field(2, head + (field(2, numbered) if numbered else b"") + rest)
+        return field(1, name.encode()) + bytes(body) + b"".join(field(3, names[k].encode()) for k in keys) + b"".join(field(4, spelled[v]) for v in values) + field(5, extent) + field(15, 2)
+
+
 def layer(name: str, features: list[dict], extent: int) -> bytes:
     """features: {id, kind, geom, props}, in order."""
-    keys: dict[str, int] = {}
-    values: dict[bytes, int] = {}
-    body = bytearray()
-    for f in features:
-        tags = bytearray()
-        for p in f["props"] or ():
-            if (v := value(p)) is not None:
-                tags += varint(keys.setdefault(p["k"], len(keys))) + varint(values.setdefault(v, len(values)))
-        kind = 1 if "Point" in f["kind"] else 2 if "Line" in f["kind"] else 3
-        message = (field(1, int(f["id"])) if f["id"] is not None else b"") + (field(2, bytes(tags)) if tags else b"") + field(3, kind) + field(4, commands(f["kind"], f["geom"]))
-        body += field(2, message)
-    head = field(1, name.encode())
-    return head + bytes(body) + b"".join(field(3, k.encode()) for k in keys) + b"".join(field(4, v) for v in values) + field(5, extent) + field(15, 2)
+    whole = Partial()
+    for order, f in enumerate(features):
+        whole.add(order, None if f["id"] is None else int(f["id"]), f["kind"], f["geom"], f["props"])
+    return whole.message(name, extent)
 
 
 def tile(layers: list[tuple[str, list[dict]]], extent: int) -> bytes:
     return b"".join(field(3, layer(name, features, extent)) for name, features in layers if features)
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a message: whole numbers, and bytes for all others."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            out, shift, at = out | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            yield key >> 3, data[at : at + n]
+            at += n
+
+
+def numbers(data: bytes) -> list[int]:
+    """Packed whole numbers."""
+    out, now, shift = [], 0, 0
+    for byte in data:
+        now |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            out.append(now)
+            now = shift = 0
+    return out
+
+
+def geometry(data: bytes) -> list[list[tuple[int, int]]]:
+    """Parts from commands; rings are not closed by a last point."""
+    parts, codes, at, x, y = [], numbers(data), 0, 0, 0
+    while at < len(codes):
+        command, n = codes[at] & 7, codes[at] >> 3
+        at += 1
+        for _ in range(n if command < 7 else 0):
+            x, y, at = x + (codes[at] >> 1 ^ -(codes[at] & 1)), y + (codes[at + 1] >> 1 ^ -(codes[at + 1] & 1)), at + 2
+            if command == 1:
+                parts.append([])
+            parts[-1].append((x, y))
+    return parts
+
+
+def read_value(data: bytes) -> str | float | int | bool:
+    for number, v in fields(data):
+        if number == 1:
+            return v.decode()
+        if number in (2, 3):
+            return struct.unpack("<f" if number == 2 else "<d", v)[0]
+        if number == 4:
+            return v - (v >> 63 << 64)
+        if number == 6:
+            return v >> 1 ^ -(v & 1)
+        return bool(v) if number == 7 else v
+    raise ValueError("a value without a field")
+
+
+def decode(data: bytes) -> list[dict]:
+    """The layers of a tile: {name, extent, version, features: [{id, kind, geom, props}]}."""
+    layers = []
+    for number, message in fields(data):
+        if number != 3:
+            continue
+        found = {"name": "", "extent": 4096, "version": 1, "features": []}
+        raw, keys, values = [], [], []
+        for k, v in fields(message):
+            if k == 1:
+                found["name"] = v.decode()
+            elif k == 2:
+                raw.append(dict(fields(v)))
+            elif k == 3:
+                keys.append(v.decode())
+            elif k == 4:
+                values.append(read_value(v))
+            else:
+                found[{5: "extent", 15: "version"}[k]] = v
+        for f in raw:
+            tags = numbers(f.get(2, b""))
+            found["features"].append({"id": f.get(1), "kind": {1: "Point", 2: "LineString", 3: "Polygon"}[f[3]], "geom": geometry(f[4]), "props": {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2])}})
+        layers.append(found)
+    return layers

@@ -1,35 +1,50 @@
-"""Classic little-endian TIFF: headers, blocks and the layout of a Cloud Optimized GeoTIFF."""
+"""TIFF: directories and blocks, read by range, and the layout of a Cloud Optimized GeoTIFF."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 #: Tag types and the tags that are read or written.
 SHORT, LONG, ASCII, DOUBLE = 3, 4, 2, 12
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-FORMATS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
+FORMATS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 (SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, EXTRA, SAMPLE_FORMAT, SCALE, TIEPOINT, GEO_KEYS, NODATA) = (
     254, 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 338, 339, 33550, 33922, 34735, 42113)
 
 
-def first_directory(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """(byte order, values by tag) of the first image."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+def directory(read: Callable[[int, int], bytes]) -> tuple[str, dict[int, tuple]]:
+    """(byte order, values by tag) of the first image, classic or of 64-bit offsets. ``read(at, n)`` gives bytes of the file."""
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    wide = struct.unpack_from(order + "H", head, 2)[0] == 43  # fixed value: the version of BigTIFF
+    at = struct.unpack_from(order + ("Q" if wide else "I"), head, 8 if wide else 4)[0]
+    count, entry, inline = ("Q", "HHQ", 8) if wide else ("H", "HHI", 4)
+    first, size = struct.calcsize(order + count), struct.calcsize(order + entry) + inline
+    n = struct.unpack(order + count, read(at, first))[0]
+    table, tags = read(at + first, n * size), {}
+    for i in range(n):
+        tag, kind, many = struct.unpack_from(order + entry, table, i * size)
         if kind not in FORMATS:
             continue
-        size = SIZES[kind] * n
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-        tags[tag] = (data[place : place + n].rstrip(b"\0").decode("latin-1"),) if kind == ASCII else struct.unpack_from(f"{order}{n}{FORMATS[kind]}", data, place)
+        place = (i + 1) * size - inline
+        if SIZES[kind] * many <= inline:
+            data = table[place : place + SIZES[kind] * many]
+        else:
+            data = read(struct.unpack_from(order + ("Q" if wide else "I"), table, place)[0], SIZES[kind] * many)
+        tags[tag] = (data.rstrip(b"\0").decode("latin-1"),) if kind == ASCII else struct.unpack(f"{order}{many}{FORMATS[kind]}", data)
     return order, tags
 
 
+def first_directory(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """The directory of a file that is held whole."""
+    return directory(lambda at, n: data[at : at + n])
+
+
 def geo(tags: dict[int, tuple]) -> tuple[float, float, float, float]:
     """(origin_x, origin_y, px_w, px_h); without the tags, cells of 1 from 0."""
     if SCALE not in tags or TIEPOINT not in tags:
@@ -101,25 +116,63 @@ def unpredicted(raw: bytes, kind: np.dtype, shape: tuple[int, int, int], predict
     return block.cumsum(1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
 
 
-def blocks(data: bytes):
-    """(first row, first col, first band from 0, (h, w, samples) float64 array) of each strip or tile; with separate planes a block holds one band."""
-    order, tags = first_directory(data)
+@dataclass(frozen=True)
+class Block:
+    """A strip or tile: its bytes, and the rows, columns and bands (from 0) that it holds of the grid."""
+
+    at: int
+    size: int
+    row: int
+    col: int
+    rows: int
+    cols: int
+    band: int
+
+
+@dataclass(frozen=True)
+class Coding:
+    """What a block's bytes mean."""
+
+    compression: int
+    predictor: int
+    kind: str
+    #: Rows (less in the last strip), columns and samples of a block as it is stored.
+    shape: tuple[int, int, int]
+    tiled: bool
+
+    def decode(self, data: bytes, block: Block) -> np.ndarray:
+        """(rows, cols, samples) of the grid, as float64."""
+        rows = self.shape[0] if self.tiled else block.rows
+        got = unpredicted(DECODERS[self.compression](data), np.dtype(self.kind), (rows, *self.shape[1:]), self.predictor)
+        return got[: block.rows, : block.cols].astype(float)
+
+
+def layout(order: str, tags: dict[int, tuple]) -> tuple[Coding, Iterator[Block]]:
+    """How blocks are coded, and each of them; with separate planes a block holds one band."""
     one = lambda t, d: tags.get(t, (d,))[0]
     w, h, samples, coding, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     form, bits = one(SAMPLE_FORMAT, 1), one(BITS, 8)
     if coding not in DECODERS or predictor not in (1, 2, 3) or form not in (1, 2, 3) or bits not in (8, 16, 32, 64) or predictor == 2 and form == 3 or predictor == 3 and form != 3:
         raise ValueError(f"TIFF of compression {coding}, predictor {predictor}, sample format {form} and {bits} bits is not read")
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}[form] + str(bits // 8)).newbyteorder(order)
     tiled = TILE_OFFSETS in tags
     bw, bh = (one(TILE_W, w), one(TILE_H, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
     across, down = -(-w // bw), -(-h // bh)
     held = 1 if one(PLANAR, 1) == 2 else samples
-    for k, (at, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS])):
-        plane, place = divmod(k, across * down)
-        r, c = place // across * bh, place % across * bw
-        rows = bh if tiled else min(bh, h - r)
-        block = unpredicted(DECODERS[coding](data[at : at + n]), kind, (rows, bw, held), predictor)
-        yield r, c, plane, block[: h - r, : w - c].astype(float)
+
+    def every() -> Iterator[Block]:
+        for k, (at, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS])):
+            plane, place = divmod(k, across * down)
+            r, c = place // across * bh, place % across * bw
+            yield Block(at, n, r, c, min(bh, h - r), min(bw, w - c), plane)
+
+    return Coding(coding, predictor, order + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8), (bh, bw, held), tiled), every()
+
+
+def blocks(data: bytes):
+    """(first row, first col, first band from 0, (h, w, samples) float64 array) of each strip or tile of a file that is held whole."""
+    coding, every = layout(*first_directory(data))
+    for b in every:
+        yield b.row, b.col, b.band, coding.decode(data[b.at : b.at + b.size], b)
 
 
 def geo_keys(code: int) -> list[int]:

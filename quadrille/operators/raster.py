@@ -57,6 +57,16 @@ def bounds_m(meta: RasterMeta) -> tuple[float, float, float, float]:
     return x(w), y(s), x(e), y(n)
 
 
+def bounds_degrees(meta: RasterMeta) -> tuple[float, float, float, float]:
+    """Bounds in degrees, as metadata has them: those of a grid in degrees as they are, others turned back from metres."""
+    w, s, e, n = meta.bounds
+    if meta.crs == "4326":
+        return w, s, e, n
+    lon = lambda x: math.degrees(x / M.EARTH_RADIUS_M)
+    lat = lambda y: math.degrees(2 * math.atan(math.exp(y / M.EARTH_RADIUS_M)) - math.pi / 2)
+    return lon(w), lat(s), lon(e), lat(n)
+
+
 def native_resolution(meta: RasterMeta) -> float:
     return meta.px_w if meta.crs == "3857" else meta.px_w * M.ORIGIN_SHIFT_M / 180.0
 

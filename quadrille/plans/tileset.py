@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,34 +80,91 @@ def feature_tiles(features: DataFrame, options: MvtOptions = MvtOptions()) -> Da
     return vector.tile_geometry(cut, options.extent).drop("parts")
 
 
-def vector_tileset(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
-    """MVT tiles, gzipped if the options say so. Geometry is cut before the shuffle, where most of it vanishes at low zooms."""
+#: Some features of one layer of one tile, encoded, with their tags as numbers into keys and values.
+PARTIAL = "layer_ord int, layer string, orders array<long>, heads array<binary>, tag_counts array<int>, tags array<int>, bodies array<binary>, keys array<string>, values array<binary>"
+
+
+def partial_layers(rows: DataFrame) -> DataFrame:
+    """(z, x, y, PARTIAL): what a task's batch holds of a tile's layer becomes one row, before any shuffle.
+    ``rows``: features in tile coordinates. A tile of a million points is encoded by as many tasks as hold them."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, mvt.Partial] = defaultdict(mvt.Partial)
+            geom = batch.column("geom")
+            parts = geom.flatten()
+            points = parts.flatten()
+            xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]) if len(points) else np.zeros((0, 2), np.int64)
+            part_at, point_at = geom.offsets.to_numpy(), parts.offsets.to_numpy()
+            part_at, point_at = part_at - part_at[0], point_at - point_at[0]
+            columns = [batch.column(c).to_pylist() for c in ("z", "x", "y", "layer_ord", "layer", "feature_ord", "id", "kind", "props")]
+            for k, (z, x, y, layer_ord, layer, order, ident, kind, props) in enumerate(zip(*columns)):
+                shape = [xy[point_at[p] : point_at[p + 1]] for p in range(part_at[k], part_at[k + 1])]
+                found[z, x, y, layer_ord, layer].add(order, None if ident is None else int(ident), kind, shape, props)
+            if found:
+                yield partial_batch(found)
+
+    return rows.select("z", "x", "y", "layer_ord", "layer", "feature_ord", F.col("id").cast("string").alias("id"), "kind", "geom", "props").mapInArrow(encode, "z int, x long, y long, " + PARTIAL)
+
+
+def partial_batch(found: dict[tuple, mvt.Partial]) -> pa.RecordBatch:
+    whole = pa.list_(pa.int32())
+    each = [(*place, [f[0] for f in p.features], [f[1] for f in p.features], [len(f[2]) for f in p.features], [t for f in p.features for t in f[2]], [f[3] for f in p.features], list(p.keys), list(p.values)) for place, p in found.items()]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), whole, whole, pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary()))
+    names = ["z", "x", "y", *(c.split()[0] for c in PARTIAL.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*each), types)], names)
+
+
+def merged_tiles(partials: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
+    """MVT tiles of partial layers. A group holds a tile's encoded features, which are the tile itself."""
     import gzip
 
     extent, compress = options.extent, options.compress
-    rows = feature_tiles(features, options)
-    tiles = rows.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer_ord", "feature_ord", "layer", "kind", "id", "geom", "props"))).alias("features"))
+    gathered = partials.groupBy("z", "x", "y").agg(F.collect_list(F.struct(*[c.split()[0] for c in PARTIAL.split(", ")])).alias("partials"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for features_ in batch.column("features"):
-                layers: dict[tuple, list] = {}
-                for f in features_.as_py():
-                    f["geom"] = [[(p["x"], p["y"]) for p in part] for part in f["geom"]]
-                    layers.setdefault((f["layer_ord"], f["layer"]), []).append(f)
-                data = mvt.tile([(name, fs) for (_, name), fs in layers.items()], extent)
+            for partials_ in batch.column("partials"):
+                layers: dict[tuple, mvt.Partial] = defaultdict(mvt.Partial)
+                for p in partials_.as_py():
+                    ends = np.cumsum(p["tag_counts"]).tolist()
+                    tags = [p["tags"][e - n : e] for e, n in zip(ends, p["tag_counts"])]
+                    layers[p["layer_ord"], p["layer"]].merge(p["keys"], p["values"], zip(p["orders"], p["heads"], tags, p["bodies"]))
+                data = b"".join(mvt.field(3, layers[place].message(place[1], extent)) for place in sorted(layers))
                 out.append(gzip.compress(data, mtime=0) if compress else data)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("z", "x", "y")), pa.array(out, pa.binary())], ["z", "x", "y", "data"])
 
-    as_text = F.transform("features", lambda f: F.struct(f.layer_ord.alias("layer_ord"), f.layer.alias("layer"), f.kind.alias("kind"), f.id.cast("string").alias("id"), f.geom.alias("geom"), f.props.alias("props")))
-    return tiles.select("z", "x", "y", as_text.alias("features")).mapInArrow(encode, TILE)
+    return gathered.mapInArrow(merge, TILE)
+
+
+def vector_tileset(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
+    """MVT tiles, gzipped if the options say so: geometry is cut and encoded before the shuffle, partial layers are merged after it."""
+    return merged_tiles(partial_layers(feature_tiles(features, options)), options)
+
+
+def decoded(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, nth, id, kind, geom, props) of every feature of MVT tiles, gzipped or not; properties as text."""
+    import gzip
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.struct([("x", pa.int64()), ("y", pa.int64())])
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.decimal128(20), pa.string(), pa.list_(pa.list_(point)), pa.map_(pa.string(), pa.string()))
+        for batch in batches:
+            rows = []
+            for z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "data"))):
+                for layer in mvt.decode(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    for nth, f in enumerate(layer["features"]):
+                        props = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in f["props"].items()]
+                        rows.append((z, x, y, layer["name"], nth, f["id"], f["kind"], [[{"x": a, "y": b} for a, b in part] for part in f["geom"]], props))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["z", "x", "y", "layer", "nth", "id", "kind", "geom", "props"])
+
+    return tiles.select("z", "x", "y", "data").mapInArrow(read, "z int, x long, y long, layer string, nth int, id decimal(20,0), kind string, geom array<array<struct<x:long,y:long>>>, props map<string,string>")
 
 
 def vector_layers_json(features: DataFrame, options: MvtOptions) -> str:
     """The layer catalogue of a vector tileset: per key the type of its first value that is not null."""
-    import json
-
     label = F.when(F.col("p.t") == "Bool", "Boolean").when(F.col("p.t").isin("Int", "Float"), "Number").when(F.col("p.t") == "String", "String")
     props = features.select("layer", "layer_ord", F.col("feature_ord").alias("ord"), F.explode_outer("props").alias("p")).select("layer", "layer_ord", "ord", F.col("p.k").alias("k"), label.alias("t"))
     rows = vector.layer_fields(props).collect()  # a row per layer and key

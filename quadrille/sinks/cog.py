@@ -1,20 +1,19 @@
-"""Cloud Optimized GeoTIFF: levels and blocks are made by Spark; the driver lays out the file, whose
-offsets are global, from the blocks' sizes and streams the blocks into it."""
+"""Cloud Optimized GeoTIFF: levels and blocks are made by Spark and written to the shared folder once; the
+driver lays out the file from the blocks' sizes, and tasks put the blocks at their places."""
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..codecs import tiff
 from ..operators import raster
-from ..plans.options import CogOptions, RasterMeta
+from ..plans.options import CogOptions, RasterMeta, TileError
+from .files import in_order, write_rows
 
 
 def levels_of(meta: RasterMeta, tile_size: int) -> list[tuple[int, int]]:
@@ -32,8 +31,12 @@ def blocks(cells: DataFrame, meta: RasterMeta, options: CogOptions = CogOptions(
     levels = raster.overviews(cells, meta.rows, meta.cols, ts)
     placed = levels.select("level", F.floor(F.col("row") / ts).alias("block_row"), F.floor(F.col("col") / ts).alias("block_col"), "band", (F.col("row") % ts).cast("int").alias("i"), (F.col("col") % ts).cast("int").alias("j"), "value")
     # a block without cells is still in the file
-    every = [(k, r, c) for k, (rows, cols) in enumerate(levels_of(meta, ts)) for r in range(-(-rows // ts)) for c in range(-(-cols // ts))]
-    frame = cells.sparkSession.createDataFrame(every, "level int, block_row long, block_col long").select("*", F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("double").alias("value"))
+    frame = None
+    for k, (rows, cols) in enumerate(levels_of(meta, ts)):
+        down, across = -(-rows // ts), -(-cols // ts)
+        level = cells.sparkSession.range(down * across).select(F.lit(k).alias("level"), F.floor(F.col("id") / across).alias("block_row"), (F.col("id") % across).alias("block_col"))
+        frame = level if frame is None else frame.unionByName(level)
+    frame = frame.select("*", F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("double").alias("value"))
     fill = np.nan if nodata is None else nodata
 
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -51,22 +54,21 @@ def blocks(cells: DataFrame, meta: RasterMeta, options: CogOptions = CogOptions(
     return placed.unionByName(frame).groupBy("level", "block_row", "block_col").applyInPandas(pack, "level int, block_row long, block_col long, data binary")
 
 
+def own_crs(epsg: int | None, override: str | None = None) -> str:
+    """The CRS that the file's keys name: an override, else the EPSG code; bounds are not asked."""
+    crs = override or {4326: "4326", 3857: "3857", 900913: "3857"}.get(epsg)
+    if crs not in ("4326", "3857"):
+        raise TileError(f"a COG is written in EPSG 4326 or 3857, not {override or epsg}")
+    return crs
+
+
 def write_cog(cells: DataFrame, meta: RasterMeta, path: str, options: CogOptions = CogOptions(), nodata: float | None = None) -> dict:
     """Writes the file; returns its levels, tiles and bytes."""
-    made = blocks(cells, meta, options, nodata).persist(StorageLevel.DISK_ONLY)
-    try:
-        sizes: dict[int, list[int]] = {}
-        for b in made.select("level", F.octet_length("data").alias("n"), "block_row", "block_col").orderBy("level", "block_row", "block_col").toLocalIterator():
-            sizes.setdefault(b["level"], []).append(b["n"])
-        levels = [{"rows": r, "cols": c, "sizes": sizes[k]} for k, (r, c) in enumerate(levels_of(meta, options.tile_size))]
-        text = None if meta.bands > 1 else "nan" if nodata is None else repr(float(nodata)).removesuffix(".0")
-        head = tiff.cog(levels, meta, meta.bands, meta.bands == 1, options.tile_size, options.deflate, text)
-        # written beside the target first: a failed job leaves no half file under its name
-        with open(f"{path}.part", "wb") as f:
-            f.write(head)
-            for b in made.orderBy(F.desc("level"), "block_row", "block_col").toLocalIterator():
-                f.write(b["data"])
-    finally:
-        made.unpersist()
-    os.replace(f"{path}.part", path)
-    return {"levels": len(levels), "tiles": sum(map(len, sizes.values())), "bytes": len(head) + sum(map(sum, sizes.values()))}
+    made = in_order(blocks(cells, meta, options, nodata), [F.desc("level"), "block_row", "block_col"])
+    sizes: dict[int, list[int]] = {}  # the directories list every block; a classic TIFF holds 4 GiB
+    for b in made.select("level", F.octet_length("data").alias("n"), "block_row", "block_col").orderBy("level", "block_row", "block_col").toLocalIterator():
+        sizes.setdefault(b["level"], []).append(b["n"])
+    levels = [{"rows": r, "cols": c, "sizes": sizes[k]} for k, (r, c) in enumerate(levels_of(meta, options.tile_size))]
+    text = None if meta.bands > 1 else "nan" if nodata is None else repr(float(nodata)).removesuffix(".0")
+    head = tiff.cog(levels, meta, meta.bands, meta.bands == 1, options.tile_size, options.deflate, text)
+    return {"levels": len(levels), "tiles": sum(map(len, sizes.values())), "bytes": write_rows(made, path, head)}

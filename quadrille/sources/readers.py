@@ -34,11 +34,9 @@ def layer_spec(text: str) -> tuple[str, str, str | None]:
 def read_geotiff(spark: SparkSession, path: str, bands: list[int] | None = None, crs: str | None = None) -> tuple[RasterMeta, DataFrame]:
     """The grid, and (band, row, col, value): ``bands`` in the order asked for, missing values null."""
     file = spark.read.format("binaryFile").load(path).select("content")
-    head = bytes(file.select(F.substring("content", 1, 1 << 20)).first()[0])
-    try:
-        _, tags = tiff.first_directory(head)
-    except struct.error:  # the directory lies behind the first megabyte
-        _, tags = tiff.first_directory(bytes(file.first()[0]))
+    part = lambda at, n: bytes(file.select(F.substring("content", at + 1, n)).first()[0])
+    head = part(0, 1 << 20)
+    _, tags = tiff.directory(lambda at, n: head[at : at + n] if at + n <= len(head) else part(at, n))
     count = tags.get(tiff.SAMPLES, (1,))[0]
     wanted = bands or list(range(1, count + 1))
     if any(not 1 <= b <= count for b in wanted):
