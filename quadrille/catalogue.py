@@ -178,10 +178,11 @@ def _axis(lo: str, hi: str, z: int) -> str:
     return f"(select unnest(generate_series(({lo}) * 256, (({hi}) + 1) * 256 - 1)) g)"
 
 
-#: Brute force: every pixel of the grid's tiles against every cell, by centres.
-AREA_AVERAGE = f"""with {GRID_META}, mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta),
-t as (select {range_sql(str(AREA_ZOOM), 'x0', 'y0', 'x1', 'y1')} from mb),
-res as (select 2 * {OS} / (256 * pow(2.0::double, {AREA_ZOOM})) res, {span(str(AREA_ZOOM))} sp),
+def _area_sql(z: int) -> str:
+    """Brute force: every pixel of the grid's tiles against every cell, by centres."""
+    return f"""with {GRID_META}, mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta),
+t as (select {range_sql(str(z), 'x0', 'y0', 'x1', 'y1')} from mb),
+res as (select 2 * {OS} / (256 * pow(2.0::double, {z})) res, {span(str(z))} sp),
 gx as (select unnest(generate_series(x_min * 256, (x_max + 1) * 256 - 1)) g from t), gy as (select unnest(generate_series(y_min * 256, (y_max + 1) * 256 - 1)) g from t),
 px as (select g, (floor(g / 256.0) * sp - {OS}) + ((g % 256)::double + 0.5) * res c, res from gx, res), py as (select g, ({OS} - floor(g / 256.0) * sp) - ((g % 256)::double + 0.5) * res c, res from gy, res),
 ax as (select g, ({lon('(c - res / 2)')} - ({OX}::double)) / {CELL}::double a, ({lon('(c + res / 2)')} - ({OX}::double)) / {CELL}::double b from px),
@@ -190,6 +191,18 @@ select ax.g gx, ay.g gy, round(avg(v), 6) as value from g join ax on g.c + 0.5 b
 where v is not null group by all"""
 
 
+AREA_AVERAGE = _area_sql(AREA_ZOOM)
+
+
+def area_pyramid(spark, d):
+    """Area means at five zooms from one pass over the cells."""
+    meta, cells = views.grid(spark, d)
+    return raster.area_pyramid(cells, meta, list(range(AREA_ZOOM - 4, AREA_ZOOM + 1))).select("z", "gx", "gy", F.round("value", 6).alias("value"))
+
+
+AREA_PYRAMID = " union all ".join(f"select {z} as z, * from ({_area_sql(z)})" for z in range(AREA_ZOOM - 4, AREA_ZOOM + 1))
+
+
 def tile_stats(spark, d):
     meta, cells = views.grid(spark, d)
     options = PyramidOptions(0, 9)
@@ -198,6 +211,25 @@ def tile_stats(spark, d):
     return tileset.stats(tiles, meta, options)
 
 
+def _pixel_tiles_sql(z: int) -> str:
+    """Tiles with a bilinear pixel at a zoom."""
+    corner = lambda axis, place: f"(select g, k.c, k.w from (select g, floor(m - 0.5)::bigint c0, m - 0.5 - floor(m - 0.5) f from (select g, {place} m from {axis})), lateral (select unnest([c0, c0 + 1]) c, unnest([1 - f, f]) w) k where k.w > 0)"
+    return f"""with {GRID_META}, mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta),
+t as (select {range_sql(str(z), 'x0', 'y0', 'x1', 'y1')} from mb), res as (select 2 * {OS} / (256 * pow(2.0::double, {z})) res, {span(str(z))} sp),
+gx as (select unnest(generate_series(x_min * 256, (x_max + 1) * 256 - 1)) g from t), gy as (select unnest(generate_series(y_min * 256, (y_max + 1) * 256 - 1)) g from t),
+px as (select g, (floor(g / 256.0) * sp - {OS}) + ((g % 256)::double + 0.5) * res m from gx, res), py as (select g, ({OS} - floor(g / 256.0) * sp) - ((g % 256)::double + 0.5) * res m from gy, res),
+cx as {corner('px', f'({lon("m")} - ({OX}::double)) / {CELL}::double')}, cy as {corner('py', f'({OY}::double - {lat("m")}) / {CELL}::double')},
+hit as (select cx.g gx, cy.g gy from g join cx on g.c = cx.c join cy on g.r = cy.c where g.v is not null group by cx.g, cy.g having sum(cx.w * cy.w) >= 0.5)
+select distinct floor(gx / 256)::bigint x, floor(gy / 256)::bigint y from hit"""
+
+
+def _tile_stats_sql() -> str:
+    areas = " union all ".join(f"select {z}::int z, count(*) n from (select distinct floor(gx / 256)::bigint x, floor(gy / 256)::bigint y from ({_area_sql(z)}))" for z in range(AREA_ZOOM + 1))
+    mb = f"mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta)"
+    return f"""with {GRID_META}, {mb}, t as (select z, {range_sql('z', 'x0', 'y0', 'x1', 'y1')} from mb, {ZOOMS.format(0, 9)}),
+made as ({areas} union all select 9, count(*) from ({_pixel_tiles_sql(9)})) select t.z, n written, (x_max - x_min + 1) * (y_max - y_min + 1) - n skipped from t join made on t.z = made.z"""
+
+
 def overview_half(spark, d):
     _, cells = views.grid(spark, d)
     return raster.half(cells).select("row", "col", F.round("value", 6).alias("value"))
@@ -451,7 +483,7 @@ def vector_catalogue(spark, d):
 
 def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
-             sample_nearest, sample_bilinear, area_average, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
+             sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
              mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
@@ -471,6 +503,8 @@ def oracle_sql() -> dict[str, str]:
         "sample_nearest": SAMPLE_NEAREST,
         "sample_bilinear": SAMPLE_BILINEAR,
         "area_average": AREA_AVERAGE,
+        "area_pyramid": AREA_PYRAMID,
+        "tile_stats": _tile_stats_sql(),
         "overview_half": OVERVIEW_HALF,
         "overview_chain": _overview_sql(),
         "rgb_stretch": RGB_STRETCH,

@@ -108,6 +108,11 @@ def axis_map(spark: SparkSession, meta: RasterMeta, z: int, axis: str, tile_size
     return g.select("g", place(centre - F.lit(res / 2)).alias("a"), place(centre + F.lit(res / 2)).alias("b"), place(centre).alias("mid"))
 
 
+def counted(axis: DataFrame) -> DataFrame:
+    """A map of an axis, to be broadcast if it is counted to be small; it is made of numbers, not of cells."""
+    return F.broadcast(axis) if axis.limit(MAP_ROWS + 1).count() <= MAP_ROWS else axis
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAP_ROWS else df
 
@@ -157,9 +162,61 @@ def area_average(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.
     return mean.unionByName(fallback)
 
 
+def rolled_zooms(meta: RasterMeta, zooms: list[int], spark: SparkSession, tile_size: int = M.TILE_SIZE) -> list[int]:
+    """Of ``zooms``, those whose area means follow from the deepest one's sums: every cell centre falls in the
+    pixel above its pixel at the deepest zoom, on both axes. A centre on an edge belongs to the pixels on both
+    sides, which only the edges of its own zoom tell; and pixels narrower than a cell have no sums. Both are
+    told from the axes alone, so this reads no cell."""
+    deepest = max(zooms)
+    others = [z for z in zooms if z != deepest and not thin_pixels(meta, z, tile_size)]
+    if not others or thin_pixels(meta, deepest, tile_size):
+        return []
+    checks = None
+    for axis, size in (("x", meta.cols), ("y", meta.rows)):
+        deep = covered_cells(axis_map(spark, meta, deepest, axis, tile_size), size)[0]
+        for z in others:
+            own = covered_cells(axis_map(spark, meta, z, axis, tile_size), size)[0]
+            above = deep.select(F.shiftright("g", deepest - z).alias("g"), "cell")
+            both = own.select("g", "cell", F.lit(1).alias("n")).unionByName(above.select("g", "cell", F.lit(-1).alias("n"))).select(F.lit(axis).alias("axis"), F.lit(z).alias("z"), "*")
+            checks = both if checks is None else checks.unionByName(both)
+    wrong = checks.groupBy("axis", "z", "g", "cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where("n <> 0 or m <> 2").select("z").distinct()
+    bad = {r["z"] for r in wrong.collect()}
+    return [z for z in others if z not in bad]
+
+
+def area_sums(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.TILE_SIZE) -> DataFrame:
+    """(band, gx, gy, s, n): sum and number of the valid cells whose centres a pixel holds."""
+    xs, ys = (axis_map(cells.sparkSession, meta, z, a, tile_size) for a in "xy")
+    x0, x1, y0, y1 = tile_extent(meta, z)
+    n_x, n_y = max(meta.cols, (x1 - x0 + 1) * tile_size), max(meta.rows, (y1 - y0 + 1) * tile_size)
+    return (
+        cells.where("value is not null")
+        .join(_small(covered_cells(xs, meta.cols)[0].select(F.col("g").alias("gx"), F.col("cell").alias("col")), n_x), "col")
+        .join(_small(covered_cells(ys, meta.rows)[0].select(F.col("g").alias("gy"), F.col("cell").alias("row")), n_y), "row")
+        .groupBy("band", "gx", "gy").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def area_pyramid(cells: DataFrame, meta: RasterMeta, zooms: list[int], tile_size: int = M.TILE_SIZE) -> DataFrame:
+    """(z, band, gx, gy, value): area means at several zooms. Cells are read and added up once, for the deepest
+    zoom; sums and numbers of four pixels make those of the pixel above, zoom by zoom, each from the shuffle
+    of the one below. Zooms that can't be had so (``rolled_zooms``) are averaged from the cells."""
+    rolled = rolled_zooms(meta, zooms, cells.sparkSession, tile_size)
+    parts = [area_average(cells, meta, z, tile_size).withColumn("z", F.lit(z)) for z in zooms if z not in rolled and (z != max(zooms) or not rolled)]
+    if rolled:
+        at, sums = max(zooms), area_sums(cells, meta, max(zooms), tile_size)
+        for z in [at, *sorted(rolled, reverse=True)]:
+            if z != at:
+                up = at - z
+                sums = sums.groupBy("band", F.shiftright("gx", up).alias("gx"), F.shiftright("gy", up).alias("gy")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+                at = z
+            parts.append(sums.select("band", "gx", "gy", (F.col("s") / F.col("n")).alias("value"), F.lit(z).alias("z")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def nearest(cells: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
     """(band, gx, gy, value): the cell that holds the pixel's centre."""
-    at = lambda axis, g, cell: axis.select(F.col("g").alias(g), F.floor("mid").alias(cell))
+    at = lambda axis, g, cell: counted(axis.select(F.col("g").alias(g), F.floor("mid").alias(cell)))
     return cells.where("value is not null").join(at(xs, "gx", "col"), "col").join(at(ys, "gy", "row"), "row").select("band", "gx", "gy", "value")
 
 
@@ -177,7 +234,7 @@ def weighted(hits: DataFrame, *keys: str) -> DataFrame:
 
 def bilinear(cells: DataFrame, xs: DataFrame, ys: DataFrame, meta: RasterMeta) -> DataFrame:
     """(band, gx, gy, value) at the pixels' centres."""
-    hits = cells.where("value is not null").join(corners(xs, "gx", "col", "wx"), "col").join(corners(ys, "gy", "row", "wy"), "row").withColumn("w", F.col("wx") * F.col("wy"))
+    hits = cells.where("value is not null").join(counted(corners(xs, "gx", "col", "wx")), "col").join(counted(corners(ys, "gy", "row", "wy")), "row").withColumn("w", F.col("wx") * F.col("wy"))
     return weighted(hits, "band", "gx", "gy")
 
 

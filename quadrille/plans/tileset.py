@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..codecs import image, mvt
@@ -28,19 +29,19 @@ def zooms(meta: RasterMeta, options: PyramidOptions) -> range:
 
 def count_tiles(meta: RasterMeta, options: PyramidOptions) -> int:
     """Tiles that the zooms enumerate, empty ones included."""
-    total = 0
-    for z in zooms(meta, options):
-        x0, x1, y0, y1 = raster.tile_extent(meta, z)
-        total += (x1 - x0 + 1) * (y1 - y0 + 1)
-    return total
+    return sum(enumerated(meta, options).values())
 
 
 def pixels(cells: DataFrame, meta: RasterMeta, options: PyramidOptions) -> DataFrame:
-    """(z, band, gx, gy, value) over all zooms; the sampling of each is chosen when planning."""
-    every = None
-    for z in zooms(meta, options):
-        part = raster.sample_zoom(cells, meta, z, options.resampling, options.tile_size).withColumn("z", F.lit(z))
-        every = part if every is None else every.unionByName(part)
+    """(z, band, gx, gy, value) over all zooms; the sampling of each is chosen when planning, and zooms of
+    area means come from one pass over the cells where they can."""
+    wanted = zooms(meta, options)
+    areas = [z for z in wanted if raster.uses_area(meta, z, options.tile_size)]
+    every = raster.area_pyramid(cells, meta, areas, options.tile_size) if areas else None
+    for z in wanted:
+        if z not in areas:
+            part = raster.sample_zoom(cells, meta, z, options.resampling, options.tile_size).withColumn("z", F.lit(z))
+            every = part if every is None else every.unionByName(part)
     return every
 
 
@@ -183,12 +184,51 @@ def metadata_rows(name: str, fmt: str, bounds: tuple[float, float, float, float]
     return rows + ([("json", json_text)] if json_text else [])
 
 
+def enumerated(meta: RasterMeta, options: PyramidOptions) -> dict[int, int]:
+    """Tiles of each zoom, empty ones included."""
+    extents = {z: raster.tile_extent(meta, z) for z in zooms(meta, options)}
+    return {z: (x1 - x0 + 1) * (y1 - y0 + 1) for z, (x0, x1, y0, y1) in extents.items()}
+
+
 def stats(tiles: DataFrame, meta: RasterMeta, options: PyramidOptions) -> DataFrame:
     """(z, written, skipped) for each zoom; tiles enumerated but without a pixel are skipped."""
-    spark = tiles.sparkSession
-    total = []
-    for z in zooms(meta, options):
-        x0, x1, y0, y1 = raster.tile_extent(meta, z)
-        total.append((z, (x1 - x0 + 1) * (y1 - y0 + 1)))
     made = tiles.groupBy("z").agg(F.count(F.lit(1)).alias("written"))
-    return spark.createDataFrame(total, "z int, n long").join(made, "z", "left").select("z", F.coalesce("written", F.lit(0)).alias("written"), (F.col("n") - F.coalesce("written", F.lit(0))).alias("skipped"))
+    total = tiles.sparkSession.createDataFrame(list(enumerated(meta, options).items()), "z int, n long")
+    return total.join(made, "z", "left").select("z", F.coalesce("written", F.lit(0)).alias("written"), (F.col("n") - F.coalesce("written", F.lit(0))).alias("skipped"))
+
+
+def observed(tiles: DataFrame, wanted: range, name: str = "tiles") -> tuple[DataFrame, Observation]:
+    """``tiles``, and what the action that writes them will have counted: tiles and bytes of each zoom.
+    Nothing is computed again for it; tasks that are repeated count once."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    size = F.coalesce(F.octet_length("data"), F.lit(0)).cast("long")
+    counts = [F.count_if(F.col("z") == z).alias(f"tiles_{z}") for z in wanted] + [F.sum(F.when(F.col("z") == z, size).otherwise(0)).alias(f"bytes_{z}") for z in wanted]
+    return tiles.observe(seen, *counts), seen
+
+
+def progress(seen: Observation, meta: RasterMeta | None = None, options: PyramidOptions | None = None) -> list[dict]:
+    """A row of each zoom: written and bytes, and skipped if the grid is given. Waits for the action."""
+    got = seen.get
+    total = enumerated(meta, options) if meta else {}
+    out = []
+    for z in sorted(int(k.removeprefix("tiles_")) for k in got if k.startswith("tiles_")):
+        out.append({"z": z, "written": got[f"tiles_{z}"], "bytes": got[f"bytes_{z}"] or 0} | ({"skipped": total[z] - got[f"tiles_{z}"]} if total else {}))
+    return out
+
+
+def feature_totals(features: DataFrame) -> tuple[DataFrame, Observation]:
+    """``features``, and their number and that of their layers, counted by the action that reads them."""
+    seen = Observation(f"features-{uuid.uuid4().hex}")
+    return features.observe(seen, F.count(F.lit(1)).alias("features"), F.size(F.collect_set("layer")).alias("layers")), seen
+
+
+def sizes_report(tiles: DataFrame, limit: int = 500_000, accuracy: int = 10_000) -> DataFrame:
+    """(z, tiles, oversize, median, p99, largest): encoded bytes of each zoom's tiles, and how many are above
+    ``limit``. Quantiles are sketches that tasks merge, off by at most 1 / accuracy of the tiles in rank."""
+    size = F.octet_length("data").cast("long")
+    return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.count_if(size > limit).alias("oversize"), F.percentile_approx(size, 0.5, accuracy).alias("median"), F.percentile_approx(size, 0.99, accuracy).alias("p99"), F.max(size).alias("largest"))
+
+
+def heaviest(tiles: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` tiles of most bytes: (z, x, y, bytes)."""
+    return tiles.select("z", "x", "y", F.octet_length("data").cast("long").alias("bytes")).orderBy(F.desc("bytes"), "z", "x", "y").limit(n)
