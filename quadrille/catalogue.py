@@ -10,8 +10,8 @@ from .operators import raster, vector
 from .plans import tileset, views
 from .plans.options import CogOptions, MvtOptions, PyramidOptions
 from .plans.shared import shared_path
-from .sinks import cog
-from .sources import geotiff
+from .sinks import cog, files
+from .sources import geojson, geotiff
 from .streaming.tiles import binned
 
 OS = repr(M.ORIGIN_SHIFT_M)
@@ -476,6 +476,19 @@ def geotiff_window(spark, d):
     return geotiff.scan(spark, _written_grid(spark, d))[1].where("row between 10 and 90 and col >= 70").select("row", "col", "value")
 
 
+def geojson_scan(spark, d):
+    """Points written as one line of GeoJSON and read back by range: a vertex and a property a row."""
+    path = f"{shared_path(spark)}/points.geojson"
+    files.write_geojson(views.point_features(spark, d).unionByName(views.box_features(spark, d)), path)
+    found = geojson.scan(spark, path, "all", range_bytes=1 << 16).select(F.col("id").cast("long").alias("k"), "kind", F.posexplode(F.flatten(F.flatten("parts"))).alias("i", "p"), F.get("props", F.lit(0)).alias("v"))
+    return found.select("k", "kind", "i", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"), F.col("v.k").alias("key"), F.col("v.t").alias("type"), F.col("v.i").alias("number"))
+
+
+GEOJSON_SCAN = f"""with p as ({views.PTS}), b as ({views.BOXES}), every as (select k, 'Point' kind, 0 i, lon x, lat y from p union all
+select k, 'Polygon', i, lon + dx * w, lat + dy * w from b, (select unnest([0, 1, 2, 3, 4]) i, unnest([0, 1, 1, 0, 0]) dx, unnest([0, 0, 1, 1, 0]) dy))
+select k, kind, i::int i, round(x, 9) + 0.0 x, round(y, 9) + 0.0 y, 'k' as key, 'Int' as type, k as number from every"""
+
+
 def vector_catalogue(spark, d):
     text = tileset.vector_layers_json(_features(spark, d), MvtOptions())
     return spark.createDataFrame([(text,)], "json string")
@@ -485,7 +498,7 @@ def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
              sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
-             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, mvt_decoded_points, mvt_decoded_boxes)
+             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
 
 
@@ -524,6 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "tile_windows": TILE_WINDOWS,
         "mvt_decoded_points": MVT_DECODED_POINTS,
         "mvt_decoded_boxes": MVT_DECODED_BOXES,
+        "geojson_scan": GEOJSON_SCAN,
         "geotiff_scan": GEOTIFF_SCAN,
         "geotiff_window": f"select * from ({GEOTIFF_SCAN}) where row between 10 and 90 and col >= 70",
     }

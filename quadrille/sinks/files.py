@@ -74,3 +74,26 @@ def write_rows(numbered: DataFrame, path: str, head: bytes | Callable[[], bytes]
         raise
     os.replace(aside, path)
     return end + len(tail)
+
+
+def geojson_text(features: DataFrame) -> DataFrame:
+    """(feature_ord, text): each feature as GeoJSON on one line. Coordinates are in the features' own system."""
+    pair = lambda p: F.array(p.x, p.y)
+    line = lambda r: F.transform(r, pair)
+    first = F.get(F.get("parts", F.lit(0)), F.lit(0))
+    shape = (
+        F.when(F.col("kind") == "Point", F.to_json(pair(F.get(first, F.lit(0))))).when(F.col("kind").isin("MultiPoint", "LineString"), F.to_json(line(first)))
+        .when(F.col("kind") == "MultiLineString", F.to_json(F.transform("parts", lambda part: line(F.get(part, F.lit(0)))))).when(F.col("kind") == "Polygon", F.to_json(F.transform(F.get("parts", F.lit(0)), line)))
+        .otherwise(F.to_json(F.transform("parts", lambda part: F.transform(part, line)))))
+    quoted = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
+    value = lambda p: F.coalesce(F.when(p.t == "Bool", p.b.cast("string")).when(p.t == "Int", p.i.cast("string")).when(p.t == "Float", p.d.cast("string")).when(p.t == "String", quoted(p.s)), F.lit("null"))
+    props = F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform("props", lambda p: F.concat(quoted(p.k), F.lit(":"), value(p))), ","), F.lit("}")), F.lit("null"))
+    ident = F.coalesce(F.concat(F.lit('"id":'), F.col("id").cast("string"), F.lit(",")), F.lit(""))
+    return features.select("layer_ord", "feature_ord", F.concat(F.lit('{"type":"Feature",'), ident, F.lit('"geometry":{"type":"'), "kind", F.lit('","coordinates":'), shape, F.lit('},"properties":'), props, F.lit("}")).alias("text"))
+
+
+def write_geojson(features: DataFrame, path: str) -> int:
+    """All features in order as one FeatureCollection on one line, written by many tasks. Returns its bytes."""
+    rows = geojson_text(features).select("layer_ord", "feature_ord", F.encode(F.concat("text", F.lit(",")), "utf-8").alias("data"))
+    # a last feature without a geometry or a property stands for the comma before it
+    return write_rows(in_order(rows, ["layer_ord", "feature_ord"]), path, b'{"type":"FeatureCollection","features":[', b'{"type":"Feature","geometry":null,"properties":null}]}')

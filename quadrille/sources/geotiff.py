@@ -18,7 +18,6 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
@@ -26,25 +25,12 @@ from pyspark.sql import functions as F
 from ..codecs import tiff
 from ..operators import raster
 from ..plans.options import RasterMeta, TileError
+from .ranges import RangeFile
 
 CELLS = "band int, row long, col long, value double"
 MOST_PARTITIONS = 20_000
 
 
-class RangeFile:
-    """A file read by range; counts what it reads."""
-
-    def __init__(self, path: str):
-        store, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
-        self.file, self.bytes_read = store.open_input_file(inside), 0
-
-    def __call__(self, at: int, n: int) -> bytes:
-        self.file.seek(at)
-        data = self.file.read(n)
-        self.bytes_read += len(data)
-        return data
-
-
 def grid_of(tags: dict[int, tuple], bands: int, crs: str | None = None) -> RasterMeta:
     """The grid that a directory describes."""
     ox, oy, pw, ph = tiff.geo(tags)

@@ -92,15 +92,14 @@ def typed(key, value):
     return F.struct(key.alias("k"), kind.alias("t"), F.when(kind == "Bool", value == "true").alias("b"), F.when(kind == "Int", whole.cast("bigint")).alias("i"), F.when(kind == "Float", value.try_cast("double")).alias("d"), F.when(kind == "String", text).alias("s"))
 
 
-def read_geojson(spark: SparkSession, path: str, layer: str, layer_ord: int = 0) -> DataFrame:
-    """Features of a FeatureCollection, a Feature or a bare geometry, in order; those without a geometry go."""
-    text = spark.read.option("wholetext", "true").text(path)
-    feature = "struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
-    doc = text.select("value", F.from_json("value", f"struct<type:string,features:array<{feature}>,id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>,coordinates:string>").alias("d"))
-    one = F.struct(F.lit("Feature").alias("type"), F.col("d.id").alias("id"), F.coalesce(F.col("d.geometry"), F.struct(F.col("d.type").alias("type"), F.col("d.coordinates").alias("coordinates"))).alias("geometry"), F.col("d.properties").alias("properties"))
-    listed = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(F.array(one))
-    raw = F.when(F.col("d.type") == "FeatureCollection", F.from_json("value", "struct<features:array<struct<properties:string>>>").getField("features")).otherwise(F.array(F.struct(F.get_json_object("value", "$.properties").alias("properties"))))
-    rows = doc.select(F.posexplode(F.arrays_zip(listed.alias("f"), raw.alias("r"))).alias("feature_ord", "z")).select("feature_ord", "z.f.*", F.col("z.r.properties").alias("json"))
+FEATURE = "struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+
+
+def features_of(records: DataFrame, layer: str, layer_ord: int = 0) -> DataFrame:
+    """Features from (feature_ord, text), the text of a Feature or of a bare geometry; those without a geometry go."""
+    doc = records.select("feature_ord", F.from_json("text", "struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,coordinates:string>").alias("f"), F.from_json("text", "struct<properties:string>").getField("properties").alias("json"))
+    geometry = F.coalesce(F.col("f.geometry"), F.struct(F.col("f.type").alias("type"), F.col("f.coordinates").alias("coordinates")))
+    rows = doc.select("feature_ord", F.col("f.id").alias("id"), geometry.alias("geometry"), "json")
     keys = F.array_sort(F.json_object_keys("json"))
     # values as JSON text, to tell "1" from 1
     quoted = F.from_json(F.col("json"), "map<string,variant>")
@@ -110,6 +109,15 @@ def read_geojson(spark: SparkSession, path: str, layer: str, layer_ord: int = 0)
     return found.where("parts is not null")
 
 
+def read_geojson(spark: SparkSession, path: str, layer: str, layer_ord: int = 0) -> DataFrame:
+    """Features of a FeatureCollection, a Feature or a bare geometry, in order, from any store that Spark knows.
+    The file is one row here; ``geojson.scan`` reads it by range."""
+    text = spark.read.text(path, wholetext=True)
+    whole = F.from_json("value", "struct<type:string,features:array<string>>")
+    texts = text.select(F.posexplode(F.when(whole.getField("type") == "FeatureCollection", whole.getField("features")).otherwise(F.array("value"))).alias("feature_ord", "text"))
+    return features_of(texts, layer, layer_ord)
+
+
 def wkb(data: bytes) -> tuple[str, list] | None:
     """(kind, parts) of a two-dimensional or higher WKB geometry; further dimensions are left out."""
     at = 0
