@@ -9,8 +9,8 @@ from .functions import mercator as M
 from .operators import raster, vector
 from .plans import tileset, views
 from .plans.options import CogOptions, MvtOptions, PyramidOptions
-from .plans.shared import shared_path
-from .sinks import cog, files
+from .plans.shared import shared_folder, shared_path
+from .sinks import cog, files, tile_index, xyz
 from .sources import geojson, geotiff
 from .streaming.tiles import binned
 
@@ -489,6 +489,39 @@ select k, 'Polygon', i, lon + dx * w, lat + dy * w from b, (select unnest([0, 1,
 select k, kind, i::int i, round(x, 9) + 0.0 x, round(y, 9) + 0.0 y, 'k' as key, 'Int' as type, k as number from every"""
 
 
+def _count_tiles(spark, d):
+    """Tiles that hold the number of their points, as text."""
+    return tile_point_counts(spark, d).select(F.col("z").cast("int").alias("z"), "x", "y", F.encode(F.col("n").cast("string"), "utf-8").alias("data"))
+
+
+def xyz_files(spark, d):
+    """Tiles written as a tree of files and read back."""
+    root = f"{shared_path(spark)}/xyz"
+    xyz.write_xyz(_count_tiles(spark, d), root, "txt", tileset.metadata_rows("counts", "txt", (-180.0, -85.0, 180.0, 85.0), 0, 6))
+    return xyz.read_xyz(spark, root)[1].select("z", "x", "y", F.decode("data", "utf-8").cast("long").alias("n"))
+
+
+REQUESTS = """select c_custkey k, case c_custkey % 9 when 0 then 'counts/2/1/north' when 1 then 'else/1/0/0.png' when 2 then '../1/0/0' when 3 then 'counts/3' when 4 then 'counts/7/1/1'
+else 'counts/' || cast(c_custkey % 7 as string) || '/' || cast((c_custkey * 31) % (1 << cast(c_custkey % 7 as int)) as string) || '/' || cast((c_custkey * 17) % (1 << cast(c_custkey % 7 as int)) as string) || case when c_custkey % 2 = 0 then '.pbf' else '' end end path from customer"""
+
+
+def tile_requests(spark, d):
+    """A batch of requests, good and bad, answered from an index of tiles."""
+    path = shared_folder(spark)
+    tile_index.write_index(_count_tiles(spark, d), path)
+    asked = tile_index.parsed_requests(views.view(spark, d, REQUESTS, "customer"))
+    got = tile_index.served({"counts": ("pbf", spark.read.parquet(path))}, asked)
+    return got.select("k", "path", "status", "content_type", "encoding", F.decode("data", "utf-8").cast("long").alias("n"))
+
+
+def _tile_requests_sql() -> str:
+    whole = lambda v: f"case when regexp_matches({v}, '^[0-9]+$') then {v}::bigint end"
+    return f"""with asked as ({REQUESTS.replace("<< cast(c_custkey % 7 as int)", "<< (c_custkey % 7)::int")}), parts as (select k, path, string_split(path, '/') p from asked),
+named as (select k, path, p[1] layer, {whole('p[2]')} z, {whole('p[3]')} x, {whole("string_split(p[4], '.')[1]")} y from parts), tiles as ({TILE_POINT_COUNTS}),
+told as (select k, path, case when a.z is null or a.x is null or a.y is null then 400 when layer <> 'counts' then 404 when n is null then 204 else 200 end::int status, n from named a left join tiles t on layer = 'counts' and a.z = t.z and a.x = t.x and a.y = t.y)
+select k, path, status, case when status = 200 then 'application/x-protobuf' end content_type, case when status = 200 then 'gzip' end as encoding, case when status = 200 then n end n from told"""
+
+
 def vector_catalogue(spark, d):
     text = tileset.vector_layers_json(_features(spark, d), MvtOptions())
     return spark.createDataFrame([(text,)], "json string")
@@ -498,7 +531,7 @@ def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
              sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
-             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, mvt_decoded_points, mvt_decoded_boxes)
+             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, xyz_files, tile_requests, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
 
 
@@ -537,6 +570,8 @@ def oracle_sql() -> dict[str, str]:
         "tile_windows": TILE_WINDOWS,
         "mvt_decoded_points": MVT_DECODED_POINTS,
         "mvt_decoded_boxes": MVT_DECODED_BOXES,
+        "xyz_files": TILE_POINT_COUNTS,
+        "tile_requests": _tile_requests_sql(),
         "geojson_scan": GEOJSON_SCAN,
         "geotiff_scan": GEOTIFF_SCAN,
         "geotiff_window": f"select * from ({GEOTIFF_SCAN}) where row between 10 and 90 and col >= 70",

@@ -1,19 +1,17 @@
-"""Tilesets to Parquet, XYZ trees and MBTiles.
+"""Tilesets to Parquet and MBTiles.
 
-Tasks write; the driver only joins what they have written. XYZ trees and MBTiles files are made
-for a folder that all executors share.
+Tasks write; the driver only joins what they have written. MBTiles files are made for a folder that
+all executors share. Trees of tiles are ``sinks.xyz``.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
 import sqlite3
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import mercator as M
 
@@ -22,32 +20,6 @@ def write_parquet(tiles: DataFrame, path: str) -> None:
     tiles.repartition("z", "x").write.mode("overwrite").partitionBy("z").parquet(path)
 
 
-def write_xyz(tiles: DataFrame, root: str, extension: str, metadata: list[tuple[str, str]]) -> int:
-    """``root/z/x/y.extension`` and metadata.json; existing tiles are replaced, others stay. Returns the number written."""
-
-    def put(rows):
-        import pyarrow as pa
-
-        for batch in rows:
-            for z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "data"))):
-                folder = f"{root}/{z}/{x}"
-                os.makedirs(folder, exist_ok=True)
-                # written aside and renamed, so that a repeated task leaves whole tiles
-                aside = f"{folder}/.{y}.{uuid.uuid4().hex}"
-                with open(aside, "wb") as f:
-                    f.write(data)
-                os.replace(aside, f"{folder}/{y}.{extension}")
-            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
-
-    written = tiles.select("z", "x", "y", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
-    named = dict(metadata)
-    about = {"name": named["name"], "format": named["format"], "minzoom": int(named["minzoom"]), "maxzoom": int(named["maxzoom"]), "bounds": [float(v) for v in named["bounds"].split(",")], "scheme": "xyz"}
-    os.makedirs(root, exist_ok=True)
-    with open(f"{root}/metadata.json", "w") as f:
-        json.dump(about | ({"json": named["json"]} if "json" in named else {}), f)
-    return written
-
-
 def write_mbtiles(tiles: DataFrame, path: str, metadata: list[tuple[str, str]]) -> int:
     """An MBTiles file: tasks write SQLite shards beside it, the driver attaches and renames. Rows are TMS."""
     shards = f"{path}.{uuid.uuid4().hex}"
@@ -68,7 +40,11 @@ def write_mbtiles(tiles: DataFrame, path: str, metadata: list[tuple[str, str]])
         db.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n])], ["shard", "n"])
 
-    made = tiles.select("z", "x", M.tms_row("z", "y").alias("row"), "data").mapInArrow(put, "shard string, n long").collect()  # a row per task
+    try:
+        made = tiles.select("z", "x", M.tms_row("z", "y").alias("row"), "data").mapInArrow(put, "shard string, n long").collect()  # a row per task
+    except BaseException:
+        shutil.rmtree(shards, ignore_errors=True)
+        raise
     whole = f"{shards}/whole"
     db = sqlite3.connect(whole, isolation_level=None)
     try:

@@ -276,10 +276,12 @@ def lookup(tiles: DataFrame, z: int, x: int, y: int) -> DataFrame:
 
 def answer(fmt: str, found: bool, valid: bool = True, known: bool = True) -> tuple[int, str | None, str | None]:
     """(status, content type, content encoding) of a tile request."""
+    from ..sinks.tile_index import OTHER_TYPE, TYPES
+
     if not valid:
         return 400, None, None
     if not known:
         return 404, None, None
     if not found:
         return 204, None, None
-    return 200, {"pbf": "application/x-protobuf", "webp": "image/webp", "jpg": "image/jpeg"}.get(fmt, "image/png"), "gzip" if fmt == "pbf" else None
+    return 200, TYPES.get(fmt, OTHER_TYPE), "gzip" if fmt == "pbf" else None

@@ -15,7 +15,7 @@ from quadrille.functions import mercator as M
 from quadrille.operators import raster, vector
 from quadrille.plans import tileset
 from quadrille.plans.options import CogOptions, MvtOptions, PyramidOptions, RasterMeta, TileError
-from quadrille.sinks import cog, tiles as sinks
+from quadrille.sinks import cog, tiles as sinks, xyz
 from quadrille.sources import readers
 
 
@@ -174,7 +174,7 @@ def test_sinks(spark, tmp_path):
         assert db.execute("select tile_row from tiles where zoom_level = 3").fetchall() == [(7,)]
     named, back = readers.read_mbtiles(spark, f"{tmp_path}/t.mbtiles")
     assert named["maxzoom"] == "3" and {tuple(r)[:3] for r in back.collect()} == {(0, 0, 0), (3, 2, 0)}
-    assert sinks.write_xyz(made, f"{tmp_path}/xyz", "png", about) == 2 and (tmp_path / "xyz/3/2/0.png").read_bytes() == b"u"
+    assert xyz.write_xyz(made, f"{tmp_path}/xyz", "png", about) == 2 and (tmp_path / "xyz/3/2/0.png").read_bytes() == b"u"
     assert json.loads((tmp_path / "xyz/metadata.json").read_text())["scheme"] == "xyz"
     sinks.write_parquet(made, f"{tmp_path}/p")
     assert readers.lookup(spark.read.parquet(f"{tmp_path}/p"), 3, 2, 0).count() == 1
