@@ -89,18 +89,39 @@ def _all_tiles(spark, top: int) -> DataFrame:
     return z.withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
 
 
+def _point_tiles(spark, d) -> DataFrame:
+    """The tile of each point at a zoom of its own."""
+    p = _pts(spark, d).select("k", (F.col("k") % 19).cast("int").alias("z"), M.mercator_x("lon").alias("mx"), M.mercator_y("lat").alias("my"))
+    return p.select("k", "z", M.tile_x("z", "mx").alias("x"), M.tile_y("z", "my").alias("y"))
+
+
+POINT_TILES = f"with {PT_M}, t as (select k, (k % 19)::int z, {clamped(f'floor((mx + {OS}) / {span('(k % 19)')})', '(k % 19)')} x, {clamped(f'floor(({OS} - my) / {span('(k % 19)')})', '(k % 19)')} y from m)"
+
+
 def tile_bounds(spark, d):
     x0, y0, x1, y1 = M.tile_bounds_m("z", "x", "y")
-    return _all_tiles(spark, 4).select("z", "x", "y", *[F.round(v, 3).alias(n) for v, n in ((x0, "min_x"), (y0, "min_y"), (x1, "max_x"), (y1, "max_y"))], F.round(M.longitude(x0), 8).alias("west"), F.round(M.latitude(y0), 8).alias("south"))
+    return _point_tiles(spark, d).select("k", "z", "x", "y", *[F.round(v, 3).alias(n) for v, n in ((x0, "min_x"), (y0, "min_y"), (x1, "max_x"), (y1, "max_y"))], F.round(M.longitude(x0), 8).alias("west"), F.round(M.latitude(y0), 8).alias("south"))
 
 
-ALL_TILES = "(select z, unnest(generate_series(0, (pow(2, z) - 1)::bigint)) x from " + ZOOMS + ") t, lateral (select unnest(generate_series(0, (pow(2, z) - 1)::bigint)) y) u"
-TILE_BOUNDS = f"""with t as (select z, x, y, x * {span('z')} - {OS} x0, {OS} - y * {span('z')} y1, {span('z')} s from {ALL_TILES.format(0, 4)})
-select z, x, y, round(x0, 3) + 0.0 min_x, round(y1 - s, 3) + 0.0 min_y, round(x0 + s, 3) + 0.0 max_x, round(y1, 3) + 0.0 max_y, round({lon('x0')}, 8) + 0.0 west, round({lat('(y1 - s)')}, 8) + 0.0 south from t"""
+TILE_BOUNDS = f"""{POINT_TILES}, e as (select k, z, x, y, x * {span('z')} - {OS} x0, {OS} - y * {span('z')} y1, {span('z')} s from t)
+select k, z, x, y, round(x0, 3) + 0.0 min_x, round(y1 - s, 3) + 0.0 min_y, round(x0 + s, 3) + 0.0 max_x, round(y1, 3) + 0.0 max_y, round({lon('x0')}, 8) + 0.0 west, round({lat('(y1 - s)')}, 8) + 0.0 south from e"""
 
 
 def tile_tms_row(spark, d):
-    return _all_tiles(spark, 5).select("z", "x", "y", M.tms_row("z", "y").alias("tms"))
+    return _point_tiles(spark, d).select("k", "z", "x", "y", M.tms_row("z", "y").alias("tms"))
+
+
+def tile_range_sql(spark, d):
+    """As tile_range_cover, in SQL text: the library's SQL functions, and its table function with LATERAL."""
+    from .functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        """with m as (select s_suppkey k, mercator_x(lon) x0, mercator_y(lat) y0, mercator_x(lon + w) x1, mercator_y(lat + w) y1
+             from (select s_suppkey, ((s_suppkey * 7919) % 34000) / 100D - 175 lon, ((s_suppkey * 104729) % 15000) / 100D - 75 lat, 0.5D + (s_suppkey % 7) w from {supplier}))
+           select k, z, min(t.x) x_min, max(t.x) x_max, min(t.y) y_min, max(t.y) y_max, count(*) tiles
+           from m, lateral explode(sequence(0, 8)) zooms(z), lateral tiles_for_bounds(z, x0, y0, x1, y1) t group by k, z""",
+        supplier=spark.read.parquet(f"{d}/supplier.parquet"))
 
 
 def tile_range_cover(spark, d):
@@ -360,11 +381,15 @@ select level, rows, cols, ((rows + 15) // 16) * ((cols + 15) // 16) blocks from
 
 
 def mbtiles_metadata(spark, d):
-    return spark.createDataFrame(tileset.metadata_rows("demo", "png", (-72.0, -34.0, -70.0, -32.5), 2, 9), "name string, value string")
+    """What a tileset of the points says of itself."""
+    w, so, e, n = _pts(spark, d).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    return spark.createDataFrame(tileset.metadata_rows("points", "pbf", (w, so, e, n), 3, 11), "name string, value string")
 
 
-MBTILES_METADATA = """select * from (values ('name', 'demo'), ('format', 'png'), ('bounds', '-72,-34,-70,-32.5'), ('center', '-71,-33.25,2'), ('minzoom', '2'), ('maxzoom', '9'),
-('type', 'overlay'), ('version', '1'), ('description', 'demo')) t(name, value)"""
+_NUMBER = "regexp_replace(({})::varchar, '[.]0$', '')"
+MBTILES_METADATA = f"""with p as ({views.PTS}), b as (select min(lon) w, min(lat) s, max(lon) e, max(lat) n from p)
+select name, value from b, lateral (select unnest(['name', 'format', 'bounds', 'center', 'minzoom', 'maxzoom', 'type', 'version', 'description']) as name,
+unnest(['points', 'pbf', {" || ',' || ".join(_NUMBER.format(v) for v in "wsen")}, {_NUMBER.format('(w + e) / 2')} || ',' || {_NUMBER.format('(s + n) / 2')} || ',3', '3', '11', 'overlay', '1', 'points']) as value) t"""
 
 
 def tile_lookup(spark, d):
@@ -527,8 +552,12 @@ def vector_catalogue(spark, d):
     return spark.createDataFrame([(text,)], "json string")
 
 
+VECTOR_CATALOGUE = """with l as (select 'pts' id, 0 o, count(*) n from customer union all select 'boxes', 1, count(*) from supplier union all select 'tracks', 2, count(*) from events)
+select '{"vector_layers": [' || string_agg('{"id": "' || id || '", "minzoom": 0, "maxzoom": 14, "fields": {"k": "Number"}}', ', ' order by o) || ']}' json from l where n > 0"""
+
+
 def queries() -> dict:
-    names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
+    names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, tile_range_sql, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
              sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
              mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, xyz_files, tile_requests, mvt_decoded_points, mvt_decoded_boxes)
@@ -541,7 +570,9 @@ def oracle_sql() -> dict[str, str]:
         "mercator_forward": f"with {PT_M} select k, round(mx, 3) mx, round(my, 3) my from m",
         "mercator_inverse": f"with {PT_M} select k, round({lon('mx')}, 8) lon, round({lat('my')}, 8) lat from m",
         "tile_bounds": TILE_BOUNDS,
-        "tile_tms_row": f"select z, x, y, (pow(2, z) - 1)::bigint - y tms from {ALL_TILES.format(0, 5)}",
+        "tile_tms_row": f"{POINT_TILES} select k, z, x, y, (pow(2, z) - 1)::bigint - y tms from t",
+        "tile_range_sql": TILE_RANGE_COVER,
+        "vector_catalogue": VECTOR_CATALOGUE,
         "tile_range_cover": TILE_RANGE_COVER,
         "zoom_for_resolution": ZOOM_FOR_RESOLUTION,
         "native_zoom_and_bounds": NATIVE,

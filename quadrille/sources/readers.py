@@ -6,6 +6,7 @@ Spark knows will do.
 
 from __future__ import annotations
 
+import json
 import re
 import sqlite3
 import struct
@@ -270,6 +271,15 @@ def read_mbtiles(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFr
     return named, file.mapInArrow(tiles, "z int, x long, y long, data binary")
 
 
+def vector_layers(named: dict[str, str]) -> list[dict] | None:
+    """The layers that a tileset's metadata lists, None where it lists none or not as it should."""
+    try:
+        found = json.loads(named["json"])["vector_layers"]
+    except (KeyError, TypeError, ValueError):
+        return None
+    return found if isinstance(found, list) else None
+
+
 def lookup(tiles: DataFrame, z: int, x: int, y: int) -> DataFrame:
     return tiles.where((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
 

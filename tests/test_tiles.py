@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.codecs import image, mvt, tiff
 from quadrille.functions import mercator as M
+from quadrille.functions import sql
 from quadrille.operators import raster, vector
 from quadrille.plans import tileset
 from quadrille.plans.options import CogOptions, MvtOptions, PyramidOptions, RasterMeta, TileError
@@ -28,39 +29,46 @@ def grid(spark, rows, cols, value, meta=None, hole=None, bands=1):
     return meta, spark.createDataFrame(cells, "band int, row long, col long, value double")
 
 
-LONLAT4 = RasterMeta(4, 4, 0.0, 4.0, 1.0, 1.0)
-
-
 def test_tile_arithmetic(spark):
-    z = F.lit(10)
-    assert one(spark, M.tile_x(z, M.mercator_x(F.lit(-70.65))), M.tile_y(z, M.mercator_y(F.lit(-33.45)))) == (311, 613)
-    assert one(spark, M.zoom_for_resolution(F.lit(30.0)), M.zoom_for_resolution(F.lit(156543.04)), M.tms_row(F.lit(3), F.lit(0))) == (13, 0, 7)
-    assert one(spark, M.resolution(F.lit(0)))[0] == pytest.approx(156543.033928041)
-    quarter = M.tile_range(F.lit(1), F.lit(0.0), F.lit(0.0), F.lit(M.ORIGIN_SHIFT_M), F.lit(M.ORIGIN_SHIFT_M))
-    assert one(spark, *quarter) == (1, 1, 0, 0)
-    far = M.tile_range(F.lit(2), F.lit(-1e9), F.lit(-1e9), F.lit(1e9), F.lit(1e9))
-    assert one(spark, *far) == (0, 3, 0, 3)
-    lon, lat = one(spark, M.longitude(M.mercator_x(F.lit(-70.65))), M.latitude(M.mercator_y(F.lit(-33.45))))
-    assert lon == pytest.approx(-70.65, abs=1e-9) and lat == pytest.approx(-33.45, abs=1e-9)
+    # 45 degrees east is five eighths of the way round; on the equator rows begin at the middle
+    z = F.lit(5)
+    assert one(spark, M.tile_x(z, M.mercator_x(F.lit(45.0))), M.tile_y(z, M.mercator_y(F.lit(0.0))), M.tile_x(z, M.mercator_x(F.lit(44.99)))) == (20, 16, 19)
+    # at 60 north y is ln(tan 75) = 1.31696 radii of pi, 0.41920 of the way up: row floor(32 * (1 - 0.41920) / 2)
+    assert one(spark, M.tile_y(z, M.mercator_y(F.lit(60.0)))) == (9,)
+    assert one(spark, M.resolution(F.lit(3), 512))[0] == pytest.approx(2 * np.pi * 6378137 / 4096)
+    exact = 2 * M.ORIGIN_SHIFT_M / (256 * 2**7)
+    assert one(spark, *[M.zoom_for_resolution(F.lit(exact * k)) for k in (1, 0.999, 1.5, 1e-9, 1e9)]) == (7, 8, 7, 30, 0)
+    assert one(spark, M.tms_row(F.lit(4), F.lit(11))) == (4,)
+    side = M.ORIGIN_SHIFT_M / 4  # of a tile at zoom 3
+    assert one(spark, *M.tile_range(F.lit(3), F.lit(-side), F.lit(-2 * side), F.lit(2 * side), F.lit(side))) == (3, 5, 3, 5)
+    assert one(spark, *M.tile_range(F.lit(3), F.lit(9e8), F.lit(-9e8), F.lit(9e8), F.lit(-9e8))) == (7, 7, 7, 7)
+    back = one(spark, M.longitude(M.mercator_x(F.lit(139.75))), M.latitude(M.mercator_y(F.lit(-77.125))))
+    assert back == pytest.approx((139.75, -77.125), abs=1e-10)
 
 
 def test_sampling(spark):
-    _, cells = grid(spark, 4, 4, lambda b, i, j: i * 10 + j)
-    points = spark.createDataFrame([(1, 2.5, 3.5), (2, 0.5, 0.5), (3, 10.0, 10.0), (4, 1.0, 0.5)], "k int, x double, y double")
-    near = {r["k"]: r["value"] for r in raster.sample_points(cells, points, LONLAT4, "nearest").collect()}
-    assert near[1] == 2 and near[2] == 30 and 3 not in near
-    assert {r["k"]: r["value"] for r in raster.sample_points(cells, points, LONLAT4).collect()}[4] == pytest.approx(30.5)
-    _, holed = grid(spark, 4, 4, lambda b, i, j: i * 10 + j, hole=(0, 2))
-    near = {r["k"]: r["value"] for r in raster.sample_points(holed, points, LONLAT4, "nearest").collect()}
-    assert 1 not in near and raster.native_zoom(LONLAT4) <= 2
+    # 3 rows of 5 cells, half as wide as high; values are products of primes of row and column
+    meta, value = RasterMeta(3, 5, 100.0, 46.0, 2.0, 4.0), lambda b, i, j: (2, 3, 5)[i] * (7, 11, 13, 17, 19)[j]
+    points = spark.createDataFrame([(1, 105.0, 41.5), (2, 109.999, 34.001), (3, 99.9, 40.0), (4, 104.0, 42.0), (5, 103.0, 40.0), (6, 100.5, 45.5)], "k int, x double, y double")
+    at = lambda cells, how: {r["k"]: r["value"] for r in raster.sample_points(cells, points, meta, how).collect()}
+    _, cells = grid(spark, 3, 5, value)
+    assert at(cells, "nearest") == {1: 3 * 13, 2: 5 * 19, 4: 3 * 13, 5: 3 * 11, 6: 2 * 7}
+    smooth = at(cells, "bilinear")
+    assert smooth[4] == (2 + 3) * (11 + 13) / 4 and smooth[5] == 3 * 11 and 3 not in smooth
+    # near the corner 0.75 * 0.625 of the weight lies within the grid, which is less than half
+    assert 6 not in smooth
+    _, holed = grid(spark, 3, 5, value, hole=(1, 2))
+    assert at(holed, "nearest").keys() == {2, 5, 6}
+    assert at(holed, "bilinear")[4] == pytest.approx((2 * 11 + 2 * 13 + 3 * 11) / 3) and 1 not in at(holed, "bilinear")
 
 
 def test_crs_and_checks():
-    assert raster.detect_crs((-71, -33, -70, -32)) == "4326" and raster.detect_crs((-2e7, -2e7, 2e7, 2e7)) == "3857"
-    for bad in (lambda: raster.detect_crs((0, 0, 4, 4), 32719), lambda: PyramidOptions(5, 3), lambda: CogOptions(100), lambda: PyramidOptions(stretch=(2, 1)), lambda: RasterMeta(1, 1, 0, 0, 1, 1, bands=2), lambda: readers.layer_spec("a=")):
+    assert raster.detect_crs((5.9, 45.8, 10.5, 47.8)) == "4326" and raster.detect_crs((6e5, 5.7e6, 1.2e6, 6.1e6)) == "3857"
+    assert raster.detect_crs((6e5, 5.7e6, 1.2e6, 6.1e6), 4326) == "4326" and raster.detect_crs((0, 0, 1, 1), 2056, "3857") == "3857"
+    for bad in (lambda: raster.detect_crs((7, 46, 8, 47), 2056), lambda: raster.detect_crs((2.6e6, 1.2e6, 2.6e6 + 300, 1.3e6)), lambda: PyramidOptions(9, 8), lambda: CogOptions(24), lambda: PyramidOptions(stretch=(7, 7)), lambda: RasterMeta(1, 1, 0, 0, 1, 1, bands=5), lambda: readers.layer_spec("name=")):
         with pytest.raises(TileError):
             bad()
-    assert readers.layer_spec("b=c/d.gpkg#t") == ("b", "c/d.gpkg", "t") and readers.layer_spec("x/rivers.geojson") == ("rivers", "x/rivers.geojson", None)
+    assert readers.layer_spec("lakes=in/swiss.gpkg#seen") == ("lakes", "in/swiss.gpkg", "seen") and readers.layer_spec("in/peaks.v2.json") == ("peaks.v2", "in/peaks.v2.json", None)
 
 
 def test_overviews_skip_missing(spark):
@@ -77,15 +85,46 @@ def decoded_png(data):
 
 
 def test_pyramid(spark):
-    meta = RasterMeta(32, 32, -71.5, -32.8, 0.002, 0.002)
-    _, cells = grid(spark, 32, 32, lambda b, i, j: i + j)
-    rows = tileset.raster_tileset(cells, meta, PyramidOptions(4, 6)).collect()
-    assert {r["z"] for r in rows} == {4, 5, 6}
+    meta = RasterMeta(48, 40, 7.1, 46.9, 0.004, 0.003)
+    _, cells = grid(spark, 48, 40, lambda b, i, j: 3 * i - j)
+    rows = tileset.raster_tileset(cells, meta, PyramidOptions(3, 7)).collect()
+    assert {r["z"] for r in rows} == {3, 4, 5, 6, 7}
     assert all(decoded_png(bytes(r["data"]))[..., 3].any() for r in rows)
-    pixels = np.arange(64, dtype=np.uint8).reshape(4, 4, 4)
+    pixels = np.arange(96, dtype=np.uint8).reshape(3, 8, 4)
     assert (decoded_png(image.png(pixels)) == pixels).all()
 
 
+def test_a_tile_of_transparent_pixels_is_written(spark):
+    """Four bands, of which the last says that nothing shows."""
+    meta = RasterMeta(40, 40, 7.1, 46.9, 0.004, 0.003, bands=4)
+    _, cells = grid(spark, 40, 40, lambda b, i, j: 0 if b == 4 else 60 * b, bands=4)
+    rows = tileset.raster_tileset(cells, meta, PyramidOptions(6, 6)).collect()
+    assert rows and all(not decoded_png(bytes(r["data"]))[..., 3].any() and decoded_png(bytes(r["data"]))[..., :3].any() for r in rows)
+
+
+def test_area_mean_of_a_whole_grid(spark):
+    """At zoom 0 a pixel is wider than the grid, which holds the centre of no other pixel."""
+    meta = RasterMeta(6, 6, 0.2, 0.9, 0.1, 0.1)
+    _, cells = grid(spark, 6, 6, lambda b, i, j: 6 * i + j, hole=(2, 3))
+    (r,) = raster.area_average(cells, meta, 0).collect()
+    assert (r["gx"], r["gy"]) == (128, 127) and r["value"] == pytest.approx((sum(range(36)) - 15) / 35)
+
+
+def test_layers_of_metadata():
+    assert readers.vector_layers({"json": '{"vector_layers": [{"id": "a"}]}'}) == [{"id": "a"}]
+    assert [readers.vector_layers(m) for m in ({}, {"json": "{"}, {"json": "[]"}, {"json": '{"vector_layers": {}}'})] == [None] * 4
+
+
+def test_functions_in_sql(spark):
+    names = sql.register(spark)
+    assert "tiles_for_bounds" in names
+    got = spark.sql("select tile_x(5, mercator_x(45D)), tile_y(5, mercator_y(60D)), tms_row(4, 11L), zoom_for_resolution(1e9D), round(mercator_lat(mercator_y(-77.125D)), 9), tile_resolution(3, 512)").first()
+    assert tuple(got)[:5] == (20, 9, 4, 0, -77.125) and got[5] == pytest.approx(2 * np.pi * 6378137 / 4096)
+    side = M.ORIGIN_SHIFT_M / 4
+    tiles = spark.sql(f"select k, t.x, t.y from values (1, {-side}D, 0D, {side}D, {side}D), (2, 0D, 0D, 0D, 0D) b(k, x0, y0, x1, y1), lateral tiles_for_bounds(3, x0, y0, x1, y1) t").collect()
+    assert sorted(map(tuple, tiles)) == [(1, 3, 3), (1, 4, 3), (2, 4, 4)]
+
+
 def test_lines_and_rings(spark):
     line = np.array([(-2.0, 0.5), (0.5, 0.5), (2.0, 0.5), (2.0, 5.0), (0.5, 5.0), (0.5, 0.2)])
     parts = vector.clip_line(line, (0, 0, 1, 1))
@@ -167,8 +206,8 @@ def test_clipping_without_features(spark):
 
 def test_sinks(spark, tmp_path):
     made = spark.createDataFrame([(0, 0, 0, bytearray(b"t")), (3, 2, 0, bytearray(b"u"))], tileset.TILE)
-    about = tileset.metadata_rows("demo", "png", (-72.0, -34.0, -70.0, -32.0), 0, 3)
-    assert dict(about)["bounds"] == "-72,-34,-70,-32"
+    about = tileset.metadata_rows("peaks", "png", (6.5, -0.25, 9.0, 47.125), 0, 3)
+    assert dict(about)["bounds"] == "6.5,-0.25,9,47.125" and dict(about)["center"] == "7.75,23.4375,0"
     assert sinks.write_mbtiles(made, f"{tmp_path}/t.mbtiles", about) == 2
     with sqlite3.connect(f"{tmp_path}/t.mbtiles") as db:
         assert db.execute("select tile_row from tiles where zoom_level = 3").fetchall() == [(7,)]
