@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mercator as M
-from .operators import raster, vector
+from .operators import raster, spatial_index, vector
 from .plans import tileset, views
 from .plans.options import CogOptions, MvtOptions, PyramidOptions
 from .plans.shared import shared_folder, shared_path
@@ -301,6 +301,17 @@ r as (select z, x, y, x * {span('z')} - {OS} tx, {OS} - y * {span('z')} ty, {spa
 select k, z, x, y from m join r on m.x0 <= tx + s + pad and m.x1 >= tx - pad and m.y0 <= ty + pad and m.y1 >= ty - s - pad"""
 
 
+def points_in_boxes(spark, d):
+    """How many points each box holds, through the quadtree and packed trees."""
+    points = _pts(spark, d).select(F.col("k").alias("id"), M.mercator_x("lon").alias("x"), M.mercator_y("lat").alias("y"))
+    return spatial_index.points_within(points, _boxes_m(spark, d))
+
+
+#: Every box with every point.
+POINTS_IN_BOXES = f"""with p as ({views.PTS}), pm as (select {mx('lon')} mx, {my('lat')} my from p), {BOX_M}
+select k, count(*) n from m join pm on mx between x0 and x1 and my between y0 and y1 group by k"""
+
+
 def dataset_bounds(spark, d):
     f = vector.with_bbox(vector.to_metres(views.box_features(spark, d).unionByName(views.track_features(spark, d)), "4326"))
     return vector.dataset_bounds(f).select(*[F.round(c, 3).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
@@ -558,7 +569,7 @@ select '{"vector_layers": [' || string_agg('{"id": "' || id || '", "minzoom": 0,
 
 def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, tile_range_sql, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
-             sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, dataset_bounds, mvt_quantize_points,
+             sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, points_in_boxes, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
              mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, xyz_files, tile_requests, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
@@ -587,6 +598,7 @@ def oracle_sql() -> dict[str, str]:
         "rgb_stretch": RGB_STRETCH,
         "auto_stretch": f"with g as ({views.GRID}) select min(v) lo, max(v) hi from g",
         "feature_tile_join": FEATURE_TILE_JOIN,
+        "points_in_boxes": POINTS_IN_BOXES,
         "dataset_bounds": DATASET_BOUNDS,
         "mvt_quantize_points": MVT_QUANTIZE_POINTS,
         "mvt_quantize_lines": MVT_QUANTIZE_LINES,
