@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import sqlite3
 import struct
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from ..codecs import tiff
 from ..operators import raster, vector
 from ..plans.options import RasterMeta, TileError
+from . import sqlite
 
 
 def layer_spec(text: str) -> tuple[str, str, str | None]:
@@ -181,50 +181,40 @@ def read_geoparquet(spark: SparkSession, path: str, layer: str, layer_ord: int =
     return found.where("kind is not null").select(F.lit(layer).alias("layer"), F.lit(layer_ord).alias("layer_ord"), "feature_ord", "kind", "parts", F.lit(None).cast("decimal(20,0)").alias("id"), "props")
 
 
-def _sqlite(content: bytes) -> sqlite3.Connection:
-    """A database held in memory."""
-    db = sqlite3.connect(":memory:")
-    db.deserialize(content)
-    return db
-
-
-def read_geopackage(spark: SparkSession, path: str, layer: str, layer_ord: int = 0, table: str | None = None) -> DataFrame:
-    """Features of one table of a GeoPackage, the first if none is named."""
-
-    def rows(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                db = _sqlite(content.as_py())
-                name, column = next((t, c) for t, c in db.execute("select table_name, column_name from gpkg_geometry_columns order by rowid") if table in (None, t))
-                quoted = '"' + name.replace('"', '""') + '"'
-                cursor = db.execute(f"select * from {quoted} order by rowid")
-                names = [d[0] for d in cursor.description]
-                keys = [r[1] for r in db.execute(f"pragma table_info({quoted})") if r[5]]
-                n = 0
-                while part := cursor.fetchmany(2000):
-                    out = []
-                    for row in part:
-                        values = dict(zip(names, row))
-                        blob = values.pop(column)
-                        ident = values.pop(keys[0]) if keys else None
-                        n += 1
-                        if not blob:
-                            continue
-                        head = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
-                        kind, parts = wkb(blob[head:])
-                        props = []
-                        for k in sorted(values):
-                            v = values[k]
-                            t = "Null" if v is None else "Int" if isinstance(v, int) else "Float" if isinstance(v, float) else "String"
-                            props.append({"k": k, "t": t, "b": None, "i": v if t == "Int" else None, "d": v if t == "Float" else None, "s": str(v) if t == "String" else None})
-                        out.append((n - 1, kind, parts, None if ident is None else str(ident), props))
-                    if out:
-                        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-                        prop = pa.struct([("k", pa.string()), ("t", pa.string()), ("b", pa.bool_()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string())])
-                        types = (pa.int64(), pa.string(), pa.list_(pa.list_(pa.list_(point))), pa.string(), pa.list_(prop))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["feature_ord", "kind", "parts", "ident", "props"])
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, f"feature_ord long, kind string, parts {vector.PARTS}, ident string, props {vector.PROP}")
+def read_geopackage(spark: SparkSession, path: str, layer: str, layer_ord: int = 0, table: str | None = None, rows: int = sqlite.ROWS) -> DataFrame:
+    """Features of one table of a GeoPackage, the first if none is named, in order of row id."""
+    listed = sqlite.asked(spark, path, lambda db: db.execute("select table_name, column_name from gpkg_geometry_columns order by rowid").fetchall(), "name string, geom string")
+    name, column = next(((t, c) for t, c in listed if table in (None, t)), (None, None))
+    if name is None:
+        raise TileError(f"no table {table or 'of features'} in {path}")
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    prop = pa.struct([("k", pa.string()), ("t", pa.string()), ("b", pa.bool_()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string())])
+    types = (pa.int64(), pa.string(), pa.list_(pa.list_(pa.list_(point))), pa.string(), pa.list_(prop))
+
+    def features(db, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        cursor = db.execute(f"select rowid, * from {sqlite.quoted(name)} where rowid between ? and ? order by rowid", (low, high))
+        names = [d[0] for d in cursor.description[1:]]
+        keys = [r[1] for r in db.execute(f"pragma table_info({sqlite.quoted(name)})") if r[5]]
+        while part := cursor.fetchmany(2000):
+            out = []
+            for row_id, *row in part:
+                values = dict(zip(names, row))
+                blob = values.pop(column)
+                ident = values.pop(keys[0]) if keys else None
+                if not blob:
+                    continue
+                head = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+                kind, parts = wkb(blob[head:])
+                props = []
+                for k in sorted(values):
+                    v = values[k]
+                    t = "Null" if v is None else "Int" if isinstance(v, int) else "Float" if isinstance(v, float) else "String"
+                    props.append({"k": k, "t": t, "b": None, "i": v if t == "Int" else None, "d": v if t == "Float" else None, "s": str(v) if t == "String" else None})
+                out.append((row_id, kind, parts, None if ident is None else str(ident), props))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["feature_ord", "kind", "parts", "ident", "props"])
+
+    found = sqlite.table_rows(spark, path, name, features, f"feature_ord long, kind string, parts {vector.PARTS}, ident string, props {vector.PROP}", rows)
     return found.select(F.lit(layer).alias("layer"), F.lit(layer_ord).alias("layer_ord"), "feature_ord", "kind", "parts", vector.feature_id(F.col("ident")).alias("id"), "props")
 
 
@@ -251,24 +241,17 @@ def read_layers(spark: SparkSession, specs: list[str], crs: str | None = None) -
     return every
 
 
-def read_mbtiles(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+def read_mbtiles(spark: SparkSession, path: str, rows: int = sqlite.ROWS) -> tuple[dict[str, str], DataFrame]:
     """Metadata by name, and the tileset (z, x, y, data) in XYZ rows."""
-    file = spark.read.format("binaryFile").load(path).select("content")
 
-    def tiles(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                cursor = _sqlite(content.as_py()).execute("select zoom_level, tile_column, (1 << zoom_level) - 1 - tile_row, tile_data from tiles")
-                while part := cursor.fetchmany(1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["z", "x", "y", "data"])
-
-    def about(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*_sqlite(content.as_py()).execute("select name, value from metadata"))], ["name", "value"])
+    def tiles(db, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        cursor = db.execute("select zoom_level, tile_column, (1 << zoom_level) - 1 - tile_row, tile_data from tiles where rowid between ? and ?", (low, high))
+        while part := cursor.fetchmany(1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["z", "x", "y", "data"])
 
-    named = {"format": "png", "minzoom": "0", "maxzoom": "14", "bounds": "-180,-85,180,85"} | {r["name"]: r["value"] for r in file.mapInArrow(about, "name string, value string").collect()}
-    return named, file.mapInArrow(tiles, "z int, x long, y long, data binary")
+    about = sqlite.asked(spark, path, lambda db: db.execute("select name, value from metadata").fetchall(), "name string, value string")
+    named = {"format": "png", "minzoom": "0", "maxzoom": "14", "bounds": "-180,-85,180,85"} | dict(about)
+    return named, sqlite.table_rows(spark, path, "tiles", tiles, "z int, x long, y long, data binary", rows)
 
 
 def vector_layers(named: dict[str, str]) -> list[dict] | None:
