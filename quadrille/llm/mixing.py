@@ -7,8 +7,8 @@ partitioning, retries or the order of rows. The copies are dealt out by a hash o
 sorted by it, which is a global shuffle.
 
 Defined results: a null source is a source of its own; a source without a weight has weight 0; a
-document with a null id draws by the id ``null``; repeated rows draw alike; null or empty text does
-not matter; an empty table gives an empty table. Input columns called ``mix_copy`` or ``mix_order``
+document with a null id draws by its text (null taken as empty); repeated rows draw alike; null or
+empty text does not matter otherwise; an empty table gives an empty table. Input columns called ``mix_copy`` or ``mix_order``
 are replaced; columns of any other name are kept.
 """
 
@@ -29,6 +29,12 @@ def hash48(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long")
 
 
+def drawn_by(docs: DataFrame) -> Column:
+    """What a document's draw is made from: its id, or without one its text."""
+    text = F.coalesce("text", F.lit("")) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
+
+
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, size: int | None = None) -> DataFrame:
     """(source, rate): the mean number of repeats that brings each source to its weight."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -60,7 +66,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: i
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     own = {c: free_name(docs, c) for c in ("rate_source", "steps", "draw", "repeats", "spread")}
     steps = small_or_shuffled(poisson_steps(source_rates(docs, weights, size)).withColumnsRenamed({"source": own["rate_source"], "steps": own["steps"]}))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    doc = drawn_by(docs)
     uniform = hash48(F.lit(str(seed)), doc) / F.lit(float(2**48))
     drawn = (
         docs.select(*names).withColumn(own["draw"], uniform)
@@ -87,8 +93,8 @@ rates as (select source, (select sum(n) from counts) * (pow(n, {TEMPERATURE}) /
 terms as (select source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 40)::int)) k from rates),
 chances as (select source, k, exp(k::double * ln(rate) - rate - sum(ln(greatest(k, 1)::double)) over (partition by source order by k)) p from terms),
 steps as (select source, k, sum(p) over (partition by source order by k) c from chances),
-drawn as (select d.*, (('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint)::double / 281474976710656.0 u from documents d),
+drawn as (select d.*, (('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::varchar, 'null:' || md5(coalesce(d.text, '')))), 1, 12))::bigint)::double / 281474976710656.0 u from documents d),
 counted as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, (select count(*) from steps s where s.source is not distinct from d.source and s.c <= d.u) n from drawn d),
 copies as (select doc_id, text, lang, source, n_chars, unnest(generate_series(1, n)) mix_copy from counted where n > 0)
-select *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null') || ':' || mix_copy::varchar), 1, 12))::bigint mix_order from copies
+select *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, ''))) || ':' || mix_copy::varchar), 1, 12))::bigint mix_order from copies
 """

@@ -270,3 +270,23 @@ def test_pipeline(spark, folders, kind):
     assert mixed.count() >= 0
     if kind == "hard":
         assert docs.where("text like '%@%'").count() == docs.where("text like '%a@b%'").count()
+
+
+@pytest.mark.parametrize("inner, text", [
+    ('<p class="notice-board-history">kept?</p>', "kept?"), ('<table class="share-prices"><tr><td>1</td><td>2</td></tr></table>', "1 2"), ('<figure class="widget-photo"><figcaption>Seen.</figcaption></figure>', "Seen."),
+    ('<p id="responses-study">So it was.</p><div class="related-work">Earlier.</div>', "So it was. Earlier."), ("<header><h1>Title</h1></header><p>x</p>", "Title x"), ("<p>Let <math><mi>a</mi><mo>=</mo><mi>b</mi></math> hold.</p>", "Let a = b hold."),
+    ('<p>x</p><div class="comments"><p>First!</p></div><div class="ad">Buy</div><footer>by me</footer>', "x"),
+])
+def test_articles_keep_what_only_resembles_boilerplate(inner, text):
+    page = f'<html><body><header><h1>Site</h1></header><div class="site-menu">Home</div><article>{inner}</article><div class="share-box">Share</div></body></html>'
+    assert " ".join(t for _, t in html_text.blocks(page)) == text
+
+
+def test_paragraphs_without_an_article_keep_names_of_parts():
+    assert [t for _, t in html_text.blocks('<div><p class="share-prices">Up.</p><div class="share-box">Share</div><p class="ad">Buy</p></div>')] == ["Up."]
+
+
+def test_rows_without_ids_meet_the_target(spark):
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("web").alias("source"))
+    for size in (1000, 2000):
+        assert abs(mixing.mix(docs, size=size).count() - size) < 5 * size**0.5
