@@ -51,10 +51,11 @@ RUN, PAGES, OWN = 8, 3, 0.25
 KEY = 48
 CHUNK_RUNS = 2_000_000
 #: Elements that are never text.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "canvas", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "canvas", "audio", "video"}
 BOILERPLATE = SILENT | {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "input", "label", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
-#: Words of class and id names; a name counts if one of its parts is one of these.
+#: Words of class and id names. A name that is one of these counts anywhere; one with such a part counts for a
+#: container outside articles alone, since parts say little: share-prices, related-work.
 WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr "
     "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply responses "
@@ -77,6 +78,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 TELLING = re.compile("class|id|role", re.I)
 #: Parts of a name after these say what an element holds or lacks, not what it is: has-sidebar.
 HOLDING = {"has", "with", "no", "without", "show", "hide", "hides", "shows"}
+CONTAINERS = {"div", "section", "ul", "ol", "span", "a"}
 #: Never judged by class or id.
 WHOLE = {"html", "body", "main", "article"}
 #: White space of any kind, Unicode's too.
@@ -92,24 +94,32 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id has a boilerplate word."""
+def _named(value: str) -> int:
+    """Whether a class or id is a boilerplate word (2), has one as a part (1), or neither (0)."""
+    most = 0
     for name in value.split():
+        if name in WORDS:
+            return 2
         for part in re.split(r"[^a-z]+", name):
             if part in HOLDING:
                 break
             if part in WORDS:
-                return True
-    return False
+                most = 1
+    return most
 
 
-def _judged(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(is boilerplate, is boilerplate unless it holds the article, is an article or main element)."""
+def _judged(tag: str, attributes: str) -> tuple[int, int, bool]:
+    """(is boilerplate: 2, or 1 unless it heads an article; is boilerplate unless it holds the article: 2, or 1
+    outside articles; is an article or main element)."""
     named = _attributes(attributes) if attributes else {}
     roles = named.get("role", "").split()
-    hard = tag in BOILERPLATE and tag != "form" or "hidden" in named or named.get("aria-hidden") == "true" or not ROLES.isdisjoint(roles)
+    told = "hidden" in named or named.get("aria-hidden") == "true" or not ROLES.isdisjoint(roles)
+    hard = 2 if told or tag in BOILERPLATE and tag not in ("form", "header") else int(tag == "header")
     article = tag in ("article", "main") or "main" in roles
-    soft = tag == "form" or tag not in WHOLE and not article and (_named(named.get("class", "")) or _named(named.get("id", "")))
+    soft = 2 * (tag == "form")
+    if not soft and tag not in WHOLE and not article:
+        soft = max(_named(named.get("class", "")), _named(named.get("id", "")))
+        soft = soft if soft == 2 or tag in CONTAINERS else 0
     return hard, soft, article
 
 
@@ -219,6 +229,8 @@ def _open_blocks(page: str) -> tuple[list[tuple[int, int | None, str]], list[int
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         hard, gentle, article = (_judged_before if len(m[3]) < 200 else _judged)(tag, m[3])
+        hard = hard == 2 or hard == 1 and not opened["article"]
+        gentle = gentle == 2 or gentle == 1 and not over
         if tag in INLINE and (gentle or article):
             flush()
         if tag not in INLINE:
