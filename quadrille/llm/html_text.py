@@ -230,7 +230,7 @@ def _open_blocks(page: str) -> tuple[list[tuple[int, int | None, str]], list[int
             continue
         hard, gentle, article = (_judged_before if len(m[3]) < 200 else _judged)(tag, m[3])
         hard = hard == 2 or hard == 1 and not opened["article"]
-        gentle = gentle == 2 or gentle == 1 and not over
+        gentle = gentle == 2 or gentle == 1 and not opened["article"]
         if tag in INLINE and (gentle or article):
             flush()
         if tag not in INLINE:
