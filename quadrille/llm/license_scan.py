@@ -1,13 +1,16 @@
 """License scans: an exact containment join of token windows against license templates.
 
 Template tokens are put in one global order, rarest in the corpus first (ties by token). A template
-is found where a window of a text, SPAN times as long as the template, holds a share ``CONTAINMENT``
-of its distinct tokens, and all of these that are in NAMES. Windows run across line ends, as licenses
-are wrapped, and are bounded, so scattered words don't count. Such a window must hold one of the
-template's first ``n - ceil(share * n) + 1`` tokens (prefix filter); around each of these in the text,
-enough template tokens must stand (length filter), and enough of those that do not come before it in
-the order (positional filter: a window whose rarest token is another is looked at from there). What
-remains is counted exactly. Every place of every text is looked at.
+is found where a window of a text, SPAN times as long as the template, holds the template's share of
+its distinct tokens; nothing else decides. Lines that name a license are told from others of the same
+wording by a single word, so their share is 1; texts have CONTAINMENT. Windows run across line ends,
+as licenses are wrapped, and are bounded, so scattered words don't count. Such a window must hold one
+of the template's first ``n - ceil(share * n) + 1`` tokens (prefix filter); around each of these in
+the text there must be enough of those tokens that do not come before it in the order (length and
+positional filter: a window whose rarest token is another is looked at from there). In texts that
+pass, all windows are counted exactly: a token's place adds to the windows that begin after its last
+place before, so one sort gives the distinct tokens of every window. Every place of every text is
+looked at.
 
 Words are compared by 64-bit hashes of their folded bytes. Templates are a bounded parameter; the
 corpus is read twice, once for token counts and once for the scan, and nothing is shuffled but one
@@ -30,28 +33,36 @@ from .kernel import PUNCTUATION, Words, pieces, utf8, words
 
 #: The phrases of the contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Opening sentences of common licenses and notices, by label.
-TEMPLATES = (
+#: Share of a text's distinct words that a window must hold.
+CONTAINMENT = 0.8
+#: Passages of common licenses, by label.
+TEXTS = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("apache", "you may not use this file except in compliance with the License"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("cc0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("proprietary", "All rights reserved. Unauthorized copying of this file via any medium is strictly prohibited"),
+)
+#: Lines that name a license, by label.
+LINES = (
     ("mit", "Released under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("rights-reserved", "All rights reserved"),
-    ("proprietary", "All rights reserved. Unauthorized copying of this file via any medium is strictly prohibited"),
 )
-CONTAINMENT = 0.8
-#: Words that tell a license from others of the same wording.
-NAMES = "mit apache gnu mozilla creative commons nc sharealike"
+#: (label, text, share of its distinct words).
+TEMPLATES = tuple((label, text, CONTAINMENT) for label, text in TEXTS) + tuple((label, text, 1.0) for label, text in LINES)
 #: Words of a window by words of its template.
 SPAN = 1.25
 
@@ -68,7 +79,7 @@ def batch_words(column: pa.Array) -> Words:
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     """How often each template token stands in the corpus. Each task sends a row per token at most."""
-    vocabulary = np.unique(np.concatenate([hashed(t) for _, t in templates]))
+    vocabulary = np.unique(np.concatenate([hashed(t) for _, t, _ in templates]))
 
     def count(batches):
         total = np.zeros(len(vocabulary), np.int64)
@@ -84,59 +95,63 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     return {int(v): counts.get(i, 0) for i, v in enumerate(vocabulary)}
 
 
+def window_counts(place: np.ndarray, token: np.ndarray, span: int) -> np.ndarray:
+    """Distinct tokens in the window of ``span`` words that begins at each place; places rise."""
+    order = np.lexsort((place, token))
+    last = np.full(len(place), -span)
+    again = token[order[1:]] == token[order[:-1]]
+    last[order[1:][again]] = place[order[:-1][again]]
+    # a place counts in the windows that begin after the token's last place, and hold it
+    since = np.sort(np.maximum(last + 1, place - span + 1))
+    return np.searchsorted(since, place, "right") - np.arange(len(place))
+
+
 class Scanner:
     """Finds phrases and template blocks in batches of texts."""
 
-    def __init__(self, counts: dict[int, int], templates=TEMPLATES, share: float = CONTAINMENT):
+    def __init__(self, counts: dict[int, int], templates=TEMPLATES):
         self.phrases = [(hashed(p), label) for p, label in PHRASES.items()]
         tokens = sorted(counts, key=lambda t: (counts[t], t))
-        self.rank = {t: i for i, t in enumerate(tokens)}
-        self.keys = np.array(sorted(self.rank), np.uint64)
-        self.ranks = np.array([self.rank[int(k)] for k in self.keys], np.int64)
-        self.templates, self.postings = [], {}
-        for label, text in templates:
+        rank = {t: i for i, t in enumerate(tokens)}
+        self.keys = np.array(sorted(rank), np.uint64)
+        self.ranks = np.array([rank[int(k)] for k in self.keys], np.int64)
+        self.templates = []
+        for label, text, share in templates:
             own = hashed(text)
-            ordered = sorted({self.rank[int(h)] for h in own})
+            ordered = np.unique([rank[int(h)] for h in own])
             need = math.ceil(share * len(ordered) - 1e-9)
-            for r in ordered[: len(ordered) - need + 1]:
-                self.postings.setdefault(r, []).append(len(self.templates))
-            must = frozenset(self.rank[int(h)] for h in np.intersect1d(own, hashed(NAMES)))
-            self.templates.append((label, frozenset(ordered), need, math.ceil(SPAN * len(own)), must))
-        self.prefix = np.zeros(max(len(tokens), 1), bool)
-        self.prefix[list(self.postings)] = True
+            member = np.zeros(len(tokens), bool)
+            member[ordered] = True
+            self.templates.append((label, member, need, math.ceil(SPAN * len(own)), ordered[: len(ordered) - need + 1]))
 
     def blocks(self, w: Words) -> dict[int, list[tuple[str, float]]]:
         """By row: (label, containment) of the templates that a window holds."""
+        out: dict[int, list[tuple[str, float]]] = {}
         if not len(w.hash) or not len(self.keys):
-            return {}
+            return out
         at = np.searchsorted(self.keys, w.hash)
         at[at == len(self.keys)] = 0
-        known = self.keys[at] == w.hash
-        rank = np.where(known, self.ranks[at], -1)
-        before = np.concatenate([[0], np.cumsum(known)])
-        row = w.row()
-        hits = np.flatnonzero(known & self.prefix[rank])
-        out: dict[int, list[tuple[str, float]]] = {}
-        for r in np.unique(rank[hits]):
-            places = hits[rank[hits] == r]
-            for k in self.postings[int(r)]:
-                label, tokens, need, span, must = self.templates[k]
-                a, b = np.maximum(w.first[row[places]], places - span + 1), np.minimum(w.first[row[places] + 1], places + span)
-                enough = before[b] - before[a] >= need
-                for i, lo, hi in zip(places[enough], a[enough], b[enough]):
-                    near = [(j, x) for j, x in enumerate(rank[lo:hi].tolist(), lo) if x >= r and x in tokens]
-                    if len({x for _, x in near}) < need:
-                        continue
-                    # the windows around the place, each from one of its tokens on
-                    best = 0
-                    for first, _ in near:
-                        if first > i:
-                            break
-                        held = {x for j, x in near if first <= j < first + span}
-                        if held >= must:
-                            best = max(best, len(held))
-                    if best >= need:
-                        out.setdefault(int(row[i]), []).append((label, best / len(tokens)))
+        place = np.flatnonzero(self.keys[at] == w.hash)
+        rank, row = self.ranks[at[place]], w.row()[place]
+        for label, member, need, span, prefix in self.templates:
+            own = np.flatnonzero(member[rank])
+            # rows stand a window apart, so no window meets two of them
+            p, t, r = place[own] + row[own] * span, rank[own], row[own]
+            possible = np.zeros(len(w.first) - 1, bool)
+            for token in prefix:
+                here = np.flatnonzero(t == token)
+                if len(here):
+                    later = p[t >= token]
+                    near = np.searchsorted(later, p[here] + span) - np.searchsorted(later, p[here] - span, "right")
+                    possible[r[here[near >= need]]] = True
+            own = np.flatnonzero(possible[r])
+            if not len(own):
+                continue
+            held = window_counts(p[own], t[own], span)
+            best = np.zeros(len(possible), np.int64)
+            np.maximum.at(best, r[own], held)
+            for i in np.flatnonzero(best >= need):
+                out.setdefault(int(i), []).append((label, best[i] / member.sum()))
         return out
 
     def scan(self, column: pa.Array) -> list[pa.Array]:
@@ -166,9 +181,9 @@ class Scanner:
         return [pa.array(np.diff(w.first)), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(base, pa.string()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score)]
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, share: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    scanner = Scanner(token_counts(docs, templates), templates, share)
+    scanner = Scanner(token_counts(docs, templates), templates)
 
     def rows(batches):
         for batch in pieces(batches):

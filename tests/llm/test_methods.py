@@ -1,9 +1,13 @@
 """What the methods do beyond the fixed columns, and the pipeline's stages."""
 
+import math
 import random
+import re
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +230,36 @@ def test_license_windows(spark, text, labels):
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()} == {1: labels, 2: ""}
 
 
+def test_license_windows_against_brute_force():
+    """Containment alone decides: every window of every text is counted."""
+    rng = random.Random(17)
+    vocabulary = "abcdefghijklmnop"
+    templates = [("one", "a b c d e f g h i j", 0.8), ("two", "a b c k", 1.0), ("three", "l m l n o p a a", 0.6), ("four", "k", 1.0)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.randrange(3, 17)] + "xyz") for _ in range(rng.randrange(0, 60))) for _ in range(400)] + ["", None, "a b c d e f g h", "A B. C\nK"]
+    counts = Counter(w for t in texts for w in (t or "").split())
+    known = {int(license_scan.hashed(c)[0]): counts[c] for c in vocabulary}
+    found = license_scan.Scanner(known, templates).blocks(license_scan.batch_words(pa.array(texts, pa.string())))
+    hits = 0
+    for i, text in enumerate(texts):
+        words, wanted = re.findall("[a-z]", (text or "").lower()), []
+        for label, template, share in templates:
+            own, span = set(template.split()), math.ceil(license_scan.SPAN * len(template.split()))
+            held = max((len(own & set(words[j : j + span])) for j in range(len(words))), default=0)
+            if held >= share * len(own) - 1e-9:
+                wanted.append((label, held / len(own)))
+        hits += len(wanted)
+        assert found.get(i, []) == wanted, text
+    assert 200 < hits < 1500
+
+
+def test_license_scan_of_a_long_text_ends_soon():
+    column = pa.array([" ".join(["license under the terms"] * 20_000), " ".join([license_scan.TEMPLATES[0][1]] * 2_000)])
+    scanner = license_scan.Scanner({int(h): 1 for _, t, _ in license_scan.TEMPLATES for h in license_scan.hashed(t)})
+    begun = time.time()
+    assert [x.as_py() for x in scanner.scan(column)[5]] == ["", "mit"]
+    assert time.time() - begun < 5
+
+
 def test_trees_learn_and_keep_their_constraints():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
