@@ -6,9 +6,14 @@ the rarest one. A url is split into tokens, the tokens look up the rules filed u
 those rules run their regular expression. Of the rules that match, the one of highest rank decides
 (ties: the smaller name).
 
+Every url is judged by itself in the task that reads it: nothing is shuffled but one count per rule
+token and task, so hot hosts and repeated urls do not gather anywhere. The rules are a bounded
+parameter that goes to every task; a table of many thousands costs a url only the rules that its own
+tokens fetch.
+
 Defined results: a url that is null or has no ``://`` has empty host and path and is allowed; an
-empty table gives an empty table; repeated rows are judged alike; a null page_id is kept. Urls are
-judged once per distinct (host, path), so hot hosts and repeated urls do not gather in one task.
+empty table gives an empty table; repeated rows are judged alike; a null page_id is kept; of rules of
+equal rank the smaller name decides; columns named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import lower_ascii, pages, small_or_shuffled
+from .common import lower_ascii, pages
 
 
 @dataclass(frozen=True)
@@ -51,10 +58,19 @@ BASE_RULES = (
     host_rule("block", "net/es/"),
     host_rule("block", "net/fr/"),
 )
-#: The method's own rules for urls that no base rule fits: advert, spam and tracking hosts.
-OWN_RULES = tuple(
-    Rule(f"own:{word}", rf"^[^/]*(?:^|[.-]){word}[.-][^/]*", (word,), "block", 1)
-    for word in ("ads", "adserver", "track", "tracker", "spam", "pills", "casino", "porn", "xxx", "malware", "phishing")
+#: Words of hosts, and of steps of paths, that stand for adverts, tracking, spam, gambling, adult pages and malware.
+HOST_WORDS = (
+    "adnetwork ads adserver adservice adult adx affiliates bets betting camgirls casino casinos doubleclick escort escorts freebets gambling hentai keygen malware "
+    "nudes payday phishing pills popunder popup porn porno slots spam sportsbook telemetry track tracker tracking viagra warez webcams xxx"
+).split()
+PATH_WORDS = "adclick adframe adserver adserving affiliate casino clickthrough phishing popunder porn porno poker spam viagra warez xxx".split()
+#: Pairs of words that stand for these only together.
+HOST_PAIRS = (("free", "bets"), ("win", "cash"), ("cheap", "meds"), ("hot", "singles"), ("fast", "loans"))
+#: The method's own rules, for urls that no base rule fits. Longer evidence ranks higher.
+OWN_RULES = (
+    *(Rule(f"own:{w}", rf"^[^/]*(?:^|[.-]){w}[.-][^/]*", (w,), "block", 2) for w in HOST_WORDS),
+    *(Rule(f"own:{a}-{b}", rf"^[^/]*(?:^|[.-])(?:{a}[.-]{b}|{b}[.-]{a})[.-][^/]*", (a, b), "block", 3) for a, b in HOST_PAIRS),
+    *(Rule(f"own:/{w}", rf"^[^/]+/(?:.*/)?{w}(?:[^A-Za-z0-9]|$)", (w,), "block", 1) for w in PATH_WORDS),
 )
 
 
@@ -65,32 +81,60 @@ def url_parts(url) -> tuple:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def tokens_of(host, path):
+    """The distinct tokens of an address, letters folded."""
+    return F.array_remove(F.array_distinct(F.split(lower_ascii(F.concat(host, path)), "[^a-z0-9]+")), "")
+
+
+def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
+    """How many urls hold each token of the rules; one row a token, whatever the input."""
+    wanted = sorted({t.lower() for r in rules for t in r.tokens})
+    held = urls.select(F.explode(F.array_intersect(tokens_of(*url_parts(F.col("url"))), F.array(*map(F.lit, wanted)).cast("array<string>"))).alias("token"))
+    return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+class Index:
+    """Rules under their rarest token; those without a token are under "", which every url looks up."""
+
+    def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
+        self.filed: dict[str, list[tuple]] = {}
+        for r in rules:
+            token = min((t.lower() for t in r.tokens), key=lambda t: (counts.get(t, 0), t), default="")
+            self.filed.setdefault(token, []).append((-r.rank, r.name, re.compile(r.pattern, re.DOTALL), r.verdict, r.base))
+
+    def judge(self, address: str, tokens: list[str]) -> tuple[str | None, str]:
+        """(the base rule's name or None, the verdict)."""
+        fetched = [r for t in (*tokens, "") for r in self.filed.get(t, ())]
+        for _, name, pattern, verdict, base in sorted(fetched, key=lambda r: r[:2]):
+            if pattern.search(address):
+                return (name if base else None), verdict
+        return None, "allow"
+
+
 def judge(urls: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + OWN_RULES) -> DataFrame:
     """Adds host, path, rule (a base rule's name, else null) and verdict to a table with a ``url``."""
-    spark = urls.sparkSession
+    index = Index(rules, token_counts(urls, rules))
     host, path = url_parts(F.col("url"))
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    split_up = urls.withColumn("_host", host).withColumn("_path", path).select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"))
-    distinct = split_up.select("host", "path").distinct()
-    # rules without a token are filed under "", which every url then looks up
-    own = F.array_remove(F.array_distinct(F.split(lower_ascii(F.concat("host", "path")), "[^a-z0-9]+")), "")
-    tokens = distinct.select("host", "path", F.explode(own if all(r.tokens for r in rules) else F.concat(own, F.array(F.lit("")))).alias("token"))
-    wanted = spark.createDataFrame([(t,) for t in sorted({t.lower() for r in rules for t in r.tokens})], "token string")
-    # the number of rows is that of the rules' tokens, whatever the input
-    df = {r["token"]: r["n"] for r in tokens.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    filed = [(min((t.lower() for t in r.tokens), key=lambda t: (df.get(t, 0), t), default=""), r.name, r.pattern, r.verdict, r.rank, r.base) for r in rules]
-    index = small_or_shuffled(spark.createDataFrame(filed, "token string, name string, pattern string, verdict string, rank int, base boolean"))
-    hits = tokens.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))
-    best = hits.groupBy("host", "path").agg(F.min_by(F.struct("name", "verdict", "base"), F.struct(-F.col("rank"), F.col("name"))).alias("best"))
-    out = split_up.join(best.withColumnsRenamed({"host": "_h", "path": "_p"}), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return out.select(*kept, "host", "path", F.when(F.col("best.base"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    kept = [f for f in urls.schema.fields if f.name.lower() not in ("host", "path", "rule", "verdict")]
+    out = StructType(kept + [StructField(n, StringType()) for n in ("host", "path", "rule", "verdict")])
+    n = len(kept)
+
+    def rows(batches):
+        for batch in batches:
+            hosts, paths, tokens = (batch.column(n + i).to_pylist() for i in range(3))
+            found = [index.judge(h + p, t) for h, p, t in zip(hosts, paths, tokens)]
+            own = [pa.array([f[i] for f in found], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], *own], out.names)
+
+    read = [urls[f"`{f.name}`"] for f in kept]
+    return urls.select(*read, host.alias("_host"), path.alias("_path"), tokens_of(host, path).alias("_tokens")).mapInArrow(rows, out)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return judge(pages(spark, sf_dir).select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-_own = " or ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in OWN_RULES)
+_own = " or ".join(f"regexp_matches(host || path, '{r.pattern}', 's')" for r in OWN_RULES)
 SQL = f"""
 with parts as (
   select page_id, case when url is not null and position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end rest from pages),

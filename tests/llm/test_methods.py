@@ -109,6 +109,24 @@ def test_rules_of_paths_hyphens_and_no_tokens(spark):
     assert {r["page_id"]: r["verdict"] for r in url_rules.judge(urls, rules).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
 
 
+def test_url_rules_against_all_rules(spark):
+    """The index fetches every rule that matches: each url against all rules, and nothing is shuffled."""
+    rng = random.Random(3)
+    words = [*url_rules.HOST_WORDS[:8], "free", "bets", "www", "example", "essex", "adultery", "casino"]
+    urls = [f"http://{rng.choice('.-').join(rng.sample(words, 2))}.{rng.choice(['org', 'net', 'com'])}{rng.choice(['', '/', '/es/a', '/a/casino', '/casinos/x', '/a/porn.html?q', '/x/CASINO'])}" for _ in range(500)]
+    urls += ["http://blog.adult-x.example.net/p", "http://essex.org/track", "http://a.org/a\n/warez\n"]
+    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = url_rules.judge(docs)
+    rules, verdicts = sorted(url_rules.BASE_RULES + url_rules.OWN_RULES, key=lambda r: (-r.rank, r.name)), Counter()
+    for r in judged.collect():
+        fits = next((x for x in rules if re.search(x.pattern, r["host"] + r["path"], re.DOTALL)), None)
+        assert (r["rule"], r["verdict"]) == (fits.name if fits and fits.base else None, fits.verdict if fits else "allow"), r
+        verdicts[r["verdict"], r["rule"] is None] += 1
+    assert verdicts["block", True] > 50 and verdicts["allow", True] > 20
+    assert [r["verdict"] for r in judged.where("page_id >= 500").orderBy("page_id").collect()] == ["block", "allow", "block"]
+    assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_revisits_name_records(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * 200) for i in (4, 2, 9)], "page_id long, url string, html string")
     warc.write_captures(pages, f"file://{tmp_path}/w")
