@@ -11,7 +11,8 @@ from .plans import tileset, views
 from .plans.options import CogOptions, MvtOptions, PyramidOptions
 from .plans.shared import shared_folder, shared_path
 from .sinks import cog, files, tile_index, xyz
-from .sources import geojson, geotiff
+from .sinks import shapefile as shapefiles
+from .sources import geojson, geotiff, shapefile
 from .streaming.tiles import binned
 
 OS = repr(M.ORIGIN_SHIFT_M)
@@ -527,6 +528,23 @@ select k, 'Polygon', i, lon + dx * w, lat + dy * w from b, (select unnest([0, 1,
 select k, kind, i::int i, round(x, 9) + 0.0 x, round(y, 9) + 0.0 y, 'k' as key, 'Int' as type, k as number from every"""
 
 
+def shapefile_scan(spark, d):
+    """Points and boxes written as shapefiles and read back by ranges of records."""
+    root, found = shared_path(spark), None
+    for name, layer in (("points", views.point_features(spark, d)), ("boxes", views.box_features(spark, d))):
+        shapefiles.write_shapefile(layer, f"{root}/{name}.shp")
+        rows = shapefile.scan(spark, f"{root}/{name}.shp", name, rows=500)
+        found = rows if found is None else found.unionByName(rows)
+    vertex = found.select("kind", F.get("props", F.lit(0)).alias("v"), F.posexplode(F.flatten(F.flatten("parts"))).alias("i", "p"))
+    return vertex.select(F.col("v.i").alias("k"), "kind", "i", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"), F.col("v.k").alias("key"), F.col("v.t").alias("type"))
+
+
+# outer rings run clockwise in the file
+SHAPEFILE_SCAN = f"""with p as ({views.PTS}), b as ({views.BOXES}), every as (select k, 'Point' kind, 0 i, lon x, lat y from p union all
+select k, 'Polygon', i, lon + dx * w, lat + dy * w from b, (select unnest([0, 1, 2, 3, 4]) i, unnest([0, 0, 1, 1, 0]) dx, unnest([0, 1, 1, 0, 0]) dy))
+select k, kind, i::int i, round(x, 9) + 0.0 x, round(y, 9) + 0.0 y, 'k' as key, 'Int' as type from every"""
+
+
 def _count_tiles(spark, d):
     """Tiles that hold the number of their points, as text."""
     return tile_point_counts(spark, d).select(F.col("z").cast("int").alias("z"), "x", "y", F.encode(F.col("n").cast("string"), "utf-8").alias("data"))
@@ -573,7 +591,7 @@ def queries() -> dict:
     names = (tile_point_counts, mercator_forward, mercator_inverse, tile_bounds, tile_tms_row, tile_range_cover, tile_range_sql, zoom_for_resolution, native_zoom_and_bounds, crs_detect_vector,
              sample_nearest, sample_bilinear, area_average, area_pyramid, tile_stats, overview_half, overview_chain, rgb_stretch, auto_stretch, feature_tile_join, points_in_boxes, dataset_bounds, mvt_quantize_points,
              mvt_quantize_lines, mvt_ring_winding, degenerate_by_zoom, layer_fields, feature_ids, cog_layout, mbtiles_metadata, tile_lookup, tile_windows, png_tiles, webp_tiles, mvt_tiles,
-             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, xyz_files, tile_requests, mvt_decoded_points, mvt_decoded_boxes)
+             mvt_clipped_lines, mvt_clipped_polygons, cog_blocks, vector_catalogue, geotiff_scan, geotiff_window, geojson_scan, shapefile_scan, xyz_files, tile_requests, mvt_decoded_points, mvt_decoded_boxes)
     return {f.__name__: f for f in names}
 
 
@@ -618,6 +636,7 @@ def oracle_sql() -> dict[str, str]:
         "xyz_files": TILE_POINT_COUNTS,
         "tile_requests": _tile_requests_sql(),
         "geojson_scan": GEOJSON_SCAN,
+        "shapefile_scan": SHAPEFILE_SCAN,
         "geotiff_scan": GEOTIFF_SCAN,
         "geotiff_window": f"select * from ({GEOTIFF_SCAN}) where row between 10 and 90 and col >= 70",
     }

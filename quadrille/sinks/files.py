@@ -23,18 +23,18 @@ from ..plans.shared import materialised
 
 
 def in_order(rows: DataFrame, order: list) -> DataFrame:
-    """The rows sorted and written once, with ``part`` and ``at``: the bytes of ``data`` before them in their partition."""
+    """The rows sorted and written once, with ``part``, and ``nth`` and ``at``: the rows, and bytes of ``data``, before them in their partition."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
+        done = rows_done = 0
         for batch in batches:
             sizes = pc.binary_length(batch.column("data")).to_numpy().astype(np.int64)
             ends = done + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - sizes)], [*batch.schema.names, "at"])
-            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(rows_done, rows_done + len(sizes))), pa.array(ends - sizes)], [*batch.schema.names, "nth", "at"])
+            done, rows_done = int(ends[-1]) if len(ends) else done, rows_done + len(sizes)
 
     ordered = rows.orderBy(*order).withColumn("part", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", at long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", nth long, at long"
     return materialised(ordered.mapInArrow(number, schema))
 
 

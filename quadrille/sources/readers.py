@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..codecs import tiff
 from ..operators import raster, vector
 from ..plans.options import RasterMeta, TileError
-from . import sqlite
+from . import shapefile, sqlite
 
 
 def layer_spec(text: str) -> tuple[str, str, str | None]:
@@ -232,6 +232,8 @@ def read_layers(spark: SparkSession, specs: list[str], crs: str | None = None) -
             layer = read_geopackage(spark, path, name, k, table)
         elif kind in ("parquet", "geoparquet"):
             layer = read_geoparquet(spark, path, name, k)
+        elif kind == "shp":
+            layer = shapefile.scan(spark, path, name, k)
         else:
             raise TileError(f"unknown kind of file: {path}")
         layer = vector.with_bbox(vector.to_metres(layer, crs)).drop("min_x", "min_y", "max_x", "max_y")
