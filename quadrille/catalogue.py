@@ -66,9 +66,9 @@ def _pts(spark, d):
     return views.view(spark, d, views.PTS, "customer")
 
 
-def _boxes_m(spark, d) -> DataFrame:
+def _boxes_m(spark, d, y=M.mercator_y) -> DataFrame:
     b = views.view(spark, d, views.BOXES, "supplier")
-    return b.select("k", M.mercator_x("lon").alias("min_x"), M.mercator_y("lat").alias("min_y"), M.mercator_x(F.col("lon") + F.col("w")).alias("max_x"), M.mercator_y(F.col("lat") + F.col("w")).alias("max_y"))
+    return b.select("k", M.mercator_x("lon").alias("min_x"), y("lat").alias("min_y"), M.mercator_x(F.col("lon") + F.col("w")).alias("max_x"), y(F.col("lat") + F.col("w")).alias("max_y"))
 
 
 def tile_point_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -305,9 +305,9 @@ select k, z, x, y from m join r on m.x0 <= tx + s + pad and m.x1 >= tx - pad and
 
 
 def points_in_boxes(spark, d):
-    """How many points each box holds, through the quadtree and packed trees."""
-    points = _pts(spark, d).select(F.col("k").alias("id"), M.mercator_x("lon").alias("x"), M.mercator_y("lat").alias("y"))
-    return spatial_index.points_within(points, _boxes_m(spark, d))
+    """How many points each box holds, through the quadtree and packed trees. Many points lie on edges but for the last bit."""
+    points = _pts(spark, d).select(F.col("k").alias("id"), M.mercator_x("lon").alias("x"), M.northing("lat").alias("y"))
+    return spatial_index.points_within(points, _boxes_m(spark, d, M.northing))
 
 
 #: Every box with every point.

@@ -1,9 +1,11 @@
 """Points in areas against testing every pair."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadrille import catalogue
 from quadrille.functions.mercator import ORIGIN_SHIFT_M
 from quadrille.operators import spatial_index as S
 
@@ -78,3 +80,16 @@ def test_nothing_to_find(spark):
     boxes = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0)], "k int, min_x double, min_y double, max_x double, max_y double")
     assert S.points_within(some, boxes).count() == 0 and S.points_within(some.where("id < 0"), boxes).count() == 0
     assert S.points_within(some.withColumn("x", F.lit(None).cast("double")), boxes).count() == 0 and S.points_within(some, boxes.where("k > 1")).count() == 0
+
+
+def test_points_on_the_edges_of_boxes_count_as_in_sql(spark, tmp_path):
+    # a latitude whose tangent and logarithm the JVM rounds otherwise: point 79,538 lies a bit above box 4,088
+    rows = [(k,) for k in (79538, 79588, 28538, 48472, 84422)]
+    boxes = [(k,) for k in (4088, 2538, 1488, 5472)]
+    spark.createDataFrame(rows, "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(boxes, "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = con.execute(catalogue.oracle_sql()["points_in_boxes"]).fetchall()
+    assert sorted(map(tuple, catalogue.points_in_boxes(spark, str(tmp_path)).collect())) == sorted(expected)
