@@ -44,7 +44,7 @@ GRAM = 20
 #: Anchors, bytes of text, and bytes of segments packed at a time.
 CHUNK_ANCHORS, CHUNK_TEXT, CHUNK_SEGMENTS = 1_000_000, 8 << 20, 8 << 20
 #: Suffixes in the first level, and parts of the index for each shuffle partition.
-BATCH, PARTS = 1 << 16, 4
+BATCH, PARTS = 1 << 18, 4
 #: Families of levels of each part, by anchor; one is in memory at a time.
 FAMILIES = 8
 NO_ID = np.iinfo(np.int64).max
@@ -60,26 +60,29 @@ def grams(raw: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, first, last): each anchor, and the first and last start of the strings that belong to it."""
-    h = grams(raw, GRAM)
+    """(row, key, first, last): each anchor, and the first and last start of a run of strings that belong to it.
+    A string's key is the smallest hash alone; where its minimizer stands in it does not matter."""
     span = LENGTH - GRAM + 1
     if len(raw) < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, U, np.int64, np.int64))
-    best, width = np.arange(len(h)), 1
+    best, width = grams(raw, GRAM), 1
     while width < span:
         step = min(width, span - width)
-        a, b = best[:-step], best[step:]
-        best = np.where(h[b] < h[a], b, a)
+        best = np.minimum(best[:-step], best[step:])
         width += step
-    starts = np.arange(len(best))
-    row = np.searchsorted(at, starts, "right") - 1
-    ok = starts + LENGTH <= at[row + 1]
-    starts, best, row = starts[ok], best[ok], row[ok]
-    if not len(starts):
-        return row, np.zeros(0, U), starts, starts
-    cut = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (row[1:] != row[:-1])]))
-    last = np.concatenate([cut[1:] - 1, [len(starts) - 1]])
-    return row[cut], h[best[cut]] >> U(16), starts[cut], starts[last]
+    new = np.ones(len(best), bool)
+    np.not_equal(best[1:], best[:-1], out=new[1:])
+    # runs begin anew with a row, and behind its last string, where strings would cross into the next row
+    count = np.maximum(np.diff(at) - LENGTH + 1, 0)
+    begin, count = at[:-1][count > 0], count[count > 0]
+    borders = np.concatenate([begin, begin + count])
+    new[borders[borders < len(best)]] = True
+    cut = np.flatnonzero(new)
+    last = np.append(cut[1:] - 1, len(best) - 1)
+    row = np.searchsorted(at, cut, "right") - 1
+    ok = cut + LENGTH <= at[row + 1]
+    cut, last, row = cut[ok], last[ok], row[ok]
+    return row, best[cut] >> U(16), cut, last
 
 
 def _ids(batch) -> np.ndarray:
@@ -117,15 +120,19 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def chunk(keys, ids):
         k, d = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((d, k))
+        order = np.argsort(k)
         k, d = k[order], d[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-        k, d = k[new], d[new]
         at = runs(k)
-        several = np.diff(at) > 1
+        least = np.minimum.reduceat(d, at[:-1])
+        several = least != np.maximum.reduceat(d, at[:-1])
         inside = np.repeat(several, np.diff(at))
         hk, hd = k[inside], d[inside]
-        many, k, d = k[at[:-1]][several], k[at[:-1]][~several], d[at[:-1]][~several]
+        order = np.lexsort((hd, hk))
+        hk, hd = hk[order], hd[order]
+        new = np.ones(len(hk), bool)
+        new[1:] = (hk[1:] != hk[:-1]) | (hd[1:] != hd[:-1])
+        hk, hd = hk[new], hd[new]
+        many, k, d = k[at[:-1]][several], k[at[:-1]][~several], least[~several]
         held = dict(_cuts(bucket_of(hk << U(16), buckets), buckets))
         more = dict(_cuts(bucket_of(many << U(16), buckets), buckets))
         alone = dict(_cuts(bucket_of(k << U(16), buckets), buckets))
@@ -208,6 +215,29 @@ def unpacked(table: pa.Table):
         yield np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(size)]), unsqueeze(docs.as_py())
 
 
+def gathered(table: pa.Table, most: int = 1 << 20):
+    """The same, of several packed rows at a time, until they hold ``most`` bytes."""
+    held, n = [], 0
+
+    def together():
+        sizes = np.concatenate([np.diff(at) for _, at, _ in held])
+        return np.concatenate([raw for raw, _, _ in held]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([docs for _, _, docs in held])
+
+    for row in unpacked(table):
+        held.append(row)
+        n += len(row[0])
+        if n >= most:
+            yield together()
+            held, n = [], 0
+    if held:
+        yield together()
+
+
+def pair(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One hash of a doc and an anchor; a chance equality makes a segment that meets no other."""
+    return mixed(mixed(docs.view(U)) + keys)
+
+
 def by_doc(docs: np.ndarray, *others: np.ndarray) -> dict[int, tuple]:
     order = np.argsort(docs, kind="stable")
     docs, others = docs[order], [x[order] for x in others]
@@ -278,23 +308,24 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, parts_of_index:
         return np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]])
 
     def cut(keys, left: pa.Table, right: pa.Table) -> pa.Table:
-        held = by_doc(joined(right, "docs", unsqueeze), joined(right, "keys", unsqueeze).view(U))
-        out, parts, n, several = [], [], 0, repeated(left)
-        for raw, at, docs in unpacked(left):
-            which = [i for i, d in enumerate(docs) if int(d) in held]
-            for i in which:
-                own = raw[at[i] : at[i + 1]]
-                _, key, first, last = anchors(own, np.array([0, len(own)]))
-                mine = np.isin(key, held[int(docs[i])][0])
-                key, first, last = key[mine], first[mine], last[mine]
-                if not len(key):
-                    continue
-                size = last + LENGTH - first
-                sums = prefix_sums(own)
-                content = mixed((sums[last + LENGTH] - sums[first]) * powers(len(own) + 1)[1][first] + size.astype(U))
-                put = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-                parts.append((key, np.full(len(key), docs[i]), first, content, size, np.full(len(key), salt_of(own) if int(docs[i]) in several else 0), own[put]))
-                n += int(size.sum())
+        held = np.sort(pair(joined(right, "docs", unsqueeze), joined(right, "keys", unsqueeze).view(U)))
+        out, parts, n, several = [], [], 0, np.array(sorted(repeated(left)), np.int64)
+        for raw, at, docs in gathered(left) if len(held) else ():
+            row, key, first, last = anchors(raw, at)
+            own = pair(docs[row], key)
+            mine = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+            row, key, first, last = row[mine], key[mine], first[mine], last[mine]
+            if not len(key):
+                continue
+            size = last + LENGTH - first
+            sums = prefix_sums(raw)
+            content = mixed((sums[last + LENGTH] - sums[first]) * powers(len(raw) + 1)[1][first] + size.astype(U))
+            put = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            salts = np.zeros(len(docs), np.int64)
+            for i in np.flatnonzero(np.isin(docs, several)):
+                salts[i] = salt_of(raw[at[i] : at[i + 1]])
+            parts.append((key, docs[row], first - at[row], content, size, salts[row], raw[put]))
+            n += int(size.sum())
             if n >= CHUNK_SEGMENTS:
                 out.append(_batch(list(chunk(parts)), SEGMENTS))
                 parts, n = [], 0
@@ -313,47 +344,74 @@ class Levels:
 
     def add(self, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Adds a batch; whether each of its suffixes starts in a smaller doc of the batch or of any level."""
-        order = np.lexsort((doc, suffix))
+        order = np.argsort(suffix)
         s, d = suffix[order], doc[order]
         at = runs(s)
-        least = np.repeat(d[at[:-1]], np.diff(at))
-        s1, d1 = s[at[:-1]], d[at[:-1]]
+        s1, d1 = s[at[:-1]], np.minimum.reduceat(d, at[:-1])
         earlier = d1.copy()
         for _, ls, ld in self.levels:
             place = np.minimum(np.searchsorted(ls, s1), len(ls) - 1)
             earlier = np.where(ls[place] == s1, np.minimum(earlier, ld[place]), earlier)
         found = np.zeros(len(suffix), bool)
-        found[order] = (d > least) | (d > np.repeat(earlier, np.diff(at)))
+        found[order] = d > np.repeat(earlier, np.diff(at))
         self.levels.append((0, s1, d1))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             rank, s2, d2 = self.levels.pop()
             _, s3, d3 = self.levels.pop()
             s, d = np.concatenate([s3, s2]), np.concatenate([d3, d2])
-            order = np.lexsort((d, s))
+            order = np.argsort(s, kind="stable")  # merges two sorted runs
             s, d = s[order], d[order]
             at = runs(s)
-            self.levels.append((rank + 1, s[at[:-1]], d[at[:-1]]))
+            self.levels.append((rank + 1, s[at[:-1]], np.minimum.reduceat(d, at[:-1])))
         return found
 
 
+def contents(whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each segment, a batch of them at a time."""
+    out, done = np.zeros(len(at) - 1, U), 0
+    while done < len(out):
+        upto = max(done + 1, int(np.searchsorted(at, at[done] + 4 * BATCH, "right")) - 1)
+        sums, place = prefix_sums(whole[at[done] : at[upto]]), at[done : upto + 1] - at[done]
+        out[done:upto] = mixed((sums[place[1:]] - sums[place[:-1]]) * powers(len(sums))[1][place[:-1]] + np.diff(place).astype(U))
+        done = upto
+    return out
+
+
 def scanned(whole: np.ndarray, size: np.ndarray, doc: np.ndarray, begin: np.ndarray, salt: np.ndarray) -> list[tuple]:
-    """(docs, salts, starts, ends) of the matches with smaller docs among segments, a batch of them at a time, so that only the levels grow."""
+    """(docs, salts, starts, ends) of the matches with smaller docs among segments, a batch of them at a time, so that only the levels grow.
+    Of equal segments those of the smallest doc go into the levels; the others are matches as wholes."""
     at = np.concatenate([[0], np.cumsum(size)])
-    order = np.argsort(doc, kind="stable")
+    content = contents(whole, at)
+    order = np.argsort(content)
+    same = runs(content[order])
+    least = np.empty(len(doc), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], same[:-1]), np.diff(same))
+    later = doc > least
+    found = [(doc[later], salt[later], begin[later], (begin + size)[later])]
+    order = np.flatnonzero(~later)
+    order = order[np.argsort(doc[order], kind="stable")]
     far = np.cumsum(size[order] - LENGTH + 1)
-    index, done, found = Levels(), 0, []
+    index, done = Levels(), 0
     while done < len(order):
         upto = max(done + 1, int(np.searchsorted(far, (far[done - 1] if done else 0) + BATCH, "right")))
         own = order[done:upto]
         done = upto
         raw = np.concatenate([whole[at[i] : at[i + 1]] for i in own])
         count = size[own] - LENGTH + 1
-        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own], count) + offset]
+        first = np.cumsum(count) - count
+        h = grams(raw, LENGTH)[np.repeat(np.cumsum(size[own]) - size[own] - first, count) + np.arange(int(count.sum()))]
         hit = index.add(h, np.repeat(doc[own], count))
-        start = (np.repeat(begin[own], count) + offset)[hit]
-        found.append(ranges_of(np.repeat(doc[own], count)[hit], np.repeat(salt[own], count)[hit], start, start + LENGTH))
-    return found
+        # matches side by side in a segment are one range
+        begins, ends = hit.copy(), hit.copy()
+        begins[1:] &= ~hit[:-1]
+        begins[first] = hit[first]
+        ends[:-1] &= ~hit[1:]
+        ends[first + count - 1] = hit[first + count - 1]
+        low, high = np.flatnonzero(begins), np.flatnonzero(ends)
+        of = np.searchsorted(first, low, "right") - 1
+        start = begin[own[of]] - first[of]
+        found.append((doc[own[of]], salt[own[of]], start + low, start + high + LENGTH))
+    return [ranges_of(*(np.concatenate(x) for x in zip(*found)))]
 
 
 def covered(parts: DataFrame, buckets: int) -> DataFrame:

@@ -342,3 +342,27 @@ def test_rows_without_ids_meet_the_target(spark):
     docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("web").alias("source"))
     for size in (1000, 2000):
         assert abs(mixing.mix(docs, size=size).count() - size) < 5 * size**0.5
+
+
+def test_suffix_dedup_strings_of_one_hash_make_one_segment():
+    import numpy as np
+
+    raw = np.frombuffer(b"short" + b"a" * 10_000 + b"ab" * 40, np.uint8)
+    row, key, first, last = suffix_dedup.anchors(raw, np.array([0, 5, 5, 10_005, 10_085]))
+    assert [(r, a, b) for r, a, b in zip(row, first, last) if r < 3] == [(2, 5, 9_955)]
+    # each row's strings belong to one run each, and equal strings to one key
+    assert sorted(n for r, a, b in zip(row, first, last) if r == 3 for n in range(a, b + 1)) == list(range(10_005, 10_036))
+    assert len(set(key[row == 3].tolist())) == 1
+
+
+def test_suffix_dedup_equal_segments_enter_the_levels_once(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 80, np.uint8)
+    whole = np.concatenate([passage] * 1_000)
+    added, add = [], suffix_dedup.Levels.add
+    monkeypatch.setattr(suffix_dedup.Levels, "add", lambda self, suffix, doc: added.append(len(suffix)) or add(self, suffix, doc))
+    zero = np.zeros(1_000, np.int64)
+    [(docs, _, starts, ends)] = suffix_dedup.scanned(whole, zero + 80, np.arange(1_000)[::-1], zero, zero)
+    assert sum(added) == 31 and docs.tolist() == list(range(1, 1_000)) and set(starts) == {0} and set(ends) == {80}
