@@ -6,6 +6,7 @@ import json
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from ..operators import raster, vector
 from .options import MvtOptions, PyramidOptions, RasterMeta
 
 TILE = "z int, x long, y long, data binary"
+#: Features that a task decodes at a time.
+FEATURES = 5_000
 
 
 def zooms(meta: RasterMeta, options: PyramidOptions) -> range:
@@ -117,26 +120,24 @@ def partial_batch(found: dict[tuple, mvt.Partial]) -> pa.RecordBatch:
 
 
 def merged_tiles(partials: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
-    """MVT tiles of partial layers. A group holds a tile's encoded features, which are the tile itself."""
+    """MVT tiles of partial layers. A group holds a tile's encoded features, which are the tile itself, as columns of bytes."""
     import gzip
 
     extent, compress = options.extent, options.compress
-    gathered = partials.groupBy("z", "x", "y").agg(F.collect_list(F.struct(*[c.split()[0] for c in PARTIAL.split(", ")])).alias("partials"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for partials_ in batch.column("partials"):
-                layers: dict[tuple, mvt.Partial] = defaultdict(mvt.Partial)
-                for p in partials_.as_py():
-                    ends = np.cumsum(p["tag_counts"]).tolist()
-                    tags = [p["tags"][e - n : e] for e, n in zip(ends, p["tag_counts"])]
-                    layers[p["layer_ord"], p["layer"]].merge(p["keys"], p["values"], zip(p["orders"], p["heads"], tags, p["bodies"]))
-                data = b"".join(mvt.field(3, layers[place].message(place[1], extent)) for place in sorted(layers))
-                out.append(gzip.compress(data, mtime=0) if compress else data)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("z", "x", "y")), pa.array(out, pa.binary())], ["z", "x", "y", "data"])
+    def merge(key: tuple[pa.Scalar, ...], partials_: pa.Table) -> pa.Table:
+        rows: dict[tuple, list[int]] = defaultdict(list)
+        for k, place in enumerate(zip(partials_.column("layer_ord").to_pylist(), partials_.column("layer").to_pylist())):
+            rows[place].append(k)
+        layers = []
+        for place in sorted(rows):
+            own = partials_.take(pa.array(rows[place])) if len(rows) > 1 else partials_
+            layers.append(mvt.merged_layer(place[1], own, extent))
+        data = b"".join(x for layer in layers for x in (mvt.varint(3 << 3 | 2) + mvt.varint(len(layer)), layer))
+        del layers
+        return pa.table({"z": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([key[1].as_py()], pa.int64()), "y": pa.array([key[2].as_py()], pa.int64()), "data": pa.array([gzip.compress(data, mtime=0) if compress else data], pa.binary())})
 
-    return gathered.mapInArrow(merge, TILE)
+    return partials.groupBy("z", "x", "y").applyInArrow(merge, TILE)
 
 
 def vector_tileset(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:
@@ -148,18 +149,22 @@ def decoded(tiles: DataFrame) -> DataFrame:
     """(z, x, y, layer, nth, id, kind, geom, props) of every feature of MVT tiles, gzipped or not; properties as text."""
     import gzip
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point = pa.struct([("x", pa.int64()), ("y", pa.int64())])
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.decimal128(20), pa.string(), pa.list_(pa.list_(point)), pa.map_(pa.string(), pa.string()))
+    point = pa.struct([("x", pa.int64()), ("y", pa.int64())])
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.decimal128(20), pa.string(), pa.list_(pa.list_(point)), pa.map_(pa.string(), pa.string()))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "data"))):
-                for layer in mvt.decode(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    for nth, f in enumerate(layer["features"]):
+            for z, x, y, data in zip(*(batch.column(c) for c in ("z", "x", "y", "data"))):
+                place, data = (z.as_py(), x.as_py(), y.as_py()), data.as_py()
+                for layer, features in mvt.read_layers(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    for nth, f in enumerate(features):
                         props = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in f["props"].items()]
-                        rows.append((z, x, y, layer["name"], nth, f["id"], f["kind"], [[{"x": a, "y": b} for a, b in part] for part in f["geom"]], props))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["z", "x", "y", "layer", "nth", "id", "kind", "geom", "props"])
+                        yield *place, layer["name"], nth, f["id"], f["kind"], [[{"x": a, "y": b} for a, b in part] for part in f["geom"]], props
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = every(batches)
+        while rows := list(islice(found, FEATURES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["z", "x", "y", "layer", "nth", "id", "kind", "geom", "props"])
 
     return tiles.select("z", "x", "y", "data").mapInArrow(read, "z int, x long, y long, layer string, nth int, id decimal(20,0), kind string, geom array<array<struct<x:long,y:long>>>, props map<string,string>")
 

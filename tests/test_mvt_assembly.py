@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def test_decoded_tileset(spark):
     tiles = spark.createDataFrame([(1, 0, 1, tile), (1, 1, 1, gzip.compress(tile)), (1, 1, 0, b"")], "z int, x long, y long, data binary")
     got = tileset.decoded(tiles).groupBy("x", "y", "layer").count().collect()
     assert sorted(map(tuple, got)) == [(0, 1, "a", 3), (0, 1, "b", 2), (1, 1, "a", 3), (1, 1, "b", 2)]
+
+
+def test_a_merged_layer_has_the_bytes_of_the_object_form(monkeypatch):
+    rng, whole, rows = np.random.default_rng(3), mvt.Partial(), []
+    monkeypatch.setattr(mvt, "PIECE", 7)
+    for _ in range(9):
+        part = mvt.Partial()
+        for _ in range(rng.integers(1, 12)):
+            order = int(rng.integers(0, 1 << 40))
+            props = [{"k": f"k{rng.integers(0, 4)}", "t": "Int", "i": int(v), "b": None, "d": None, "s": None} for v in rng.integers(-300, 300, rng.integers(0, 4))]
+            props += [{"k": "text", "t": "String", "s": "é" * int(rng.integers(0, 90)), "b": None, "i": None, "d": None}] * int(rng.integers(0, 2))
+            part.add(order, int(rng.integers(0, 1 << 62)) if rng.random() < 0.7 else None, "LineString", [rng.integers(-64, 4160, (int(rng.integers(2, 60)), 2))], props)
+        whole.merge(list(part.keys), list(part.values), iter(part.features))
+        rows.append(((0, 0, 0, 0, "roads"), part))
+    table = pa.Table.from_batches([tileset.partial_batch({place: part}) for place, part in rows])
+    assert mvt.merged_layer("roads", table, 4096) == whole.message("roads", 4096)
+
+
+def test_features_are_decoded_one_by_one():
+    found, features = next(mvt.read_layers(mvt.tile([("pts", [{"id": k, "kind": "Point", "geom": [np.array([[k, k]])], "props": []} for k in range(50)])], 4096)))
+    assert found == {"name": "pts", "extent": 4096, "version": 2} and iter(features) is features
+    assert [f["id"] for f in features] == list(range(50))
