@@ -22,8 +22,8 @@ from ..plans.options import TileError
 from ..plans.shared import materialised
 
 
-def in_order(rows: DataFrame, order: list) -> DataFrame:
-    """The rows sorted and written once, with ``part``, and ``nth`` and ``at``: the rows, and bytes of ``data``, before them in their partition."""
+def in_order(rows: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """The rows sorted and written once, in ``parts`` partitions if given, with ``part``, and ``nth`` and ``at``: the rows, and bytes of ``data``, before them in their partition."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = rows_done = 0
@@ -33,7 +33,7 @@ def in_order(rows: DataFrame, order: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(rows_done, rows_done + len(sizes))), pa.array(ends - sizes)], [*batch.schema.names, "nth", "at"])
             done, rows_done = int(ends[-1]) if len(ends) else done, rows_done + len(sizes)
 
-    ordered = rows.orderBy(*order).withColumn("part", F.spark_partition_id())
+    ordered = (rows.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts else rows.orderBy(*order)).withColumn("part", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", nth long, at long"
     return materialised(ordered.mapInArrow(number, schema))
 

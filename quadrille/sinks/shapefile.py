@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.options import TileError
-from ..sources.shapefile import HEAD, beside, twice_area
+from ..sources.shapefile import HEAD, RECORDS, beside, twice_area
 from . import files
 
 CODES = {"Point": 1, "LineString": 3, "MultiLineString": 3, "Polygon": 5, "MultiPolygon": 5, "MultiPoint": 8}
@@ -80,7 +80,7 @@ def write_shapefile(features: DataFrame, path: str) -> int:
     every = F.flatten(F.flatten("parts"))
     xs, ys = F.transform(every, lambda p: p.x), F.transform(every, lambda p: p.y)
     ends = [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
-    box = features.agg(F.collect_set("kind").alias("kinds"), F.min(ends[0]), F.min(ends[1]), F.max(ends[2]), F.max(ends[3])).first()
+    box = features.agg(F.collect_set("kind").alias("kinds"), F.min(ends[0]), F.min(ends[1]), F.max(ends[2]), F.max(ends[3]), F.count(F.lit(1)).alias("rows")).first()
     codes = {CODES.get(k) for k in box["kinds"]}
     if len(codes) > 1 or None in codes:
         raise TileError(f"kinds {box['kinds']} do not fit one shapefile")
@@ -93,7 +93,10 @@ def write_shapefile(features: DataFrame, path: str) -> int:
             yield pa.RecordBatch.from_arrays([batch.column("layer_ord"), batch.column("feature_ord"), pa.array(data, pa.binary()), pa.array([attributes(r["props"], fields) for r in rows], pa.binary())], ["layer_ord", "feature_ord", "data", "row"])
 
     kept = features.select(F.col("layer_ord").cast("long").alias("layer_ord"), "feature_ord", "kind", "parts", "props").where(F.size(every) > 0)
-    numbered = files.in_order(kept.mapInArrow(encode, "layer_ord long, feature_ord long, data binary, row binary"), ["layer_ord", "feature_ord"])
+    # many features may come from one small file: they are dealt out by number, not by the bytes read
+    tasks = -(-box["rows"] // RECORDS)
+    dealt = kept.repartition(tasks, "layer_ord", "feature_ord") if tasks > 1 else kept
+    numbered = files.in_order(dealt.mapInArrow(encode, "layer_ord long, feature_ord long, data binary, row binary"), ["layer_ord", "feature_ord"], tasks if tasks > 1 else None)
     parts = sorted((r["part"], r["n"], r["size"]) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("size")).collect())
     before, n, size = {}, 0, HEAD
     for part, rows, taken in parts:
@@ -119,7 +122,7 @@ def write_shapefile(features: DataFrame, path: str) -> int:
 
         return numbered.mapInArrow(put, "part int, at long, data binary")
 
-    bounds = [v if v is not None else 0.0 for v in box[1:]]
+    bounds = [v if v is not None else 0.0 for v in box[1:5]]
     head = lambda total: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, total // 2) + struct.pack("<2i8d", 1000, max(codes, default=0), *bounds, 0, 0, 0, 0)
     table = b"".join(name.encode().ljust(11, b"\0") + letter.encode() + bytes(4) + bytes([width, 0]) + bytes(14) for name, letter, width in fields)
     width = 1 + sum(w for _, _, w in fields)

@@ -25,6 +25,8 @@ from ..plans.options import TileError
 from .ranges import RangeFile
 
 HEAD, ENTRY, RECORDS = 100, 8, 20_000
+#: A core gets so many tasks; ranges beyond them share tasks, which hold RECORDS records at most unless a range does.
+TASKS = 4
 #: Bytes of shapes that a task holds at a time.
 PIECE = 4 << 20
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -144,10 +146,9 @@ def pages(index: np.ndarray) -> Iterator[tuple[int, int]]:
         yield low, len(index)
 
 
-def records(path: str, encoding: str, low: int, high: int) -> Iterator[pa.RecordBatch]:
+def records(shapes: RangeFile, index_file: RangeFile, table: Attributes, low: int, high: int) -> Iterator[pa.RecordBatch]:
     """The features of records low to high."""
-    shapes, table = RangeFile(path), Attributes(beside(path, ".dbf"), encoding)
-    entries = RangeFile(beside(path, ".shx"))(HEAD + low * ENTRY, (high - low) * ENTRY)
+    entries = index_file(HEAD + low * ENTRY, (high - low) * ENTRY)
     # places and lengths, of headers and contents, in bytes
     index = np.frombuffer(entries, ">i4").reshape(-1, 2).astype(np.int64) * 2 + np.array([0, 8])
     for a, b in pages(index):
@@ -165,7 +166,7 @@ def records(path: str, encoding: str, low: int, high: int) -> Iterator[pa.Record
 
 
 def scan(spark: SparkSession, path: str, layer: str, layer_ord: int = 0, rows: int = RECORDS, encoding: str | None = None) -> DataFrame:
-    """Features in order of record; ``rows`` records are a task's. The encoding is that of the ``.cpg`` file, else Latin-1."""
+    """Features in order of record; ``rows`` records are read at a time, by a task of their own while there are few. The encoding is that of the ``.cpg`` file, else Latin-1."""
     try:
         n = (RangeFile(beside(path, ".shx")).size() - HEAD) // ENTRY
         table = Attributes(beside(path, ".dbf"), encoding or "latin-1")
@@ -179,11 +180,13 @@ def scan(spark: SparkSession, path: str, layer: str, layer_ord: int = 0, rows: i
         except FileNotFoundError:
             encoding = "latin-1"
     parts = max(1, -(-n // rows))
+    tasks = min(parts, max(TASKS * spark.sparkContext.defaultParallelism, -(-n // max(rows, RECORDS))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, index_file, attributes = RangeFile(path), RangeFile(beside(path, ".shx")), Attributes(beside(path, ".dbf"), encoding)
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                yield from records(path, encoding, k * rows, min(n, (k + 1) * rows))
+                yield from records(shapes, index_file, attributes, k * rows, min(n, (k + 1) * rows))
 
-    found = spark.range(0, parts, 1, parts).mapInArrow(read, f"feature_ord long, kind string, parts {vector.PARTS}, props {vector.PROP}")
+    found = spark.range(0, parts, 1, tasks).mapInArrow(read, f"feature_ord long, kind string, parts {vector.PARTS}, props {vector.PROP}")
     return found.select(F.lit(layer).alias("layer"), F.lit(layer_ord).alias("layer_ord"), "feature_ord", "kind", "parts", F.col("feature_ord").cast("decimal(20,0)").alias("id"), "props")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators.vector import PARTS, PROP
 from quadrille.plans.options import TileError
+from quadrille.sinks import shapefile as shapefiles
 from quadrille.sinks.shapefile import write_shapefile
 from quadrille.sources import readers, shapefile
 
@@ -125,3 +126,17 @@ def test_what_does_not_fit_is_refused(spark, tmp_path, rows):
 def test_no_features_make_an_empty_file(spark, tmp_path):
     assert write_shapefile(features(spark, [(0, "Point", [[[(1, 2)]]], {})]).where("feature_ord > 0"), f"{tmp_path}/x.shp") == 0
     assert shapefile.scan(spark, f"{tmp_path}/x.shp", "x").count() == 0
+
+
+def test_many_ranges_share_tasks_and_features_are_dealt_out_by_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shapefiles, "RECORDS", 100)
+    point = F.array(F.array(F.array(F.struct(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")))))
+    prop = F.array(F.struct(F.lit("k").alias("k"), F.lit("Int").alias("t"), F.lit(None).cast("boolean").alias("b"), F.col("id").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("string").alias("s")))
+    features = spark.range(0, 1_000, 1, 1).select(F.lit("p").alias("layer"), F.lit(0).alias("layer_ord"), F.col("id").alias("feature_ord"), F.lit("Point").alias("kind"), point.alias("parts"), F.col("id").cast("decimal(20,0)").alias("id"), prop.alias("props"))
+    sizes, in_order = [], shapefiles.files.in_order
+    monkeypatch.setattr(shapefiles.files, "in_order", lambda *a: sizes.append(n := in_order(*a)) or n)
+    assert shapefiles.write_shapefile(features, f"{tmp_path}/p.shp") == 1_000
+    assert sizes[0].select("part").distinct().count() == 10
+    found = shapefile.scan(spark, f"{tmp_path}/p.shp", "p", rows=3)
+    assert found.rdd.getNumPartitions() == shapefile.TASKS * spark.sparkContext.defaultParallelism
+    assert [(r["feature_ord"], r["i"]) for r in found.select("feature_ord", F.col("props")[0]["i"].alias("i")).orderBy("feature_ord").collect()] == [(k, k) for k in range(1_000)]
