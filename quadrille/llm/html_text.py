@@ -281,18 +281,65 @@ def runs_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([every, few]), np.concatenate([start, w.first[short]]).astype(np.int64)
 
 
-#: Runs of a chunk of pages: key, number of the page in the chunk, place in the page, who votes (0: none; empty: each row).
+#: Runs of a chunk of pages: key, place in the chunk, who votes (empty ``votes``: the pages, which ``slots`` tells).
 #: ``sure`` has keys that the chunk alone shows to be repeated; held rows are known to be repeated, and go by the bucket.
-PACK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("held", pa.bool_()), *((c, pa.binary()) for c in ("keys", "pages", "places", "votes", "sure", "rows", "ids", "sizes"))])
-PACK_ROWS = "bucket long, chunk long, held boolean, keys binary, pages binary, places binary, votes binary, sure binary, rows binary, ids binary, sizes binary"
+PACK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("held", pa.bool_()), *((c, pa.binary()) for c in ("keys", "places", "votes", "slots", "sure", "rows", "ids", "sizes"))])
+PACK_ROWS = "bucket long, chunk long, held boolean, keys binary, places binary, votes binary, slots binary, sure binary, rows binary, ids binary, sizes binary"
 
 
 def _small(x: np.ndarray) -> bytes:
-    return zstandard.compress(squeeze(x), 1)
+    """Whole numbers of any order: their number, the least, and what is above it, a frame for each plane of bytes:
+    high bytes compress, low ones don't, and a frame of both would hide that. A frame that isn't shorter is left out."""
+    if not len(x):
+        return b""
+    x = x.astype(np.int64)
+    least = int(x.min())
+    above = (x - least).view(U)
+    planes = [p.tobytes() for p in above.view(np.uint8).reshape(-1, 8)[:, : (int(above.max()).bit_length() + 7) // 8].T]
+    frames = [min(p, zstandard.compress(p, 1), key=len) for p in planes]
+    return np.array([len(x), least], np.int64).tobytes() + b"".join(len(f).to_bytes(4, "little") + f for f in frames)
 
 
 def _wide(block: bytes) -> np.ndarray:
-    return unsqueeze(zstandard.decompress(block)) if block else np.zeros(0, np.int64)
+    if not block:
+        return np.zeros(0, np.int64)
+    n, least = np.frombuffer(block, np.int64, 2)
+    above, at, plane = np.zeros((n, 8), np.uint8), 16, 0
+    while at < len(block):
+        size, at = int.from_bytes(block[at : at + 4], "little"), at + 4
+        frame = block[at : at + size]
+        above[:, plane] = np.frombuffer(frame if size == n else zstandard.decompress(frame), np.uint8)
+        at, plane = at + size, plane + 1
+    return above.view(np.int64).ravel() + least
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first one, and the steps."""
+    return keys[:1].tobytes() + _small(np.diff(keys, prepend=keys[:1]))
+
+
+def _risen(block: bytes) -> np.ndarray:
+    if not block:
+        return np.zeros(0, U)
+    return np.cumsum(_wide(block[8:]).view(U), dtype=U) + np.frombuffer(block[:8], U)
+
+
+def _slots(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the places of each page of a chunk. Pages stand there in falling order of size, each with a power of two
+    of places, so that a place tells its page without the sizes of all: see ``_begun``."""
+    return np.ceil(np.log2(sizes)).astype(np.int64)
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    """The first place of each page, and the end."""
+    return np.concatenate([[0], np.cumsum(np.int64(1) << _slots(sizes))])
+
+
+def _begun(places: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The first place of the page of each place; ``slots``: how many pages have so many bits of places."""
+    bits = np.arange(len(slots))[::-1]
+    own = bits[np.searchsorted(np.cumsum(slots[::-1] << bits), places, "right")]
+    return places >> own << own
 
 
 def _voters(keys: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,20 +352,21 @@ def _voters(keys: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, at, np.add.reduceat(new & (v != 0), at[:-1]) if len(k) else np.zeros(0, np.int64)
 
 
-def _dealt(chunk: int, keys, pages_, places, votes, head: list[bytes], buckets: int) -> list[tuple]:
+def _dealt(chunk: int, keys, places, votes, sizes, head: list[bytes], buckets: int) -> list[tuple]:
     """Rows of PACK. A key that a chunk alone shows to be repeated goes to its bucket once, however many pages of the chunk have it."""
-    order, at, n = _voters(keys, pages_ + 1 if votes is None else votes)
+    slots = np.bincount(_slots(sizes))
+    order, at, n = _voters(keys, _begun(places, slots) + 1 if votes is None else votes)
     sure = n >= PAGES
     settled = np.repeat(sure, np.diff(at))
     held, go = order[settled], order[~settled]
     known = keys[order[at[:-1]]][sure]
-    out = [(int(bucket_of(mixed(np.array([chunk + 1], U)), buckets)[0]), chunk, True, _small(keys[held].view(np.int64)), _small(pages_[held]), _small(places[held]), b"", b"", *head)]
+    out = [(int(bucket_of(mixed(np.array([chunk + 1], U)), buckets)[0]), chunk, True, _rising(keys[held]), _small(places[held]), b"", b"", b"", *head)]
     edges = (np.arange(buckets + 1, dtype=np.uint64) * U(1 << KEY) + U(buckets - 1)) // U(buckets)
     cut, known_cut = np.searchsorted(keys[go], edges), np.searchsorted(known, edges)
     for b in range(buckets):
         s, t = go[cut[b] : cut[b + 1]], known[known_cut[b] : known_cut[b + 1]]
         if len(s) or len(t):
-            out.append((b, chunk, False, zstandard.compress(pack(keys[s]), 1), _small(pages_[s]), _small(places[s]), b"" if votes is None else _small(votes[s]), pack(t), b"", b"", b""))
+            out.append((b, chunk, False, _rising(keys[s]), _small(places[s]), *((b"", squeeze(slots)) if votes is None else (_small(votes[s]), b"")), pack(t), b"", b"", b""))
     return out
 
 
@@ -333,10 +381,10 @@ def packed_runs(found: DataFrame, buckets: int) -> DataFrame:
         parts, n = [], 0
 
         def chunk():
-            row, page, size, keys, places = zip(*parts)
-            number = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            row, page, size, keys, places = zip(*sorted(parts, key=lambda p: -p[2]))
+            first = _firsts(np.array(size))
             head = [_small(np.array(row)), _small(np.array(page)), _small(np.array(size))]
-            return _packed(_dealt(row[0], np.concatenate(keys), number, np.concatenate(places), None, head, buckets))
+            return _packed(_dealt(row[0], np.concatenate(keys), np.concatenate([f + x for f, x in zip(first, places)]), None, np.array(size), head, buckets))
 
         for batch in batches:
             for row, host, page, texts in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "page", "blocks"))):
@@ -362,23 +410,22 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
 
     def bucket(table: pa.Table) -> pa.Table:
         out = [tuple(r.values()) for r in table.filter(table.column("held")).to_pylist()]
-        chunks, keys, pages_, places, votes, sure = [], [], [], [], [], []
+        chunks, keys, places, votes, sure = [], [], [], [], []
         for r in table.filter(pa.compute.invert(table.column("held"))).to_pylist():
             chunks.append(r["chunk"])
-            keys.append(unpack(zstandard.decompress(r["keys"])))
-            pages_.append(_wide(r["pages"]))
+            keys.append(_risen(r["keys"]))
             places.append(_wide(r["places"]))
-            votes.append(_wide(r["votes"]) if r["votes"] else mixed(pages_[-1].astype(U) + mixed(np.array([r["chunk"] + 1], U))).view(np.int64))
+            votes.append(mixed(_begun(places[-1], unsqueeze(r["slots"])).astype(U) + mixed(np.array([r["chunk"] + 1], U))).view(np.int64) if r["slots"] else _wide(r["votes"]))
             sure.append(unpack(r["sure"]))
         if chunks:
             k = np.concatenate(keys)
             order, at, n = _voters(k, np.concatenate(votes))
             distinct = k[order[at[:-1]]]
             common = np.union1d(distinct[n >= PAGES], np.concatenate(sure))
-            for c, k, p, x in zip(chunks, keys, pages_, places):
+            for c, k, x in zip(chunks, keys, places):
                 go = np.isin(k, common)
                 if go.any():
-                    out.append((0, c, True, _small(k[go].view(np.int64)), _small(p[go]), _small(x[go]), b"", b"", b"", b"", b""))
+                    out.append((0, c, True, _rising(k[go]), _small(x[go]), b"", b"", b"", b"", b"", b""))
         return pa.Table.from_batches([_packed(out)] if out else [], PACK)
 
     return packed.groupBy("bucket").applyInArrow(bucket, PACK_ROWS)
@@ -389,10 +436,10 @@ def _chunk(table: pa.Table):
     held = table.to_pylist()
     head = next([r["rows"], r["ids"], r["sizes"]] for r in held if r["rows"])
     rows, ids, sizes = map(_wide, head)
-    keys, pages_, places = (np.concatenate([_wide(r[c]) for r in held]) for c in ("keys", "pages", "places"))
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    change = np.bincount(first[pages_] + places, minlength=first[-1] + RUN + 1) - np.bincount(first[pages_] + places + RUN, minlength=first[-1] + RUN + 1)
-    return head, rows, ids, sizes, keys.view(U), pages_, places, first, np.cumsum(change)[: first[-1]] > 0
+    keys, places = np.concatenate([_risen(r["keys"]) for r in held]), np.concatenate([_wide(r["places"]) for r in held])
+    first = _firsts(sizes)
+    change = np.bincount(places, minlength=first[-1] + RUN + 1) - np.bincount(places + RUN, minlength=first[-1] + RUN + 1)
+    return head, rows, ids, sizes, keys, np.searchsorted(first, places, "right") - 1, places, first, np.cumsum(change)[: first[-1]] > 0
 
 
 def votes_of(repeated: DataFrame, buckets: int, own: bool) -> DataFrame:
@@ -402,7 +449,7 @@ def votes_of(repeated: DataFrame, buckets: int, own: bool) -> DataFrame:
         head, rows, ids, sizes, keys, pages_, places, first, covered = _chunk(table)
         left = sizes - np.diff(np.concatenate([[0], np.cumsum(covered)])[first])
         voter = np.where((left >= np.maximum(RUN, OWN * sizes)) | (not own), np.where(ids == 0, 1, ids), 0)
-        return pa.Table.from_batches([_packed(_dealt(table.column("chunk")[0].as_py(), keys, pages_, places, voter[pages_], head, buckets))], PACK)
+        return pa.Table.from_batches([_packed(_dealt(table.column("chunk")[0].as_py(), keys, places, voter[pages_], sizes, head, buckets))], PACK)
 
     return repeated.groupBy("chunk").applyInArrow(chunk, PACK_ROWS)
 

@@ -214,6 +214,30 @@ def page_texts(spark, pages):
     return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
 
 
+def test_unique_runs_travel_in_six_bytes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "h.org", i * 7919, [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(20, 900)))]) for i in range(300)]
+    runs = sum(len(r[3][0].split()) - html_text.RUN + 1 for r in rows)
+    packed = html_text.packed_runs(spark.createDataFrame(rows, "row long, host string, page long, blocks array<string>").coalesce(1), 8).collect()
+    assert sum(len(v) for r in packed for v in r if isinstance(v, (bytes, bytearray))) < 6.5 * runs
+    assert sum(len(html_text._wide(bytes(r["places"]))) for r in packed) == runs and not any(r["sure"] for r in packed)
+
+
+@pytest.mark.parametrize("x", [[], [7], [5] * 1000, [-3, 1 << 62, 0], list(range(70_000)), [-(1 << 63), 0]])
+def test_numbers_and_rising_keys_come_back(x):
+    x = np.array(x, np.int64)
+    assert (html_text._wide(html_text._small(x)) == x).all() and len(html_text._wide(html_text._small(x))) == len(x)
+    keys = np.sort(x.view(np.uint64))
+    assert (html_text._risen(html_text._rising(keys)) == keys).all()
+
+
+def test_a_place_tells_its_page():
+    sizes = np.array([1025, 1024, 1000, 513, 512, 9, 8, 8])
+    first, page = html_text._firsts(sizes), np.repeat(np.arange(8), sizes)
+    places = first[page] + np.concatenate([np.arange(n) for n in sizes])
+    assert (html_text._begun(places, np.bincount(html_text._slots(sizes))) == first[page]).all()
+
+
 def test_articles_are_evidence_within_the_host_stage(spark):
     notice = "sign up today for our weekly letter and never miss a story"
     own = lambda i, n=30: " ".join(f"own{i}word{k}" for k in range(n))
