@@ -5,8 +5,8 @@ Coordinates are metres once ``to_metres`` has run.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -156,31 +156,42 @@ def layer_fields(props: DataFrame) -> DataFrame:
 # Clipping and simplification: topology, in numpy inside Arrow batches.
 
 
-def clip_line(p: np.ndarray, rect: tuple[float, float, float, float]) -> list[np.ndarray]:
-    """The pieces of a line within a closed rectangle, in order: each segment's share, put together where they touch."""
-    a, d = p[:-1], np.diff(p, axis=0)
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] of them, and so on for the others."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+
+
+def clip_lines(xy: np.ndarray, at: np.ndarray, rects: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, where each piece begins and the end, number of its line): the pieces of lines, each within its own closed
+    rectangle, in order: each segment's share, put together where they touch. ``at``: where each line begins, and the end."""
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    seg = np.flatnonzero(line[1:] == line[:-1])
+    a, d, rect = xy[seg], xy[seg + 1] - xy[seg], rects[line[seg]]
     t0, t1 = np.zeros(len(a)), np.ones(len(a))
     for k in (0, 1):
         moves = d[:, k] != 0
         step = np.where(moves, d[:, k], 1.0)
-        low, high = (rect[k] - a[:, k]) / step, (rect[k + 2] - a[:, k]) / step
+        low, high = (rect[:, k] - a[:, k]) / step, (rect[:, k + 2] - a[:, k]) / step
         t0 = np.where(moves, np.maximum(t0, np.minimum(low, high)), t0)
-        t1 = np.where(moves, np.minimum(t1, np.maximum(low, high)), np.where((a[:, k] < rect[k]) | (a[:, k] > rect[k + 2]), -1.0, t1))
+        t1 = np.where(moves, np.minimum(t1, np.maximum(low, high)), np.where((a[:, k] < rect[:, k]) | (a[:, k] > rect[:, k + 2]), -1.0, t1))
     kept = np.flatnonzero(t0 < t1)
     if not len(kept):
-        return []
+        return np.empty((0, 2)), np.zeros(1, np.int64), np.empty(0, np.int64)
+    seg, a, d, t0, t1 = seg[kept], a[kept], d[kept], t0[kept, None], t1[kept, None]
     # a segment goes on with the piece before it if the one before reaches their common point
-    goes_on = (np.diff(kept) == 1) & (t0[kept[1:]] == 0) & (t1[kept[:-1]] == 1)
-    out = []
-    for run in np.split(kept, np.flatnonzero(~goes_on) + 1):
-        i, j = run[0], run[-1]
-        piece = p[i : j + 2].copy()
-        if t0[i]:
-            piece[0] = a[i] + d[i] * t0[i]
-        if t1[j] < 1:
-            piece[-1] = a[j] + d[j] * t1[j]
-        out.append(piece)
-    return out
+    new = np.concatenate([[True], ~((np.diff(seg) == 1) & (t0[1:, 0] == 0) & (t1[:-1, 0] == 1)), [True]])
+    begins, ends = new[:-1], new[1:]
+    place = np.arange(len(seg)) + np.cumsum(ends) - ends
+    out = np.empty((len(seg) + ends.sum(), 2))
+    out[place] = np.where(t0 != 0, a + d * t0, a)
+    out[place[ends] + 1] = np.where(t1 < 1, a + d * t1, xy[seg + 1])[ends]
+    return out, np.append(place[begins], len(out)), line[seg[begins]]
+
+
+def clip_line(p: np.ndarray, rect: tuple[float, float, float, float]) -> list[np.ndarray]:
+    """The pieces of one line."""
+    xy, at, _ = clip_lines(p, np.array([0, len(p)]), np.array([rect]))
+    return [xy[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
 def clip_half(rings: list[np.ndarray], axis: int, at: float, keep_above: bool) -> list[np.ndarray]:
@@ -262,25 +273,41 @@ def _holds(ring: np.ndarray, p: np.ndarray) -> bool:
     return bool(np.count_nonzero(p[0] < a[:, 0] + (p[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])) % 2)
 
 
+def simplify_all(xy: np.ndarray, at: np.ndarray, tolerance: float | np.ndarray, least: int = 2) -> np.ndarray:
+    """Which points of lines Douglas-Peucker keeps: those nearer to the chord than the tolerance (one, or one of each line)
+    go; shorter results than ``least`` keep the original. The chords of all lines are split together, level by level."""
+    keep = np.ones(len(xy), bool)
+    tolerance = np.broadcast_to(tolerance, len(at) - 1)
+    long = (np.diff(at) > least) & (tolerance > 0)
+    if not long.any():
+        return keep
+    a, b, tolerance = at[:-1][long], at[1:][long] - 1, tolerance[long]
+    keep[ranges(a + 1, b - a - 1)] = False
+    while len(a):
+        wide = b - a > 1
+        a, b, tolerance = a[wide], b[wide], tolerance[wide]
+        if not len(a):
+            break
+        n = b - a - 1
+        point, chord = ranges(a + 1, n), np.repeat(np.arange(len(a)), n)
+        d, v = xy[b] - xy[a], xy[point] - xy[a][chord]
+        norm = np.hypot(d[:, 0], d[:, 1])
+        norm = np.where(norm > 0, norm * norm, np.inf)[chord]
+        t = np.clip((v * d[chord]).sum(1) / norm, 0, 1)[:, None]
+        far = np.hypot(*(v - t * d[chord]).T)
+        most = np.maximum.reduceat(far, np.cumsum(n) - n)
+        hit = np.flatnonzero((far == most[chord]) & (most > tolerance)[chord])
+        split, nth = np.unique(chord[hit], return_index=True)
+        middle = point[hit[nth]]
+        keep[middle] = True
+        a, b, tolerance = np.concatenate([a[split], middle]), np.concatenate([middle, b[split]]), np.tile(tolerance[split], 2)
+    few = np.diff(np.concatenate([[0], np.cumsum(keep)])[at]) < np.minimum(least, np.diff(at))
+    keep[ranges(at[:-1][few], np.diff(at)[few])] = True
+    return keep
+
+
 def simplify(p: np.ndarray, tolerance: float, least: int = 2) -> np.ndarray:
-    """Douglas-Peucker: points nearer to the chord than the tolerance go; shorter results than ``least`` keep the original."""
-    if tolerance <= 0 or len(p) <= least:
-        return p
-    keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
-    keep[[0, -1]] = True
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        d, v = p[b] - p[a], p[a + 1 : b] - p[a]
-        norm = math.hypot(*d)
-        t = np.clip((v @ d) / (norm * norm), 0, 1)[:, None] if norm else 0.0
-        far = np.hypot(*(v - t * d).T)
-        k = int(np.argmax(far))
-        if far[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return p[keep] if keep.sum() >= least else p
+    return p[simplify_all(p, np.array([0, len(p)]), tolerance, least)]
 
 
 #: Zooms that one pass descends, after a first one to zoom 2: a row makes 4 + 16 + 64 rows at most.
@@ -292,17 +319,11 @@ def clip(kind: str, polys: list[list[np.ndarray]], rect: tuple[float, float, flo
     if "Polygon" in kind:
         return clip_polygons(polys, rect)
     if "Line" in kind:
-        return [[piece] for poly in polys for ring in poly if len(ring) > 1 for piece in clip_line(ring, rect)]
+        return [[piece] for poly in polys for ring in poly for piece in clip_line(ring, rect)]
     inside = [[r[((r >= rect[:2]) & (r <= rect[2:])).all(1)] for r in poly] for poly in polys]
     return [poly for poly in ([r for r in poly if len(r)] for poly in inside) if poly]
 
 
-def simplified(kind: str, polys: list[list[np.ndarray]], tolerance: float) -> list[list[np.ndarray]]:
-    if "Point" in kind:
-        return polys
-    return [[simplify(r, tolerance, 4 if "Polygon" in kind else 2) for r in poly] for poly in polys]
-
-
 def geometries(parts: pa.ListArray) -> list[list[list[np.ndarray]]]:
     """Polygons of rings of each row, as views on one array of points."""
     polys, rings = parts.values, parts.values.values
@@ -313,17 +334,80 @@ def geometries(parts: pa.ListArray) -> list[list[list[np.ndarray]]]:
     return [[[ring(r) for r in range(poly_at[k], poly_at[k + 1]) if ring_at[r] < ring_at[r + 1]] for k in range(at[i], at[i + 1])] for i in range(len(parts))]
 
 
-def parts_of(rows: list[list[list[np.ndarray]]]) -> pa.ListArray:
-    """The opposite of ``geometries``."""
+def parts_of(rows: list[list[list[np.ndarray]]], tolerance: list[float]) -> pa.ListArray:
+    """The opposite of ``geometries``; rings are simplified by the tolerance of their row."""
     polys = [poly for row in rows for poly in row]
     rings = [r for poly in polys for r in poly]
-    xy = np.concatenate(rings) if rings else np.empty((0, 2))
+    xy, at = np.concatenate(rings) if rings else np.empty((0, 2)), np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int64)
+    keep = simplify_all(xy, at, np.repeat(tolerance, [sum(len(poly) for poly in row) for row in rows]), 4)
+    xy, at = xy[keep], np.concatenate([[0], np.cumsum(keep)])[at]
     out = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
-    for level in (rings, polys, rows):
-        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in level])]).astype(np.int32)), out)
+    for offsets in (at, *(np.concatenate([[0], np.cumsum([len(x) for x in level])]) for level in (polys, rows))):
+        out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out)
     return out
 
 
+class Lines(NamedTuple):
+    """Lines in tiles of one zoom: the source of each row, its tile, where its lines begin, where lines begin, and the points."""
+
+    source: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    line_at: np.ndarray
+    at: np.ndarray
+    xy: np.ndarray
+
+    def cut(self, row: np.ndarray, x: np.ndarray, y: np.ndarray, rects: np.ndarray) -> Lines:
+        """The shares of the numbered rows within rectangles; rows without one go."""
+        n = np.diff(self.line_at)[row]
+        line, owner = ranges(self.line_at[row], n), np.repeat(np.arange(len(row)), n)
+        size = np.diff(self.at)[line]
+        xy, at, piece = clip_lines(self.xy[ranges(self.at[line], size)], np.concatenate([[0], np.cumsum(size)]), rects[owner])
+        n = np.bincount(owner[piece], minlength=len(row))
+        return Lines(self.source[row[n > 0]], x[n > 0], y[n > 0], np.concatenate([[0], np.cumsum(n[n > 0])]), at, xy)
+
+    def children(self, z: int, share: float) -> Lines:
+        """The shares of the four tiles of zoom ``z`` below each tile."""
+        begin = self.at[self.line_at[:-1]]
+        (x0, y0), (x1, y1) = (f.reduceat(self.xy, begin).T[:, :, None] if len(begin) else np.empty((2, 0, 1)) for f in (np.minimum, np.maximum))
+        x, y = 2 * self.x[:, None] + [0, 1, 0, 1], 2 * self.y[:, None] + [0, 0, 1, 1]
+        rect = buffered_rect(z, x, y, share)
+        row, k = np.nonzero((x0 <= rect[2]) & (x1 >= rect[0]) & (y0 <= rect[3]) & (y1 >= rect[1]))
+        return self.cut(row, x[row, k], y[row, k], np.column_stack([side[row, k] for side in rect]))
+
+    def simplified(self, tolerance: float) -> Lines:
+        keep = simplify_all(self.xy, self.at, tolerance)
+        return self._replace(at=np.concatenate([[0], np.cumsum(keep)])[self.at], xy=self.xy[keep])
+
+    def taken(self, rows: np.ndarray) -> Lines:
+        n = np.diff(self.line_at)[rows]
+        line = ranges(self.line_at[rows], n)
+        size = np.diff(self.at)[line]
+        return Lines(self.source[rows], self.x[rows], self.y[rows], np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)]), self.xy[ranges(self.at[line], size)])
+
+    def parts(self) -> pa.ListArray:
+        out = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(self.xy[:, k])) for k in (0, 1)], ["x", "y"])
+        for at in (self.at, np.arange(len(self.at)), self.line_at):
+            out = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), out)
+        return out
+
+
+#: Points of lines that are cut together.
+POINTS = 50_000
+
+
+def lines_of(rows: pa.RecordBatch) -> Iterator[Lines]:
+    """Rows of lines, about POINTS at a time."""
+    parts, polys, rings = rows.column("parts"), rows.column("parts").values, rows.column("parts").values.values
+    line_at, at = polys.offsets.to_numpy()[parts.offsets.to_numpy()].astype(np.int64), rings.offsets.to_numpy().astype(np.int64)
+    xy = np.column_stack([rings.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+    x, y = (rows.column(c).to_numpy() for c in ("x", "y"))
+    whole = Lines(np.arange(len(rows)), x, y, line_at, at, xy)
+    share = (at[line_at[1:]] - at[line_at[0]]) // POINTS
+    for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(share)) + 1):
+        yield whole.taken(own)
+
+
 def buffered_rect(z: int, x: int, y: int, share: float) -> tuple[float, float, float, float]:
     span = 2 * M.ORIGIN_SHIFT_M / 2.0**z
     pad = span * share
@@ -366,6 +450,7 @@ def clipped_tiles(features: DataFrame, options: MvtOptions) -> DataFrame:
     ranges = M.tile_range(F.col("z"), *(F.lit(b[c]) for c in ("min_x", "min_y", "max_x", "max_y")))
     limits = {r[0]: tuple(r[1:]) for r in spark.range(options.max_zoom + 1).select(F.col("id").cast("int").alias("z")).select("z", *ranges).collect()}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    tolerances = {z: 2 * M.ORIGIN_SHIFT_M / 2.0**z / options.extent * options.simplify for z in limits}
     names, tasks = rows.columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def one_pass(first: bool, last: int):
@@ -376,33 +461,53 @@ def clipped_tiles(features: DataFrame, options: MvtOptions) -> DataFrame:
                 if len(done):
                     yield done
                 todo = batch.filter(open_)
+                is_line = pa.compute.match_substring(todo.column("kind"), "Line")
+                lines, todo = todo.filter(is_line), todo.filter(pa.compute.invert(is_line))
                 made: list[tuple] = []
                 held = 0
 
-                def packed() -> pa.RecordBatch:
-                    source, z, x, y, polys, further = zip(*made)
-                    new = {"z": pa.array(z, pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "parts": parts_of(list(polys)), "open": pa.array(further)}
-                    taken = todo.select([c for c in names if c not in new]).take(pa.array(source))
+                def packed(todo: pa.RecordBatch, source, z, x, y, parts: pa.ListArray, further) -> pa.RecordBatch:
+                    new = {"z": pa.array(z, pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "parts": parts, "open": pa.array(further, pa.bool_())}
+                    taken = todo.select([c for c in names if c not in new]).take(pa.array(source, pa.int64()))
                     columns = [new[c] if c in new else taken.column(c) for c in names]
                     if first:
                         return pa.RecordBatch.from_arrays(columns, names)
                     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, batch.schema)], schema=batch.schema)
 
+                def packed_polys() -> pa.RecordBatch:
+                    source, z, x, y, polys, tolerance, further = zip(*made)
+                    return packed(todo, source, z, x, y, parts_of(list(polys), list(tolerance)), further)
+
+                def packed_lines(own: Lines, z: int, further: bool) -> pa.RecordBatch:
+                    return packed(lines, own.source, np.full(len(own.x), z), own.x, own.y, own.parts(), np.full(len(own.x), further))
+
+                for own in lines_of(lines) if len(lines) else ():
+                    top = lines.column("z")[0].as_py()  # open shares are of one zoom
+                    if first:
+                        own = own.cut(np.arange(len(own.x)), own.x, own.y, np.column_stack(buffered_rect(top, own.x, own.y, share)))
+                    for z in range(top if first else top + 1, last + 1):
+                        own = own.children(z, share) if z > top else own
+                        x0, x1, y0, y1 = limits[z]
+                        shown = np.flatnonzero((own.x >= x0) & (own.x <= x1) & (own.y >= y0) & (own.y <= y1) & (z >= options.min_zoom))
+                        if len(shown):
+                            yield packed_lines(own.taken(shown).simplified(tolerances[z]), z, False)
+                    if len(own.x) and last < options.max_zoom:
+                        yield packed_lines(own, last, True)
                 for i, (kind, polys, *tile) in enumerate(zip(todo.column("kind").to_pylist(), geometries(todo.column("parts")), *(todo.column(c).to_pylist() for c in ("z", "x", "y")))):
                     own = clip(kind, polys, buffered_rect(*tile, share)) if first else polys
                     for z, x, y, got in [(*tile, own)] * first + list(descend(kind, own, *tile, last, share)):
                         x0, x1, y0, y1 = limits[z]
                         if got and z >= options.min_zoom and x0 <= x <= x1 and y0 <= y <= y1:
-                            made.append((i, z, x, y, simplified(kind, got, 2 * M.ORIGIN_SHIFT_M / 2.0**z / options.extent * options.simplify), False))
+                            made.append((i, z, x, y, got, 0.0 if "Point" in kind else tolerances[z], False))
                         if got and z == last < options.max_zoom:
-                            made.append((i, z, x, y, got, True))
+                            made.append((i, z, x, y, got, 0.0, True))
                         held += sum(len(r) for poly in got for r in poly) + 20
                     if held > 200_000:
                         if made:
-                            yield packed()
+                            yield packed_polys()
                         made, held = [], 0
                 if made:
-                    yield packed()
+                    yield packed_polys()
 
         return run
 

@@ -139,6 +139,31 @@ def test_lines_and_rings(spark):
     assert turned == 32 and flat is None
 
 
+def test_lines_are_cut_and_simplified_together_as_they_are_one_by_one():
+    rng = np.random.default_rng(4)
+    lines = [rng.integers(0, 12, (n, 2)).astype(float) for n in rng.integers(1, 40, 300)] + [np.array([(3.0, 3.0)] * 4), np.empty((0, 2))]
+    at, rects = np.concatenate([[0], np.cumsum([len(p) for p in lines])]), np.array([(2.0, 3.0, 5.0 + k % 7, 8.0) for k in range(len(lines))])
+    xy, cut_at, line = vector.clip_lines(np.concatenate(lines), at, rects)
+    one_by_one = [(k, piece) for k, p in enumerate(lines) for piece in vector.clip_line(p, rects[k])]
+    assert line.tolist() == [k for k, _ in one_by_one] and all(np.array_equal(xy[i:j], p) for i, j, (_, p) in zip(cut_at[:-1], cut_at[1:], one_by_one))
+
+    def kept(p, tolerance):  # by recursion
+        if len(p) < 3:
+            return p
+        d, v = p[-1] - p[0], p[1:-1] - p[0]
+        t = np.clip(v @ d / (d @ d), 0, 1)[:, None] if d.any() else 0.0
+        far = np.hypot(*(v - t * d).T)
+        k = int(np.argmax(far)) + 1
+        return np.vstack([kept(p[: k + 1], tolerance)[:-1], kept(p[k:], tolerance)]) if far[k - 1] > tolerance else p[[0, -1]]
+
+    lines = [rng.normal(size=(n, 2)).cumsum(0) for n in rng.integers(2, 200, 200)]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in lines])])
+    for tolerance in (0.5, 2.0, 50.0):
+        keep = vector.simplify_all(np.concatenate(lines), at, tolerance)
+        assert all(np.array_equal(p[keep[i:j]], kept(p, tolerance)) for p, i, j in zip(lines, at[:-1], at[1:]))
+    assert vector.simplify_all(np.concatenate(lines), at, 50.0, 4)[: at[1]].sum() in (len(lines[0]), *range(4, len(lines[0])))
+
+
 LAKE = [[18.2, 59.1], [18.9, 59.05], [19.3, 59.6], [18.6, 59.9], [18.1, 59.5], [18.2, 59.1]]
 ISLAND = [[18.5, 59.4], [18.6, 59.4], [18.6, 59.5], [18.5, 59.4]]
 COLLECTION = {"type": "FeatureCollection", "features": [
