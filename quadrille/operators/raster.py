@@ -21,7 +21,33 @@ from ..plans.options import RasterMeta, TileError
 LEAST_WEIGHT = 0.5
 AREA_FACTOR = 2.0
 #: A map is broadcast up to this many rows.
-MAP_ROWS = 200_000
+MAP_ROWS = 1_000_000
+#: Cells or pixels that a task adds up, beyond which more tasks are made than there are shuffle partitions.
+TASK_ROWS = 1_200_000
+
+
+def dealt(rows: DataFrame, n: int, *keys) -> DataFrame:
+    """``n`` rows at most, by the keys that they are grouped by next: as they are while the shuffle's own partitions do,
+    else dealt out to tasks of TASK_ROWS, so that a task's memory doesn't grow with the table. Not for keys of many rows."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def in_blocks(cells: DataFrame, meta: RasterMeta) -> DataFrame:
+    """Valid cells; those of a large grid are dealt out in blocks (_r, _c) of neighbours, several a task, see ``summed``."""
+    valid = cells.where("value is not null")
+    blocks = valid.withColumns({"_r": F.floor(F.col("row") / max(1, TASK_ROWS // 8 // (meta.cols * meta.bands))), "_c": F.floor(F.col("col") / TASK_ROWS)})
+    apart = dealt(blocks, meta.rows * meta.cols * meta.bands, "_r", "_c")
+    return valid if apart is blocks else apart
+
+
+def summed(hits: DataFrame, size: int, keys: tuple[str, ...], **values: Column) -> DataFrame:
+    """Sums of the values by keys, of which there are ``size`` at most. Cells in blocks are first added up within each, which
+    leaves a key a few sums, however many cells it has."""
+    if "_r" in hits.columns:
+        hits = dealt(hits.groupBy("_r", "_c", *keys).agg(*[F.sum(v).alias(k) for k, v in values.items()]), size, *keys)
+        values = {k: F.col(k) for k in values}
+    return hits.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in values.items()])
 
 
 def normalised(cells: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -146,12 +172,12 @@ def area_average(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.
     rows, thin_y = covered_cells(ys, meta.rows)
     x0, x1, y0, y1 = tile_extent(meta, z)
     n_x, n_y = max(meta.cols, (x1 - x0 + 1) * tile_size), max(meta.rows, (y1 - y0 + 1) * tile_size)
-    mean = (
-        cells.where("value is not null")
+    hits = (
+        in_blocks(cells, meta)
         .join(_small(cols.select(F.col("g").alias("gx"), F.col("cell").alias("col")), n_x), "col")
         .join(_small(rows.select(F.col("g").alias("gy"), F.col("cell").alias("row")), n_y), "row")
-        .groupBy("band", "gx", "gy").agg(F.avg("value").alias("value"))
     )
+    mean = summed(hits, meta.rows * meta.cols * meta.bands, ("band", "gx", "gy"), s=F.col("value"), n=F.lit(1)).select("band", "gx", "gy", (F.col("s") / F.col("n")).alias("value"))
     if not thin_pixels(meta, z, tile_size):
         return mean
     # pixels thin on x with any row, and pixels thin on y with columns that are not: each once
@@ -189,12 +215,12 @@ def area_sums(cells: DataFrame, meta: RasterMeta, z: int, tile_size: int = M.TIL
     xs, ys = (axis_map(cells.sparkSession, meta, z, a, tile_size) for a in "xy")
     x0, x1, y0, y1 = tile_extent(meta, z)
     n_x, n_y = max(meta.cols, (x1 - x0 + 1) * tile_size), max(meta.rows, (y1 - y0 + 1) * tile_size)
-    return (
-        cells.where("value is not null")
+    hits = (
+        in_blocks(cells, meta)
         .join(_small(covered_cells(xs, meta.cols)[0].select(F.col("g").alias("gx"), F.col("cell").alias("col")), n_x), "col")
         .join(_small(covered_cells(ys, meta.rows)[0].select(F.col("g").alias("gy"), F.col("cell").alias("row")), n_y), "row")
-        .groupBy("band", "gx", "gy").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     )
+    return summed(hits, meta.rows * meta.cols * meta.bands, ("band", "gx", "gy"), s=F.col("value"), n=F.lit(1))
 
 
 def area_pyramid(cells: DataFrame, meta: RasterMeta, zooms: list[int], tile_size: int = M.TILE_SIZE) -> DataFrame:
@@ -205,11 +231,13 @@ def area_pyramid(cells: DataFrame, meta: RasterMeta, zooms: list[int], tile_size
     parts = [area_average(cells, meta, z, tile_size).withColumn("z", F.lit(z)) for z in zooms if z not in rolled and (z != max(zooms) or not rolled)]
     if rolled:
         at, sums = max(zooms), area_sums(cells, meta, max(zooms), tile_size)
+        size = meta.rows * meta.cols * meta.bands  # a pixel holds a cell at least
         for z in [at, *sorted(rolled, reverse=True)]:
             if z != at:
                 up = at - z
-                sums = sums.groupBy("band", F.shiftright("gx", up).alias("gx"), F.shiftright("gy", up).alias("gy")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-                at = z
+                above = sums.select("band", F.shiftright("gx", up).alias("gx"), F.shiftright("gy", up).alias("gy"), "s", "n")
+                sums = dealt(above, size, "band", "gx", "gy").groupBy("band", "gx", "gy").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+                at, size = z, size >> 2 * up
             parts.append(sums.select("band", "gx", "gy", (F.col("s") / F.col("n")).alias("value"), F.lit(z).alias("z")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -227,15 +255,15 @@ def corners(axis: DataFrame, g: str, cell: str, weight: str) -> DataFrame:
     return axis.select(F.col("g").alias(g), F.explode(F.array(F.struct(low.alias("c"), (1 - share).alias("w")), F.struct((low + 1).alias("c"), share.alias("w")))).alias("k")).where("k.w > 0").select(g, F.col("k.c").alias(cell), F.col("k.w").alias(weight))
 
 
-def weighted(hits: DataFrame, *keys: str) -> DataFrame:
-    """Means by weight, where valid cells hold LEAST_WEIGHT at least."""
-    return hits.groupBy(*keys).agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("value")).alias("sv")).where(F.col("sw") >= LEAST_WEIGHT).select(*keys, (F.col("sv") / F.col("sw")).alias("value"))
+def weighted(hits: DataFrame, *keys: str, size: int = 0) -> DataFrame:
+    """Means by weight, where valid cells hold LEAST_WEIGHT at least; ``size``: how many there may be."""
+    return summed(hits, size, keys, sw=F.col("w"), sv=F.col("w") * F.col("value")).where(F.col("sw") >= LEAST_WEIGHT).select(*keys, (F.col("sv") / F.col("sw")).alias("value"))
 
 
 def bilinear(cells: DataFrame, xs: DataFrame, ys: DataFrame, meta: RasterMeta) -> DataFrame:
     """(band, gx, gy, value) at the pixels' centres."""
-    hits = cells.where("value is not null").join(counted(corners(xs, "gx", "col", "wx")), "col").join(counted(corners(ys, "gy", "row", "wy")), "row").withColumn("w", F.col("wx") * F.col("wy"))
-    return weighted(hits, "band", "gx", "gy")
+    hits = in_blocks(cells, meta).join(counted(corners(xs, "gx", "col", "wx")), "col").join(counted(corners(ys, "gy", "row", "wy")), "row").withColumn("w", F.col("wx") * F.col("wy"))
+    return weighted(hits, "band", "gx", "gy", size=4 * meta.rows * meta.cols * meta.bands)
 
 
 def sample_points(cells: DataFrame, points: DataFrame, meta: RasterMeta, method: str = "bilinear") -> DataFrame:
@@ -284,10 +312,11 @@ def stretched(value: Column, lo: float, hi: float) -> Column:
     return F.floor(F.least(F.greatest((value - lo) * F.lit(1.0 / (hi - lo)) * 255.0, F.lit(0.0)), F.lit(255.0))).cast("int")
 
 
-def rgba(samples: DataFrame, keys: list[str], bands: int, lo: float = 0.0, hi: float = 255.0) -> DataFrame:
-    """(keys, r, g, b, a) of positions with any colour: opaque where all three are there, a fourth band's alpha instead of 255."""
+def rgba(samples: DataFrame, keys: list[str], bands: int, lo: float = 0.0, hi: float = 255.0, size: int = 0) -> DataFrame:
+    """(keys, r, g, b, a) of positions with any colour: opaque where all three are there, a fourth band's alpha instead of 255.
+    ``size``: how many samples there may be."""
     byte = lambda k: F.max(F.when(F.col("band") == k, stretched(F.col("value"), lo, hi)))
     colours = F.count(F.when(F.col("band") <= 3, F.col("value")))
-    one = samples.groupBy(*keys).agg(*[F.coalesce(byte(k), F.lit(0)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))], colours.alias("n"), byte(4).alias("a4")).where("n > 0")
+    one = dealt(samples, size, *keys).groupBy(*keys).agg(*[F.coalesce(byte(k), F.lit(0)).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))], colours.alias("n"), byte(4).alias("a4")).where("n > 0")
     alpha = F.coalesce("a4", F.lit(255)) if bands == 4 else F.lit(255)
     return one.select(*keys, "r", "g", "b", F.when(F.col("n") == 3, alpha).otherwise(0).alias("a"))

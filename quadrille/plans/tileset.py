@@ -48,17 +48,29 @@ def pixels(cells: DataFrame, meta: RasterMeta, options: PyramidOptions) -> DataF
     return every
 
 
+def pixels_at_most(meta: RasterMeta, options: PyramidOptions) -> int:
+    """Pixels of all zooms and bands: those near the grid, and no more than a cell each where areas are averaged."""
+    total = 0
+    for z in zooms(meta, options):
+        w, s, e, n = raster.bounds_m(meta)
+        res = 2 * M.ORIGIN_SHIFT_M / (options.tile_size * 2.0**z)
+        near = (int((e - w) / res) + 2) * (int((n - s) / res) + 2)
+        total += min(near, meta.rows * meta.cols) if raster.uses_area(meta, z, options.tile_size) else near
+    return total * meta.bands
+
+
 def raster_tileset(cells: DataFrame, meta: RasterMeta, options: PyramidOptions = PyramidOptions()) -> DataFrame:
     """PNG or WebP tiles. A tile without any pixel is never made; a transparent one with pixels is."""
     n, encode = options.tile_size, image.png if options.format == "png" else webp
     where = ["z", "gx", "gy"]
     sampled = pixels(cells, meta, options)
+    size = pixels_at_most(meta, options)
     if meta.bands == 1:
         lo, hi = options.stretch or (lambda r: (r["lo"] or 0.0, r["hi"] or 0.0))(raster.auto_stretch(cells.where("band = 1")).first())
         shaded = sampled.select(*where, "value")
     else:
         lo, hi = options.stretch or (0.0, 255.0)
-        one = raster.rgba(sampled, where, meta.bands, lo, hi)
+        one = raster.rgba(sampled, where, meta.bands, lo, hi, size)
         shaded = one.select(*where, F.expr("cast(r as double) + 256D * g + 65536D * b + 16777216D * a").alias("value"))
     placed = shaded.select("z", F.floor(F.col("gx") / n).alias("x"), F.floor(F.col("gy") / n).alias("y"), (F.col("gy") % n).cast("int").alias("i"), (F.col("gx") % n).cast("int").alias("j"), "value")
     single, scheme = meta.bands == 1, options.scheme
@@ -75,7 +87,7 @@ def raster_tileset(cells: DataFrame, meta: RasterMeta, options: PyramidOptions =
         return pd.DataFrame({"z": [key[0]], "x": [key[1]], "y": [key[2]], "data": [encode(rgba)]})
 
     # a tile holds n * n pixels at most, so a group is bounded
-    return placed.groupBy("z", "x", "y").applyInPandas(render, TILE)
+    return raster.dealt(placed, size // meta.bands, "z", "x", "y").groupBy("z", "x", "y").applyInPandas(render, TILE)
 
 
 def feature_tiles(features: DataFrame, options: MvtOptions = MvtOptions()) -> DataFrame:

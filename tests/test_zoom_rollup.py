@@ -80,3 +80,23 @@ def test_size_report(spark):
     (r,) = tileset.sizes_report(tiles, limit=900).collect()
     assert (r["z"], r["tiles"], r["oversize"], r["largest"]) == (3, 1000, 100, 1000) and abs(r["median"] - 500) <= 1 and abs(r["p99"] - 990) <= 1
     assert [x["bytes"] for x in tileset.heaviest(tiles, 3).collect()] == [1000, 999, 998]
+
+
+def test_large_grids_are_dealt_out_by_their_size(spark, monkeypatch):
+    bands = 4
+    meta = RasterMeta(60, 50, 10.0, 20.0, 0.01, 0.01, bands=bands)
+    cells = spark.range(meta.rows * meta.cols * bands).selectExpr(f"cast(id % {bands} + 1 as int) band", f"id div {bands} div 50 as row", f"id div {bands} % 50 as col", "case when id % 11 > 0 then cast(id * 7919 % 256 as double) end value")
+    options = PyramidOptions(7, 8, stretch=(0.0, 255.0))
+
+    def made():
+        tiles = tileset.raster_tileset(cells, meta, options)
+        pixels = {(r["z"], r["band"], r["gx"], r["gy"]): r["value"] for r in tileset.pixels(cells, meta, options).collect()}
+        return {(r["z"], r["x"], r["y"]): bytes(r["data"]) for r in tiles.collect()}, pixels
+
+    assert raster.dealt(cells, 6000, "row") is cells and "_r" not in raster.in_blocks(cells, meta).columns
+    whole = made()
+    monkeypatch.setattr(raster, "TASK_ROWS", 800)
+    assert raster.in_blocks(cells, meta).rdd.getNumPartitions() == 15 > 8
+    dealt = made()
+    assert whole[1].keys() == dealt[1].keys() and all(abs(v - dealt[1][k]) < 1e-9 for k, v in whole[1].items()) and len(whole[1]) > 100
+    assert whole[0] == dealt[0]
